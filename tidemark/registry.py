@@ -1,11 +1,724 @@
-"""All queries of the library over the driver's tables, with their SQL twins."""
+"""All queries of the library over the driver's tables, with their SQL twins.
+
+Each entry is (Spark query of (view, last day as a column), SQL for DuckDB). Names follow the inventory's numbers.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tidemark.functions import scalars as S
+from tidemark.operators import graph, identity, quality, ranks, report, rollups, search, series
+from tidemark.plans.views import view, with_views
+from tidemark.sources import snapshots
+
+_ALL: dict[str, tuple] = {}
+SKIP = "day IN (DATE '2001-01-05', DATE '2001-01-06')"
+GAPPY = "dayofyear(day) % 17 NOT IN (3, 4)"
+
+
+def entry(name: str, sql: str | None):
+    def add(f):
+        _ALL[name] = (f, with_views(sql) if sql else None)
+        return f
+
+    return add
+
+
+class Views:
+    """The views of one data folder, by short name."""
+
+    def __init__(self, spark, sf_dir):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name) -> DataFrame:
+        return view(self.spark, self.sf_dir, f"fx_{name}")
+
+    @property
+    def gappy(self) -> DataFrame:
+        return self.series.filter(F.expr(GAPPY))
+
+    @property
+    def skip(self) -> DataFrame:
+        return self.series.filter(SKIP).select("day").distinct()
+
+    @property
+    def authors(self) -> DataFrame:
+        return self.series.select("id").distinct().withColumn("author", S.owner(F.col("id")))
+
+    def last(self, name="series"):
+        return F.lit(getattr(self, name).agg(F.max("day")).first()[0])
+
+    @property
+    def metrics(self) -> DataFrame:
+        return series.metrics(self.series)
+
+    @property
+    def edges_distinct(self) -> DataFrame:
+        return self.edges.filter("id <> parent AND parent > 0").select("id", "parent").distinct()
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+LAST = "(SELECT max(day) FROM fx_series)"
+
+
+@entry("src4_latest_upload", "SELECT day, arg_max(event_id, (ts, event_id)) AS event_id FROM fx_events GROUP BY day")
+def _(v):
+    return snapshots.latest_upload(v.events, "ts", "event_id")
+
+
+@entry("src5_resume", "SELECT DISTINCT day FROM fx_events WHERE day NOT IN (SELECT day FROM fx_events WHERE event_id % 97 = 0)")
+def _(v):
+    return snapshots.not_landed(v.events.select("day").distinct(), v.events.filter("event_id % 97 = 0"))
+
+
+@entry("src6_scan_months", "SELECT id, day, dl30, dl_all, likes FROM fx_series WHERE strftime(day, '%Y-%m') IN ('1998-01', '1998-02')")
+def _(v):
+    return snapshots.in_months(v.series, ["1998-01", "1998-02"])
+
+
+@entry("src7_snapshot", f"SELECT id, day, dl30, dl_all, likes FROM fx_series WHERE day = {LAST}")
+def _(v):
+    return snapshots.snapshot(v.series, v.last())
+
+
+@entry("flt1_active", "SELECT id, day FROM fx_series WHERE dl30 >= 10 OR likes >= 1 OR dl_all >= 50")
+def _(v):
+    return v.series.filter(series.active(F.col("dl30"), F.col("likes"), F.col("dl_all"))).select("id", "day")
+
+
+_SAMPLED = "d AS (SELECT day, row_number() OVER (ORDER BY day) AS n, count(*) OVER () AS c FROM (SELECT DISTINCT day FROM fx_series)), s AS (SELECT day FROM d WHERE (n - 1) % 7 = 0 OR n = c)"
+
+
+@entry("flt2_universe", f"WITH {_SAMPLED} SELECT DISTINCT id FROM fx_series WHERE day IN (SELECT day FROM s) AND (dl30 >= 10 OR likes >= 1 OR dl_all >= 50)")
+def _(v):
+    return series.universe(v.series)
+
+
+@entry("flt3_liked_universe", f"WITH {_SAMPLED} SELECT DISTINCT id FROM fx_series WHERE day IN (SELECT day FROM s) AND likes >= 1")
+def _(v):
+    return series.universe(v.series, F.col("likes") >= 1)
+
+
+@entry("flt4_recent", f"SELECT id, day, dl_all FROM fx_series WHERE day > {LAST} - 40 AND (day = {LAST} OR NOT ({SKIP}))")
+def _(v):
+    return series.recent(v.series, v.skip).select("id", "day", "dl_all")
+
+
+@entry("flt5_skip_days", f"SELECT id, day, dl_all FROM fx_series WHERE NOT ({SKIP})")
+def _(v):
+    return series.without_days(v.series, v.skip).select("id", "day", "dl_all")
+
+
+_STEPS = "st AS (SELECT id, day, CASE WHEN dl_all - lag(dl_all) OVER w < 0 THEN 0 ELSE dl_all - lag(dl_all) OVER w END AS step FROM fx_series WINDOW w AS (PARTITION BY id ORDER BY day))"
+_PEAK = f"{_STEPS}, pk AS (SELECT id, max(step) / sum(step) AS peak_share, CAST(count(*) AS INTEGER) AS steps FROM st WHERE day > {LAST} - 7 AND step > 0 GROUP BY id)"
+
+
+@entry("flt6_steady", f"WITH {_PEAK} SELECT id, round(peak_share, 6) AS peak_share, steps FROM pk WHERE peak_share IS NULL OR steps < 2 OR peak_share <= 0.6")
+def _(v):
+    return series.steady(series.peak_share(v.series, F.date_sub(v.last(), 7)), 0.6, 2).withColumn("peak_share", r6("peak_share"))
+
+
+@entry("flt7_null_before_start", "SELECT id, day, CASE WHEN day < DATE '1997-01-01' THEN NULL ELSE dl_all END AS dl_all FROM fx_series")
+def _(v):
+    return v.series.select("id", "day", F.when(F.col("day") >= "1997-01-01", F.col("dl_all")).alias("dl_all"))
+
+
+@entry("flt9_notable", f"WITH r AS (SELECT id, likes, rank() OVER (ORDER BY dl30 DESC) AS rk FROM fx_series WHERE day = {LAST}) SELECT id FROM r WHERE rk <= 20 OR likes >= 200")
+def _(v):
+    return ranks.global_rank(v.series.filter(F.col("day") == v.last()), "dl30", "rk").filter("rk <= 20 OR likes >= 200").select("id")
+
+
+_IDS = "ids AS (SELECT DISTINCT id FROM fx_series)"
+_ASK = "ask AS (SELECT id AS asked FROM ids WHERE length(id) % 2 = 0 UNION ALL SELECT upper(id) FROM ids WHERE length(id) % 2 = 1 UNION ALL SELECT 'old-' || id FROM ids)"
+
+
+@entry("flt10_lookup", f"WITH {_IDS}, {_ASK}, c AS (SELECT asked, id, 0 AS p FROM ask JOIN ids ON asked = id UNION ALL SELECT asked, id, 1 FROM ask JOIN ids ON lower(asked) = lower(id) UNION ALL SELECT 'old-' || id, id, 2 FROM ids) SELECT asked, arg_min(id, (p, id)) AS id FROM c GROUP BY asked")
+def _(v):
+    ids = v.series.select("id").distinct()
+    ask = ids.filter("length(id) % 2 = 0").select(F.col("id").alias("asked")).unionByName(ids.filter("length(id) % 2 = 1").select(F.upper("id").alias("asked"))).unionByName(ids.select(F.concat(F.lit("old-"), "id").alias("asked")))
+    return identity.lookup(ask, ids, ids.select(F.concat(F.lit("old-"), "id").alias("old"), F.col("id").alias("new")))
+
+
+@entry("flt12_keep_last", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM fx_events) WHERE n = 1")
+def _(v):
+    return snapshots.keep_last(v.events, "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
+
+
+@entry("jn1_semi_universe", "SELECT event_id FROM fx_events WHERE user_id IN (SELECT user_id FROM fx_events WHERE event_type = 'purchase')")
+def _(v):
+    return v.events.join(v.events.filter("event_type = 'purchase'").select("user_id"), "user_id", "left_semi").select("event_id")
+
+
+@entry("jn2_gone", "SELECT DISTINCT user_id FROM fx_events a WHERE day < DATE '2024-01-15' AND NOT EXISTS (SELECT 1 FROM fx_events b WHERE b.user_id = a.user_id AND b.day >= DATE '2024-01-15')")
+def _(v):
+    return v.events.filter("day < DATE '2024-01-15'").join(v.events.filter("day >= DATE '2024-01-15'"), "user_id", "left_anti").select("user_id").distinct()
+
+
+def _as_of_sql(b):
+    return f"SELECT id, max(day) AS day_{b}, arg_max(dl_all, day) AS dl_all_{b}, arg_max(likes, day) AS likes_{b} FROM g WHERE day BETWEEN {LAST} - {b + 10} AND {LAST} - {b} GROUP BY id"
+
+
+_GAPPY = f"g AS (SELECT * FROM fx_series WHERE {GAPPY})"
+
+
+@entry("jn5_as_of", f"WITH {_GAPPY}, a AS ({_as_of_sql(7)}), b AS ({_as_of_sql(28)}), i AS (SELECT DISTINCT id FROM g) SELECT i.id, day_7, dl_all_7, likes_7, day_28, dl_all_28, likes_28 FROM i LEFT JOIN a ON a.id = i.id LEFT JOIN b ON b.id = i.id")
+def _(v):
+    return series.as_of(v.gappy, [7, 28], v.last())
+
+
+_REN = "rn AS (SELECT id AS old, 'new-' || id AS new, DATE '1998-06-01' + CAST(length(id) AS INTEGER) AS came FROM (SELECT DISTINCT id FROM fx_series) WHERE CAST(split_part(id, 'repo', 2) AS BIGINT) % 13 = 0)"
+
+
+def _renames(v):
+    ids = v.series.select("id").distinct().filter("CAST(split_part(id, 'repo', 2) AS BIGINT) % 13 = 0")
+    return ids.select(F.col("id").alias("old"), F.concat(F.lit("new-"), "id").alias("new"), F.date_add(F.lit("1998-06-01").cast("date"), F.length("id")).alias("came"))
+
+
+@entry("jn6_before_rename", f"WITH {_REN} SELECT s.id, s.day, s.dl_all FROM fx_series s LEFT JOIN rn ON rn.old = s.id WHERE came IS NULL OR day < came")
+def _(v):
+    return identity.before_rename(v.series, _renames(v)).select("id", "day", "dl_all")
+
+
+@entry("jn7_add_renamed", "SELECT user_id AS id, event_type FROM fx_events UNION SELECT user_id + 1000000, event_type FROM fx_events WHERE user_id % 5 = 0")
+def _(v):
+    e = v.events.select(F.col("user_id").alias("id"), "event_type")
+    return identity.with_renamed(e, "id", e.filter("id % 5 = 0").select(F.col("id").alias("new"), (F.col("id") + 1000000).alias("old")).distinct()).distinct()
+
+
+_PREV = "prev AS (SELECT id, dl_all FROM fx_series WHERE day = DATE '1999-06-01'), cur AS (SELECT CASE WHEN CAST(split_part(id, 'repo', 2) AS BIGINT) % 13 = 0 THEN 'moved/' || split_part(id, '/', 2) ELSE id END AS id, dl_all FROM fx_series WHERE day = DATE '1999-06-02')"
+_CAND = f"{_PREV}, gone AS (SELECT * FROM prev WHERE dl_all >= 1000 AND id NOT IN (SELECT id FROM cur)), came AS (SELECT * FROM cur WHERE dl_all >= 1000 AND id NOT IN (SELECT id FROM prev)), cand AS (SELECT g.id AS old, c.id AS new FROM gone g JOIN came c ON (split_part(g.id, '/', 2) = split_part(c.id, '/', 2) OR split_part(g.id, '/', 1) = split_part(c.id, '/', 1)) AND abs(c.dl_all - g.dl_all) <= 0.01 * g.dl_all)"
+
+
+def _two_days(v):
+    a, b = (v.series.filter(F.col("day") == d).select("id", "dl_all") for d in ("1999-06-01", "1999-06-02"))
+    moved = F.expr("CASE WHEN CAST(split_part(id, 'repo', 2) AS BIGINT) % 13 = 0 THEN 'moved/' || split_part(id, '/', 2) ELSE id END")
+    return a, b.withColumn("id", moved)
+
+
+@entry("jn10_rename_candidates", f"WITH {_CAND} SELECT DISTINCT old, new FROM cand")
+def _(v):
+    return identity.rename_candidates(*_two_days(v))
+
+
+@entry("dq18_find_renames", f"WITH {_CAND}, a AS (SELECT *, count(*) OVER (PARTITION BY old) AS c FROM cand), b AS (SELECT old, new, count(*) OVER (PARTITION BY new) AS c FROM a WHERE c = 1) SELECT old, new FROM b WHERE c = 1")
+def _(v):
+    return identity.find_renames(*_two_days(v))
+
+
+@entry("dq19_resolve_renames", "WITH RECURSIVE e AS (SELECT DISTINCT CAST(user_id AS BIGINT) AS old, CAST(user_id // 2 AS BIGINT) AS new FROM fx_events WHERE user_id > 1), c AS (SELECT old, new FROM e UNION ALL SELECT c.old, e.new FROM c JOIN e ON e.old = c.new) SELECT old, min(new) AS new FROM c GROUP BY old")
+def _(v):
+    return identity.resolve(v.events.filter("user_id > 1").select(F.col("user_id").alias("old"), F.expr("user_id div 2").alias("new")))
+
+
+@entry("dq20_stitched", f"WITH {_REN}, s AS (SELECT id, day, dl30, dl_all FROM fx_series UNION ALL SELECT new, day, NULL, dl_all + 1 FROM fx_series JOIN rn ON old = id WHERE day >= came), k AS (SELECT coalesce(new, id) AS cid, CASE WHEN new IS NULL THEN 0 ELSE 1 END AS p, s.* FROM s LEFT JOIN rn ON old = id) SELECT cid AS id, day, arg_min(dl30, p) AS dl30, arg_min(dl_all, p) AS dl_all FROM k GROUP BY cid, day")
+def _(v):
+    rn = _renames(v)
+    new = v.series.join(rn, v.series.id == rn.old).filter("day >= came").select(F.col("new").alias("id"), "day", F.lit(None).cast("long").alias("dl30"), (F.col("dl_all") + 1).alias("dl_all"))
+    return identity.stitched(v.series.select("id", "day", "dl30", "dl_all").unionByName(new), rn, ["dl30", "dl_all"])
+
+
+@entry("ag1_first_seen", "SELECT user_id AS id, min(day) AS first_seen FROM fx_events GROUP BY user_id")
+def _(v):
+    return series.first_seen(v.events.withColumnRenamed("user_id", "id"))
+
+
+@entry("ag2_null_sum", "SELECT event_type, sum(CASE WHEN event_type = 'click' THEN NULL ELSE event_id END) AS total FROM fx_events GROUP BY event_type")
+def _(v):
+    return v.events.groupBy("event_type").agg(F.sum(F.when(F.col("event_type") != "click", F.col("event_id"))).alias("total"))
+
+
+_CLOSURE = """WITH RECURSIVE e AS (SELECT DISTINCT id, parent FROM fx_edges WHERE id <> parent AND parent > 0),
+ c AS (SELECT id, parent AS anc, 1 AS n FROM e UNION SELECT c.id, e.parent, n + 1 FROM c JOIN e ON e.id = c.anc WHERE n < 7),
+ p AS (SELECT DISTINCT id, anc FROM c WHERE id <> anc)"""
+_FAM = f"{_CLOSURE}, f AS (SELECT anc, count(*) AS members, coalesce(sum(dl30), 0) AS dl30_desc, count(*) FILTER (base_relation = 'quantized') AS n_quantized, count(*) FILTER (base_relation = 'finetune') AS n_finetune, count(*) FILTER (base_relation = 'adapter') AS n_adapter, count(*) FILTER (base_relation = 'merge') AS n_merge FROM p JOIN fx_parts q ON q.id = p.id GROUP BY anc)"
+
+
+def _families(v):
+    pairs = graph.closure(v.edges_distinct)
+    return pairs, graph.family_stats(pairs, v.parts)
+
+
+@entry("gr1_edges", "SELECT DISTINCT id, parent FROM fx_edges WHERE id <> parent")
+def _(v):
+    return graph.edges_of(v.edges.groupBy("id").agg(F.collect_list("parent").alias("base_ids")))
+
+
+@entry("gr2_closure", f"{_CLOSURE} SELECT id, anc FROM p")
+def _(v):
+    return graph.closure(v.edges_distinct)
+
+
+@entry("ag5_family_stats", f"{_FAM} SELECT anc, members, CAST(dl30_desc AS BIGINT) AS dl30_desc, n_quantized, n_finetune, n_adapter, n_merge FROM f")
+def _(v):
+    return _families(v)[1]
+
+
+@entry("ag6_family_totals", f"{_FAM} SELECT anc, members, CAST(q.dl30 + dl30_desc AS BIGINT) AS fam_dl30, round(1 - q.dl30 / (q.dl30 + dl30_desc), 6) AS derived_share FROM f JOIN fx_parts q ON q.id = anc")
+def _(v):
+    return graph.family_totals(_families(v)[1], v.parts).select("anc", "members", "fam_dl30", "derived_share")
+
+
+@entry("tk6_outermost_families", f"{_FAM}, t AS (SELECT anc, CAST(q.dl30 + dl30_desc AS BIGINT) AS fam_dl30 FROM f JOIN fx_parts q ON q.id = anc ORDER BY fam_dl30 DESC, anc LIMIT 300) SELECT * FROM t WHERE anc NOT IN (SELECT id FROM p WHERE id IN (SELECT anc FROM t) AND anc IN (SELECT anc FROM t))")
+def _(v):
+    pairs, stats = _families(v)
+    return graph.outermost(graph.family_totals(stats, v.parts), pairs)
+
+
+@entry("tk7_galaxies", f"{_FAM} SELECT anc, members FROM f WHERE members >= 50 AND anc NOT IN (SELECT id FROM e) ORDER BY members DESC, anc LIMIT 20")
+def _(v):
+    return graph.galaxies(_families(v)[1], v.edges_distinct).select("anc", "members")
+
+
+@entry("tk8_children", "SELECT parent, id, rank FROM (SELECT e.parent, e.id, row_number() OVER (PARTITION BY e.parent ORDER BY dl30 DESC, e.id) AS rank FROM (SELECT DISTINCT id, parent FROM fx_edges WHERE id <> parent AND parent > 0) e JOIN fx_parts p ON p.id = e.id) WHERE rank <= 1")
+def _(v):
+    return graph.children(v.edges_distinct, v.parts, 1).select("parent", "id", "rank")
+
+
+@entry("gr4_lineage", "WITH RECURSIVE b AS (SELECT id, max(parent) AS base FROM fx_edges WHERE id <> parent AND parent > 0 GROUP BY id), l AS (SELECT id, 1 AS hop, base FROM b UNION ALL SELECT l.id, hop + 1, b.base FROM l JOIN b ON b.id = l.base WHERE hop < 8) SELECT id, hop, base FROM l")
+def _(v):
+    return graph.lineage(v.edges_distinct.groupBy("id").agg(F.max("parent").alias("base")))
+
+
+@entry("gr3_galaxy", "WITH RECURSIVE e AS (SELECT DISTINCT id, parent FROM fx_edges WHERE id <> parent AND parent > 0), g AS (SELECT CAST(1 AS BIGINT) AS id, 0 AS depth UNION SELECT e.id, depth + 1 FROM g JOIN e ON e.parent = g.id WHERE depth < 8), m AS (SELECT id, min(depth) AS depth FROM g GROUP BY id) SELECT CAST(1 AS BIGINT) AS root, id, depth FROM m")
+def _(v):
+    return graph.galaxy(v.edges_distinct, v.parts, v.spark.range(1, 2).select(F.col("id").alias("root"))).select("root", "id", "depth")
+
+
+@entry("ag30_generations", None)
+def _(v):
+    return graph.generations(graph.galaxy(v.edges_distinct, v.parts, v.spark.range(1, 4).select(F.col("id").alias("root"))))
+
+
+@entry("ag25_ripple", "WITH e AS (SELECT DISTINCT id, parent FROM fx_edges WHERE id <> parent AND parent > 0) SELECT a.author, count(DISTINCT c.id) AS built, CAST(sum(c.dl30) AS BIGINT) AS dl30, arg_max(c.id, (c.dl30, c.id)) AS biggest FROM e JOIN fx_parts c ON c.id = e.id JOIN fx_parts a ON a.id = e.parent WHERE a.author <> c.author GROUP BY a.author")
+def _(v):
+    return graph.ripple(v.edges_distinct, v.parts)
+
+
+@entry("ag3_family_series", "WITH b AS (SELECT DISTINCT id, split_part(id, '/', 1) AS anc FROM fx_series) SELECT anc, day, CAST(sum(dl30) AS BIGINT) AS dl30, CAST(sum(dl_all) AS BIGINT) AS dl_all, count(*) AS members FROM fx_series s JOIN b ON b.id = s.id GROUP BY anc, day")
+def _(v):
+    pairs = v.authors.withColumnRenamed("author", "anc")
+    return graph.family_series(pairs, v.series, pairs.select("anc").distinct())
+
+
+@entry("ag4_author_series", f"WITH a AS (SELECT *, split_part(id, '/', 1) AS author FROM fx_series), b AS (SELECT author FROM a WHERE day = {LAST} GROUP BY author HAVING sum(coalesce(dl_all, dl30)) >= 5000) SELECT author, day, CAST(sum(dl30) AS BIGINT) AS dl30, CAST(sum(dl_all) AS BIGINT) AS dl_all, CAST(sum(likes) AS BIGINT) AS likes, count(*) AS models FROM a WHERE author IN (SELECT author FROM b) GROUP BY author, day")
+def _(v):
+    return rollups.author_series(v.series, v.authors, 5000)
+
+
+@entry("ag8_peak_share", f"WITH {_PEAK} SELECT id, round(peak_share, 6) AS peak_share, steps FROM pk")
+def _(v):
+    return series.peak_share(v.series, F.date_sub(v.last(), 7)).withColumn("peak_share", r6("peak_share"))
+
+
+_HUB = f"WITH {_GAPPY}, d AS (SELECT day, row_number() OVER (ORDER BY day) AS n, lag(day) OVER (ORDER BY day) AS pday FROM (SELECT DISTINCT day FROM g)), s AS (SELECT g.id, g.day, pday, dl_all, n, lag(dl_all) OVER w AS p, lag(n) OVER w AS pn FROM g JOIN d ON d.day = g.day WINDOW w AS (PARTITION BY id ORDER BY g.day)), i AS (SELECT day, pday, split_part(id, '/', 1) AS tag, round_even(sum(dl_all - p) / (day - pday), 0) AS v FROM s WHERE pn = n - 1 AND dl_all > p GROUP BY day, pday, split_part(id, '/', 1)) SELECT CAST(u AS DATE) AS day, tag, CAST(sum(v) AS BIGINT) AS dl FROM (SELECT unnest(generate_series(pday + 1, day, INTERVAL 1 DAY)) AS u, tag, v FROM i) GROUP BY ALL"
+
+
+@entry("ag9_hub_increment", _HUB)
+def _(v):
+    return series.hub_increment(v.gappy, v.authors.withColumnRenamed("author", "tag"))
+
+
+@entry("ag10_signals", "WITH d AS (SELECT day, row_number() OVER (ORDER BY day) AS n FROM (SELECT DISTINCT day FROM fx_series)), s AS (SELECT s.*, n, lag(dl_all) OVER w AS p, lag(n) OVER w AS pn FROM fx_series s JOIN d ON d.day = s.day WINDOW w AS (PARTITION BY id ORDER BY s.day)) SELECT day, round(CASE WHEN count(*) FILTER (dl30 >= 50) >= 10 THEN count(*) FILTER (dl30 >= 50 AND dl_all = p) / count(*) FILTER (dl30 >= 50) END, 6) AS frozen, round(avg(CASE WHEN dl_all < p THEN 1 ELSE 0 END), 6) AS back FROM s WHERE pn = n - 1 GROUP BY day")
+def _(v):
+    return quality.signals(v.series, 50, 10).select("day", r6("frozen").alias("frozen"), r6("back").alias("back"))
+
+
+@entry("ag11_shortfall", "SELECT CAST(sum(greatest(0, a.dl_all - b.dl_all)) AS BIGINT) AS shortfall FROM (SELECT * FROM fx_series WHERE day = DATE '1999-06-02') a JOIN (SELECT * FROM fx_series WHERE day = DATE '1999-05-01') b ON a.id = b.id")
+def _(v):
+    return quality.shortfall(v.series.filter("day = DATE '1999-06-02'"), v.series.filter("day = DATE '1999-05-01'"))
+
+
+@entry("ag13_use_counts", "SELECT dst, count(*) FILTER (src_kind = 'model') AS n_models, count(*) FILTER (src_kind = 'space') AS n_spaces FROM fx_uses GROUP BY dst")
+def _(v):
+    return rollups.use_counts(v.uses)
+
+
+@entry("ag14_uses_each", "SELECT src, count(*) AS n_uses FROM fx_uses GROUP BY src")
+def _(v):
+    return rollups.uses_each(v.uses)
+
+
+@entry("ag15_new_users", "SELECT dst, CAST(date_trunc('month', created) AS DATE) AS month, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY dst ORDER BY date_trunc('month', created)) AS BIGINT) AS total FROM fx_uses GROUP BY dst, date_trunc('month', created)")
+def _(v):
+    return rollups.new_users(v.uses)
+
+
+@entry("gr9_top_users", "SELECT dst, src, rank FROM (SELECT dst, src, row_number() OVER (PARTITION BY dst ORDER BY weight DESC, src) AS rank FROM fx_uses) WHERE rank <= 5")
+def _(v):
+    return rollups.top_users(v.uses, 5).select("dst", "src", "rank")
+
+
+@entry("jn11_users_with_meta", "SELECT u.src, u.dst, p.author, p.tag FROM fx_uses u LEFT JOIN fx_parts p ON p.id = u.dst")
+def _(v):
+    return v.uses.join(v.parts.select(F.col("id").alias("dst"), "author", "tag"), "dst", "left").select("src", "dst", "author", "tag")
+
+
+@entry("ag16_created_per_day", "SELECT day, coalesce(event_type, 'other') AS tag, count(*) AS n FROM fx_events GROUP BY ALL")
+def _(v):
+    return rollups.per_day(v.events, "event_type")
+
+
+@entry("ag17_new_by_week", "WITH l AS (SELECT max(day) AS last FROM fx_events), b AS (SELECT event_type FROM fx_events, l WHERE day > last - 365 GROUP BY event_type ORDER BY count(*) DESC, event_type LIMIT 2) SELECT CAST(date_trunc('week', day) AS DATE) AS week, CASE WHEN event_type IN (SELECT event_type FROM b) THEN event_type ELSE 'other' END AS event_type, count(*) AS n FROM fx_events GROUP BY ALL")
+def _(v):
+    return rollups.new_by_week(v.events, "event_type", 2)
+
+
+@entry("ag18_hub_chart", "WITH l AS (SELECT max(day) AS last FROM fx_hub), b AS (SELECT pipeline_tag FROM fx_hub, l WHERE day > last - 90 GROUP BY pipeline_tag ORDER BY sum(dl) DESC, pipeline_tag LIMIT 3) SELECT day, CASE WHEN pipeline_tag IN (SELECT pipeline_tag FROM b) THEN pipeline_tag ELSE 'other' END AS pipeline_tag, CAST(sum(dl) AS BIGINT) AS dl FROM fx_hub GROUP BY ALL")
+def _(v):
+    return rollups.hub_chart(v.hub, 3)
+
+
+@entry("ag20_authors_having", "SELECT author, CAST(sum(dl30) AS BIGINT) AS dl30 FROM fx_parts GROUP BY author HAVING sum(dl30) >= 50000")
+def _(v):
+    return rollups.having(v.parts.groupBy("author").agg(F.sum("dl30").alias("dl30")), "dl30", 50000)
+
+
+_YEAR = "s AS (SELECT id, day, dl_all, lag(dl_all) OVER w AS p, lag(day) OVER w AS pd FROM g WINDOW w AS (PARTITION BY id ORDER BY day)), x AS (SELECT id, unnest(generate_series(pd + 1, day, INTERVAL 1 DAY)) AS u, (dl_all - p) / (day - pd) AS gain FROM s WHERE dl_all > p), y AS (SELECT split_part(id, '/', 1) AS author, id, CAST(u AS DATE) AS day, gain FROM x WHERE year(u) = 1998)"
+
+
+@entry("ag22_year_gains", f"WITH {_GAPPY}, {_YEAR} SELECT author, day, round(sum(gain), 4) AS gain FROM y GROUP BY ALL")
+def _(v):
+    return rollups.year_gains(v.gappy, v.authors, 1998).groupBy("author", "day").agg(F.round(F.sum("gain"), 4).alias("gain"))
+
+
+@entry("mt15_year_summary", f"WITH {_GAPPY}, {_YEAR}, t AS (SELECT author, sum(gain) AS d FROM y GROUP BY 1), r AS (SELECT author, id, round(sum(gain), 6) AS v FROM y GROUP BY 1, 2), b AS (SELECT author, arg_max(id, (v, id)) AS top_id, max(v) AS v FROM r GROUP BY 1), w AS (SELECT author, CAST(date_trunc('week', day) AS DATE) AS week, round(sum(gain), 6) AS v FROM y GROUP BY 1, 2 HAVING count(DISTINCT day) = 7), z AS (SELECT author, arg_min(week, (-v, week)) AS best_week FROM w GROUP BY 1) SELECT t.author, round(d, 4) AS downloads, top_id, round(b.v / d, 6) AS top_share, best_week FROM t JOIN b USING (author) LEFT JOIN z USING (author)")
+def _(v):
+    return rollups.year_summary(rollups.year_gains(v.gappy, v.authors, 1998))
+
+
+@entry("ag24_likes_gained", "WITH n AS (SELECT id, arg_max(likes, day) AS now, arg_max(likes, day) FILTER (day <= DATE '2000-01-01') AS b FROM fx_series GROUP BY id) SELECT split_part(id, '/', 1) AS author, CAST(sum(greatest(0, now - coalesce(b, 0))) AS BIGINT) AS likes FROM n GROUP BY 1")
+def _(v):
+    return rollups.likes_gained(v.series, v.authors, F.lit("2000-01-01").cast("date"), None)
+
+
+@entry("ag27_task_mix", "WITH m AS (SELECT author, tag, CAST(sum(dl30) AS BIGINT) AS v FROM fx_parts GROUP BY ALL HAVING sum(dl30) > 0), k AS (SELECT *, sum(v) OVER (PARTITION BY author) AS total, row_number() OVER (PARTITION BY author ORDER BY v DESC, tag) AS rank FROM m), t AS (SELECT *, sum(v) OVER (PARTITION BY author) AS top FROM k WHERE rank <= 5) SELECT author, tag, rank, v, round(CASE WHEN top >= 0.3 * total THEN v / top END, 6) AS share FROM t")
+def _(v):
+    return rollups.task_mix(v.parts.withColumnRenamed("dl30", "v"))
+
+
+@entry("ag33_health", "WITH k AS (SELECT 'series' AS kind, max(day) AS last FROM fx_series UNION ALL SELECT 'hub', max(day) FROM fx_hub) SELECT kind, last, CAST((SELECT max(last) FROM k) - last AS INTEGER) AS behind FROM k")
+def _(v):
+    return rollups.health({"series": v.series, "hub": v.hub})
+
+
+@entry("ag34_coverage", "SELECT count(DISTINCT day) AS days, min(day) AS first, max(day) AS last, count(DISTINCT id) AS ids FROM fx_series")
+def _(v):
+    return rollups.coverage(v.series)
+
+
+_NOW = f"n AS (SELECT * FROM fx_series WHERE day = {LAST})"
+
+
+@entry("wn1_global_rank", "SELECT id, day, CAST(rank() OVER (ORDER BY dl30 DESC) AS INTEGER) AS rank FROM fx_series")
+def _(v):
+    return ranks.global_rank(v.series, "dl30", "rank").select("id", "day", "rank")
+
+
+@entry("wn2_rank_within", "SELECT id, CAST(rank() OVER (PARTITION BY tag ORDER BY dl30 DESC) AS INTEGER) AS rank_task FROM fx_parts")
+def _(v):
+    return ranks.rank_within(v.parts, "tag", "dl30", "rank_task").select("id", "rank_task")
+
+
+@entry("wn3_steps", f"WITH {_STEPS} SELECT id, day, step FROM st")
+def _(v):
+    return series.steps(v.series).select("id", "day", "step")
+
+
+def _spark_sql(value, gap):
+    return f"WITH {_GAPPY}, s AS (SELECT id, day, CASE WHEN {value} - lag({value}) OVER w < 0 THEN 0 ELSE {value} - lag({value}) OVER w END AS gain, greatest(day - lag(day) OVER w, 1) AS gap FROM g WHERE day >= {LAST} - 29 WINDOW w AS (PARTITION BY id ORDER BY day)) SELECT id, day, round(CAST(gain AS DOUBLE){' / gap' if gap else ''}, 6) AS d FROM s WHERE gain IS NOT NULL"
+
+
+@entry("wn4_spark_points", _spark_sql("dl_all", True))
+def _(v):
+    return series.spark_points(v.gappy, v.last(), "dl_all").withColumn("d", r6("d"))
+
+
+@entry("wn5_like_spark_points", _spark_sql("likes", False))
+def _(v):
+    return series.spark_points(v.gappy, v.last(), "likes", by_gap=False).withColumn("d", r6("d"))
+
+
+_TOT = "t AS (SELECT day, CAST(sum(dl) AS DOUBLE) AS tot FROM fx_hub GROUP BY day), m AS (SELECT day, tot, CASE WHEN count(*) OVER w >= 5 THEN median(tot) OVER w END AS med FROM t WINDOW w AS (ORDER BY day ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING)), q AS (SELECT day, tot, med, CASE WHEN med > 0 THEN tot / med ELSE 1.0 END AS ratio FROM m)"
+
+
+@entry("dq3_ratio_to_median", f"WITH {_TOT} SELECT day, tot, med AS median, round(ratio, 6) AS ratio FROM q")
+def _(v):
+    return quality.totals(v.hub).withColumn("ratio", r6("ratio"))
+
+
+@entry("dq4_stall_runs", f"WITH {_TOT}, s AS (SELECT day, day - CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS k FROM q WHERE ratio < 0.3) SELECT min(day) AS start, max(day) AS \"end\", count(*) AS days FROM s GROUP BY k")
+def _(v):
+    return quality.stall_runs(quality.totals(v.hub))
+
+
+@entry("wn16_weekday_factor", f"WITH {_TOT} SELECT CAST(isodow(day) AS INTEGER) AS weekday, round(median(ratio), 6) AS factor FROM q GROUP BY 1")
+def _(v):
+    return quality.weekday_factor(quality.totals(v.hub)).withColumn("factor", r6("factor"))
+
+
+@entry("dq7_measurements", f"WITH {_GAPPY}, c AS (SELECT DISTINCT day FROM fx_series), s AS (SELECT DISTINCT day FROM g) SELECT c.day, (SELECT min(s.day) FROM s WHERE s.day >= c.day) AS snap FROM c")
+def _(v):
+    return quality.measurements(v.series.select("day").distinct(), v.gappy.select("day").distinct())
+
+
+_RUNS = f"{_TOT}, s AS (SELECT day, day - CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS k FROM q WHERE ratio < 0.5), r AS (SELECT min(day) AS start, max(day) AS fin FROM s GROUP BY k), x AS (SELECT *, max(fin) OVER (ORDER BY start, fin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM r), y AS (SELECT *, sum(CASE WHEN start <= e + 2 THEN 0 ELSE 1 END) OVER (ORDER BY start, fin) AS k FROM x), wins AS (SELECT min(start) AS start, max(fin) AS fin FROM y GROUP BY k)"
+
+
+def _wins(v):
+    return quality.merge_windows(quality.stall_runs(quality.totals(v.hub), 0.5).drop("days"))
+
+
+@entry("dq9_merge_windows", f"WITH {_RUNS} SELECT start, fin AS \"end\" FROM wins")
+def _(v):
+    return _wins(v)
+
+
+@entry("dq10_smooth", f"WITH {_RUNS}, a AS (SELECT h.*, start, fin FROM fx_hub h LEFT JOIN wins ON day BETWEEN start AND fin), b AS (SELECT start, fin, pipeline_tag, sum(dl) AS t FROM a WHERE start IS NOT NULL GROUP BY ALL) SELECT day, pipeline_tag, dl FROM a WHERE start IS NULL UNION ALL SELECT CAST(unnest(generate_series(start, fin, INTERVAL 1 DAY)) AS DATE), pipeline_tag, CAST(round_even(t / (fin - start + 1), 0) AS BIGINT) FROM b")
+def _(v):
+    return quality.smooth(v.hub, _wins(v))
+
+
+@entry("dq14_skip_days", f"WITH {_RUNS} SELECT DISTINCT CAST(unnest(generate_series(start, fin - 1, INTERVAL 1 DAY)) AS DATE) AS day FROM wins WHERE start < fin")
+def _(v):
+    return quality.skip_days(_wins(v))
+
+
+@entry("dq15_short_days", "WITH t AS (SELECT day, min(ts) AS taken_at FROM fx_events GROUP BY day), l AS (SELECT day, (epoch(date_trunc('second', taken_at)) - epoch(date_trunc('second', lag(taken_at) OVER (ORDER BY taken_at)))) / 3600 AS hours FROM t) SELECT day, round(hours, 6) AS hours FROM l WHERE hours < 18")
+def _(v):
+    return quality.short_days(v.events.groupBy("day").agg(F.min(F.col("ts").cast("timestamp")).alias("taken_at")))
+
+
+@entry("dq16_repair_calendar", "WITH h AS (SELECT * FROM fx_hub WHERE dayofyear(day) % 17 NOT IN (3, 4)), d AS (SELECT day, coalesce(day - lag(day) OVER (ORDER BY day), 1) AS n FROM (SELECT DISTINCT day FROM h)) SELECT CAST(unnest(generate_series(h.day - CAST(n - 1 AS INTEGER), h.day, INTERVAL 1 DAY)) AS DATE) AS day, pipeline_tag, CAST(round_even(dl / n, 0) AS BIGINT) AS dl FROM h JOIN d ON d.day = h.day")
+def _(v):
+    return quality.repair_calendar(v.hub.filter(F.expr(GAPPY)))
+
+
+@entry("dq5_settled_windows", None)
+def _(v):
+    hub = v.hub.select(F.col("pipeline_tag").alias("series"), "day", F.col("dl").cast("double").alias("dl"))
+    none = hub.select("series", "day", F.lit(0.0).alias("share")).filter("dl < 0")
+    return quality.settle(hub, none, 0.25)
+
+
+@entry("dq13_low_days", None)
+def _(v):
+    t = quality.totals(v.hub)
+    return quality.low_days(t, quality.weekday_factor(t), v.hub.filter("dl < 0"))
+
+
+@entry("wn8_trailing_mean", "SELECT id, day, round(avg(dl30) OVER (PARTITION BY id ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS smooth FROM fx_series")
+def _(v):
+    return series.smooth(v.series, "dl30").select("id", "day", r6("smooth").alias("smooth"))
+
+
+@entry("wn12_month_ends", "WITH m AS (SELECT id, strftime(day, '%Y-%m') AS month, arg_max(dl30, day) AS v FROM fx_series GROUP BY 1, 2), c AS (SELECT *, v - lag(v) OVER w AS change, max(v) OVER w AS best, row_number() OVER (PARTITION BY id ORDER BY month DESC) AS k FROM m WINDOW w AS (PARTITION BY id ORDER BY month)) SELECT id, month, v, change, best FROM c WHERE k <= 13")
+def _(v):
+    return series.month_ends(v.series, "dl30")
+
+
+@entry("wn13_daily_points", f"WITH {_GAPPY}, a AS (SELECT id, day, dl_all, row_number() OVER (PARTITION BY id ORDER BY day DESC) AS k FROM g), b AS (SELECT id, day, greatest(dl_all - lag(dl_all) OVER (PARTITION BY id ORDER BY day), dl_all - dl_all) AS step, lag(dl_all) OVER (PARTITION BY id ORDER BY day) AS p FROM a WHERE k <= 63), c AS (SELECT id, day, step, avg(step) OVER (PARTITION BY id ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS mean7, row_number() OVER (PARTITION BY id ORDER BY day) AS n FROM b WHERE p IS NOT NULL) SELECT id, day, step, round(mean7, 6) AS mean7 FROM c WHERE n > 6")
+def _(v):
+    return series.daily_points(v.gappy, "dl_all").withColumn("mean7", r6("mean7"))
+
+
+@entry("wn14_card_points", "WITH a AS (SELECT id, day, dl_all, row_number() OVER (PARTITION BY id ORDER BY day DESC) - 1 AS k FROM fx_series) SELECT id, day, dl_all AS v, dl_all - lag(dl_all) OVER (PARTITION BY id ORDER BY day) AS gained FROM a WHERE k % 7 = 0 AND k < 182")
+def _(v):
+    return series.card_points(v.series, "dl_all")
+
+
+@entry("wn15_position", "WITH t AS (SELECT author, sum(dl30) AS v FROM fx_parts GROUP BY author) SELECT author, CAST(rank() OVER (ORDER BY v DESC) AS INTEGER) AS place, round(100.0 * rank() OVER (ORDER BY v DESC) / count(*) OVER (), 6) AS top_percent FROM t")
+def _(v):
+    return ranks.position(v.parts.groupBy("author").agg(F.sum("dl30").alias("v")), "author", "v").select("author", "place", "top_percent")
+
+
+@entry("tk1_top", f"SELECT id, dl30 FROM fx_series WHERE day = {LAST} ORDER BY dl30 DESC, id LIMIT 100")
+def _(v):
+    return ranks.top(v.series.filter(F.col("day") == v.last()), "dl30", 100).select("id", "dl30")
+
+
+@entry("tk9_top_of_author", "SELECT author, id, rank FROM (SELECT author, id, row_number() OVER (PARTITION BY author ORDER BY dl30 DESC, id) AS rank FROM fx_parts) WHERE rank <= 3")
+def _(v):
+    return ranks.top_each(v.parts, "author", "dl30", 3).select("author", "id", "rank")
+
+
+@entry("tk13_chunks", "SELECT id, (row_number() OVER (ORDER BY dl30 DESC, id) - 1) // 100 AS chunk FROM fx_parts")
+def _(v):
+    return ranks.chunks(v.parts, "dl30", 100)
+
+
+def _mt(gaps=_GAPPY):
+    refs = ", ".join(f"a{b} AS ({_as_of_sql(b)})" for b in (7, 14, 28, 31))
+    joins = " ".join(f"LEFT JOIN a{b} ON a{b}.id = n.id" for b in (7, 14, 28, 31))
+    return f"""{gaps}, {refs}, fs AS (SELECT id, min(day) AS first_seen FROM g GROUP BY id),
+ st AS (SELECT id, day, CASE WHEN dl_all - lag(dl_all) OVER w < 0 THEN 0 ELSE dl_all - lag(dl_all) OVER w END AS step FROM g WINDOW w AS (PARTITION BY id ORDER BY day)),
+ pk AS (SELECT id, max(step) / sum(step) AS peak_share, CAST(count(*) AS INTEGER) AS steps FROM st WHERE day > {LAST} - 7 AND step > 0 GROUP BY id),
+ j AS (SELECT n.id, first_seen, CASE WHEN dl_all_31 IS NOT NULL AND dl_all = dl_all_31 THEN 0 ELSE dl30 END AS dl30, dl_all, likes,
+   day_7, dl_all_7, likes_7, day_14, dl_all_14, day_28, dl_all_28, {LAST} - first_seen < 7 AS new, {LAST} - day_7 AS s7, day_7 - day_14 AS s14, day_7 - day_28 AS s28, peak_share, steps
+   FROM g n {joins} LEFT JOIN fs ON fs.id = n.id LEFT JOIN pk ON pk.id = n.id WHERE n.day = {LAST}),
+ k AS (SELECT *, CASE WHEN s7 > 0 THEN greatest(dl_all - dl_all_7, 0) * 7 / s7 END AS r, CASE WHEN s28 > 0 THEN greatest(dl_all_7 - dl_all_28, 0) * 7 / s28 END AS dl_base7d FROM j),
+ mm AS (SELECT id, split_part(id, '/', 1) AS author, first_seen, dl30, dl_all, likes,
+   CAST(CASE WHEN new THEN least(dl_all, dl30) ELSE round_even(least(r, dl30), 0) END AS BIGINT) AS dl_7d,
+   CAST(CASE WHEN s14 > 0 THEN round_even(greatest(dl_all_7 - dl_all_14, 0) * 7 / s14, 0) END AS BIGINT) AS dl_prev7d, dl_base7d,
+   CAST(CASE WHEN new THEN likes WHEN s7 > 0 THEN round_even((likes - likes_7) * 7 / s7, 0) END AS BIGINT) AS likes_7d, peak_share, steps FROM k)"""
+
+
+@entry("mt6_entity_metrics", f"WITH {_mt()} SELECT id, author, first_seen, CAST(dl30 AS BIGINT) AS dl30, dl_all, likes, dl_7d, dl_prev7d, round(dl_base7d, 6) AS dl_base7d, likes_7d, round(CASE WHEN dl_base7d >= 100 THEN dl_7d / dl_base7d - 1 END, 6) AS growth_7d, round(peak_share, 6) AS peak_share, steps FROM mm")
+def _(v):
+    m = series.metrics(v.gappy)
+    return m.select(*[r6(c).alias(c) if t == "double" else F.col(c) for c, t in m.dtypes])
+
+
+@entry("ag7_author_totals", f"WITH {_mt()} SELECT author, CAST(sum(dl30) AS BIGINT) AS dl30, CAST(sum(dl_7d) AS BIGINT) AS dl_7d, count(*) AS models, round(CASE WHEN sum(dl_base7d) >= 1000 THEN sum(dl_7d) / sum(dl_base7d) - 1 END, 6) AS growth FROM mm GROUP BY author")
+def _(v):
+    return rollups.author_totals(series.metrics(v.gappy))
+
+
+@entry("tk2_model_boards", None)
+def _(v):
+    return ranks.model_boards(series.metrics(v.gappy), 20)
+
+
+@entry("mt7_space_metrics", f"WITH {_GAPPY}, a AS ({_as_of_sql(7)}), b AS ({_as_of_sql(30)}) SELECT g.id, g.likes, CASE WHEN likes - likes_7 < 0 THEN 0 ELSE likes - likes_7 END AS likes_7d, CASE WHEN likes - likes_30 < 0 THEN 0 ELSE likes - likes_30 END AS likes_30d FROM g LEFT JOIN a ON a.id = g.id LEFT JOIN b ON b.id = g.id WHERE g.day = {LAST}")
+def _(v):
+    return series.space_metrics(v.gappy)
+
+
+_DAILY = "s AS (SELECT id, day, greatest(dl_all - lag(dl_all) OVER w, 0) AS gain, lag(day) OVER w AS pd FROM g WINDOW w AS (PARTITION BY id ORDER BY day)), dd AS (SELECT id, CAST(unnest(generate_series(pd + 1, day, INTERVAL 1 DAY)) AS DATE) AS day, gain / (day - pd) AS v FROM s WHERE pd IS NOT NULL)"
+
+
+@entry("mt8_daily_values", f"WITH {_GAPPY}, {_DAILY} SELECT id, day, round(v, 6) AS v FROM dd")
+def _(v):
+    return series.by_day(v.gappy, "dl_all").withColumn("v", r6("v"))
+
+
+@entry("mt10_weekly", f"WITH {_GAPPY}, {_DAILY}, w AS (SELECT id, CAST(date_trunc('week', day) AS DATE) AS week, sum(v) AS v, max(day) AS d FROM dd GROUP BY 1, 2) SELECT id, week, round(v, 4) AS v, week = max(week) OVER (PARTITION BY id) AND max(d) OVER (PARTITION BY id) - week < 6 AS partial FROM w")
+def _(v):
+    return series.weekly(series.by_day(v.gappy, "dl_all"), "v").withColumn("v", F.round("v", 4))
+
+
+@entry("mt11_milestones", "WITH mk AS (SELECT CAST(power(10, unnest(range(3, 10))) AS BIGINT) AS mark), f AS (SELECT id, arg_min(dl_all, day) AS v0 FROM fx_series GROUP BY id), c AS (SELECT s.id, mark, v0, min(day) AS day FROM fx_series s JOIN f ON f.id = s.id, mk WHERE dl_all >= mark GROUP BY ALL), b AS (SELECT *, v0 >= mark AS before, max(CASE WHEN v0 >= mark THEN mark END) OVER (PARTITION BY id) AS tb FROM c) SELECT id, mark, CASE WHEN NOT before THEN day END AS day, before FROM b WHERE NOT before OR mark = tb")
+def _(v):
+    return series.milestones(v.series)
+
+
+@entry("mt12_compare", "SELECT day, max(CASE WHEN pipeline_tag = '1-URGENT' THEN dl END) AS \"1-URGENT\", max(CASE WHEN pipeline_tag = '5-LOW' THEN dl END) AS \"5-LOW\" FROM fx_hub WHERE pipeline_tag IN ('1-URGENT', '5-LOW') GROUP BY day")
+def _(v):
+    return series.compare(v.hub.withColumnRenamed("pipeline_tag", "id"), ["1-URGENT", "5-LOW"], "dl")
+
+
+@entry("mt14_full_months", "WITH l AS (SELECT CAST(date_trunc('month', max(day)) - INTERVAL 1 MONTH AS DATE) AS m FROM fx_hub), a AS (SELECT CAST(unnest(generate_series(m - INTERVAL 11 MONTH, m, INTERVAL 1 MONTH)) AS DATE) AS month FROM l), i AS (SELECT DISTINCT pipeline_tag AS id FROM fx_hub), s AS (SELECT pipeline_tag AS id, CAST(date_trunc('month', day) AS DATE) AS month, CAST(sum(dl) AS BIGINT) AS v FROM fx_hub GROUP BY 1, 2) SELECT i.id, a.month, coalesce(v, 0) AS v FROM i CROSS JOIN a LEFT JOIN s ON s.id = i.id AND s.month = a.month")
+def _(v):
+    return series.full_months(v.hub.withColumnRenamed("pipeline_tag", "id"), "dl", 12)
+
+
+@entry("mt17_range", f"SELECT id, day, dl30 FROM fx_series WHERE day >= {LAST} - 91")
+def _(v):
+    return series.in_range(v.series, 91, v.last()).select("id", "day", "dl30")
+
+
+_INDEX = "ix AS (SELECT p_brand || '/' || p_name AS id, CAST(round(max(p_retailprice)) AS BIGINT) AS pop FROM part GROUP BY 1)"
+_Q = "qs AS (SELECT * FROM (VALUES (1, 'brand#1'), (2, 'brand#12 part'), (3, 'part 7')) t(qid, q)), wq AS (SELECT qid, lower(trim(q)) AS q, regexp_split_to_array(lower(trim(q)), '\\s+') AS ws FROM qs)"
+
+
+@entry("se1_search", f"WITH {_INDEX}, {_Q}, c AS (SELECT qid, q, ws, id, pop, lower(id) AS lid FROM ix, wq WHERE len(list_filter(ws, lambda w: NOT contains(lower(id), w))) = 0), b AS (SELECT *, max(pop) OVER (PARTITION BY qid) AS best, split_part(lid, '/', 2) AS nm, split_part(lid, '/', 1) AS ow FROM c), r AS (SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY CAST(lid = q AS INT) DESC, CAST(ow = q AS INT) DESC, CAST(nm = q AND pop >= 0.05 * best AS INT) DESC, CAST(contains(nm, ws[1]) AS INT) DESC, pop DESC, id) AS INTEGER) AS rank FROM b) SELECT qid, rank, id FROM r WHERE rank <= 20")
+def _(v):
+    view(v.spark, v.sf_dir, "fx_parts")
+    ix = v.spark.table("part").groupBy(F.concat_ws("/", "p_brand", "p_name").alias("id")).agg(F.round(F.max("p_retailprice")).cast("long").alias("pop"))
+    q = v.spark.createDataFrame([(1, "brand#1"), (2, "brand#12 part"), (3, "part 7")], "qid int, q string")
+    return search.ranked(q, ix, 20)
+
+
+@entry("se2_search_authors", "WITH ix AS (SELECT author, CAST(sum(dl30) AS BIGINT) AS pop FROM fx_parts GROUP BY author), r AS (SELECT 1 AS qid, author, CAST(row_number() OVER (ORDER BY CAST(lower(author) = 'brand#1' AS INT) DESC, CAST(starts_with(lower(author), 'brand#1') AS INT) DESC, pop DESC, author) AS INTEGER) AS rank FROM ix WHERE contains(lower(author), 'brand#1')) SELECT qid, rank, author FROM r WHERE rank <= 8")
+def _(v):
+    ix = v.parts.groupBy("author").agg(F.sum("dl30").alias("pop"))
+    return search.authors(v.spark.createDataFrame([(1, "Brand#1")], "qid int, q string"), ix, 8)
+
+
+@entry("rp1_monthly_totals", f"WITH {_GAPPY}, t AS (SELECT day, sum(dl_all) AS t FROM g GROUP BY day), m AS (SELECT DISTINCT CAST(date_trunc('month', day) AS DATE) AS m FROM t), b AS (SELECT m, max(day) AS bd, arg_max(t, day) AS bt FROM t JOIN m ON day <= m GROUP BY m), a AS (SELECT m, min(day) AS ad, arg_min(t, day) AS att FROM t JOIN m ON day >= m GROUP BY m), v AS (SELECT b.m, bt + (att - bt) * CASE WHEN ad > bd THEN (b.m - bd) / (ad - bd) ELSE 0.0 END AS v FROM b JOIN a ON a.m = b.m), l AS (SELECT m, round(lead(v) OVER (ORDER BY m) - v, 6) AS total FROM v) SELECT m AS month, total FROM l WHERE total IS NOT NULL")
+def _(v):
+    return report.monthly_totals(v.gappy)
+
+
+@entry("rp2_month_estimate", "WITH t AS (SELECT day, sum(dl30) AS d FROM fx_series GROUP BY day), m AS (SELECT CAST(date_trunc('month', day) AS DATE) AS month, arg_max(d, day) AS d FROM t GROUP BY 1) SELECT month, round(d * day(last_day(month)) / 30, 6) AS estimate FROM m")
+def _(v):
+    return report.month_estimate(v.series)
+
+
+@entry("rp3_yearly_rate", "WITH r AS (SELECT pipeline_tag, CAST(year(day) AS INTEGER) AS year, sum(dl) / count(DISTINCT day) AS rate FROM fx_hub GROUP BY 1, 2) SELECT pipeline_tag, year, round(rate, 6) AS rate, round(rate / lag(rate) OVER (PARTITION BY pipeline_tag ORDER BY year), 6) AS ratio FROM r")
+def _(v):
+    return report.yearly_rate(v.hub)
+
+
+@entry("rp4_shares", "SELECT tag, author, CAST(sum(dl30) AS BIGINT) AS v, round(sum(dl30) / sum(sum(dl30)) OVER (PARTITION BY tag), 6) AS share FROM fx_parts GROUP BY tag, author")
+def _(v):
+    return report.shares(v.parts, "tag", "author", "dl30")
+
+
+@entry("rp7_concentration", "WITH r AS (SELECT dl30, row_number() OVER (ORDER BY dl30 DESC, id) AS k, rank() OVER (ORDER BY dl30 DESC) AS rk, count(*) OVER () AS n, sum(dl30) OVER () AS s FROM fx_parts) SELECT round(sum(dl30) FILTER (k <= 10) / max(s), 6) AS top_10, round(sum(dl30) FILTER (k <= 100) / max(s), 6) AS top_100, round(sum(dl30) FILTER (k <= 1000) / max(s), 6) AS top_1000, round(sum(dl30) FILTER (rk <= ceil(n / 100)) / max(s), 6) AS top_percent FROM r")
+def _(v):
+    return report.concentration(v.parts, "dl30")
+
+
+@entry("rp8_bands", "SELECT CASE WHEN dl30 < 1000 THEN '< 1000' WHEN dl30 < 1500 THEN '< 1500' ELSE '>= 1500' END AS band, count(*) AS n, CAST(sum(dl30) AS BIGINT) AS dl30 FROM fx_parts GROUP BY 1")
+def _(v):
+    return v.parts.groupBy(report.bands(F.col("dl30"), [1000, 1500]).alias("band")).agg(F.count("*").alias("n"), F.sum("dl30").alias("dl30"))
+
+
+@entry("rp9_cohorts", "WITH f AS (SELECT user_id, CAST(min(day) AS DATE) AS f FROM fx_events GROUP BY user_id) SELECT CAST(date_trunc('week', f) AS DATE) AS cohort, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM fx_events e JOIN f ON f.user_id = e.user_id GROUP BY 1")
+def _(v):
+    f = v.events.groupBy("user_id").agg(S.week(F.min("day")).alias("cohort"))
+    return v.events.join(f, "user_id").groupBy("cohort").agg(F.count("*").alias("n")).withColumn("share", r6(F.col("n") / F.sum("n").over(W.partitionBy())))
+
+
+@entry("rp10_launch_curve", "WITH f AS (SELECT id, min(day) AS fs FROM fx_series GROUP BY id), s AS (SELECT s.id, dl_all - coalesce(lag(dl_all) OVER (PARTITION BY s.id ORDER BY day), 0) AS g, (day - fs) // 7 AS week FROM fx_series s JOIN f ON f.id = s.id), a AS (SELECT id, week, sum(g) AS g FROM s WHERE week < 26 GROUP BY ALL), b AS (SELECT *, sum(g) OVER (PARTITION BY id) AS t FROM a) SELECT CAST(week AS BIGINT) AS week, round(avg(g / t), 6) AS share, count(*) AS n FROM b WHERE t >= 100 GROUP BY week")
+def _(v):
+    return report.launch_curve(v.series, series.first_seen(v.series), 100)
+
+
+@entry("rp11_spearman", f"WITH {_NOW}, a AS (SELECT rank() OVER (ORDER BY dl30 DESC) + (count(*) OVER (PARTITION BY dl30) - 1) / 2 AS ra, rank() OVER (ORDER BY likes DESC) + (count(*) OVER (PARTITION BY likes) - 1) / 2 AS rb FROM n) SELECT round(corr(ra, rb), 6) AS rho FROM a")
+def _(v):
+    return report.spearman(v.series.filter(F.col("day") == v.last()), "dl30", "likes")
+
+
+@entry("rp12_rank_by_month", "WITH m AS (SELECT CAST(date_trunc('month', day) AS DATE) AS month, pipeline_tag, CAST(sum(dl) AS BIGINT) AS v FROM fx_hub GROUP BY 1, 2) SELECT *, CAST(rank() OVER (PARTITION BY month ORDER BY v DESC) AS INTEGER) AS rank FROM m")
+def _(v):
+    return report.rank_by_month(v.hub, "pipeline_tag", "dl")
+
+
+@entry("rp13_creators", "SELECT CAST(date_trunc('quarter', created) AS DATE) AS quarter, src_kind, count(DISTINCT src) AS creators FROM fx_uses GROUP BY 1, 2")
+def _(v):
+    return v.uses.groupBy(F.date_trunc("quarter", "created").cast("date").alias("quarter"), "src_kind").agg(F.countDistinct("src").alias("creators"))
+
+
+@entry("rp14_share_of_authors", "WITH u AS (SELECT CAST(year(created) AS INTEGER) AS year, src, dst FROM fx_uses) SELECT u.year, p.tag, count(DISTINCT src) AS n, round(count(DISTINCT src) / max(t.c), 6) AS share FROM u JOIN fx_parts p ON p.id = dst JOIN (SELECT year, count(DISTINCT src) AS c FROM u GROUP BY year) t ON t.year = u.year GROUP BY 1, 2")
+def _(v):
+    u = v.uses.select(F.year("created").alias("year"), "src", F.col("dst").alias("id"))
+    total = u.groupBy("year").agg(F.countDistinct("src").alias("c"))
+    n = u.join(v.parts, "id").groupBy("year", "tag").agg(F.countDistinct("src").alias("n"))
+    return n.join(total, "year").select("year", "tag", "n", r6(F.col("n") / F.col("c")).alias("share"))
+
+
+@entry("rp16_volume_bands", f"SELECT count(*) FILTER (dl30 < 10) AS under_10, count(*) FILTER (dl30 < 100) AS under_100, count(*) FILTER (dl30 > 1000000) AS over_1m FROM fx_series WHERE day = {LAST}")
+def _(v):
+    d = F.col("dl30")
+    return v.series.filter(F.col("day") == v.last()).agg(F.count_if(d < 10).alias("under_10"), F.count_if(d < 100).alias("under_100"), F.count_if(d > 1000000).alias("over_1m"))
+
+
+@entry("rp17_outliers", f"WITH {_NOW} SELECT id, likes, dl30, round(likes / dl30, 6) AS ratio FROM n WHERE dl30 > 0 ORDER BY likes / dl30 DESC, id LIMIT 20")
+def _(v):
+    n = v.series.filter((F.col("day") == v.last()) & (F.col("dl30") > 0)).withColumn("x", F.col("likes") / F.col("dl30"))
+    return ranks.top(n, "x", 20).select("id", "likes", "dl30", r6("x").alias("ratio"))
+
 
 def queries() -> dict:
-    return {}
+    return {k: (lambda spark, sf_dir, f=f: f(Views(spark, sf_dir))) for k, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for k, (_, sql) in _ALL.items() if sql}
