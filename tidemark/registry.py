@@ -219,7 +219,7 @@ def _(v):
 @entry("dq20_stitched", f"WITH {_REN}, s AS (SELECT id, day, dl30, dl_all FROM fx_series UNION ALL SELECT new, day, NULL, dl_all + 1 FROM fx_series JOIN rn ON old = id WHERE day >= came), k AS (SELECT coalesce(new, id) AS cid, CASE WHEN new IS NULL THEN 0 ELSE 1 END AS p, s.* FROM s LEFT JOIN rn ON old = id) SELECT cid AS id, day, arg_min(dl30, p) AS dl30, arg_min(dl_all, p) AS dl_all FROM k GROUP BY cid, day")
 def _(v):
     rn = _renames(v)
-    new = v.series.join(rn, v.series.id == rn.old).filter("day >= came").select(F.col("new").alias("id"), "day", F.lit(None).cast("long").alias("dl30"), (F.col("dl_all") + 1).alias("dl_all"))
+    new = v.series.join(rn.withColumnRenamed("old", "id"), "id").filter("day >= came").select(F.col("new").alias("id"), "day", F.lit(None).cast("long").alias("dl30"), (F.col("dl_all") + 1).alias("dl_all"))
     return identity.stitched(v.series.select("id", "day", "dl30", "dl_all").unionByName(new), rn, ["dl30", "dl_all"])
 
 
