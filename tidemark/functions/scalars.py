@@ -77,4 +77,4 @@ def card_items(card: Column, field: str) -> Column:
     one = F.when(typed == "STRING", F.array(found))
     items = F.from_json(F.when(F.startswith(typed, F.lit("ARRAY")), found), "array<variant>")
     strings = F.transform(F.filter(items, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.try_variant_get(v, "$", "string"))
-    return F.array_distinct(F.filter(F.transform(F.coalesce(one, strings, F.array().cast("array<string>")), F.trim), lambda s: s != ""))
+    return F.array_distinct(F.filter(F.transform(F.coalesce(one, strings, F.array().cast("array<string>")), lambda s: F.trim(s)), lambda s: s != ""))

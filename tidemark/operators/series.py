@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import clip, owner, ratio
 
-BY_ID = W.partitionBy("id").orderBy("day")
+
+def by_id():
+    """Rows of one id by day."""
+    return W.partitionBy("id").orderBy("day")
+
+
 #: Fixed values of the activity rule.
 ACTIVE_DL30, ACTIVE_LIKES, ACTIVE_ALL = 10, 1, 50
 EVERY, LOOKBACK, WINDOW_DAYS = 7, 10, 40
@@ -63,7 +68,7 @@ def per_week(a: Column, b: Column, span: Column) -> Column:
 
 def steps(series: DataFrame) -> DataFrame:
     """Step of the all-time counter from an id's own previous row: negative to 0, null stays."""
-    return series.withColumn("step", clip(F.col("dl_all") - F.lag("dl_all").over(BY_ID)))
+    return series.withColumn("step", clip(F.col("dl_all") - F.lag("dl_all").over(by_id())))
 
 
 def peak_share(series: DataFrame, since: Column) -> DataFrame:
@@ -114,8 +119,8 @@ def space_metrics(series: DataFrame) -> DataFrame:
 def spark_points(series: DataFrame, last: Column, value: str, days: int = 29, by_gap: bool = True) -> DataFrame:
     """(id, day, d): what an id gained since its previous row, a day of the gap each if by_gap."""
     s = series.filter(F.col("day") >= F.date_sub(last, days))
-    gain = clip(F.col(value) - F.lag(value).over(BY_ID))
-    gap = F.greatest(F.datediff("day", F.lag("day").over(BY_ID)), F.lit(1))
+    gain = clip(F.col(value) - F.lag(value).over(by_id()))
+    gap = F.greatest(F.datediff("day", F.lag("day").over(by_id())), F.lit(1))
     return s.withColumn("d", (gain / gap if by_gap else gain).cast("double")).filter("d IS NOT NULL").select("id", "day", "d")
 
 
@@ -129,8 +134,8 @@ def daily_points(series: DataFrame, value: str, n: int = 62) -> DataFrame:
     """Last n steps of non-null values and their 7-point mean, without the first six."""
     w = W.partitionBy("id").orderBy(F.col("day").desc())
     s = series.filter(F.col(value).isNotNull()).withColumn("k", F.row_number().over(w)).filter(F.col("k") <= n + 1)
-    s = s.withColumn("step", clip(F.col(value) - F.lag(value).over(BY_ID))).filter("step IS NOT NULL")
-    s = s.withColumn("mean7", F.avg("step").over(BY_ID.rowsBetween(-6, 0))).withColumn("p", F.row_number().over(BY_ID))
+    s = s.withColumn("step", clip(F.col(value) - F.lag(value).over(by_id()))).filter("step IS NOT NULL")
+    s = s.withColumn("mean7", F.avg("step").over(by_id().rowsBetween(-6, 0))).withColumn("p", F.row_number().over(by_id()))
     return s.filter("p > 6").select("id", "day", "step", "mean7")
 
 
@@ -138,18 +143,18 @@ def card_points(series: DataFrame, value: str, points: int = 26, every: int = 7)
     """Every 7th value from the end, and what was gained since the one before."""
     w = W.partitionBy("id").orderBy(F.col("day").desc())
     s = series.filter(F.col(value).isNotNull()).withColumn("k", F.row_number().over(w) - 1).filter(f"k % {every} = 0 AND k < {points * every}")
-    return s.withColumn("gained", clip(F.col(value) - F.lag(value).over(BY_ID))).select("id", "day", F.col(value).alias("v"), "gained")
+    return s.withColumn("gained", clip(F.col(value) - F.lag(value).over(by_id()))).select("id", "day", F.col(value).alias("v"), "gained")
 
 
 def by_day(series: DataFrame, value: str) -> DataFrame:
     """Daily values from totals; a gap's gain is spread evenly over its days."""
-    s = series.filter(F.col(value).isNotNull()).withColumn("prev", F.lag("day").over(BY_ID)).withColumn("gain", clip(F.col(value) - F.lag(value).over(BY_ID)))
+    s = series.filter(F.col(value).isNotNull()).withColumn("prev", F.lag("day").over(by_id())).withColumn("gain", clip(F.col(value) - F.lag(value).over(by_id())))
     s = s.filter("prev IS NOT NULL").withColumn("each", F.col("gain") / F.datediff("day", "prev"))
     return s.select("id", F.explode(F.sequence(F.date_add("prev", 1), F.col("day"))).alias("day"), F.col("each").alias("v"))
 
 
 def smooth(df: DataFrame, value: str, width: int = 7) -> DataFrame:
-    return df.withColumn("smooth", F.avg(value).over(BY_ID.rowsBetween(-(width - 1), 0)))
+    return df.withColumn("smooth", F.avg(value).over(by_id().rowsBetween(-(width - 1), 0)))
 
 
 def weekly(daily: DataFrame, value: str) -> DataFrame:
@@ -206,7 +211,7 @@ def hub_increment(series: DataFrame, tags: DataFrame) -> DataFrame:
     """(day, tag, dl): positive gains between neighbouring snapshots, spread over the days between, per tag."""
     days = series.select("day").distinct()
     n = F.broadcast(days.withColumn("n", F.row_number().over(W.orderBy("day"))).withColumn("prev_day", F.lag("day").over(W.orderBy("day"))))
-    s = series.join(n, "day").withColumn("p", F.lag("dl_all").over(BY_ID)).withColumn("pn", F.lag("n").over(BY_ID))
+    s = series.join(n, "day").withColumn("p", F.lag("dl_all").over(by_id())).withColumn("pn", F.lag("n").over(by_id()))
     s = s.filter((F.col("pn") == F.col("n") - 1) & (F.col("dl_all") > F.col("p")))
     s = s.join(tags, "id").groupBy("day", "prev_day", "tag").agg(F.sum(F.col("dl_all") - F.col("p")).alias("gain"))
     each = F.col("gain") / F.datediff("day", "prev_day")
