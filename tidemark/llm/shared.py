@@ -75,27 +75,54 @@ def positions(df: DataFrame, key: str, size: str = None) -> DataFrame:
     return ranged.join(F.broadcast(offsets), "_range").withColumn("before", F.col("_offset") + inside).drop("_range", "_offset")
 
 
+EDGES_A_TASK = 1_000_000
+
+
+def _forest(batches):
+    """Edges (u, v) of one bounded part, as stars: each id with the smallest one that the part's edges reach from it."""
+    import numpy as np
+    import pandas as pd
+
+    parts = [b for b in batches if len(b)]
+    if not parts:
+        return
+    ids, at = np.unique(np.concatenate([b[["u", "v"]].to_numpy(np.int64) for b in parts]), return_inverse=True)
+    u, v = at.reshape(-1, 2).T
+    root = np.arange(len(ids))
+    while True:
+        last, low = root.copy(), np.minimum(root[u], root[v])
+        for side in (u, v):
+            np.minimum.at(root, root[side], low)
+            np.minimum.at(root, side, low)
+        root = root[root]
+        if (root == last).all():
+            break
+    moved = root != np.arange(len(ids))
+    yield pd.DataFrame({"u": ids[moved], "v": ids[root[moved]]})
+
+
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(id, component_id) for every id that occurs in edges (a, b); component_id is the smallest id reachable.
 
-    Large-star and small-star rounds: each replaces the edges by as many or fewer, so stars form in a logarithmic number of
-    rounds. Minima are aggregated before they are shuffled; the join that hands them back may be split where an id has very
-    many edges. Nothing is collected but one flag a round.
+    Parts of a bounded number of edges become stars first. Then large-star and small-star rounds join the parts' stars: each
+    replaces the edges by as many or fewer, and the number of rounds is logarithmic. Minima are aggregated before they are
+    shuffled; the join that hands them back may be split where an id has very many edges. Nothing is collected but one flag
+    a round.
     """
-    e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = edges.filter("a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v"))
+    e = cut(edges.distinct())
+    parts = -(-e.count() // EDGES_A_TASK) or 1
+    e = cut(e.coalesce(parts).mapInPandas(_forest, "u long, v long"))
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.join(low, both.u == low.k).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = cut(large)
+        large = cut(large.coalesce(parts))
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         joined = large.join(least, large.u == least.k)
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
-        small = cut(small)
+        e = cut(small.coalesce(parts))
         # Stars: every id has one edge, and no centre has an edge of its own.
-        centres = small.select(F.col("v").alias("u")).distinct()
-        moving = small.join(centres, "u", "left_semi").limit(1).count()
-        e = small
-        if not moving:
+        if e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
             break
     return e.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())
