@@ -8,10 +8,13 @@ Texts are sets of 5-word shingles. Two sets link when their Jaccard similarity r
    only orders, so it cannot lose a pair.
 3. Seed links: neighbours by size under one shingle, tested by bitmap bound, then exactly. They form first components.
 4. Under each shingle that still holds more than one component a signature tree is built over each block of classes: a node
-   holds the OR of its bitmaps, its range of sizes, its smallest collision excess and its component if it has only one. Two
+   holds the OR of its bitmaps, its range of sizes, its largest collision excess and its component if it has only one. Two
    trees are walked together from their roots; a pair of nodes is dropped when the largest possible overlap is below what
    the smallest sizes require, when the sizes are out of proportion, or when both lie in one component. Pairs of leaves that
    remain are tested exactly, and join components. Large groups are cut into blocks, and pairs of blocks are separate tasks.
+   Of shingles that the same classes share, one is walked.
+5. Step 4 runs twice. The first walk passes on only each leaf's best partner by bound, which joins the copies of one text to
+   it; the second passes on every pair that is left between different components, so nothing is lost.
 
 Defined results: a null or empty text, or one without words, has no shingles and no links. A text with fewer than five words
 has one shingle, the whole sequence. Repeated rows with one id count once. Extra columns are ignored.
@@ -81,8 +84,8 @@ def frequent_buckets(passed: DataFrame) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Bits of a set, at about two bits a shingle; the width is a power of two, so a wide bitmap folds onto a narrower one."""
-    width = min(_LONGEST, max(64, 1 << int(np.ceil(np.log2(2 * max(1, len(s)))))))
+    """Bits of a set, at four to eight bits a shingle; the width is a power of two, so a wide bitmap folds onto a narrower one."""
+    width = min(_LONGEST, max(64, 1 << int(np.ceil(np.log2(4 * max(1, len(s)))))))
     bits = np.zeros(width, bool)
     bits[((s >> np.uint64(20)) % np.uint64(width)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -237,7 +240,24 @@ def _matrix(raw: list[bytes], words: int) -> np.ndarray:
     return m
 
 
-def _tree_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+def _best(a: dict, b: dict, i: np.ndarray, j: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which pairs of leaves are the best by bound for one of the two; names: the ids of both."""
+    most = np.zeros(len(i))
+    for lo in range(0, len(i), 1 << 14):
+        x, y = i[lo : lo + (1 << 14)], j[lo : lo + (1 << 14)]
+        most[lo : lo + (1 << 14)] = (np.bitwise_count(a["bits"][x] & b["bits"][y]).sum(1) + np.minimum(a["excess"][x], b["excess"][y])) / (a["low"][x] + b["low"][y])
+    leaf, other, score = names.T.ravel(), names[:, ::-1].T.ravel(), np.tile(most, 2)
+    order = np.lexsort((other, -score, leaf))
+    keep = np.zeros(len(i), bool)
+    keep[order[np.concatenate([[True], np.diff(leaf[order]) > 0])] % len(i)] = True
+    return keep
+
+
+def _tree_pairs(best: bool):
+    return lambda pdf: _candidates(pdf, best)
+
+
+def _candidates(pdf: pd.DataFrame, best: bool) -> pd.DataFrame:
     """Candidates of the groups that share a task. Sets that may link have bitmaps of one width, or of one and twice that."""
     pdf = pdf.assign(width=pdf["bits"].str.len() // 8).sort_values(["token", "left", "right", "block", "n", "id"], kind="stable")
     group = pdf.groupby(["token", "left", "right"], sort=False).ngroup().to_numpy(np.int64)
@@ -256,7 +276,8 @@ def _tree_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
             while len(b.levels) < len(a.levels):
                 b.raise_level()
             for i, j in walk(a, b, a.roots(left[ok]), b.roots(right[ok])):
-                found.append(np.stack([ids[rows_a[i]], ids[rows_b[j]]], 1))
+                names = np.stack([ids[rows_a[i]], ids[rows_b[j]]], 1)
+                found.append(names[_best(a.levels[0], b.levels[0], i, j, names)] if best and len(i) else names)
 
     every = np.unique(group)
     others = every[~np.isin(every, selfs)]
@@ -309,6 +330,20 @@ def _exact(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return with_a.join(sets.select(F.col("id").alias("b"), F.col("items").alias("items_b")), "b").select("a", "b", "items_a", "items_b").mapInArrow(_verify, "a long, b long")
 
 
+def _open_groups(posts: DataFrame, comps: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """Posts under shingles that more than one component has, with bitmaps, dealt over pairs of blocks.
+
+    Shingles that exactly the same classes have would give the same pairs; the smallest of them stands for all.
+    """
+    named = posts.join(comps, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    marks = (F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    spread = named.groupBy("token").agg(F.min("component_id").alias("c"), F.max("component_id").alias("d"), F.count("*").alias("members"), *marks).filter("c <> d")
+    spread = spread.groupBy("members", "x", "y").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    rows = named.join(spread, "token").withColumn("block", F.when(F.col("blocks") > 1, bucket_of("id", n=1 << 30) % F.col("blocks")).otherwise(0))
+    paired = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other"))
+    return paired.join(bitmaps.select("id", "bits"), "id").select("token", "left", "right", "block", "id", "n", "component_id", "bits")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) for each distinct doc_id of docs(doc_id, text).
 
@@ -334,16 +369,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = cut(_exact(docs, seeds))
     first = components(links)
 
-    named = groups.select("token", "id", "n").join(first, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    spread = named.groupBy("token").agg(F.min("component_id").alias("c"), F.max("component_id").alias("d"), F.count("*").alias("members")).filter("c <> d").select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    # Rows of a large group are dealt over blocks; each pair of blocks is a task's work of bounded size.
-    open_posts = cut(named.join(spread, "token").withColumn("block", F.when(F.col("blocks") > 1, bucket_of("id", n=1 << 30) % F.col("blocks")).otherwise(0)))
-    paired = open_posts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other"))
-    ready = paired.join(bitmaps.select("id", "bits"), "id").select("token", "left", "right", "block", "id", "n", "component_id", "bits")
-    lanes = ready.withColumn("lane", bucket_of("token", "left", "right", n=parts * 8))
-    candidates = cut(lanes.groupBy("lane").applyInPandas(_tree_pairs, "a long, b long").distinct())
-    found = _exact(docs, candidates)
-    whole = components(cut(links.unionByName(found)))
+    for best in (True, False):
+        ready = _open_groups(groups.select("token", "id", "n"), first, bitmaps)
+        lanes = ready.withColumn("lane", bucket_of("token", "left", "right", n=parts * 4))
+        candidates = cut(lanes.groupBy("lane").applyInPandas(_tree_pairs(best), "a long, b long").distinct())
+        links = cut(links.unionByName(_exact(docs, candidates)))
+        first = components(links)
+    whole = first
 
     names = classes.select("sig_a", "sig_b", F.col("n").alias("n_shingles"), F.col("id").alias("class_id")).join(whole.withColumnRenamed("id", "class_id"), "class_id", "left")
     rows = passed.filter("part IS NULL").select("doc_id", "n_shingles", "sig_a", "sig_b").dropDuplicates(["doc_id"])
