@@ -28,3 +28,12 @@ def authors(queries: DataFrame, index: DataFrame, limit: int) -> DataFrame:
     j = index.withColumn("la", F.lower("author")).join(F.broadcast(q), F.forall("words", lambda w: F.contains(F.col("la"), w)))
     w = W.partitionBy("qid").orderBy((F.col("la") == F.col("q")).cast("int").desc(), F.startswith(F.col("la"), F.col("q")).cast("int").desc(), F.col("pop").desc(), "author")
     return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("qid", "rank", "author")
+
+
+def by_kind(queries: DataFrame, indexes: dict[str, DataFrame], limit: int = 5) -> DataFrame:
+    """(kind, qid, rank, id): the best of each kind."""
+    out = None
+    for kind, index in indexes.items():
+        rows = ranked(queries, index, limit).select(F.lit(kind).alias("kind"), "qid", "rank", "id")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -722,3 +722,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {k: sql for k, (_, sql) in _ALL.items() if sql}
+
+
+from tidemark import registry_boards  # noqa: E402, F401  (adds its entries)
