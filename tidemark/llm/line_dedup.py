@@ -95,7 +95,7 @@ def _words_of(wanted):
 def _variants(batches):
     """Keys of each line: `role` 0 its own words (met by variants), 1 a variant (meets own words), 2 a variant with its place."""
     for batch in batches:
-        h, raw = batch.column("h").to_numpy(), batch.column("words").to_pylist()
+        raw = batch.column("words").to_pylist()
         keys, roles, owner = [], [], []
         for k, w in enumerate(raw):
             w = np.frombuffer(w, np.uint64)
@@ -112,7 +112,7 @@ def _variants(batches):
             owner.append(np.full(2 * n + 1, k))
         if keys:
             o = np.concatenate(owner)
-            yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(roles)), pa.array(h[o]), batch.column("doc_id").take(pa.array(o)), batch.column("line").take(pa.array(o))], ["key", "role", "h", "doc_id", "line"])
+            yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(roles)), batch.column("rank").take(pa.array(o))], ["key", "role", "rank"])
 
 
 def within_one(a: np.ndarray, b: np.ndarray) -> bool:
@@ -138,17 +138,18 @@ def near_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(h) of the distinct lines that have an earlier line within one edit."""
     keys = classes.filter(F.col("n") >= NEAR_WORDS).select("h", F.explode(F.array_distinct("halves")).alias("half"))
     shared = keys.groupBy("half").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("half")
-    wanted = cut(keys.join(shared, "half").select("h").distinct())
-    words = docs.select("text").mapInArrow(_words_of(id_filter(wanted)), "h long, words binary").join(wanted, "h", "left_semi")
-    words = cut(words.groupBy("h").agg(F.first("words").alias("words")).join(classes.select("h", "doc_id", "line"), "h"))
-    variants = words.mapInArrow(_variants, "key long, role byte, h long, doc_id long, line long")
-    at = F.struct("doc_id", "line", "h")
-    # A key is met by few lines or by many; either way one row a key and role is left after partial aggregation.
-    earliest = variants.groupBy("key").agg(*(F.min(F.when(F.col("role") == r, at)).alias(f"e{r}") for r in (0, 1, 2)), F.count("*").alias("c")).filter("c > 1").drop("c")
+    wanted = keys.join(shared, "half").select("h").distinct()
+    # `rank` follows (doc_id, line): one number stands for the place of a line in all that is shuffled by key.
+    wanted = classes.select("h", "doc_id", "line").join(wanted, "h", "left_semi").repartitionByRange("doc_id", "line", "h").sortWithinPartitions("doc_id", "line", "h")
+    wanted = cut(wanted.select("h", F.monotonically_increasing_id().alias("rank")))
+    words = docs.select("text").mapInArrow(_words_of(id_filter(wanted.select("h"))), "h long, words binary").join(wanted, "h")
+    words = cut(words.groupBy("h").agg(F.first("words").alias("words"), F.first("rank").alias("rank")))
+    variants = words.select("words", "rank").mapInArrow(_variants, "key long, role byte, rank long")
+    # A key is met by few lines or by many; either way one row a key is left after partial aggregation.
+    earliest = variants.groupBy("key").agg(*(F.min(F.when(F.col("role") == r, F.col("rank"))).alias(f"e{r}") for r in (0, 1, 2)), F.count("*").alias("c")).filter("c > 1").drop("c")
     met = variants.join(earliest, "key").withColumn("e", F.when(F.col("role") == 0, F.col("e1")).when(F.col("role") == 1, F.col("e0")).otherwise(F.col("e2")))
-    met = met.filter(F.col("e").isNotNull() & (F.struct("doc_id", "line") < F.struct(F.col("e.doc_id").alias("doc_id"), F.col("e.line").alias("line"))).eqNullSafe(False) & (F.col("e.h") != F.col("h")))
-    witness = met.groupBy("h").agg(F.min("e").alias("e")).select("h", F.col("e.h").alias("other"))
-    pairs = witness.join(words.select("h", "words"), "h").join(words.select(F.col("h").alias("other"), F.col("words").alias("other_words")), "other")
+    witness = met.filter("e < rank").groupBy("rank").agg(F.min("e").alias("e"))
+    pairs = witness.join(words, "rank").join(words.select(F.col("rank").alias("e"), F.col("words").alias("other_words")), "e")
     return pairs.select("h", "words", "other_words").mapInArrow(_verify, "h long")
 
 
