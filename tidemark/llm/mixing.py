@@ -25,6 +25,8 @@ from tidemark.llm.shared import cut, positions, table
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 GROUP, FANIN = 1024, 64
 _WHOLE = 1e-9
+#: A plan of at most so many sources, and bytes of their names, is broadcast; a larger one is joined by shuffle.
+PLAN_ROWS, PLAN_BYTES = 10_000, 1 << 20
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -77,7 +79,9 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     """(doc_id, key, size, source_size, target, copies) of docs(doc_id, text, source)."""
     rows = cut(sized(docs))
     plan = cut(targets(rows.groupBy("key").agg(F.sum("size").alias("source_size"), F.count("*").alias("members")), weights, share, most))
-    wanted = rows.join(plan, "key").withColumn("want", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+    extent = plan.agg(F.max("members").alias("members"), F.count("*").alias("n"), F.sum(F.octet_length("key")).alias("bytes")).first()
+    small = extent.n <= PLAN_ROWS and (extent.bytes or 0) <= PLAN_BYTES
+    wanted = rows.join(F.broadcast(plan) if small else plan, "key").withColumn("want", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     wanted = wanted.withColumn("base", F.floor(F.col("want") + _WHOLE)).withColumn("fraction", F.greatest(F.col("want") - F.col("base"), F.lit(0.0)))
     order = F.xxhash64("doc_id", "size")
     groups = F.ceil(F.col("members") / GROUP)
@@ -88,11 +92,12 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     settled = (F.col("size") == 0) | (F.col("fraction") <= _WHOLE) | (F.col("fraction") >= 1 - _WHOLE)
     done = [wanted.filter(settled).select(*names).withColumn("open", F.lit(False)).withColumn("fraction", F.round("fraction"))]
     todo = wanted.filter(~settled).select(*names)
-    levels, widest = 1, -(-(plan.agg(F.max("members")).first()[0] or 1) // GROUP)
+    levels, widest = 1, -(-(extent.members or 1) // GROUP)
     while widest > 1:
         levels, widest = levels + 1, -(-widest // FANIN)
     for level in range(levels):
-        after = cut(todo.groupBy("key", "salt").applyInPandas(_pivot, schema))
+        # Dealt by both columns, as a join by shuffle leaves all groups of a source in one task.
+        after = cut(todo.repartition("key", "salt").groupBy("key", "salt").applyInPandas(_pivot, schema))
         done.append(after.filter("NOT open"))
         todo = after.filter("open").withColumn("salt", F.floor(F.col("salt") / FANIN)).select(*names)
     chance = (F.pmod(F.xxhash64(F.col("order"), F.lit(1)), F.lit(1 << 40)) / float(1 << 40)) < F.col("fraction")
