@@ -1,7 +1,7 @@
 """Toxicity classifier: subword-bag embeddings, averaged, under a linear softmax; both are trained together in numpy.
 
-A word is the bag of its character n-grams (with word edges) and itself, hashed to a fixed number of embeddings; a text is the
-mean of its words. A misspelt word shares most n-grams with the word it stands for, seen or not. Training reads a sample of at
+A word is the bag of all its byte n-grams (with word edges) and itself, hashed to a fixed number of embeddings; a text is the
+mean of its words. Words end at white space and ASCII signs, so a text without them is one word, of which every byte counts. A misspelt word shares most n-grams with the word it stands for, seen or not. Training reads a sample of at
 most TRAIN_ROWS labelled documents that are not held out.
 
 Because the softmax is linear, a word's part of the score is one number; tasks keep it for the words they have met.
@@ -26,10 +26,8 @@ BUCKETS, DIMS = 1 << 18, 4
 TRAIN_ROWS, TRAIN_BYTES = 8000, 1 << 15
 EPOCHS, BATCH, RATE = 8, 128, 0.1
 THRESHOLD = 0.5
-#: Text of one part while the training words are cut.
+#: Bytes of text whose n-grams are held at once. A longer word is read piece by piece.
 PART_BYTES = 1 << 19
-#: Letters at the longest that lend their n-grams; what follows only counts through the word's own hash.
-_WORD_BYTES = 64
 
 
 _SIGNS = np.zeros(256, bool)
@@ -45,7 +43,7 @@ def words(data: np.ndarray, off: np.ndarray):
 
 def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(embedding numbers, word index) of the n-grams of each word, ascending by word."""
-    size = np.minimum(ends - starts, _WORD_BYTES) + 2
+    size = ends - starts + 2
     base = np.cumsum(size) - size
     buf = np.full(int(size.sum()), ord("<"), np.uint8)
     owner = np.repeat(np.arange(len(size)), size)
@@ -63,6 +61,27 @@ def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return ids[order], who[order]
 
 
+def word_means(parts: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Mean of `parts` over the n-grams of each word; the n-grams of about PART_BYTES are held at once."""
+    out, size = np.zeros(len(starts)), ends - starts
+    long = size > PART_BYTES
+    for k in np.flatnonzero(long):
+        word = np.concatenate([np.frombuffer(b"<", np.uint8), data[starts[k] : ends[k]], np.frombuffer(b">", np.uint8)])
+        total, count = float(parts[int(scan.span_hashes(word, np.array([0]), np.array([len(word)]))[0] % np.uint64(BUCKETS))]), 1
+        for lo in range(0, len(word), PART_BYTES):
+            piece = word[lo : lo + PART_BYTES + max(GRAMS) - 1]
+            for g in GRAMS:
+                at = np.arange(min(PART_BYTES, len(piece) - g + 1))
+                total += parts[(scan.span_hashes(piece, at, at + g) % np.uint64(BUCKETS)).astype(np.int32)].sum(dtype=np.float64)
+                count += len(at)
+        out[k] = total / count
+    rest = np.flatnonzero(~long)
+    for which in np.split(rest, np.flatnonzero(np.diff(np.cumsum(size[rest]) // PART_BYTES)) + 1):
+        ids, who = subwords(data, starts[which], ends[which])
+        out[which] = np.bincount(who, parts[ids], len(which)) / np.bincount(who, minlength=len(which))
+    return out
+
+
 class Model:
     def __init__(self, seed: int = 5):
         r = np.random.default_rng(seed)
@@ -79,7 +98,10 @@ class Model:
         p, n_words = self.p, int(who[-1]) + 1 if len(who) else 0
         per_word = np.bincount(who, minlength=n_words).astype(float)
         opens = np.searchsorted(who, np.arange(n_words))
-        vec = np.add.reduceat(p["grams"][ids], opens, axis=0) / per_word[:, None] if n_words else np.zeros((0, DIMS))
+        vec = np.zeros((n_words, DIMS))
+        for w in np.split(np.arange(n_words), np.flatnonzero(np.diff(opens // PART_BYTES)) + 1) if n_words else ():
+            a, b = opens[w[0]], opens[w[-1] + 1] if w[-1] + 1 < n_words else len(ids)
+            vec[w] = np.add.reduceat(p["grams"][ids[a:b]], opens[w] - a, axis=0) / per_word[w, None]
         size = np.maximum(np.bincount(doc, minlength=len(y)), 1)
         mean = np.stack([np.bincount(doc, vec[word, d], len(y)) for d in range(DIMS)], 1) / size[:, None]
         z = mean @ p["classes"] + p["bias"]
@@ -161,11 +183,7 @@ class _Words(scan.Memo):
         if not len(starts):
             return np.zeros(n)
 
-        def make(which):
-            ids, who = subwords(data, starts[which], ends[which])
-            return (np.bincount(who, self.parts[ids], len(which)) / np.bincount(who, minlength=len(which)))[:, None]
-
-        values, inverse = self.look(scan.span_hashes(data, starts, ends), make)
+        values, inverse = self.look(scan.span_hashes(data, starts, ends), lambda which: word_means(self.parts, data, starts[which], ends[which])[:, None])
         return np.bincount(doc, values[inverse, 0], n) / np.maximum(np.bincount(doc, minlength=n), 1)
 
 
