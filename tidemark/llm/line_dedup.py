@@ -10,7 +10,8 @@ by an added word). Under each key the earliest line of each kind is aggregated;
 and the edit distance to it is verified on the words. Only lines that share the first or the second half of their words with
 another line emit variants: a single edit leaves one of the halves whole, so none is lost.
 
-Defined results: a null or empty text has one empty line and stays as it is. Rows with one doc_id: line numbers count in each
+Defined results: a null or empty text has one empty line and stays as it is. A row without doc_id has no place in the order:
+its text stays as it is, with no line removed, and its lines take none from other documents. Rows with one doc_id: line numbers count in each
 row, and what is kept is decided once for the id and line number. Extra columns are kept. Documents in which nothing but white
 space is left after lines went are marked `emptied`.
 """
@@ -157,12 +158,13 @@ def _rewrite(fields: list[str]):
     def run(batches):
         for batch in batches:
             kept, texts, n_lines, n_gone = batch.column("kept").to_pylist(), [], [], []
+            no_id = batch.column("doc_id").is_null().to_pylist()
             for lo, data, off in scan.texts(batch.column("text")):
                 starts, ends, doc, number, begin, end, _ = lines_of(data, off)
                 raw, bounds = data.tobytes(), np.searchsorted(doc, np.arange(len(off)))
                 for k in range(len(off) - 1):
                     a, b = bounds[k], bounds[k + 1]
-                    stays = (end[a:b] - begin[a:b] < MIN_WORDS) | np.isin(number[a:b], kept[lo + k] or [])
+                    stays = no_id[lo + k] | (end[a:b] - begin[a:b] < MIN_WORDS) | np.isin(number[a:b], kept[lo + k] or [])
                     texts.append(raw[off[k] : off[k + 1]] if stays.all() else b"\n".join(raw[s:e] for s, e in zip(starts[a:b][stays].tolist(), ends[a:b][stays].tolist())))
                     n_lines.append(int(b - a))
                     n_gone.append(int((~stays).sum()))
