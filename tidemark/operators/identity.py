@@ -10,28 +10,46 @@ from tidemark.functions.scalars import name, owner
 from tidemark.plans.staging import cut
 
 
-def rename_candidates(prev: DataFrame, cur: DataFrame, least: int = 1000, within: float = 0.01) -> DataFrame:
-    """(old, new): an id gone and one come, of one name or one owner, with all-time counts within 1 %. Two equi joins, not an OR."""
-    cols = lambda d: d.filter(F.col("dl_all") >= least).select("id", F.lower(owner(F.col("id"))).alias("o"), F.lower(name(F.col("id"))).alias("n"), F.col("dl_all").cast("double").alias("c"))
-    gone, came = cols(prev.join(cur, "id", "left_anti")), cols(cur.join(prev, "id", "left_anti"))
+def _alike(gone: DataFrame, came: DataFrame, least: int, within: float, by: list[str]) -> DataFrame:
+    """(by, old, new): gone and come ids of one name or one owner. Two equi joins, not an OR. A new count may lie under `least` as far as it may lie under the old one."""
+    cols = lambda d, low: d.filter(F.col("dl_all") >= low).select(*by, "id", F.lower(owner(F.col("id"))).alias("o"), F.lower(name(F.col("id"))).alias("n"), F.col("dl_all").cast("double").alias("c"))
+    gone, came = cols(gone, least), cols(came, least * (1 - within))
     out = None
     for key in ("n", "o"):
-        j = gone.select(F.col("id").alias("old"), key, F.col("c").alias("c0")).join(came.select(F.col("id").alias("new"), key, F.col("c").alias("c1")), key)
-        j = j.filter(F.abs(F.col("c1") - F.col("c0")) <= within * F.col("c0")).select("old", "new")
+        j = gone.select(*by, F.col("id").alias("old"), key, F.col("c").alias("c0")).join(came.select(*by, F.col("id").alias("new"), key, F.col("c").alias("c1")), [*by, key])
+        j = j.filter(F.abs(F.col("c1") - F.col("c0")) <= within * F.col("c0")).select(*by, "old", "new")
         out = j if out is None else out.unionByName(j)
     return out.distinct()
 
 
-def unambiguous(pairs: DataFrame) -> DataFrame:
-    """Pairs whose old id has one candidate; of these, those whose new id has one."""
-    one = pairs.withColumn("_c", F.count("*").over(W.partitionBy("old"))).filter("_c = 1")
-    return one.withColumn("_c", F.count("*").over(W.partitionBy("new"))).filter("_c = 1").drop("_c")
+def rename_candidates(prev: DataFrame, cur: DataFrame, least: int = 1000, within: float = 0.01) -> DataFrame:
+    """(old, new): an id gone and one come, of one name or one owner, with all-time counts within 1 %."""
+    return _alike(prev.join(cur, "id", "left_anti"), cur.join(prev, "id", "left_anti"), least, within, [])
+
+
+def rename_candidates_by_day(series: DataFrame, least: int = 1000, within: float = 0.01) -> DataFrame:
+    """(day, old, new): the candidates between each snapshot day and the one before it; series(id, day, dl_all)."""
+    days = series.select("day").distinct().withColumn("prev", F.lag("day").over(W.orderBy("day"))).filter("prev IS NOT NULL")
+    cur = series.select("id", "day", "dl_all").join(F.broadcast(days.select("day")), "day")
+    prev = series.select("id", F.col("day").alias("prev"), "dl_all").join(F.broadcast(days), "prev").drop("prev")
+    return _alike(prev.join(cur, ["id", "day"], "left_anti"), cur.join(prev, ["id", "day"], "left_anti"), least, within, ["day"])
+
+
+def unambiguous(pairs: DataFrame, by: tuple = ()) -> DataFrame:
+    """Pairs whose old id has one candidate; of these, those whose new id has one; each within `by`."""
+    one = pairs.withColumn("_c", F.count("*").over(W.partitionBy(*by, "old"))).filter("_c = 1")
+    return one.withColumn("_c", F.count("*").over(W.partitionBy(*by, "new"))).filter("_c = 1").drop("_c")
 
 
 def find_renames(prev: DataFrame, cur: DataFrame, least: int = 1000) -> DataFrame:
     return unambiguous(rename_candidates(prev, cur, least))
 
 
+def find_renames_by_day(series: DataFrame, least: int = 1000) -> DataFrame:
+    """(day, old, new): the renames between each snapshot day and the one before it."""
+    return unambiguous(rename_candidates_by_day(series, least), ("day",))
+
+
 def resolve(renames: DataFrame, rounds: int = 32) -> DataFrame:
     """(old, new) with new at the end of its chain, by pointer jumping; ids on a cycle keep their direct successor."""
     start = cut(renames.select("old", "new").distinct())

@@ -211,6 +211,21 @@ def _(v):
     return identity.find_renames(*_two_days(v))
 
 
+#: Every 13th repo moves on a day of its own, so that each pair of neighbouring days may hold renames.
+_MOVING = "CASE WHEN CAST(split_part(id, 'repo', 2) AS BIGINT) % 13 = 0 AND day >= DATE '1999-01-01' + CAST(CAST(split_part(id, 'repo', 2) AS BIGINT) % 400 AS INTEGER) THEN concat('moved/', split_part(id, '/', 2)) ELSE id END"
+_DAYS_CAND = f"s AS (SELECT {_MOVING} AS id, day, dl_all FROM fx_series), d AS (SELECT day, row_number() OVER (ORDER BY day) AS n FROM (SELECT DISTINCT day FROM s)), t AS (SELECT s.*, n FROM s JOIN d ON s.day = d.day), gone AS (SELECT * FROM t WHERE dl_all >= 1000 AND NOT EXISTS (SELECT 1 FROM t u WHERE u.id = t.id AND u.n = t.n + 1)), came AS (SELECT * FROM t WHERE dl_all >= 990 AND NOT EXISTS (SELECT 1 FROM t u WHERE u.id = t.id AND u.n = t.n - 1)), cand AS (SELECT DISTINCT c.day, g.id AS old, c.id AS new FROM gone g JOIN came c ON c.n = g.n + 1 AND (split_part(g.id, '/', 2) = split_part(c.id, '/', 2) OR split_part(g.id, '/', 1) = split_part(c.id, '/', 1)) AND abs(c.dl_all - g.dl_all) <= 0.01 * g.dl_all)"
+
+
+@entry("jn10_rename_candidates_every_day", f"WITH {_DAYS_CAND} SELECT day, old, new FROM cand")
+def _(v):
+    return identity.rename_candidates_by_day(v.series.withColumn("id", F.expr(_MOVING)))
+
+
+@entry("dq18_find_renames_every_day", f"WITH {_DAYS_CAND}, a AS (SELECT *, count(*) OVER (PARTITION BY day, old) AS c FROM cand), b AS (SELECT day, old, new, count(*) OVER (PARTITION BY day, new) AS c FROM a WHERE c = 1) SELECT day, old, new FROM b WHERE c = 1")
+def _(v):
+    return identity.find_renames_by_day(v.series.withColumn("id", F.expr(_MOVING)))
+
+
 @entry("dq19_resolve_renames", "WITH RECURSIVE e AS (SELECT DISTINCT CAST(user_id AS BIGINT) AS old, CAST(user_id // 2 AS BIGINT) AS new FROM fx_events WHERE user_id > 1), c AS (SELECT old, new FROM e UNION ALL SELECT c.old, e.new FROM c JOIN e ON e.old = c.new) SELECT old, min(new) AS new FROM c GROUP BY old")
 def _(v):
     return identity.resolve(v.events.filter("user_id > 1").select(F.col("user_id").alias("old"), F.expr("user_id div 2").alias("new")))
