@@ -514,17 +514,30 @@ def _(v):
     return quality.repair_calendar(v.hub.filter(F.expr(GAPPY)))
 
 
+def _gappy_hub(v):
+    """(hub with its missing days filled in, days with a snapshot)."""
+    hub = v.hub.filter(F.expr(GAPPY))
+    return quality.repair_calendar(hub), hub.select("day").distinct()
+
+
 @entry("dq5_settled_windows", None)
 def _(v):
-    hub = v.hub.select(F.col("pipeline_tag").alias("series"), "day", F.col("dl").cast("double").alias("dl"))
-    none = hub.select("series", "day", F.lit(0.0).alias("share")).filter("dl < 0")
-    return quality.settle(hub, none, 0.25)
+    hub, snaps = _gappy_hub(v)
+    hub = hub.select(F.col("pipeline_tag").alias("series"), "day", F.col("dl").cast("double").alias("dl"))
+    tags = F.broadcast(hub.select("series").distinct())
+    # Supplier counters rarely move on a day, so the bound is that of data sets. A share counts between neighbouring days only.
+    s = v.gappy
+    near = s.select("day").distinct().withColumn("_p", F.lag("day").over(W.orderBy("day"))).filter(F.datediff("day", "_p") == 1).select("day")
+    frozen = quality.signals(s, 100, 10).join(F.broadcast(near), "day").select("day", F.col("frozen").alias("share"))
+    return quality.settle(hub, frozen.crossJoin(tags), 0.9, snaps.crossJoin(tags))
 
 
 @entry("dq13_low_days", None)
 def _(v):
-    t = quality.totals(v.hub)
-    return quality.low_days(t, quality.weekday_factor(t), v.hub.filter("dl < 0"))
+    hub, snaps = _gappy_hub(v)
+    t = quality.totals(hub)
+    short = quality.short_days(v.events.groupBy("day").agg(F.min(F.col("ts").cast("timestamp")).alias("taken_at")))
+    return quality.low_days(t, quality.weekday_factor(t, snaps), short, snaps)
 
 
 @entry("wn8_trailing_mean", "SELECT id, day, round(avg(dl30) OVER (PARTITION BY id ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS smooth FROM fx_series")
