@@ -39,7 +39,7 @@ def test_units_give_the_ids_of_the_whole_text():
     texts = ["".join(r.choice(bits) for _ in range(r.randrange(0, 40))) for _ in range(4000)] + [LONG]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         whole = tokenizers.Tokenizer.from_file(file(name))
-        own = encoding.Encoder(file(name), most=500)
+        own = encoding.Encoder(file(name), bits=9, store=4000)
         for lo, data, off in scan.texts(pa.array(texts), 5000):
             ids, at = own.encode(data, off)
             for k in range(len(at) - 1):
@@ -75,8 +75,8 @@ def test_tree_walk_finds_what_comparing_all_finds():
     sets = [np.unique(np.concatenate([c[: 80 - k % 14], r.integers(0, 1 << 60, k % 14, dtype=np.uint64)])) for c in centres for k in range(40)]
     import pandas as pd
 
-    rows = pd.DataFrame({"token": 1, "left": 0, "right": 0, "block": 0, "id": range(len(sets)), "n": [len(s) for s in sets], "component_id": range(len(sets)), "bits": [ngram_join.bitmap(s) for s in sets]})
-    got = {tuple(p) for p in ngram_join._candidates(rows, False).to_numpy().tolist()}
+    rows = pd.DataFrame({"gid": 1, "left": 0, "right": 0, "block": 0, "node": range(len(sets)), "first": [int(s[0]) for s in sets], "n": [len(s) for s in sets], "comp": range(len(sets)), "bits": [ngram_join.bitmap(s) for s in sets]})
+    got = {tuple(p) for p in ngram_join._candidates(rows, None)[["a", "b"]].to_numpy().tolist()}
     for a in range(len(sets)):
         for b in range(a):
             both = len(np.intersect1d(sets[a], sets[b]))

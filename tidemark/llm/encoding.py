@@ -1,9 +1,10 @@
 """Exact encoding of many whole texts with the `tokenizers` library.
 
-A text is cut before a space that stands between two characters which cannot be white space, and between a Latin letter and
-an ASCII sign. No pre-token of the two vocabularies used here (runs of letters, digits or signs, with at most one leading
-space or with white space dropped) crosses such a cut, and no special string holds one, so encoding the pieces one by one
-gives the ids of the whole text. Equal pieces are encoded once a task.
+A text is cut before a space or line feed that stands between two characters which cannot be white space, and between a Latin
+letter and an ASCII sign. No pre-token of the two vocabularies used here (runs of letters, digits or signs, with at most one
+leading space or with white space dropped) crosses such a cut, and no special string holds one, so encoding the pieces one by
+one gives the ids of the whole text. A worker process keeps the ids of the pieces it has met. A long text is read in windows
+that end at such cuts.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ def unit_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     n = len(data)
     edge = np.zeros(n + 2, bool)
     edge[off] = True
-    sp = np.flatnonzero(data == 0x20)
+    sp = np.flatnonzero((data == 0x20) | (data == 0x0A))
     sp = sp[(sp > 0) & (sp + 1 < n)]
     sp = sp[~edge[sp] & ~edge[sp + 1]]
     before, after = data[sp - 1], data[sp + 1]
@@ -44,27 +45,42 @@ def unit_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(off, starts, "right") - 1
 
 
-class Encoder(scan.Memo):
-    """One of these lives in each task."""
-
-    def __init__(self, path: str, most: int = 1_500_000):
-        super().__init__(most)
+def windows(data: np.ndarray, off: np.ndarray, most: int = 4 * scan.SLICE_BYTES):
+    """(bytes, offsets) of parts of a slice: the slice itself, or a long text in windows that end at safe cuts."""
+    if len(data) <= most or len(off) > 2:
+        yield data, off
+        return
+    lo, wide = 0, most
+    while lo < len(data):
+        hi = min(len(data), lo + wide)
+        if hi < len(data):
+            last = int(unit_spans(data[lo:hi], np.array([0, hi - lo]))[0][-1])
+            if last == 0:  # no safe cut so far
+                wide *= 2
+                continue
+            hi, wide = lo + last, most
+        yield data[lo:hi], np.array([0, hi - lo])
+        lo = hi
+
+
+class Encoder:
+    """Ids of texts. One of these lives in each worker process for each tokenizer (see `encoder`)."""
+
+    def __init__(self, path: str, bits: int = 20, store: int = 1 << 22):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.reset()
-
-    def reset(self) -> None:
-        self.store, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.tokenizer, self.most = Tokenizer.from_file(path), store
+        self.memo = scan.Memo(2, np.int32, bits)
+        self.store, self.used = np.zeros(min(store, 1 << 18), np.uint32), 0
 
     def _make(self, data, starts, ends):
         raw = data.tobytes()
 
         def make(which):
-            rows = np.zeros((len(which), 2), np.int64)
+            rows = np.zeros((len(which), 2), np.int32)
             for lo in range(0, len(which), 20_000):
                 part = which[lo : lo + 20_000]
                 words = [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[part].tolist(), ends[part].tolist())]
@@ -81,23 +97,41 @@ class Encoder(scan.Memo):
 
         return make
 
+    def _pieces(self, data: np.ndarray, off: np.ndarray):
+        """(place in the store, number of ids, text index) of each piece."""
+        if self.used > self.most:
+            self.memo.reset()
+            self.store, self.used = self.store[: 1 << 18].copy(), 0
+        starts, ends, doc = unit_spans(data, off)
+        rows = self.memo.look(scan.span_hashes(data, starts, ends), self._make(data, starts, ends)) if len(starts) else np.zeros((0, 2), np.int32)
+        return rows[:, 0], rows[:, 1], doc
+
     def counts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Number of ids of each text."""
-        starts, ends, doc = unit_spans(data, off)
-        if not len(starts):
-            return np.zeros(len(off) - 1, np.int64)
-        rows, inverse = self.look(scan.span_hashes(data, starts, ends), self._make(data, starts, ends))
-        return np.bincount(doc, rows[inverse, 1], len(off) - 1).astype(np.int64)
+        total = np.zeros(len(off) - 1, np.int64)
+        for part, bounds in windows(data, off):
+            _, size, doc = self._pieces(part, bounds)
+            total += np.bincount(doc, size, len(off) - 1).astype(np.int64)
+        return total
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets of each text's ids)."""
-        starts, ends, doc = unit_spans(data, off)
-        if not len(starts):
-            return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
-        rows, inverse = self.look(scan.span_hashes(data, starts, ends), self._make(data, starts, ends))
-        at, size = rows[inverse, 0], rows[inverse, 1]
-        end = np.cumsum(size)
-        ids = self.store[np.repeat(at - (end - size), size) + np.arange(end[-1])]
-        out = np.zeros(len(off), np.int64)
-        np.cumsum(np.bincount(doc, size, len(off) - 1).astype(np.int64), out=out[1:])
-        return ids, out
+        ids, total = [np.zeros(0, np.uint32)], np.zeros(len(off) - 1, np.int64)
+        for part, bounds in windows(data, off):
+            at, size, doc = self._pieces(part, bounds)
+            end = np.cumsum(size, dtype=np.int64)
+            if len(end):
+                ids.append(self.store[np.repeat(at - (end - size), size) + np.arange(end[-1])])
+            total += np.bincount(doc, size, len(off) - 1).astype(np.int64)
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum(total)])
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker process's encoder for a tokenizer file; only the last one used is kept."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]

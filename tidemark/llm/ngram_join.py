@@ -2,22 +2,24 @@
 
 Texts are sets of 5-word shingles. Two sets link when their Jaccard similarity reaches a bound (0.75). The join is exact:
 
-1. Each text's set is hashed in an Arrow task. Texts with equal sets become one class (its smallest id).
-2. A class is posted under the first `n - ceil(t * n) + 1` shingles of its set in an order that puts frequent shingles last
+1. Each text's set is hashed in an Arrow task and named by a 64-bit hash of its own, its node: texts with equal sets are one.
+2. A node is posted under the first `n - ceil(t * n) + 1` shingles of its set in an order that puts frequent shingles last
    (prefix filter: sets over the bound share one of these). Frequencies come from a sketch of fixed size over all texts; it
-   only orders, so it cannot lose a pair.
-3. Seed links: neighbours by size under one shingle, tested by bitmap bound, then exactly. They form first components.
-4. Under each shingle that still holds more than one component a signature tree is built over each block of classes: a node
-   holds the OR of its bitmaps, its range of sizes, its largest collision excess and its component if it has only one. Two
-   trees are walked together from their roots; a pair of nodes is dropped when the largest possible overlap is below what
-   the smallest sizes require, when the sizes are out of proportion, or when both lie in one component. Pairs of leaves that
-   remain are tested exactly, and join components. Large groups are cut into blocks, and pairs of blocks are separate tasks.
-   Of shingles that the same classes share, one is walked.
-5. Step 4 runs twice. The first walk passes on only each leaf's best partner by bound, which joins the copies of one text to
-   it; the second passes on every pair that is left between different components, so nothing is lost.
+   only orders, so it cannot lose a pair. Shingles that exactly the same nodes have make one group.
+3. In each group the nodes are leaves of signature trees: a tree node holds the OR of its bitmaps, its range of sizes, its
+   largest collision excess and its component if it has only one. First, leaves under one bottom node are compared, each with
+   its best partner by bound, in two groups a leaf. This is linear, and joins most copies of a text.
+4. Then two trees are walked together from their roots; a pair of tree nodes is dropped when the largest possible overlap is
+   below what the smallest sizes require, when the sizes are out of proportion, or when both lie in one component. Pairs of
+   leaves that remain are tested exactly. Where very many remain between two components, each leaf's best partner goes first;
+   if the components stay apart, a last walk passes on every pair, so nothing is lost.
+5. Large groups are cut into blocks, and pairs of blocks are separate tasks. Leaves of a group's largest component meet only
+   the others.
 
 Defined results: a null or empty text, or one without words, has no shingles and no links. A text with fewer than five words
-has one shingle, the whole sequence. Repeated rows with one id count once. Extra columns are ignored.
+has one shingle, the whole sequence. Each doc_id is one document and is returned once: where its rows have different texts, it
+has the links of all, and the size of the largest set. A row without doc_id is returned with its own size and null ids, and is
+linked with nothing. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,42 +31,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import scan
-from tidemark.llm.shared import bucket_of, components, cut, id_filter, shuffle_count
+from tidemark.llm.shared import Shelf, bounded_batches, bucket_of, components, id_filter, shuffle_count
 
 WIDTH = 5
 #: Least similarity as a fraction of whole numbers, so that the test is exact.
 NEED, OF = 75, 100
 SKETCH = 1 << 18
 SKETCH_PARTS = 64
-#: Classes of one block of a signature tree, and children of one of its nodes.
+#: Leaves of one block of a large group, and children of a tree node.
 BLOCK, FANOUT = 1024, 8
+#: Bytes of bitmaps dealt to one task, and sets that a task remembers to have posted.
+TASK_BYTES, SEEN = 8 << 20, 1 << 20
+#: Pairs between two components that a walk passes on before only each leaf's best partner goes.
+MANY = 256
 _LONGEST = 1 << 20  # bits of the longest bitmap
 
+_FIRST_PASS = "doc_id long, n long, node long, first long, bits binary, part int, counts binary"
 
-_FIRST_PASS = "doc_id long, n_shingles long, sig_a long, sig_b long, part int, counts binary"
 
-
-def _signature(s: np.ndarray) -> tuple[int, int]:
-    """128 bits that tell sets apart, as two signed longs."""
-    if not len(s):
-        return 0, 0
-    a, b = int(np.bitwise_xor.reduce(scan.mix(s))), int(scan.mix(s * np.uint64(3) + np.uint64(1)).sum())
-    return a - (1 << 64) * (a >> 63), b - (1 << 64) * (b >> 63)
+def sets_of(data: np.ndarray, off: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(shingle sets of a slice's texts, their sizes, their nodes); the node of an empty set is 0."""
+    sets = scan.shingle_sets(data, off, WIDTH)
+    n = np.array([len(s) for s in sets], np.int64)
+    node, some = np.zeros(len(n), np.uint64), np.flatnonzero(n)
+    if len(some):
+        flat, opens = np.concatenate(sets), (np.cumsum(n) - n)[some]
+        total = np.add.reduceat(scan.mix(flat * np.uint64(3) + np.uint64(1)), opens)
+        node[some] = scan.mix(np.bitwise_xor.reduceat(scan.mix(flat), opens) + scan.mix(total + n[some].astype(np.uint64)))
+    return sets, n, node.view(np.int64)
 
 
 def _first_pass(batches):
     """A row for each text, then the task's sketch in parts."""
-    total = np.zeros(SKETCH, np.int64)
+    total, names = np.zeros(SKETCH, np.int64), [c.split()[0] for c in _FIRST_PASS.split(", ")]
     for batch in batches:
-        rows = []
+        size, nodes, first, bits = [], [], [], []
         for _, data, off in scan.texts(batch.column("text")):
-            sets = scan.shingle_sets(data, off, WIDTH)
-            rows += [(len(s), *_signature(s)) for s in sets]
-            total += np.bincount((np.concatenate(sets) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
-        n, a, b = (pa.array([r[k] for r in rows], pa.int64()) for k in range(3))
-        yield pa.record_batch([batch.column("doc_id"), n, a, b, pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], ["doc_id", "n_shingles", "sig_a", "sig_b", "part", "counts"])
+            sets, n, node = sets_of(data, off)
+            size.append(n)
+            nodes.append(node)
+            first += [int(s[0]) >> 1 if len(s) else 0 for s in sets]
+            bits += [bitmap(s) if len(s) else None for s in sets]
+            np.add.at(total, (np.concatenate(sets) % np.uint64(SKETCH)).astype(np.int64), 1)
+        size, nodes = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (size, nodes))
+        yield pa.record_batch([batch.column("doc_id"), pa.array(size), pa.array(nodes, mask=size == 0), pa.array(first, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.binary())], names)
     parts, none = [p.tobytes() for p in total.astype(np.int32).reshape(SKETCH_PARTS, -1)], pa.nulls(SKETCH_PARTS, pa.int64())
-    yield pa.record_batch([none, none, none, none, pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "n_shingles", "sig_a", "sig_b", "part", "counts"])
+    yield pa.record_batch([none, none, none, none, pa.nulls(SKETCH_PARTS, pa.binary()), pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary())], names)
 
 
 def _sum_sketch(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -84,86 +96,35 @@ def frequent_buckets(passed: DataFrame) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Bits of a set, at four to eight bits a shingle; the width is a power of two, so a wide bitmap folds onto a narrower one."""
-    width = min(_LONGEST, max(64, 1 << int(np.ceil(np.log2(4 * max(1, len(s)))))))
+    """Bits of a set, at two to four bits a shingle; the width is a power of two, so a wide bitmap folds onto a narrower one."""
+    width = min(_LONGEST, max(64, 1 << int(np.ceil(np.log2(2 * max(1, len(s)))))))
     bits = np.zeros(width, bool)
     bits[((s >> np.uint64(20)) % np.uint64(width)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _fold(raw: bytes, words: int) -> np.ndarray:
-    w = np.frombuffer(raw, np.uint64)
-    while len(w) > words:
-        w = w[: len(w) // 2] | w[len(w) // 2 :]
-    return w
-
-
-def _profiles(frequent: np.ndarray):
+def _posts(frequent: np.ndarray):
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
-            rows = []
+            tokens, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for _, data, off in scan.texts(batch.column("text")):
-                for s in scan.shingle_sets(data, off, WIDTH):
+                sets, n, node = sets_of(data, off)
+                for s, own in zip(sets, node.tolist()):
+                    if not len(s) or own in seen:
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(own)
                     hot = frequent[(s % np.uint64(SKETCH)).astype(np.int64)]
                     first = np.concatenate([s[~hot], s[hot]])[: len(s) - -(-NEED * len(s) // OF) + 1]
-                    rows.append((len(s), *_signature(s), first.tobytes(), bitmap(s)))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.record_batch([batch.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], ["doc_id", "n_shingles", "sig_a", "sig_b", "prefix", "bits"])
+                    tokens.append(first)
+                    nodes.append(np.full(len(first), own))
+            yield pa.record_batch([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes))], ["token", "node"])
 
     return run
 
 
-def _postings(batches):
-    for batch in batches:
-        ids, n = batch.column("id").to_numpy(), batch.column("n").to_numpy()
-        raw, off = scan.column_bytes(batch.column("prefix"))
-        tokens = np.frombuffer(raw.tobytes(), np.int64)
-        each = np.diff(off) // 8
-        yield pa.record_batch([pa.array(tokens), pa.array(np.repeat(ids, each)), pa.array(np.repeat(n, each))], ["token", "id", "n"])
-
-
-def _groups(batches):
-    """Posts under a shingle with more than one class, each with the class before it by size (null for the first).
-
-    Rows come sorted by shingle and size. The last row of a batch waits for the next one, so a group of any size takes
-    constant memory.
-    """
-    names = ["token", "id", "n", "before"]
-    def rows(t, i, n, before, last_n, keep):
-        mask = (before < 0) | (NEED * n > OF * last_n)
-        return pa.record_batch([pa.array(t[keep]), pa.array(i[keep]), pa.array(n[keep]), pa.array(before[keep], mask=mask[keep])], names)
-
-    held = None  # (token, id, n, before, size before)
-    for batch in batches:
-        t, i, n = (batch.column(c).to_numpy() for c in ("token", "id", "n"))
-        before, last_n = np.full(len(t), -1), np.zeros(len(t), np.int64)
-        if held is not None:
-            t, i, n, before, last_n = (np.concatenate([[x], y]) for x, y in zip(held, (t, i, n, before, last_n)))
-        same = t[1:] == t[:-1]
-        before[1:][same], last_n[1:][same] = i[:-1][same], n[:-1][same]
-        keep = (before >= 0) | np.append(same, False)
-        yield rows(t[:-1], i[:-1], n[:-1], before[:-1], last_n[:-1], np.flatnonzero(keep[:-1]))
-        held = (t[-1], i[-1], n[-1], before[-1], last_n[-1]) if len(t) else None
-    if held is not None:
-        t, i, n, before, last_n = (np.array([x]) for x in held)
-        yield rows(t, i, n, before, last_n, np.flatnonzero(before >= 0))
-
-
-def _overlap_bound(batches):
-    """Pairs whose bitmaps allow the overlap that their sizes require."""
-    for batch in batches:
-        n, m = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-        keep = np.zeros(len(n), bool)
-        for k, (x, y) in enumerate(zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist())):
-            words = min(len(x), len(y)) // 8
-            x, y = _fold(x, words), _fold(y, words)
-            px, py = int(np.bitwise_count(x).sum()), int(np.bitwise_count(y).sum())
-            most = int(np.bitwise_count(x & y).sum()) + min(n[k] - px, m[k] - py)
-            keep[k] = (NEED + OF) * most >= NEED * (n[k] + m[k])
-        got = batch.filter(pa.array(keep))
-        yield pa.record_batch([got.column("a"), got.column("b")], ["a", "b"])
-
-
 class Forest:
     """Signature trees of many groups, level by level from the leaves. Rows come sorted by unit (the tree they belong to)."""
 
@@ -232,6 +193,55 @@ def walk(a: Forest, b: Forest, i: np.ndarray, j: np.ndarray, most: int = 1 << 19
             todo.append((level - 1, x["first"][p][owner] + k // wide[owner], y["first"][q][owner] + k % wide[owner]))
 
 
+def _bounds(a: dict, b: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Largest possible overlap of pairs of leaves over the sum of their sizes."""
+    out, step = np.zeros(len(i)), max(64, (1 << 20) // a["bits"].shape[1])
+    for lo in range(0, len(i), step):
+        x, y = i[lo : lo + step], j[lo : lo + step]
+        out[lo : lo + step] = (np.bitwise_count(a["bits"][x] & b["bits"][y]).sum(1) + np.minimum(a["excess"][x], b["excess"][y])) / (a["low"][x] + b["low"][y])
+    return out
+
+
+def _best(score: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which pairs are the best by score for one of their two leaves; names: the nodes of both."""
+    leaf, other, both = names.T.ravel(), names[:, ::-1].T.ravel(), np.tile(score, 2)
+    order = np.lexsort((other, -both, leaf))
+    keep = np.zeros(len(score), bool)
+    if len(score):
+        keep[order[np.concatenate([[True], np.diff(leaf[order]) != 0])] % len(score)] = True
+    return keep
+
+
+def _siblings(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Each leaf with its best partner under one bottom node of its group's tree, for trees that begin at two places."""
+    pdf = pdf.assign(width=pdf["bits"].str.len() // 8).sort_values(["gid", "block", "width", "first", "n", "node"], kind="stable")
+    node, n, raw, width = (pdf[c].to_numpy() for c in ("node", "n", "bits", "width"))
+    unit = pdf.groupby(["gid", "block", "width"], sort=False).ngroup().to_numpy(np.int64)
+    found = [np.zeros((0, 2), np.int64)]
+    for w in np.unique(width).tolist():
+        rows = np.flatnonzero(width == w)
+        leaves = Forest(unit[rows], _matrix(list(raw[rows]), w), n[rows].astype(np.int64), np.arange(len(rows))).levels[0]
+        at = np.arange(len(rows)) - np.searchsorted(unit[rows], unit[rows])
+        i, j = [], []
+        for k in range(1, FANOUT):
+            x, y = np.arange(len(rows) - k), np.arange(k, len(rows))
+            under = (unit[rows][x] == unit[rows][y]) & ((at[x] // FANOUT == at[y] // FANOUT) | ((at[x] + FANOUT // 2) // FANOUT == (at[y] + FANOUT // 2) // FANOUT))
+            i.append(x[under])
+            j.append(y[under])
+        i, j = np.concatenate(i), np.concatenate(j)
+        ok = possible(leaves, i, leaves, j)
+        i, j = i[ok], j[ok]
+        names = np.stack([node[rows[i]], node[rows[j]]], 1)
+        found.append(names[_best(_bounds(leaves, leaves, i, j), names)])
+    return _pairs(np.concatenate(found), None)
+
+
+def _pairs(pairs: np.ndarray, partial: np.ndarray | None) -> pd.DataFrame:
+    partial = np.zeros(len(pairs), bool) if partial is None else partial
+    out = pd.DataFrame({"a": pairs.min(1), "b": pairs.max(1), "partial": partial}) if len(pairs) else pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "partial": partial})
+    return out[out["a"] != out["b"]].groupby(["a", "b"], as_index=False, sort=True)["partial"].max().astype({"a": np.int64, "b": np.int64, "partial": bool})
+
+
 def _matrix(raw: list[bytes], words: int) -> np.ndarray:
     """Bitmaps of one width as rows, folded to `words` words."""
     m = np.frombuffer(b"".join(raw), np.uint64).reshape(len(raw), -1)
@@ -240,32 +250,24 @@ def _matrix(raw: list[bytes], words: int) -> np.ndarray:
     return m
 
 
-def _best(a: dict, b: dict, i: np.ndarray, j: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """Which pairs of leaves are the best by bound for one of the two; names: the ids of both."""
-    most = np.zeros(len(i))
-    for lo in range(0, len(i), 1 << 14):
-        x, y = i[lo : lo + (1 << 14)], j[lo : lo + (1 << 14)]
-        most[lo : lo + (1 << 14)] = (np.bitwise_count(a["bits"][x] & b["bits"][y]).sum(1) + np.minimum(a["excess"][x], b["excess"][y])) / (a["low"][x] + b["low"][y])
-    leaf, other, score = names.T.ravel(), names[:, ::-1].T.ravel(), np.tile(most, 2)
-    order = np.lexsort((other, -score, leaf))
-    keep = np.zeros(len(i), bool)
-    keep[order[np.concatenate([[True], np.diff(leaf[order]) > 0])] % len(i)] = True
-    return keep
-
+def _tree_pairs(many: int | None):
+    return lambda pdf: _candidates(pdf, many)
 
-def _tree_pairs(best: bool):
-    return lambda pdf: _candidates(pdf, best)
 
+def _candidates(pdf: pd.DataFrame, many: int | None) -> pd.DataFrame:
+    """Candidates of the groups that share a task. Sets that may link have bitmaps of one width, or of one and twice that.
 
-def _candidates(pdf: pd.DataFrame, best: bool) -> pd.DataFrame:
-    """Candidates of the groups that share a task. Sets that may link have bitmaps of one width, or of one and twice that."""
-    pdf = pdf.assign(width=pdf["bits"].str.len() // 8).sort_values(["token", "left", "right", "block", "n", "id"], kind="stable")
-    group = pdf.groupby(["token", "left", "right"], sort=False).ngroup().to_numpy(np.int64)
+    `partial` marks pairs that stand for more than `many` of their two components.
+    """
+    pdf = pdf.assign(width=pdf["bits"].str.len() // 8).sort_values(["gid", "left", "right", "block", "comp", "first", "n", "node"], kind="stable")
+    group = pdf.groupby(["gid", "left", "right"], sort=False).ngroup().to_numpy(np.int64)
     # A unit is one side of a group: twice the group, plus one for the right block.
     unit = 2 * group + ((pdf["block"] == pdf["right"]) & (pdf["left"] != pdf["right"])).to_numpy(np.int64)
     selfs = np.unique(group[(pdf["left"] == pdf["right"]).to_numpy()])
-    width, n, ids, comp, raw = pdf["width"].to_numpy(), pdf["n"].to_numpy(np.int64), pdf["id"].to_numpy(np.int64), pdf["component_id"].to_numpy(np.int64), pdf["bits"].to_numpy()
-    found = []
+    width, n, node, comp, raw = pdf["width"].to_numpy(), pdf["n"].to_numpy(np.int64), pdf["node"].to_numpy(np.int64), pdf["comp"].to_numpy(np.int64), pdf["bits"].to_numpy()
+    # Components are numbered within the task.
+    comp = np.unique(comp, return_inverse=True)[1].astype(np.int64)
+    found, partial = [np.zeros((0, 2), np.int64)], [np.zeros(0, bool)]
 
     def meet(a, b, rows_a, rows_b, left, right):
         """Walks the trees of the units left[k], right[k] where both exist."""
@@ -276,8 +278,16 @@ def _candidates(pdf: pd.DataFrame, best: bool) -> pd.DataFrame:
             while len(b.levels) < len(a.levels):
                 b.raise_level()
             for i, j in walk(a, b, a.roots(left[ok]), b.roots(right[ok])):
-                names = np.stack([ids[rows_a[i]], ids[rows_b[j]]], 1)
-                found.append(names[_best(a.levels[0], b.levels[0], i, j, names)] if best and len(i) else names)
+                names = np.stack([node[rows_a[i]], node[rows_b[j]]], 1)
+                more = np.zeros(len(i), bool)
+                if many is not None and len(i) > many:
+                    x, y = comp[rows_a[i]], comp[rows_b[j]]
+                    _, which, count = np.unique(np.minimum(x, y) * (len(comp) + 1) + np.maximum(x, y), return_inverse=True, return_counts=True)
+                    more = count[which] > many
+                    keep = ~more | _best(_bounds(a.levels[0], b.levels[0], i, j), names)
+                    names, more = names[keep], more[keep]
+                found.append(names)
+                partial.append(more)
 
     every = np.unique(group)
     others = every[~np.isin(every, selfs)]
@@ -292,18 +302,19 @@ def _candidates(pdf: pd.DataFrame, best: bool) -> pd.DataFrame:
             meet(a, b, rows, twice, 2 * selfs, 2 * selfs)
             meet(a, b, rows, twice, 2 * others, 2 * others + 1)
             meet(a, b, rows, twice, 2 * others + 1, 2 * others)
-    pairs = np.concatenate([np.zeros((0, 2), np.int64), *found])
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    pairs = np.unique(np.stack([pairs.min(1), pairs.max(1)], 1), axis=0)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+    return _pairs(np.concatenate(found), np.concatenate(partial))
 
 
 def _sets(wanted):
     def run(batches):
         for batch in batches:
             batch = batch.filter(pa.array(wanted(batch.column("doc_id").to_numpy(zero_copy_only=False))))
-            out = [s.tobytes() for _, data, off in scan.texts(batch.column("text")) for s in scan.shingle_sets(data, off, WIDTH)]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(out, pa.binary())], ["id", "items"])
+            nodes, items = [np.zeros(0, np.int64)], []
+            for _, data, off in scan.texts(batch.column("text")):
+                sets, _, node = sets_of(data, off)
+                nodes.append(node)
+                items += [s.tobytes() for s in sets]
+            yield pa.record_batch([pa.array(np.concatenate(nodes)), pa.array(items, pa.binary())], ["node", "items"])
 
     return run
 
@@ -321,63 +332,122 @@ def _verify(batches):
         yield pa.record_batch([got.column("a"), got.column("b")], ["a", "b"])
 
 
-def _exact(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets reach the bound; only texts that occur in pairs are hashed again."""
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sets = docs.mapInArrow(_sets(id_filter(wanted)), "id long, items binary").join(wanted, "id", "left_semi")
-    sets = cut(sets.groupBy("id").agg(F.min("items").alias("items")))
-    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("items_a")), "a")
-    return with_a.join(sets.select(F.col("id").alias("b"), F.col("items").alias("items_b")), "b").select("a", "b", "items_a", "items_b").mapInArrow(_verify, "a long, b long")
-
-
-def _open_groups(posts: DataFrame, comps: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """Posts under shingles that more than one component has, with bitmaps, dealt over pairs of blocks.
-
-    Shingles that exactly the same classes have would give the same pairs; the smallest of them stands for all.
-    """
-    named = posts.join(comps, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    marks = (F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
-    spread = named.groupBy("token").agg(F.min("component_id").alias("c"), F.max("component_id").alias("d"), F.count("*").alias("members"), *marks).filter("c <> d")
-    spread = spread.groupBy("members", "x", "y").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    rows = named.join(spread, "token").withColumn("block", F.when(F.col("blocks") > 1, bucket_of("id", n=1 << 30) % F.col("blocks")).otherwise(0))
-    paired = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other"))
-    return paired.join(bitmaps.select("id", "bits"), "id").select("token", "left", "right", "block", "id", "n", "component_id", "bits")
+class Join:
+    """One run: its tables, and the links found so far."""
+
+    def __init__(self, docs: DataFrame):
+        self.docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        self.shelf, self.parts = Shelf(docs.sparkSession), shuffle_count(docs)
+        self.passed = self.shelf.keep(self.docs.mapInArrow(_first_pass, _FIRST_PASS))
+        self.named = self.docs.filter("doc_id IS NOT NULL")
+        known = self.passed.filter("part IS NULL AND doc_id IS NOT NULL AND node IS NOT NULL")
+        self.nodes = self.shelf.keep(known.groupBy("node").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "first", "bits"))))
+        self.bytes_a_leaf = (self.nodes.agg(F.avg(F.octet_length("bits"))).first()[0] or 0) + 64
+        # An id with several texts links their nodes.
+        several = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").drop("z")
+        self.links = self.shelf.keep(known.select("doc_id", F.col("node").alias("b")).join(several, "doc_id").filter("a <> b").select("a", "b").distinct())
+
+    def lanes(self, rows: DataFrame, *place: str) -> DataFrame:
+        """rows with `lane`: as many lanes as leave each a bounded number of bytes, for hashes fall evenly."""
+        n = max(self.parts, int(rows.count() * self.bytes_a_leaf / TASK_BYTES) + 1)
+        leaves = self.nodes.select("node", "n", "first", "bits")
+        return rows.drop("n").join(leaves, "node").withColumn("lane", bucket_of(*place, n=n)).groupBy("lane")
+
+    def groups(self) -> DataFrame:
+        """(gid, node): the nodes that share a shingle of their prefixes, once for all shingles that the same nodes share."""
+        posts = self.named.select("text").mapInArrow(_posts(frequent_buckets(self.passed)), "token long, node long")
+        from pyspark.sql import Window as W
+
+        whole = W.partitionBy("token")
+        marked = posts.withColumn("lo", F.min("node").over(whole)).withColumn("hi", F.max("node").over(whole)).withColumn("x", F.bit_xor(F.xxhash64("node")).over(whole))
+        return self.shelf.keep(marked.filter("lo <> hi").select(F.xxhash64("x", "lo", "hi").alias("gid"), "node").distinct())
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sets reach the bound; only texts that occur in pairs are hashed again."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = self.shelf.keep(self.nodes.select("node", "id").join(wanted, "node"))
+        sets = self.named.mapInArrow(_sets(id_filter(wanted.select("id"))), "node long, items binary")
+        sets = sets.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("items").alias("items"))
+        sets = self.shelf.keep(sets)
+        with_a = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a")
+        both = with_a.join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b")
+        out = self.shelf.keep(both.select("a", "b", "items_a", "items_b").mapInArrow(_verify, "a long, b long"))
+        self.shelf.drop(wanted, sets)
+        return out
+
+    def add(self, pairs: DataFrame) -> None:
+        found, before = self.verified(pairs), self.links
+        self.links = self.shelf.keep(before.unionByName(found))
+        self.shelf.drop(found, before)
+
+    def first_links(self, groups: DataFrame) -> None:
+        """Joins leaves under one bottom node, in two groups a leaf."""
+        picks = groups.groupBy("node").agg(F.min("gid").alias("a"), F.max("gid").alias("b"))
+        picks = picks.select("node", F.explode(F.array_distinct(F.array("a", "b"))).alias("gid"))
+        picks = self.shelf.keep(picks)
+        sizes = picks.groupBy("gid").agg(F.count("*").alias("members")).filter("members > 1")
+        rows = picks.join(sizes, "gid").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK))).drop("members")
+        near = self.shelf.keep(self.lanes(rows, "gid", "block").applyInPandas(_siblings, "a long, b long, partial boolean").select("a", "b").distinct())
+        self.add(near)
+        self.shelf.drop(picks, near)
+
+    def open_groups(self, groups: DataFrame, among: DataFrame | None) -> DataFrame:
+        """Leaves of groups with more than one component, dealt over pairs of blocks; only those of components `among`, if given.
+
+        A group's largest component has blocks of its own where the group is large, numbered -1, -2, ...; they do not meet
+        each other.
+        """
+        comps = components(self.links).select(F.col("id").alias("node"), F.col("component_id").alias("comp"))
+        rows = groups.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        rows = rows if among is None else rows.join(among, "comp", "left_semi")
+        each = rows.groupBy("gid", "comp").agg(F.count("*").alias("c"))
+        spread = each.groupBy("gid").agg(F.max_by("comp", "c").alias("hub"), F.max("c").alias("m"), F.sum("c").alias("total"), F.count("*").alias("comps")).filter("comps > 1")
+        large = F.col("total") > BLOCK
+        spread = spread.withColumn("hubs", F.when(large, F.ceil(F.col("m") / BLOCK)).otherwise(0).cast("int")).withColumn("blocks", F.when(large, F.ceil((F.col("total") - F.col("m")) / BLOCK)).otherwise(1).cast("int"))
+        rows = rows.join(spread.select("gid", "hub", "hubs", "blocks"), "gid")
+        in_hub, turn = (F.col("comp") == F.col("hub")) & (F.col("hubs") > 0), F.xxhash64("node", F.lit(1))
+        rows = rows.withColumn("block", F.when(in_hub, -1 - F.pmod(turn, F.greatest("hubs", F.lit(1)))).otherwise(F.pmod(turn, "blocks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.when(in_hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.sequence(-F.col("hubs"), F.col("blocks") - 1))))
+        return self.shelf.keep(rows.select("gid", "node", "comp", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")))
+
+    def walk(self, groups: DataFrame, many: int | None, among: DataFrame | None = None) -> DataFrame | None:
+        """Walks the trees of open groups and adds what they link. Returns the components (comp) of which pairs are left to walk, if any."""
+        ready = self.open_groups(groups, among)
+        pairs = self.lanes(ready, "gid", "left", "right").applyInPandas(_tree_pairs(many), "a long, b long, partial boolean")
+        pairs = self.shelf.keep(pairs.groupBy("a", "b").agg(F.max("partial").alias("partial")))
+        self.add(pairs)
+        rest = pairs.filter("partial").select("a", "b")
+        if rest.isEmpty():
+            return None
+        comps = components(self.links)
+        for side in ("a", "b"):
+            rest = rest.join(comps.select(F.col("id").alias(side), F.col("component_id").alias(f"comp_{side}")), side, "left").withColumn(f"comp_{side}", F.coalesce(f"comp_{side}", side))
+        rest = self.shelf.keep(rest.filter("comp_a <> comp_b").select(F.explode(F.array("comp_a", "comp_b")).alias("comp")).distinct())
+        self.shelf.drop(ready, pairs)
+        return None if rest.isEmpty() else rest
+
+    def result(self) -> DataFrame:
+        comps = components(self.links).select(F.col("id").alias("node"), F.col("component_id").alias("label"))
+        known = self.nodes.select("node", "id").join(comps, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        least = known.groupBy("label").agg(F.min("id").alias("component_id"))
+        known = known.join(least, "label").select("node", F.col("id").alias("class_id"), "component_id")
+        rows = self.passed.filter("part IS NULL").select("doc_id", "n", "node")
+        ids = rows.filter("doc_id IS NOT NULL").join(known, "node", "left").groupBy("doc_id")
+        ids = ids.agg(F.max("n").alias("n_shingles"), F.coalesce(F.min("class_id"), "doc_id").alias("class_id"), F.coalesce(F.min("component_id"), "doc_id").alias("component_id"))
+        none = F.lit(None).cast("long")
+        return ids.unionByName(rows.filter("doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), none.alias("class_id"), none.alias("component_id")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id) for each distinct doc_id of docs(doc_id, text).
+    """(doc_id, n_shingles, class_id, component_id) for each document of docs(doc_id, text).
 
     class_id is the smallest doc_id with the same set, component_id the smallest one reachable by links.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    parts = shuffle_count(docs)
-    passed = cut(docs.mapInArrow(_first_pass, _FIRST_PASS))
-    schema = "doc_id long, n_shingles long, sig_a long, sig_b long, prefix binary, bits binary"
-    profiles = docs.mapInArrow(_profiles(frequent_buckets(passed)), schema)
-    # Equal sets have equal prefixes and bitmaps, so any row's will do; copies are merged before the shuffle.
-    classes = profiles.filter("n_shingles > 0").groupBy("sig_a", "sig_b", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")).withColumnRenamed("n_shingles", "n")
-    classes = cut(classes)
-    posts = classes.select("id", "n", "prefix").mapInArrow(_postings, "token long, id long, n long")
-    dealt = posts.repartition(parts, "token").sortWithinPartitions("token", "n", "id")
-    groups = cut(dealt.mapInArrow(_groups, "token long, id long, n long, before long"))
-    bitmaps = classes.select("id", "n", "bits")
-
-    seeds = groups.filter("before IS NOT NULL").select(F.least("id", "before").alias("a"), F.greatest("id", "before").alias("b")).distinct()
-    with_a = seeds.join(bitmaps.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")), "a")
-    both = with_a.join(bitmaps.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")), "b")
-    seeds = cut(both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_overlap_bound, "a long, b long"))
-    links = cut(_exact(docs, seeds))
-    first = components(links)
-
-    for best in (True, False):
-        ready = _open_groups(groups.select("token", "id", "n"), first, bitmaps)
-        lanes = ready.withColumn("lane", bucket_of("token", "left", "right", n=parts * 4))
-        candidates = cut(lanes.groupBy("lane").applyInPandas(_tree_pairs(best), "a long, b long").distinct())
-        links = cut(links.unionByName(_exact(docs, candidates)))
-        first = components(links)
-    whole = first
-
-    names = classes.select("sig_a", "sig_b", F.col("n").alias("n_shingles"), F.col("id").alias("class_id")).join(whole.withColumnRenamed("id", "class_id"), "class_id", "left")
-    rows = passed.filter("part IS NULL").select("doc_id", "n_shingles", "sig_a", "sig_b").dropDuplicates(["doc_id"])
-    out = rows.join(names, ["sig_a", "sig_b", "n_shingles"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "class_id", "doc_id").alias("component_id"))
+    run = Join(docs)
+    groups = run.groups()
+    run.first_links(groups)
+    left = run.walk(groups, MANY)
+    if left is not None:
+        run.walk(groups, None, left)
+    run.shelf.drop(groups)
+    return run.result()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import scan
-from tidemark.llm.encoding import Encoder
+from tidemark.llm.encoding import encoder as encoder_of
 from tidemark.llm.shared import cut, shuffle_count, table
 from tidemark.llm.token_counts import tokenizer_path
 
@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches):
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             ids, out = batch.column("doc_id").to_pylist(), {k: [] for k in names}
             for lo, data, off in scan.texts(batch.column("text")):

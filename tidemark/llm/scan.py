@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 19
 #: Space and the ASCII controls 9 to 13 separate words.
 WORD_BREAKS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
@@ -128,45 +128,49 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, width: int = 5) -> list[np.n
     starts, ends, doc = spans(data, off)
     words = span_hashes(data, starts, ends)
     bounds = np.searchsorted(doc, np.arange(len(off)))
+    count = np.diff(bounds)
     every = windows_hash(words, width)
-    out = []
-    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        if hi - lo >= width:
-            out.append(np.unique(every[lo : hi - width + 1]))
-        else:
-            out.append(windows_hash(words[lo:hi], hi - lo) if hi > lo else np.zeros(0, np.uint64))
+    flat = every[doc[: len(every)] == doc[width - 1 :]] if len(every) else every
+    ends = np.cumsum(np.maximum(count - (width - 1), 0))
+    starts = np.concatenate([[0], ends[:-1]])
+    for lo, hi in zip(starts.tolist(), ends.tolist()):
+        flat[lo:hi].sort()
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    new[starts[starts < ends]] = True
+    flat, kept = flat[new], np.concatenate([[0], np.cumsum(new)])
+    out = [flat[lo:hi] for lo, hi in zip(kept[starts].tolist(), kept[ends].tolist())]
+    for k in np.flatnonzero((count > 0) & (count < width)).tolist():
+        out[k] = windows_hash(words[bounds[k] : bounds[k + 1]], int(count[k]))
     return out
 
 
 class Memo:
-    """Values by 64-bit hash, kept between batches of one task; it starts anew beyond `most` entries, so memory is bounded.
+    """Values by 64-bit hash, kept in a table of fixed size: what a task has worked out once it need not work out again.
 
-    `make(indices)` returns one row of `width` float or int columns for each unknown item, in order.
+    A hash has two places in the table. One that finds both taken replaces the first, and what was there is made again when it
+    is met again, so memory is bounded whatever the text.
     """
 
-    def __init__(self, most: int = 1_500_000):
-        self.most, self.keys, self.values = most, np.zeros(0, np.uint64), None
-
-    def look(self, hashes: np.ndarray, make) -> tuple[np.ndarray, np.ndarray]:
-        """(values of the distinct hashes, index into them for each hash)."""
-        keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) > self.most:
-            self.keys, self.values = np.zeros(0, np.uint64), None
-            self.reset()
-        at = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        if len(self.keys):
-            known = self.keys[np.minimum(at, len(self.keys) - 1)] == keys
-        if not known.all():
-            made = make(first[~known])
-            if self.values is None:
-                self.keys, self.values = keys[~known], made
-            else:
-                where = np.searchsorted(self.keys, keys[~known])
-                self.keys = np.insert(self.keys, where, keys[~known])
-                self.values = np.insert(self.values, where, made, axis=0)
-            at = np.searchsorted(self.keys, keys)
-        return (self.values[at] if self.values is not None else np.zeros((0, 1))), inverse
+    def __init__(self, width: int, kind=np.int64, bits: int = 19):
+        self.bits, self.width, self.kind = bits, width, kind
+        self.reset()
 
     def reset(self) -> None:
-        """What depends on the values starts anew."""
+        self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.zeros((1 << self.bits, self.width), self.kind)
+
+    def look(self, hashes: np.ndarray, make) -> np.ndarray:
+        """One row of values for each hash; `make(indices)` returns those of the items at the indices, one for each new hash."""
+        hashes = np.maximum(hashes, np.uint64(1))
+        mask = np.uint64((1 << self.bits) - 1)
+        one, two = (hashes & mask).astype(np.int64), ((hashes >> np.uint64(32)) & mask).astype(np.int64)
+        place = np.where(self.keys[one] == hashes, one, two)
+        out, new = self.values[place], np.flatnonzero(self.keys[place] != hashes)
+        if len(new):
+            keys, first, inverse = np.unique(hashes[new], return_index=True, return_inverse=True)
+            made = make(new[first])
+            out[new] = made[inverse]
+            where = np.where((self.keys[one[new[first]]] == 0) | (self.keys[two[new[first]]] != 0), one[new[first]], two[new[first]])
+            where, which = np.unique(where, return_index=True)
+            self.keys[where], self.values[where] = keys[which], made[which]
+        return out

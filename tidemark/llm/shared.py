@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; documents may be long.
-BATCH_ROWS = 2000
+#: Bytes of one Arrow batch; documents may be long. A session that names a bound keeps its own.
+BATCH_BYTES, _BOUND = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df; what its session hands to Python comes in batches of bounded bytes."""
+    conf = df.sparkSession.conf
+    if _BOUND not in conf.getAll:
+        conf.set(_BOUND, str(BATCH_BYTES))
+    return df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -26,13 +34,35 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
+    """The folder that driver and executors share. A local session that names none gets a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(named := tempfile.mkdtemp(prefix="tidemark-"))
     return named
 
 
+class Shelf:
+    """Tables of one run in the shared folder, as Parquet: smaller than checkpoints, and dropped by name once they are used."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, f"{shared_folder(spark)}/shelf-{uuid.uuid4().hex}", {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.paths)}"
+        df.write.parquet(path, compression="zstd")
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(kept)] = (path, kept)
+        return kept
+
+    def drop(self, *kept: DataFrame) -> None:
+        for df in kept:
+            path, _ = self.paths[id(df)]
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def shuffle_count(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -101,27 +131,25 @@ def _forest(batches):
     yield pd.DataFrame({"u": ids[moved], "v": ids[root[moved]]})
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component_id) for every id that occurs in edges (a, b); component_id is the smallest id reachable.
 
-    Parts of a bounded number of edges become stars first. Then large-star and small-star rounds join the parts' stars: each
-    replaces the edges by as many or fewer, and the number of rounds is logarithmic. Minima are aggregated before they are
-    shuffled; the join that hands them back may be split where an id has very many edges. Nothing is collected but one flag
-    a round.
+    Parts of a bounded number of edges become stars first; one part is the whole answer. Else large-star and small-star rounds
+    join the parts' stars until nothing moves: each replaces the edges by as many or fewer, and the number of rounds is
+    logarithmic. Minima are aggregated before they are shuffled; the join that hands them back may be split where an id has
+    very many edges. Nothing is collected but one flag a round.
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v"))
     e = cut(edges.distinct())
     parts = -(-e.count() // EDGES_A_TASK) or 1
-    e = cut(e.coalesce(parts).mapInPandas(_forest, "u long, v long"))
-    for _ in range(most_rounds):
+    e = cut((e.coalesce(1) if parts == 1 else e.repartition(parts, "u", "v")).mapInPandas(_forest, "u long, v long"))
+    while parts > 1:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.join(low, both.u == low.k).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = cut(large.coalesce(parts))
+        large = cut(both.join(low, both.u == low.k).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         joined = large.join(least, large.u == least.k)
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
-        e = cut(small.coalesce(parts))
+        e = cut(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct())
         # Stars: every id has one edge, and no centre has an edge of its own.
         if e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
             break

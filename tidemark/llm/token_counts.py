@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import scan
-from tidemark.llm.encoding import Encoder
+from tidemark.llm.encoding import encoder as encoder_of
 from tidemark.llm.shared import table
 
 LIMIT = 2048
@@ -30,7 +30,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of docs(doc_id, text) by the tokenizer file at `path`, which every executor can open."""
 
     def run(batches):
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             size, count = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for _, data, off in scan.texts(batch.column("text")):

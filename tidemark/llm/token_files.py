@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm import scan
-from tidemark.llm.encoding import Encoder
+from tidemark.llm.encoding import encoder as encoder_of
 from tidemark.llm.shared import shared_folder, shuffle_count, table
 from tidemark.llm.token_counts import tokenizer_path
 
@@ -51,7 +51,7 @@ def _writer(path: str, end: int):
         import zstandard
         from pyspark import TaskContext
 
-        compress, encoder = zstandard.ZstdCompressor(level=LEVEL).compress, Encoder(path)
+        compress, encoder = zstandard.ZstdCompressor(level=LEVEL).compress, encoder_of(path)
         shard, segment, before = TaskContext.get().partitionId(), 0, 0
         names = [c.split()[0] for c in SEGMENTS.split(", ")]
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 2, *[pa.list_(pa.int32())] * 2, pa.list_(pa.binary())]

@@ -173,8 +173,8 @@ def train(texts: list[str], y: np.ndarray, seed: int = 5) -> Model:
 
 
 class _Words(scan.Memo):
-    def __init__(self, parts: np.ndarray, most: int = 1_500_000):
-        super().__init__(most)
+    def __init__(self, parts: np.ndarray):
+        super().__init__(1, np.float64)
         self.parts = parts
 
     def means(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -183,8 +183,8 @@ class _Words(scan.Memo):
         if not len(starts):
             return np.zeros(n)
 
-        values, inverse = self.look(scan.span_hashes(data, starts, ends), lambda which: word_means(self.parts, data, starts[which], ends[which])[:, None])
-        return np.bincount(doc, values[inverse, 0], n) / np.maximum(np.bincount(doc, minlength=n), 1)
+        values = self.look(scan.span_hashes(data, starts, ends), lambda which: word_means(self.parts, data, starts[which], ends[which])[:, None])
+        return np.bincount(doc, values[:, 0], n) / np.maximum(np.bincount(doc, minlength=n), 1)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
