@@ -127,12 +127,56 @@ def test_packing(docs, none):
 
 
 def test_bin_completion_beats_or_equals_best_fit():
-    r = random.Random(3)
-    for _ in range(30):
-        x = [r.randrange(1, 1024) for _ in range(40)]
-        bins = packing.complete(x)
+    r, better = random.Random(3), 0
+    for n in (1, 2, 40, 40, 40, 60, 1200, 1200, 1200, 4096):
+        x = [min(1023, max(1, int(r.lognormvariate(6, 0.8)))) for _ in range(n)]
+        bins, least = packing.complete(x)
+        first = packing.best_fit(x, 1024)
         assert sorted(v for b in bins for v in b) == sorted(x) and all(sum(b) <= 1024 for b in bins)
-        assert -(-sum(x) // 1024) <= len(bins) <= len(packing.best_fit(x, 1024))
+        assert least <= len(bins) <= len(first)
+        better += len(bins) < len(first)
+    assert better
+
+
+def test_bin_completion_finds_the_fewest_bins():
+    r = random.Random(5)
+
+    def fewest(x, rooms):
+        """Brute force: the fewest bins of 20 for the descending lengths x."""
+        if not x:
+            return len(rooms)
+        tries = [fewest(x[1:], rooms[:k] + [room - x[0]] + rooms[k + 1 :]) for k, room in enumerate(rooms) if room >= x[0] and room not in rooms[:k]]
+        return min([*tries, fewest(x[1:], [*rooms, 20 - x[0]])])
+
+    for _ in range(25):
+        x = sorted((r.randrange(3, 13) for _ in range(8)), reverse=True)
+        bins, least = packing.complete(x, 20)
+        best = fewest(x, [])
+        assert least <= best and len(bins) == best
+
+
+def test_fillings_are_the_undominated_ones():
+    r = random.Random(7)
+    for _ in range(60):
+        x, room = [r.randrange(1, 30) for _ in range(8)], r.randrange(5, 40)
+        stock = packing.Stock(x, 40)
+        subsets = {tuple(sorted((x[k] for k in range(8) if m >> k & 1), reverse=True)) for m in range(256)}
+        fit = {s for s in subsets if sum(s) <= room}
+
+        def covers(big, small):
+            """Whether the pieces of `small` can be put into pieces of `big`."""
+            if not small:
+                return True
+            return any(covers(big[:k] + (big[k] - small[0],) + big[k + 1 :], small[1:]) for k in range(len(big)) if big[k] >= small[0])
+
+        want = {s for s in fit if not any(t != s and covers(t, s) for t in fit)}
+        got = list(packing.fillings(stock, room, room, packing.Effort(10**6)))
+        assert want <= set(got) and len(got) == len(set(got)) and stock.lengths() == sorted(x)
+        assert [sum(g) for g in got] == sorted((sum(g) for g in got), reverse=True)
+        if len(x) == len(set(x)):
+            # Replacing by single pieces left over is what is tested, so a filling that only several pieces cover may stay.
+            assert all(g in want or not any(covers((y,), p) for y in x if y not in g for p in [g] if y <= room) for g in got)
+    assert list(packing.fillings(packing.Stock([500, 400, 300, 200, 100, 90, 50], 1024), 524, 524, packing.Effort(10**6))) == [(500,)]
 
 
 def test_token_files_round_trip(docs, none, tmp_path):
