@@ -75,7 +75,7 @@ def test_tree_walk_finds_what_comparing_all_finds():
     sets = [np.unique(np.concatenate([c[: 80 - k % 14], r.integers(0, 1 << 60, k % 14, dtype=np.uint64)])) for c in centres for k in range(40)]
     import pandas as pd
 
-    rows = pd.DataFrame({"gid": 1, "left": 0, "right": 0, "block": 0, "node": range(len(sets)), "first": [int(s[0]) for s in sets], "n": [len(s) for s in sets], "comp": range(len(sets)), "bits": [ngram_join.bitmap(s) for s in sets]})
+    rows = pd.DataFrame({"gid": 1, "left": 0, "right": 0, "block": 0, "node": range(len(sets)), "first": [int(s[0]) for s in sets], "n": [len(s) for s in sets], "comp": range(len(sets)), "low": [[1]] * len(sets), "bits": [ngram_join.bitmap(s) for s in sets]})
     got = {tuple(p) for p in ngram_join._candidates(rows, None)[["a", "b"]].to_numpy().tolist()}
     for a in range(len(sets)):
         for b in range(a):
@@ -188,6 +188,15 @@ def test_token_files_round_trip(docs, none, tmp_path):
         assert got[k] == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     assert docs.sparkSession.read.parquet(str(tmp_path / "t/index")).agg(F.sum("n_ids")).first()[0] == start
+    every = [i for t in TEXTS for i in (*tok.encode(t or "", add_special_tokens=False).ids, 0)]
+    for lo, hi in ((0, 5), (65_530, 65_545), (start - 3, start + 9), (7, 7)):
+        part = sorted((r.position, r.id) for r in token_files.read_range(docs.sparkSession, str(tmp_path / "t"), lo, hi).collect())
+        assert part == [(k, every[k]) for k in range(lo, min(hi, start))]
+    again = docs.select(F.lit(None).cast("long").alias("doc_id"), "text").unionByName(docs.select("doc_id", "text")).unionByName(docs.select("doc_id", "text"))
+    token_files.write_ids(again, file("byte_bpe_50k.json"), str(tmp_path / "r"))
+    rows = sorted(token_files.read_documents(docs.sparkSession, str(tmp_path / "r")).collect(), key=lambda r: r.start)
+    assert len(rows) == 3 * len(TEXTS) and [r.start for r in rows] == [sum(x.n_tokens for x in rows[:k]) for k in range(len(rows))]
+    assert [r.doc_id for r in rows] == [None] * len(TEXTS) + sorted([*range(len(TEXTS))] * 2)
     token_files.write_ids(none, file("byte_bpe_50k.json"), str(tmp_path / "n"))
     assert token_files.read_documents(docs.sparkSession, str(tmp_path / "n")).count() == 0
 

@@ -12,7 +12,8 @@ Texts are sets of 5-word shingles. Two sets link when their Jaccard similarity r
 4. Then two trees are walked together from their roots; a pair of tree nodes is dropped when the largest possible overlap is
    below what the smallest sizes require, when the sizes are out of proportion, or when both lie in one component. Pairs of
    leaves that remain are tested exactly. Where very many remain between two components, each leaf's best partner goes first;
-   if the components stay apart, a last walk passes on every pair, so nothing is lost.
+   if the components stay apart, a last walk passes on every pair, so nothing is lost. A leaf knows its smallest few groups:
+   a pair that meets in one of these is passed on there, not in each later group that it shares.
 5. Large groups are cut into blocks, and pairs of blocks are separate tasks. Leaves of a group's largest component meet only
    the others.
 
@@ -24,6 +25,8 @@ linked with nothing. Extra columns are ignored.
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -42,8 +45,8 @@ SKETCH_PARTS = 64
 BLOCK, FANOUT = 1024, 8
 #: Bytes of bitmaps dealt to one task, and sets that a task remembers to have posted.
 TASK_BYTES, SEEN = 8 << 20, 1 << 20
-#: Pairs between two components that a walk passes on before only each leaf's best partner goes.
-MANY = 256
+#: Pairs between two components that a walk passes on before only each leaf's best partner goes, and groups that a leaf knows.
+MANY, KNOWN = 256, 4
 _LONGEST = 1 << 20  # bits of the longest bitmap
 
 _FIRST_PASS = "doc_id long, n long, node long, first long, bits binary, part int, counts binary"
@@ -265,6 +268,9 @@ def _candidates(pdf: pd.DataFrame, many: int | None) -> pd.DataFrame:
     unit = 2 * group + ((pdf["block"] == pdf["right"]) & (pdf["left"] != pdf["right"])).to_numpy(np.int64)
     selfs = np.unique(group[(pdf["left"] == pdf["right"]).to_numpy()])
     width, n, node, comp, raw = pdf["width"].to_numpy(), pdf["n"].to_numpy(np.int64), pdf["node"].to_numpy(np.int64), pdf["comp"].to_numpy(np.int64), pdf["bits"].to_numpy()
+    gid, low = pdf["gid"].to_numpy(np.int64), np.full((len(pdf), KNOWN), np.iinfo(np.int64).max)
+    for k, known in enumerate(pdf["low"]):
+        low[k, : len(known)] = known
     # Components are numbered within the task.
     comp = np.unique(comp, return_inverse=True)[1].astype(np.int64)
     found, partial = [np.zeros((0, 2), np.int64)], [np.zeros(0, bool)]
@@ -278,6 +284,11 @@ def _candidates(pdf: pd.DataFrame, many: int | None) -> pd.DataFrame:
             while len(b.levels) < len(a.levels):
                 b.raise_level()
             for i, j in walk(a, b, a.roots(left[ok]), b.roots(right[ok])):
+                met, here = np.zeros(len(i), bool), gid[rows_a[i]]
+                for x, y in product(range(KNOWN), repeat=2):
+                    x, y = low[rows_a[i], x], low[rows_b[j], y]
+                    met |= (x == y) & (x < here)
+                i, j = i[~met], j[~met]
                 names = np.stack([node[rows_a[i]], node[rows_b[j]]], 1)
                 more = np.zeros(len(i), bool)
                 if many is not None and len(i) > many:
@@ -350,8 +361,7 @@ class Join:
     def lanes(self, rows: DataFrame, *place: str) -> DataFrame:
         """rows with `lane`: as many lanes as leave each a bounded number of bytes, for hashes fall evenly."""
         n = max(self.parts, int(rows.count() * self.bytes_a_leaf / TASK_BYTES) + 1)
-        leaves = self.nodes.select("node", "n", "first", "bits")
-        return rows.drop("n").join(leaves, "node").withColumn("lane", bucket_of(*place, n=n)).groupBy("lane")
+        return rows.join(self.nodes.select("node", "n", "first", "bits"), "node").withColumn("lane", bucket_of(*place, n=n)).groupBy("lane")
 
     def groups(self) -> DataFrame:
         """(gid, node): the nodes that share a shingle of their prefixes, once for all shingles that the same nodes share."""
@@ -398,7 +408,8 @@ class Join:
         each other.
         """
         comps = components(self.links).select(F.col("id").alias("node"), F.col("component_id").alias("comp"))
-        rows = groups.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        known = groups.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("gid")), 1, KNOWN).alias("low"))
+        rows = groups.join(known, "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         rows = rows if among is None else rows.join(among, "comp", "left_semi")
         each = rows.groupBy("gid", "comp").agg(F.count("*").alias("c"))
         spread = each.groupBy("gid").agg(F.max_by("comp", "c").alias("hub"), F.max("c").alias("m"), F.sum("c").alias("total"), F.count("*").alias("comps")).filter("comps > 1")
@@ -408,7 +419,7 @@ class Join:
         in_hub, turn = (F.col("comp") == F.col("hub")) & (F.col("hubs") > 0), F.xxhash64("node", F.lit(1))
         rows = rows.withColumn("block", F.when(in_hub, -1 - F.pmod(turn, F.greatest("hubs", F.lit(1)))).otherwise(F.pmod(turn, "blocks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.when(in_hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.sequence(-F.col("hubs"), F.col("blocks") - 1))))
-        return self.shelf.keep(rows.select("gid", "node", "comp", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")))
+        return self.shelf.keep(rows.select("gid", "node", "comp", "low", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")))
 
     def walk(self, groups: DataFrame, many: int | None, among: DataFrame | None = None) -> DataFrame | None:
         """Walks the trees of open groups and adds what they link. Returns the components (comp) of which pairs are left to walk, if any."""

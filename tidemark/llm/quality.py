@@ -2,10 +2,11 @@
 
 A document is cut into overlapping chunks that cover it to its last byte. Learned byte embeddings pass through learned
 filters; each filter's largest response over a chunk is kept, and the largest and the mean over all chunks are combined into
-one probability. Training reads a sample of at most TRAIN_ROWS labelled documents that are not held out.
+one probability. Training reads whole texts of a sample of labelled documents that are not held out, of at most TRAIN_ROWS rows
+and TRAIN_BYTES together.
 
 Defined results: a null text counts as empty; an empty text is one chunk of padding and gets a score too. Repeated rows are
-scored each. Without any labelled row of either class every score is the share of label 1 in the sample (0.5 if there is none).
+scored each. A null doc_id has a null held_out. Without any labelled row of either class every score is the share of label 1 in the sample (0.5 if there is none).
 Extra columns are ignored.
 """
 
@@ -18,12 +19,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import scan
 from tidemark.llm.labelled import held_out, sample
-from tidemark.llm.shared import table
+from tidemark.llm.shared import bounded_batches, table
 
 CHUNK, STRIDE, WIDTH = 512, 448, 6
 DIMS, FILTERS = 6, 16
-TRAIN_ROWS, TRAIN_BYTES = 3000, 1 << 16
-EPOCHS, BATCH, CHUNKS_A_TEXT = 8, 48, 6
+TRAIN_ROWS, TRAIN_BYTES = 3000, 32 << 20
+#: Passes over the sample, or more where it is small, so that a network takes STEPS steps at least.
+EPOCHS, STEPS, BATCH = 6, 400, 48
+#: Chunks whose responses are held at once.
+AT_ONCE = 96
 THRESHOLD = 0.3
 
 
@@ -77,8 +81,8 @@ class Network:
     def pooled(self, data: np.ndarray, off: np.ndarray, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         starts, owner = chunk_starts(off)
         ends, best = off[1:][owner], []
-        for lo in range(0, len(starts), 96):
-            best.append(self.responses(chunk_bytes(data, starts[lo : lo + 96], ends[lo : lo + 96]), tables)[0])
+        for lo in range(0, len(starts), AT_ONCE):
+            best.append(self.responses(chunk_bytes(data, starts[lo : lo + AT_ONCE], ends[lo : lo + AT_ONCE]), tables)[0])
         best = np.maximum(np.concatenate(best) + self.p["bias"], 0)
         first = np.searchsorted(owner, np.arange(len(off) - 1))
         return np.maximum.reduceat(best, first), np.add.reduceat(best, first) / np.bincount(owner, minlength=len(off) - 1)[:, None]
@@ -89,8 +93,8 @@ class Network:
 
     def step(self, rows: np.ndarray, owner: np.ndarray, y: np.ndarray, rate: float) -> None:
         """One gradient step; rows are chunks, owner their texts (ascending), y the texts' labels."""
-        p, count = self.p, np.bincount(owner, minlength=len(y))
-        best, at = self.responses(rows, self.tables(), True)
+        p, count, tables = self.p, np.bincount(owner, minlength=len(y)), self.tables()
+        best, at = (np.concatenate(x) for x in zip(*(self.responses(rows[lo : lo + AT_ONCE], tables, True) for lo in range(0, len(rows), AT_ONCE))))
         act = np.maximum(best + p["bias"], 0)
         first = np.searchsorted(owner, np.arange(len(y)))
         top, mean = np.maximum.reduceat(act, first), np.add.reduceat(act, first) / count[:, None]
@@ -125,16 +129,16 @@ def train(texts: list[str], y: np.ndarray, seed: int = 3) -> Network:
     data, off = scan.column_bytes(pa.array(texts, pa.large_string()))
     starts, owner = chunk_starts(off)
     bounds = np.searchsorted(owner, np.arange(len(off)))
-    total = EPOCHS * -(-len(y) // BATCH)
-    for _ in range(EPOCHS):
+    steps = -(-len(y) // BATCH)
+    epochs = max(EPOCHS, -(-STEPS // steps))
+    total = epochs * steps
+    for _ in range(epochs):
         order = r.permutation(len(y))
         for lo in range(0, len(y), BATCH):
             which = order[lo : lo + BATCH]
-            # A long text lends a few of its chunks to a step, others to the next.
-            picks = [np.sort(r.choice(np.arange(bounds[i], bounds[i + 1]), min(CHUNKS_A_TEXT, bounds[i + 1] - bounds[i]), replace=False)) for i in which]
-            flat = np.concatenate(picks)
+            flat = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in which])
             rows = chunk_bytes(data, starts[flat], off[1:][owner[flat]])
-            net.step(rows, np.repeat(np.arange(len(which)), [len(x) for x in picks]), y[which], 0.02 * (1 - net.t / total) + 0.001)
+            net.step(rows, np.repeat(np.arange(len(which)), bounds[which + 1] - bounds[which]), y[which], 0.02 * (1 - net.t / total) + 0.001)
     return net
 
 
@@ -151,7 +155,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return docs.select(*names).mapInArrow(run, StructType([*others, StructField("score", DoubleType())]))
+    return bounded_batches(docs).select(*names).mapInArrow(run, StructType([*others, StructField("score", DoubleType())]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Network:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import scan
 from tidemark.llm.encoding import encoder as encoder_of
-from tidemark.llm.shared import table
+from tidemark.llm.shared import bounded_batches, table
 
 LIMIT = 2048
 
@@ -38,7 +38,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
                 count.append(encoder.counts(data, off))
             yield pa.record_batch([batch.column("doc_id"), pa.array(np.concatenate(size)), pa.array(np.concatenate(count))], ["doc_id", "n_bytes", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ A dataset has two parts, both written by Spark's own committer, so a lost task l
 `segments/`: one row holds the ids of consecutive whole documents (doc_ids, lengths) as `blocks`. A block is up to BLOCK_IDS
 ids; bit b of all its ids is one plane, packed eight to a byte, and each plane is a zstandard frame. Blocks have as many planes
 as their largest id needs bits.
-`index/`: one row for each block: shard, segment, block, start (ids before it in the whole dataset), n_ids, n_bytes.
+`index/`: one row for each block: shard, segment, block, start (ids before it in the whole dataset), n_ids, n_bytes. A range of
+ids is read by it: only the blocks that hold some are decompressed (`read_range`).
 
 Rows are dealt by ranges of doc_id, so shards, segments and documents follow each other in ascending order of doc_id.
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import scan
 from tidemark.llm.encoding import encoder as encoder_of
-from tidemark.llm.shared import shared_folder, shuffle_count, table
+from tidemark.llm.shared import bounded_batches, shared_folder, shuffle_count, table
 from tidemark.llm.token_counts import tokenizer_path
 
 BLOCK_IDS, SEGMENT_IDS, END, LEVEL = 1 << 16, 1 << 19, 0, 3
@@ -86,7 +87,7 @@ def _writer(path: str, end: int):
 
 def write_ids(docs: DataFrame, tokenizer: str, folder: str, end: int = END) -> None:
     """Writes the ids of docs(doc_id, text) to `folder`, a path that all executors share."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ranged = rows.repartitionByRange(shuffle_count(rows), "doc_id").sortWithinPartitions("doc_id", "text")
     ranged.mapInArrow(_writer(tokenizer, end), SEGMENTS).write.parquet(f"{folder}/segments", compression="none")
     spark = docs.sparkSession
@@ -125,12 +126,35 @@ def _reader(batches):
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files. A segment stands alone: nothing is shuffled."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    parts = spark.read.parquet(f"{folder}/segments")
+    parts = bounded_batches(spark.read.parquet(f"{folder}/segments"))
     rows = parts.select("shard", "before", "doc_ids", "lengths", "block_ids", "block_planes", "planes").mapInArrow(_reader, "shard int, doc_id long, inside long, n_tokens long, ids_crc32 long")
     return rows.join(F.broadcast(_shard_starts(parts)), "shard").select("doc_id", (F.col("inside") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def _block_reader(first: int, last: int):
+    def run(batches):
+        import zstandard
+
+        decompress = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for r in batch.to_pylist():
+                opens = np.concatenate([[0], np.cumsum(r["block_planes"])])
+                for b in r["wanted"]:
+                    ids = from_planes(r["planes"][opens[b["block"]] : opens[b["block"] + 1]], b["n_ids"], decompress)
+                    lo, hi = max(0, first - b["start"]), min(len(ids), last - b["start"])
+                    yield pa.record_batch([pa.array(b["start"] + np.arange(lo, hi)), pa.array(ids[lo:hi].astype(np.int64))], ["position", "id"])
+
+    return run
+
+
+def read_range(spark: SparkSession, folder: str, first: int, last: int) -> DataFrame:
+    """(position, id) of the ids at places first to last - 1 of the dataset, found by the index. Places that it has not are left out."""
+    held = spark.read.parquet(f"{folder}/index").filter((F.col("start") < last) & (F.col("start") + F.col("n_ids") > first))
+    held = held.groupBy("shard", "segment").agg(F.collect_list(F.struct("block", "start", "n_ids")).alias("wanted"))
+    parts = bounded_batches(spark.read.parquet(f"{folder}/segments")).select("shard", "segment", "block_planes", "planes")
+    return parts.join(held, ["shard", "segment"]).select("block_planes", "planes", "wanted").mapInArrow(_block_reader(first, last), "position long, id long")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/token-ids-{uuid.uuid4().hex}"
     write_ids(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), folder)

@@ -1,13 +1,15 @@
 """Toxicity classifier: subword-bag embeddings, averaged, under a linear softmax; both are trained together in numpy.
 
 A word is the bag of all its byte n-grams (with word edges) and itself, hashed to a fixed number of embeddings; a text is the
-mean of its words. Words end at white space and ASCII signs, so a text without them is one word, of which every byte counts. A misspelt word shares most n-grams with the word it stands for, seen or not. Training reads a sample of at
-most TRAIN_ROWS labelled documents that are not held out.
+mean of its words. Words end at white space and ASCII signs, so a text without them is one word, of which every byte counts. A
+misspelt word shares most n-grams with the word it stands for, seen or not. Training reads whole texts of a sample of labelled
+documents that are not held out, of at most TRAIN_ROWS rows and TRAIN_BYTES together; the rarer class counts more, by the root
+of the classes' ratio.
 
 Because the softmax is linear, a word's part of the score is one number; tasks keep it for the words they have met.
 
 Defined results: a null text counts as empty; a text without words gets the score of the bias alone. Repeated rows are scored
-each. Without labelled rows of both classes every score is the share of label 1 in the sample. Extra columns are ignored.
+each. A null doc_id has a null held_out. Without labelled rows of both classes every score is the share of label 1 in the sample. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,12 +21,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import scan
 from tidemark.llm.labelled import held_out, sample
-from tidemark.llm.shared import table
+from tidemark.llm.shared import bounded_batches, table
 
 GRAMS = (3, 4, 5)
 BUCKETS, DIMS = 1 << 18, 4
-TRAIN_ROWS, TRAIN_BYTES = 8000, 1 << 15
-EPOCHS, BATCH, RATE = 8, 128, 0.1
+TRAIN_ROWS, TRAIN_BYTES = 8000, 24 << 20
+#: Passes over the sample, or more where it is small, so that a model takes STEPS steps at least.
+EPOCHS, STEPS, BATCH, RATE = 10, 1000, 128, 0.05
 THRESHOLD = 0.5
 #: Bytes of text whose n-grams are held at once. A longer word is read piece by piece.
 PART_BYTES = 1 << 19
@@ -93,8 +96,8 @@ class Model:
         side = self.p["classes"][:, 1] - self.p["classes"][:, 0]
         return self.p["grams"] @ side, float(self.p["bias"][1] - self.p["bias"][0])
 
-    def step(self, ids, who, word, doc, y, rate):
-        """ids/who: n-grams of the batch's distinct words; word/doc: the words of each text in order."""
+    def step(self, ids, who, word, doc, y, rate, weight):
+        """ids/who: n-grams of the batch's distinct words; word/doc: the words of each text in order; weight: of each class."""
         p, n_words = self.p, int(who[-1]) + 1 if len(who) else 0
         per_word = np.bincount(who, minlength=n_words).astype(float)
         opens = np.searchsorted(who, np.arange(n_words))
@@ -108,18 +111,18 @@ class Model:
         z -= z.max(1, keepdims=True)
         soft = np.exp(z) / np.exp(z).sum(1, keepdims=True)
         soft[np.arange(len(y)), y] -= 1
-        d = soft / len(y)
-        g = {"classes": mean.T @ d, "bias": d.sum(0)}
+        d = soft * weight[y][:, None] / len(y)
         back = (d @ p["classes"].T) / size[:, None]
         to_word = np.stack([np.bincount(word, back[doc, k], n_words) for k in range(DIMS)], 1) / per_word[:, None]
-        g["grams"] = np.stack([np.bincount(ids, to_word[who, k], BUCKETS) for k in range(DIMS)], 1)
+        met = np.flatnonzero(np.bincount(ids, minlength=BUCKETS))
+        g = {"classes": mean.T @ d, "bias": d.sum(0), "grams": np.stack([np.bincount(ids, to_word[who, k], BUCKETS)[met] for k in range(DIMS)], 1)}
         self.t += 1
         for k, x in g.items():
-            self.m[k] *= 0.9
-            self.m[k] += 0.1 * x
-            self.v[k] *= 0.99
-            self.v[k] += 0.01 * x * x
-            p[k] -= rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-7)
+            # Only the embeddings met in the batch move.
+            at = met if k == "grams" else slice(None)
+            m, v = 0.9 * self.m[k][at] + 0.1 * x, 0.99 * self.v[k][at] + 0.01 * x * x
+            self.m[k][at], self.v[k][at] = m, v
+            p[k][at] -= rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-7)
 
 
 def vocabulary(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -158,8 +161,12 @@ def train(texts: list[str], y: np.ndarray, seed: int = 5) -> Model:
         return model
     ids, opens, word, doc = vocabulary(texts)
     bounds = np.searchsorted(doc, np.arange(len(y) + 1))
-    total = EPOCHS * -(-len(y) // BATCH)
-    for _ in range(EPOCHS):
+    count = np.bincount(y, minlength=2)
+    weight = np.sqrt(count.max() / np.maximum(count, 1))
+    steps = -(-len(y) // BATCH)
+    epochs = max(EPOCHS, -(-STEPS // steps))
+    total = epochs * steps
+    for _ in range(epochs):
         order = r.permutation(len(y))
         for lo in range(0, len(y), BATCH):
             which = order[lo : lo + BATCH]
@@ -168,7 +175,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = 5) -> Model:
             own, local = np.unique(w, return_inverse=True)
             count = opens[own + 1] - opens[own]
             at = np.repeat(opens[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            model.step(ids[at], np.repeat(np.arange(len(own)), count), local, np.repeat(np.arange(len(which)), each), y[which], RATE * (1 - model.t / total) + 0.002)
+            model.step(ids[at], np.repeat(np.arange(len(own)), count), local, np.repeat(np.arange(len(which)), each), y[which], RATE * (1 - model.t / total) + 0.002, weight)
     return model
 
 
@@ -199,7 +206,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             z = np.clip(np.concatenate([np.zeros(0), *got]) + bias, -30, 30)
             yield pa.record_batch([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-z)))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
