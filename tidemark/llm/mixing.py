@@ -29,9 +29,9 @@ _WHOLE = 1e-9
 PLAN_ROWS, PLAN_BYTES = 10_000, 1 << 20
 
 
-def sized(docs: DataFrame) -> DataFrame:
+def sized(docs: DataFrame, carry: tuple = ()) -> DataFrame:
     words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("~")).alias("key"), words.alias("size"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("~")).alias("key"), words.alias("size"), *carry)
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -75,9 +75,9 @@ def _pivot(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(fraction=np.where(opened, f, np.round(f)), open=opened)
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """(doc_id, key, size, source_size, target, copies) of docs(doc_id, text, source)."""
-    rows = cut(sized(docs))
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, carry: tuple = ()) -> DataFrame:
+    """(doc_id, key, size, source_size, target, copies) of docs(doc_id, text, source), and columns of docs of type long to carry along."""
+    rows = cut(sized(docs, carry))
     plan = cut(targets(rows.groupBy("key").agg(F.sum("size").alias("source_size"), F.count("*").alias("members")), weights, share, most))
     extent = plan.agg(F.max("members").alias("members"), F.count("*").alias("n"), F.sum(F.octet_length("key")).alias("bytes")).first()
     small = extent.n <= PLAN_ROWS and (extent.bytes or 0) <= PLAN_BYTES
@@ -86,8 +86,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     order = F.xxhash64("doc_id", "size")
     groups = F.ceil(F.col("members") / GROUP)
     wanted = wanted.withColumn("order", order).withColumn("salt", F.pmod("order", groups))
-    names = ["doc_id", "key", "size", "source_size", "target", "base", "order", "salt", "fraction"]
-    schema = "doc_id long, key string, size long, source_size long, target double, base long, order long, salt long, fraction double, open boolean"
+    names = ["doc_id", "key", "size", "source_size", "target", "base", "order", "salt", "fraction", *carry]
+    schema = "doc_id long, key string, size long, source_size long, target double, base long, order long, salt long, fraction double, " + "".join(f"{c} long, " for c in carry) + "open boolean"
     # Rows without words or without a fraction need no partner.
     settled = (F.col("size") == 0) | (F.col("fraction") <= _WHOLE) | (F.col("fraction") >= 1 - _WHOLE)
     done = [wanted.filter(settled).select(*names).withColumn("open", F.lit(False)).withColumn("fraction", F.round("fraction"))]
@@ -104,7 +104,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     out = todo.withColumn("open", F.lit(False)).withColumn("fraction", chance.cast("double"))
     for part in done:
         out = out.unionByName(part)
-    return out.select("doc_id", "key", "size", "source_size", "target", (F.col("base") + F.col("fraction")).cast("long").alias("copies"))
+    return out.select("doc_id", "key", "size", "source_size", "target", (F.col("base") + F.col("fraction")).cast("long").alias("copies"), *carry)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
