@@ -1,6 +1,7 @@
 from datetime import date, timedelta
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
 from tidemark.operators import graph, identity, quality, ranks, series
@@ -14,6 +15,10 @@ def days(values):
     return pd.Series([float(v) for v in values], index=[D + timedelta(days=k) for k in range(len(values))])
 
 
+def rows_of(df):
+    return rows(df)
+
+
 def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
@@ -41,18 +46,31 @@ def test_half_dip():
     assert quality.find_windows(days(v), {}, 0.25) == []
 
 
-def test_rollback_recovers_or_releases():
-    level = {0: 0, 1: 100, 2: 100, 3: 100, 4: 5}
-    got = quality.rollback_verdicts([(0, 0.0), (1, 0.1), (2, 0.0), (3, 0.0), (4, 0.0)], lambda a, b: level[b])
-    assert [x for _, x in got] == ["use", "hold", "hold", "hold", "use"]
-    got = quality.rollback_verdicts([(k, 0.1 if k == 1 else 0.0) for k in range(11)], lambda a, b: 100)
-    assert [x for _, x in got] == ["use"] + ["hold"] * 8 + ["release", "use"]
+def test_rollback_recovers_or_releases(spark):
+    def verdicts(levels, partial=()):
+        rows = [(f"a/{i}", D + timedelta(k), v) for k, v in enumerate(levels) for i in range(1 if k in partial else 4)]
+        return [(r.verdict, r.base and (r.base - D).days) for r in quality.usable_snapshots(spark.createDataFrame(rows, "id string, day date, dl_all long")).collect()]
+
+    got = verdicts([1000, 900, 905, 910, 995, 1010])
+    assert got == [("first", None), ("hold", None), ("hold", None), ("hold", None), ("use", 0), ("use", 4)]
+    got = verdicts([1000] + [900] * 9 + [901])
+    assert got == [("first", None)] + [("release", k) for k in range(9)] + [("use", 9)]
+    assert verdicts([1000, 1001, 1002], partial=(1,)) == [("first", None), ("partial", None), ("use", 0)]
+    assert quality.usable_snapshots(spark.createDataFrame([], "id string, day date, dl_all long")).count() == 0
+
+
+def test_measured_through_released_snapshots(spark):
+    rows = [("a/x", D, 100), ("a/x", D + timedelta(1), 50), ("a/x", D + timedelta(3), 70), ("b/y", D, None), ("b/y", D + timedelta(1), 5), ("b/y", D + timedelta(3), 15)]
+    series_ = spark.createDataFrame(rows, "id string, day date, dl_all long")
+    tags = spark.createDataFrame([("a/x", "t")], "id string, pipeline_tag string")
+    chain = spark.createDataFrame([(D, "first", None), (D + timedelta(1), "release", D), (D + timedelta(3), "release", D + timedelta(1))], "day date, verdict string, base date")
+    assert rows_of(quality.measured(series_, tags, chain)) == [(D + timedelta(1), "t", 0), (D + timedelta(2), "other", 5), (D + timedelta(2), "t", 10), (D + timedelta(3), "other", 5), (D + timedelta(3), "t", 10)]
 
 
 def test_gap_is_spread(spark):
     s = spark.createDataFrame([("a/x", D, 0), ("a/x", D + timedelta(1), 0), ("a/x", D + timedelta(5), 40)], "id string, day date, dl_all long")
     tags = spark.createDataFrame([("a/x", "t")], "id string, tag string")
-    assert rows(series.hub_increment(s, tags)) == [(D + timedelta(k), "t", 10) for k in range(2, 6)]
+    assert rows(series.hub_increment(s, tags)) == [(D + timedelta(1), "t", 0), *[(D + timedelta(k), "t", 10) for k in range(2, 6)]]
 
 
 def test_renames(spark):
@@ -77,7 +95,8 @@ def test_rank_is_one_plus_strictly_greater(spark):
 
 def test_milestones(spark):
     s = spark.createDataFrame([("a", D, 5000), ("a", D + timedelta(3), 12000)], "id string, day date, dl_all long")
-    assert sorted((r.mark, r.day, r.before) for r in series.milestones(s).collect()) == [(1000, None, True), (10000, D + timedelta(3), False)]
+    got = sorted((r.mark, r.day, r.before) for r in series.milestones(s).collect())
+    assert got == [(1000, None, True), (10000, D + timedelta(3), False), (100000, None, False), (1000000, None, False)]
 
 
 def test_card_items(spark):
@@ -100,6 +119,44 @@ def test_series_round_trip_and_day_replace(spark, tmp_path):
         assert sorted((r.id, r.day, r.dl30) for r in got.collect()) == [("a", D, 7), ("a", D + timedelta(1), 3)]
 
 
+def land(folder, k, values, delivery=""):
+    pd.DataFrame({"id": [f"a/{i}" for i in range(len(values))], "downloads": 1, "downloadsAllTime": values, "likes": 0}).to_parquet(folder / f"{D + timedelta(k)}{delivery}.parquet")
+
+
+def tables(daily):
+    return [sorted(map(str, daily.read(t).collect())) for t in ("series", "hub", "authors")] + [sorted((r.day, r.verdict, r.base) for r in daily.read("days").collect())]
+
+
+def test_daily_run_day_by_day_again_and_at_once(spark, tmp_path):
+    from tidemark.streaming.incremental import Daily
+
+    ids = [f"a/{i}" for i in range(4)]
+    tags, authors = spark.createDataFrame([(i, "t") for i in ids], "id string, pipeline_tag string"), spark.createDataFrame([(i, "a") for i in ids], "id string, author string")
+    history = {0: [100, 200, 300, 400], 1: [110, 210, 310, 410], 2: [60, 160, 260, 360], 3: [62, 162, 262, 362], 5: [130, 230, 330, 430], 40: [140, 240, 340, 440]}
+    make = lambda name: Daily(spark, str(tmp_path / name), tags, authors, 1)
+    slow, fast, fresh = make("slow"), make("fast"), make("fresh")
+    for name in ("one", "all", "new"):
+        (tmp_path / name).mkdir()
+    for k, v in history.items():
+        land(tmp_path / "one", k, v)
+        land(tmp_path / "all", k, v)
+        slow.run(str(tmp_path / "one"))
+    for k in history:  # file order need not be day order
+        fast.run(str(tmp_path / "all"))
+    assert tables(slow) == tables(fast)
+    assert [v for _, v, _ in tables(slow)[3]] == ["first", "use", "hold", "hold", "use", "use"]
+    hub = {(r.day - D).days: r.dl for r in slow.read("hub").collect()}
+    assert hub == {1: 40, **{k: 20 for k in range(2, 6)}, **{k: 1 for k in range(6, 41)}}
+    # Delivered again, the fallen day is sound: what was held is measured after all.
+    land(tmp_path / "one", 2, [115, 215, 315, 415], ".2")
+    slow.run(str(tmp_path / "one"))
+    for k, v in (history | {2: [115, 215, 315, 415]}).items():
+        land(tmp_path / "new", k, v)
+    fresh.run(str(tmp_path / "new"))
+    assert tables(slow) == tables(fresh)
+    assert {r.dl_all for r in slow.read("series").filter(F.col("day") == D + timedelta(2)).collect()} == {115, 215, 315, 415}
+
+
 def test_incremental_equals_batch_and_replaces(spark, tmp_path):
     for k in range(2):
         pd.DataFrame({"id": ["a", "b"], "downloads": [k, k + 1], "downloadsAllTime": [10 + k, 20 + k], "likes": [0, 0]}).to_parquet(tmp_path / f"{D + timedelta(k)}.parquet")

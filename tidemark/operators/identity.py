@@ -50,11 +50,14 @@ def find_renames_by_day(series: DataFrame, least: int = 1000) -> DataFrame:
     return unambiguous(rename_candidates_by_day(series, least), ("day",))
 
 
-def resolve(renames: DataFrame, rounds: int = 32) -> DataFrame:
-    """(old, new) with new at the end of its chain, by pointer jumping; ids on a cycle keep their direct successor."""
-    start = cut(renames.select("old", "new").distinct())
-    r = start
-    for _ in range(rounds):
+def resolve(renames: DataFrame) -> DataFrame:
+    """(old, new) with new at the end of its chain, by pointer jumping.
+
+    No chain is longer than there are renames, so twice their logarithm of rounds ends every one; only ids that lead into a
+    cycle, which has no end, move on until then.
+    """
+    r = cut(renames.select("old", "new").distinct())
+    for _ in range(r.count().bit_length() + 1):
         nxt = r.select(F.col("old").alias("new"), F.col("new").alias("_n"))
         moved = cut(r.join(nxt, "new", "left").select("old", F.when(F.col("_n") == F.col("old"), F.col("new")).otherwise(F.coalesce("_n", "new")).alias("new")))
         if moved.join(r, ["old", "new"], "left_anti").isEmpty():

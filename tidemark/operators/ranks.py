@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -47,19 +47,20 @@ def boards(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def model_boards(m: DataFrame, n: int = 100) -> DataFrame:
-    """Boards of an entity table: growth asks for a base of 1,000 and 10,000 in 30 days, and leaves single spikes out."""
+def model_boards(m: DataFrame, last: Column, n: int = 100) -> DataFrame:
+    """Boards of an entity table: growth asks for a base of 1,000 and 10,000 in 30 days, and leaves single spikes out; breakouts were first seen within 30 days. Authors without a name have none."""
     from tidemark.operators.series import steady
 
-    authors = m.groupBy(F.col("author").alias("id")).agg(F.sum("dl30").alias("dl30"), F.sum("dl_7d").alias("dl_7d"))
+    authors = m.filter("author IS NOT NULL").groupBy(F.col("author").alias("id")).agg(F.sum("dl30").alias("dl30"), F.sum("dl_7d").alias("dl_7d"))
     risen = steady(m.filter((F.col("dl_base7d") >= 1000) & (F.col("dl30") >= 10000)))
-    gained = m.withColumn("gain", F.col("dl_7d") - F.col("dl_base7d"))
+    fresh = steady(m.filter(F.col("first_seen") >= F.date_sub(last, 30)), 0.8, 3)
     return boards(
         [
-            board(gained, "gainers_7d", "gain", n),
+            board(m, "gainers_7d", "dl_7d", n),
             board(m, "dl30", "dl30", n),
             board(m, "dl_all", "dl_all", n),
             board(risen, "growth_7d", "growth_7d", n),
+            board(fresh, "breakouts", "dl_7d", n),
             board(m.filter("dl30 >= 1000"), "likes_7d", "likes_7d", n),
             board(authors, "authors_dl30", "dl30", n),
             board(authors, "authors_7d", "dl_7d", n),

@@ -70,7 +70,8 @@ def new_by_week(events: DataFrame, tag: str, n: int = 5, days: int = 365) -> Dat
 
 
 def hub_chart(hub: DataFrame, n: int = 7, days: int = 90) -> DataFrame:
-    best = top_tags(hub, "pipeline_tag", F.sum("dl"), n, days)
+    """Daily totals of the largest tags since `days` before the last day, that day too; "other" is never one of them."""
+    best = top_tags(hub.filter("pipeline_tag <> 'other'"), "pipeline_tag", F.sum("dl"), n, days + 1)
     return with_other(hub, "pipeline_tag", best).groupBy("day", "pipeline_tag").agg(F.sum("dl").alias("dl"))
 
 
@@ -87,34 +88,102 @@ def coverage(series: DataFrame) -> DataFrame:
     return series.agg(F.countDistinct("day").alias("days"), F.min("day").alias("first"), F.max("day").alias("last"), F.countDistinct("id").alias("ids"))
 
 
-def year_gains(series: DataFrame, authors: DataFrame, year: int) -> DataFrame:
-    """(author, id, day, gain) within a year: positive gains spread over the days since an id's previous row."""
+def period_gains(series: DataFrame, authors: DataFrame, start, last, skip: DataFrame | None = None) -> DataFrame:
+    """(author, id, day, gain) of the days after `start` up to `last` (dates): gains since an id's previous snapshot, of ten days before the
+    start at most, spread over the days between. Losses and quiet days count as 0. `skip` (day): snapshots left out."""
+    start, last = F.lit(start).cast("date"), F.lit(last).cast("date")
+    rows = series.filter(F.col("day").between(F.date_sub(start, 10), last)).select("id", "day", "dl_all")
+    rows = rows if skip is None else rows.join(F.broadcast(skip.select("day").distinct()), "day", "left_anti")
     w = W.partitionBy("id").orderBy("day")
-    s = series.select("id", "day", "dl_all").withColumn("p", F.lag("dl_all").over(w)).withColumn("pd", F.lag("day").over(w)).filter("pd IS NOT NULL AND p IS NOT NULL AND dl_all > p")
-    s = s.withColumn("each", (F.col("dl_all") - F.col("p")) / F.datediff("day", "pd"))
-    s = s.select("id", F.explode(F.sequence(F.date_add("pd", 1), F.col("day"))).alias("day"), F.col("each").alias("gain"))
-    return s.filter(F.year("day") == year).join(authors, "id")
+    s = rows.withColumn("p", F.lag("dl_all").over(w)).withColumn("pd", F.lag("day").over(w)).filter("p IS NOT NULL AND dl_all IS NOT NULL").filter(F.col("day") > start)
+    s = s.withColumn("each", F.greatest(F.lit(0), F.col("dl_all") - F.col("p")) / F.datediff("day", "pd"))
+    s = s.select("id", F.explode(F.sequence(F.date_add("pd", 1), F.col("day"))).alias("day"), F.col("each").alias("gain")).filter(F.col("day") > start)
+    return s.join(authors, "id").select("author", "id", "day", "gain")
+
+
+def year_gains(series: DataFrame, authors: DataFrame, year: int) -> DataFrame:
+    return period_gains(series, authors, f"{year - 1}-12-31", f"{year}-12-31")
+
+
+def top_repos(gains: DataFrame, n: int = 5) -> DataFrame:
+    """(author, rank, id, downloads): an author's repos by gain, those with a gain."""
+    w = W.partitionBy("author").orderBy(F.col("downloads").desc(), "id")
+    g = gains.groupBy("author", "id").agg(F.round(F.sum("gain"), 6).alias("downloads")).filter("downloads > 0")
+    return g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("author", "rank", "id", "downloads")
+
+
+def period_months(gains: DataFrame) -> DataFrame:
+    return gains.groupBy("author", F.trunc("day", "month").alias("month")).agg(F.round(F.sum("gain"), 4).alias("downloads"))
+
+
+def year_summary(gains: DataFrame, start: str, last: str) -> DataFrame:
+    """A row for each author with a gain: total, seconds per download and downloads per minute, rank among authors, top repo and its share, best full week.
 
+    A week is full if its Monday is after `start` and before that of `last`.
+    """
+    from tidemark.operators.ranks import global_rank
 
-def year_summary(gains: DataFrame) -> DataFrame:
-    """Total, top repo and its share, best full week, best month of every author."""
-    total = gains.groupBy("author").agg(F.sum("gain").alias("downloads"))
-    by_repo = gains.groupBy("author", "id").agg(F.sum("gain").alias("v"))
-    best = by_repo.groupBy("author").agg(F.max(F.struct(F.round("v", 6).alias("v"), "id")).alias("m")).select("author", F.col("m.id").alias("top_id"), F.col("m.v").alias("top_v"))
-    weeks = gains.groupBy("author", week(F.col("day")).alias("week")).agg(F.sum("gain").alias("v"), F.countDistinct("day").alias("d")).filter("d = 7")
-    weeks = weeks.groupBy("author").agg(F.min(F.struct(-F.round("v", 6), "week"))["week"].alias("best_week"))
-    return total.join(best, "author").join(weeks, "author", "left").select("author", F.round("downloads", 4).alias("downloads"), "top_id", F.round(F.col("top_v") / F.col("downloads"), 6).alias("top_share"), "best_week")
+    total = gains.groupBy("author").agg(F.round(F.sum("gain"), 4).alias("downloads")).filter("downloads > 0")
+    best = top_repos(gains, 1).select("author", F.col("id").alias("top_id"), F.col("downloads").alias("top_v"))
+    full = gains.withColumn("week", week(F.col("day"))).filter((F.col("week") > F.lit(start).cast("date")) & (F.col("week") < week(F.lit(last).cast("date"))))
+    weeks = full.groupBy("author", "week").agg(F.sum("gain").alias("v")).groupBy("author").agg(F.min(F.struct(-F.round("v", 6), "week"))["week"].alias("best_week"))
+    out = global_rank(total, "downloads", "rank").join(best, "author", "left").join(weeks, "author", "left")
+    seconds = 365 * 86400
+    cadence = [F.round(seconds / F.col("downloads"), 2).alias("every_seconds"), F.round(F.col("downloads") / (seconds / 60), 6).alias("per_minute")]
+    return out.select("author", "downloads", *cadence, "rank", "top_id", F.round(F.col("top_v") / F.col("downloads"), 6).alias("top_share"), "best_week")
 
 
 def task_mix(m: DataFrame, n: int = 5) -> DataFrame:
-    """An author's five largest tags and their shares among them; no share when they are under 30 % of all."""
-    g = m.groupBy("author", "tag").agg(F.sum("v").alias("v")).filter("v > 0").withColumn("total", F.sum("v").over(W.partitionBy("author")))
+    """An author's five largest tags and their shares among them; no share when they are under 30 % of all, the untagged included."""
+    g = m.groupBy("author", "tag").agg(F.sum("v").alias("v")).withColumn("total", F.sum("v").over(W.partitionBy("author"))).filter("tag IS NOT NULL AND v > 0")
     w = W.partitionBy("author").orderBy(F.col("v").desc(), "tag")
     t = g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).withColumn("top", F.sum("v").over(W.partitionBy("author")))
     return t.select("author", "tag", "rank", "v", F.round(F.when(F.col("top") >= 0.3 * F.col("total"), F.col("v") / F.col("top")), 6).alias("share"))
 
 
-def likes_gained(series: DataFrame, authors: DataFrame, start, end) -> DataFrame:
-    """Likes now less likes as of the start, not under 0; new entities count in full."""
-    w = series.groupBy("id").agg(F.max_by("likes", "day").alias("now"), F.max_by(F.when(F.col("day") <= start, F.col("likes")), F.when(F.col("day") <= start, F.col("day"))).alias("then"))
-    return w.join(authors, "id").groupBy("author").agg(F.sum(F.greatest(F.lit(0), F.col("now") - F.coalesce("then", F.lit(0)))).alias("likes"))
+def likes_gained(series: DataFrame, authors: DataFrame, start, last) -> DataFrame:
+    """(author, likes, models_new): an author's likes on the last day less those of its repos at the start (looked up to ten days back), not under 0; and its repos first seen since."""
+    start, last = F.lit(start).cast("date"), F.lit(last).cast("date")
+    then = F.when(F.col("day").between(F.date_sub(start, 10), start), F.col("day"))
+    w = series.groupBy("id").agg(F.max(F.when(F.col("day") == last, F.col("likes"))).alias("now"), F.max_by("likes", then).alias("then"), F.min("day").alias("first_seen"))
+    w = w.join(authors, "id").groupBy("author")
+    gained = F.greatest(F.lit(0), F.sum(F.coalesce("now", F.lit(0))) - F.sum(F.coalesce("then", F.lit(0))))
+    return w.agg(gained.alias("likes"), F.count_if(F.col("first_seen") > start).alias("models_new"))
+
+
+def author_index(tables: dict[str, DataFrame]) -> DataFrame:
+    """(author, n_<kind>..., dl30): one row an author over tables(author, dl30) of several kinds."""
+    kinds = list(tables)
+    rows = None
+    for kind in kinds:
+        part = tables[kind].filter("author IS NOT NULL").groupBy("author").agg(F.count("*").alias(f"n_{kind}"), F.sum("dl30").alias("dl30"))
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    return rows.groupBy("author").agg(*[F.coalesce(F.sum(f"n_{k}"), F.lit(0)).alias(f"n_{k}") for k in kinds], F.coalesce(F.sum("dl30"), F.lit(0)).alias("dl30"))
+
+
+def resolve_author(names: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """(asked, author): names(asked) without regard to case, in the first of tables(author) that knows them; exact spellings first, then the smallest."""
+    known = None
+    for k, t in enumerate(tables):
+        part = t.filter("author IS NOT NULL").select("author").distinct().withColumn("order", F.lit(k))
+        known = part if known is None else known.unionByName(part)
+    met = names.withColumn("low", F.lower("asked")).join(known.withColumn("low", F.lower("author")), "low")
+    return met.groupBy("asked").agg(F.min(F.struct("order", (F.col("author") != F.col("asked")).cast("int").alias("other"), "author"))["author"].alias("author"))
+
+
+def change_between(series: DataFrame, authors: DataFrame, start, last, most_back: int = 10) -> DataFrame:
+    """(author, gain): what an author's totals gained between two days, each read up to ten days back, of repos known at both; not under 0 for each."""
+    at = lambda d: F.max_by("dl_all", F.when(F.col("day").between(F.date_sub(F.lit(d).cast("date"), most_back), F.lit(d).cast("date")), F.col("day")))
+    w = series.filter("dl_all IS NOT NULL").groupBy("id").agg(at(start).alias("a"), at(last).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
+    return w.join(authors, "id").groupBy("author").agg(F.sum(F.greatest(F.lit(0), F.col("b") - F.col("a"))).alias("gain"))
+
+
+def citing_authors(uses: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(year, tag, n, share): authors whose repos of a year use something of a kind, and their share of that year's using authors.
+
+    uses(author, dst, created), kinds(id, tag).
+    """
+    u = uses.select(F.year("created").alias("year"), "author", F.col("dst").alias("id"))
+    total = u.groupBy("year").agg(F.countDistinct("author").alias("c"))
+    n = u.join(kinds.select("id", "tag"), "id").groupBy("year", "tag").agg(F.countDistinct("author").alias("n"))
+    return n.join(total, "year").select("year", "tag", "n", F.round(F.col("n") / F.col("c"), 6).alias("share"))

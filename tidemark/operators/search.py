@@ -1,4 +1,4 @@
-"""Ranked search over ids and authors, many queries at once."""
+"""Ranked search over ids, titles and authors, many requests at once."""
 
 from __future__ import annotations
 
@@ -8,26 +8,70 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import part
 
+GRAM = 3
+#: Parts that a request's matches are cut to `limit` in before they meet.
+SALTS = 32
+
+
+def grams(text):
+    """Distinct runs of three characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (GRAM - 1), F.lit(1))), lambda k: F.substring(text, k, F.lit(GRAM))))
+
+
+def candidates(requests: DataFrame, index: DataFrame, text: str) -> DataFrame:
+    """requests(qid, words) with rows of index whose `text` holds every word.
+
+    A request looks up the rarest three-character run of its words, by an equi-join; requests of shorter words alone look at
+    all rows.
+    """
+    runs = requests.withColumn("g", F.explode(F.array_distinct(F.flatten(F.transform(F.filter("words", lambda w: F.length(w) >= GRAM), grams)))))
+    asked = runs.select("g").distinct()
+    posted = index.withColumn("g", F.explode(grams(F.col(text)))).join(asked, "g", "left_semi")
+    often = runs.select("qid", "g").join(posted.groupBy("g").agg(F.count("*").alias("c")), "g", "left")
+    rarest = often.groupBy("qid").agg(F.min(F.struct(F.coalesce("c", F.lit(0)), "g"))["g"].alias("g"))
+    found = posted.join(requests.join(rarest, "qid"), "g").drop("g")
+    short = requests.filter(F.size("words") > 0).filter(~F.exists("words", lambda w: F.length(w) >= GRAM))
+    found = found.unionByName(index.join(short, F.forall("words", lambda w: F.contains(F.col(text), w))))
+    return found.filter(F.forall("words", lambda w: F.contains(F.col(text), w)))
+
+
+def first_rows(df: DataFrame, order: list, limit: int) -> DataFrame:
+    """The first `limit` rows of each qid, with `rank`; a request with very many matches is cut in parts first."""
+    cut = df.withColumn("_s", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+    cut = cut.withColumn("_k", F.row_number().over(W.partitionBy("qid", "_s").orderBy(*order))).filter(F.col("_k") <= limit)
+    return cut.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(*order))).filter(F.col("rank") <= limit).drop("_s", "_k")
+
+
+def asked_for(queries: DataFrame) -> DataFrame:
+    """(qid, q, words): requests in lower case with single spaces; empty ones have no answer."""
+    q = queries.select("qid", F.filter(F.split(F.lower("q"), r"\s+"), lambda w: w != "").alias("words"))
+    return q.filter(F.size("words") > 0).withColumn("q", F.array_join("words", " "))
+
 
 def ranked(queries: DataFrame, index: DataFrame, limit: int) -> DataFrame:
-    """(qid, rank, id) for queries(qid, q): every word must occur. Order: the exact id; the owner's own; one of the same name
-    with 5 % of the best match or more; the first word in the name; popularity; id. queries is a table of requests, broadcast."""
-    q = queries.select("qid", F.lower(F.trim("q")).alias("q")).withColumn("words", F.split("q", r"\s+"))
-    i = index.select("id", F.lower("id").alias("lid"), F.coalesce("pop", F.lit(0)).alias("pop"))
-    j = i.join(F.broadcast(q), F.forall("words", lambda w: F.contains(F.col("lid"), w)))
-    best = F.max("pop").over(W.partitionBy("qid"))
-    j = j.withColumn("best", best).withColumn("n", part(F.col("lid"), 2)).withColumn("o", part(F.col("lid"), 1))
-    keys = [F.col("lid") == F.col("q"), F.col("o") == F.col("q"), (F.col("n") == F.col("q")) & (F.col("pop") >= 0.05 * F.col("best")), F.contains(F.col("n"), F.get("words", 0))]
-    w = W.partitionBy("qid").orderBy(*[k.cast("int").desc() for k in keys], F.col("pop").desc(), "id")
-    return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("qid", "rank", "id")
+    """(qid, rank, id) for queries(qid, q) over index(id, pop) and, if there is one, its title: every word must occur in id or title.
+
+    Order: the exact id; repos of an owner that the request names; one of the request's very name with 5 % of the best match or
+    more; of other owners, those with every word in the name, or a well-used owner that begins with the first word; popularity
+    (none last); id.
+    """
+    title = F.lower("title") if "title" in index.columns else F.lit(None).cast("string")
+    i = index.select("id", F.lower("id").alias("lid"), "pop", title.alias("lt")).withColumn("hay", F.concat_ws("\n", "lid", "lt"))
+    j = candidates(asked_for(queries), i, "hay")
+    j = j.join(j.groupBy("qid").agg(F.max("pop").alias("best")), "qid").withColumn("n", part(F.col("lid"), 2)).withColumn("o", part(F.col("lid"), 1))
+    enough = F.coalesce(F.col("pop") >= 0.05 * F.col("best"), F.lit(False))
+    same = (F.col("n") == F.col("q")) | F.coalesce(F.col("lt") == F.col("q"), F.lit(False))
+    own = F.array_contains("words", F.col("o"))
+    in_name = F.forall("words", lambda w: F.contains(F.col("n"), w) | F.coalesce(F.contains(F.col("lt"), w), F.lit(False)))
+    keys = [F.col("lid") == F.col("q"), own, same & enough, ~own & (in_name | (F.startswith("o", F.get("words", 0)) & enough))]
+    return first_rows(j, [*(k.cast("int").desc() for k in keys), F.col("pop").desc_nulls_last(), F.col("id")], limit).select("qid", "rank", "id")
 
 
 def authors(queries: DataFrame, index: DataFrame, limit: int) -> DataFrame:
     """index(author, pop): every word occurs; exact first, then by prefix, then popularity."""
-    q = queries.select("qid", F.lower(F.trim("q")).alias("q")).withColumn("words", F.split("q", r"\s+"))
-    j = index.withColumn("la", F.lower("author")).join(F.broadcast(q), F.forall("words", lambda w: F.contains(F.col("la"), w)))
-    w = W.partitionBy("qid").orderBy((F.col("la") == F.col("q")).cast("int").desc(), F.startswith(F.col("la"), F.col("q")).cast("int").desc(), F.col("pop").desc(), "author")
-    return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("qid", "rank", "author")
+    j = candidates(asked_for(queries), index.withColumn("la", F.lower("author")), "la")
+    order = [(F.col("la") == F.col("q")).cast("int").desc(), F.startswith(F.col("la"), F.col("q")).cast("int").desc(), F.col("pop").desc(), F.col("author")]
+    return first_rows(j, order, limit).select("qid", "rank", "author")
 
 
 def by_kind(queries: DataFrame, indexes: dict[str, DataFrame], limit: int = 5) -> DataFrame:

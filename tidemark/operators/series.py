@@ -71,10 +71,27 @@ def steps(series: DataFrame) -> DataFrame:
     return series.withColumn("step", clip(F.col("dl_all") - F.lag("dl_all").over(by_id())))
 
 
-def peak_share(series: DataFrame, since: Column) -> DataFrame:
-    """(id, peak_share, steps): the largest positive step of the week over all of them, and their number."""
-    s = steps(series).filter((F.col("day") > since) & (F.col("step") > 0))
-    return s.groupBy("id").agg((F.max("step") / F.sum("step")).alias("peak_share"), F.count("*").cast("int").alias("steps"))
+def _week(last: Column):
+    """(aggregates, columns): the steps between an id's snapshots since its reference a week before, of 17 days at most."""
+    points = F.collect_list(F.when(F.col("day") >= F.date_sub(last, 7 + LOOKBACK), F.struct("day", "dl_all")))
+    ref = F.max(F.when(F.col("day").between(F.date_sub(last, 7 + LOOKBACK), F.date_sub(last, 7)), F.col("day")))
+    week = F.filter(F.array_sort("_points"), lambda x: F.col("_ref").isNull() | (x["day"] >= F.col("_ref")))
+    gains = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_points"), F.lit(1))), lambda k: clip(F.get("_points", k)["dl_all"] - F.get("_points", k - 1)["dl_all"])), lambda x: x.isNotNull())
+    total = F.aggregate("_gains", F.lit(0).cast("long"), lambda t, x: t + x)
+    return [points.alias("_points"), ref.alias("_ref")], [("_points", week), ("_gains", gains), ("peak_share", F.when(total > 0, F.array_max("_gains") / total)), ("steps", F.size("_gains"))]
+
+
+def peak_share(series: DataFrame, last: Column) -> DataFrame:
+    """(id, peak_share, steps): the largest step of the week over all of them, and their number, of ids with a snapshot in it.
+
+    The week begins at an id's last snapshot of 7 to 17 days ago, or 17 days ago. Quiet steps count; without any gain there is
+    no share.
+    """
+    wanted, columns = _week(last)
+    df = series.filter(F.col("day") >= F.date_sub(last, 7 + LOOKBACK)).groupBy("id").agg(*wanted)
+    for name, column in columns:
+        df = df.withColumn(name, column)
+    return df.select("id", "peak_share", "steps")
 
 
 def steady(df: DataFrame, share: float = 0.6, min_steps: int = 0) -> DataFrame:
@@ -85,35 +102,77 @@ def first_seen(series: DataFrame) -> DataFrame:
     return series.groupBy("id").agg(F.min("day").alias("first_seen"))
 
 
-def metrics(series: DataFrame) -> DataFrame:
-    """Entity table of the last day: weekly rates, baseline, growth, likes, and the stale-counter rule."""
+def metrics(series: DataFrame, skip: DataFrame | None = None) -> DataFrame:
+    """Entity table of the last day: weekly rates, baseline, growth, likes, and the stale-counter rule. One shuffle, by id.
+
+    A change is a rate of 7 days over the days that it really spans. An id without a reference snapshot has an unknown (null)
+    rate, but an id first seen within the week has all it has. `skip` (day): snapshots left out, but for the last and for
+    `first_seen`.
+    """
     last = series.select(F.max("day")).first()[0]
     day = F.lit(last)
-    now = series.filter(F.col("day") == day).select("id", "dl30", "dl_all", "likes")
-    window = series.filter(F.col("day") > F.date_sub(day, WINDOW_DAYS + LOOKBACK))
-    df = now.join(as_of(window, [7, 14, 28, 31], day), "id", "left").join(first_seen(series), "id", "left")
-    df = df.join(peak_share(window, F.date_sub(day, 7)), "id", "left")
-    span = lambda a, b: F.datediff(a, b)
-    new = F.datediff(day, F.col("first_seen")) < 7
+    rows = series.select("id", "day", "dl30", "dl_all", "likes").withColumn("_used", (F.col("day") >= F.date_sub(day, WINDOW_DAYS)))
+    if skip is not None:
+        out = F.broadcast(skip.select("day", F.lit(True).alias("_skip")).distinct())
+        rows = rows.join(out, "day", "left").withColumn("_used", F.col("_used") & (F.col("_skip").isNull() | (F.col("day") == day)))
+    wanted, columns = _week(day)
+    # Only rows in use reach the aggregates; the others lend their day to first_seen.
+    masked = rows.select("id", F.col("day").alias("_day"), *[F.when(F.col("_used"), F.col(c)).alias(c) for c in ("day", "dl30", "dl_all", "likes")])
+    refs = []
+    for back in (7, 14, 28, 31):
+        inside = F.col("day").between(F.date_sub(day, back + LOOKBACK), F.date_sub(day, back))
+        refs.append(F.max(F.when(inside, F.struct("day", "dl_all", "likes"))).alias(f"ref_{back}"))
+    now = F.max(F.when(F.col("day") == day, F.struct("dl30", "dl_all", "likes"))).alias("now")
+    df = masked.groupBy("id").agg(F.min("_day").alias("first_seen"), now, *refs, *wanted).filter("now IS NOT NULL")
+    for name, column in columns:
+        df = df.withColumn(name, column)
+    df = df.select("id", "first_seen", "now.*", "peak_share", "steps", *[F.col(f"ref_{b}.{c}").alias(f"{c}_{b}") for b in (7, 14, 28, 31) for c in ("day", "dl_all", "likes")])
+    new = F.col("first_seen") > F.date_sub(day, 7)
     stale = F.col("dl_all_31").isNotNull() & (F.col("dl_all") == F.col("dl_all_31"))
     df = df.withColumn("dl30", F.when(stale, 0).otherwise(F.col("dl30")))
-    rate = per_week(F.col("dl_all"), F.col("dl_all_7"), span(day, F.col("day_7")))
-    df = df.withColumn("dl_7d", F.when(new, F.least("dl_all", "dl30")).otherwise(F.bround(F.least(rate, F.col("dl30")))).cast("long"))
-    df = df.withColumn("dl_prev7d", F.bround(per_week(F.col("dl_all_7"), F.col("dl_all_14"), span(F.col("day_7"), F.col("day_14")))).cast("long"))
-    df = df.withColumn("dl_base7d", per_week(F.col("dl_all_7"), F.col("dl_all_28"), span(F.col("day_7"), F.col("day_28"))))
-    likes_span = span(day, F.col("day_7"))
-    likes_rate = F.when(likes_span > 0, (F.col("likes") - F.col("likes_7")) * 7 / likes_span)
-    df = df.withColumn("likes_7d", F.when(new, F.col("likes")).otherwise(F.bround(likes_rate)).cast("long"))
+    rate = per_week(F.col("dl_all"), F.col("dl_all_7"), F.datediff(day, "day_7"))
+    week = F.when(F.col("dl_all_7").isNotNull(), F.least(rate, F.col("dl30"))).when(new, F.least("dl_all", "dl30"))
+    df = df.withColumn("dl_7d", F.bround(week).cast("long"))
+    df = df.withColumn("dl_prev7d", F.bround(per_week(F.col("dl_all_7"), F.col("dl_all_14"), F.datediff("day_7", "day_14"))).cast("long"))
+    df = df.withColumn("dl_base7d", per_week(F.col("dl_all_7"), F.col("dl_all_28"), F.datediff("day_7", "day_28")))
+    liked = F.when(F.col("likes_7").isNotNull(), (F.col("likes") - F.col("likes_7")) * 7 / F.datediff(day, "day_7")).when(new, F.col("likes"))
+    df = df.withColumn("likes_7d", F.bround(liked).cast("long"))
     df = df.withColumn("growth_7d", F.when(F.col("dl_base7d") >= 100, F.col("dl_7d") / F.col("dl_base7d") - 1))
     return df.select("id", owner(F.col("id")).alias("author"), "first_seen", "dl30", "dl_all", "likes", "dl_7d", "dl_prev7d", "dl_base7d", "likes_7d", "growth_7d", "peak_share", "steps")
 
 
+def entity_table(m: DataFrame, meta: DataFrame, families: DataFrame, uses: DataFrame) -> DataFrame:
+    """Metrics m with metadata(id, pipeline_tag, ...), family sums and use counts, and their ranks.
+
+    families(id, members, dl30, dl_all, dl_7d): sums over descendants; fam_dl30 and the like hold these and the entity's own.
+    uses(id, n_models, n_spaces). Entities without a row in one of them have none: nulls of metadata, zero of counts.
+    """
+    from tidemark.operators.ranks import global_rank, rank_within
+
+    sums = ("dl30", "dl_all", "dl_7d")
+    fam = families.select("id", F.col("members").alias("fam_members"), *[F.col(c).alias(f"fam_{c}") for c in sums])
+    df = m.join(meta, "id", "left").join(fam, "id", "left").join(uses, "id", "left")
+    df = df.withColumns({"fam_members": F.coalesce("fam_members", F.lit(0))} | {f"fam_{c}": F.col(c) + F.coalesce(f"fam_{c}", F.lit(0)) for c in sums} | {c: F.coalesce(c, F.lit(0)) for c in ("n_models", "n_spaces")})
+    df = rank_within(df, "pipeline_tag", "dl30", "rank_task")
+    return global_rank(global_rank(df, "dl30", "rank_dl30"), "dl_7d", "rank_7d")
+
+
 def space_metrics(series: DataFrame) -> DataFrame:
-    """Likes gained in 7 and 30 days, not under 0."""
+    """Likes gained in 7 and 30 days: rates over the days really spanned, all likes where first seen within them, else unknown."""
     last = series.select(F.max("day")).first()[0]
-    window = series.filter(F.col("day") > F.date_sub(F.lit(last), 41))
-    df = series.filter(F.col("day") == F.lit(last)).select("id", "likes").join(as_of(window, [7, 30], F.lit(last)), "id", "left")
-    return df.select("id", "likes", clip(F.col("likes") - F.col("likes_7")).alias("likes_7d"), clip(F.col("likes") - F.col("likes_30")).alias("likes_30d"))
+    day = F.lit(last)
+    kept = F.when(F.col("day") >= F.date_sub(day, WINDOW_DAYS), F.col("day"))
+    refs = [F.max(F.when(kept.between(F.date_sub(day, b + LOOKBACK), F.date_sub(day, b)), F.struct("day", "likes"))).alias(f"ref_{b}") for b in (7, 30)]
+    now = F.max(F.when(F.col("day") == day, F.struct("likes"))).alias("now")
+    df = series.groupBy("id").agg(F.min("day").alias("first_seen"), now, *refs).filter("now IS NOT NULL")
+    likes = F.col("now.likes")
+
+    def gained(back):
+        ref = F.col(f"ref_{back}.likes")
+        value = F.when(ref.isNotNull(), clip(likes - ref) * back / F.datediff(day, F.col(f"ref_{back}.day"))).when(F.col("first_seen") > F.date_sub(day, back), likes)
+        return F.bround(value).cast("long").alias(f"likes_{back}d")
+
+    return df.select("id", likes.alias("likes"), gained(7), gained(30))
 
 
 def spark_points(series: DataFrame, last: Column, value: str, days: int = 29, by_gap: bool = True) -> DataFrame:
@@ -168,16 +227,17 @@ MARKS = [10**k for k in range(3, 10)]
 
 
 def milestones(series: DataFrame) -> DataFrame:
-    """(id, mark, day): first day a total reached each mark; of marks already passed at the first point only the last, without a day.
+    """(id, mark, day, before): first day a total reached each mark; of marks already passed at the first point (before) only the last, without a day.
 
-    A mark that is not reached is listed (without a day, reached false) only if it is the first such and within ten times the total.
+    Marks that were not reached are listed without a day, up to the first that is over ten times the last total.
     """
     s = series.filter("dl_all IS NOT NULL")
-    a = s.groupBy("id").agg(F.min(F.struct("day", "dl_all")).alias("f"), F.max("dl_all").alias("top"), *[F.min(F.when(F.col("dl_all") >= m, F.col("day"))).alias(f"d{m}") for m in MARKS])
-    rows = a.select("id", "top", F.col("f.dl_all").alias("v0"), F.explode(F.array(*[F.struct(F.lit(m).cast("long").alias("mark"), F.col(f"d{m}").alias("day")) for m in MARKS])).alias("m")).select("id", "top", "v0", "m.*")
-    w = W.partitionBy("id")
-    rows = rows.withColumn("before", F.col("v0") >= F.col("mark")).withColumn("top_before", F.max(F.when(F.col("before"), F.col("mark"))).over(w))
-    rows = rows.filter("day IS NOT NULL AND (NOT before OR mark = top_before)")
+    reached = [F.min(F.when(F.col("dl_all") >= m, F.col("day"))).alias(f"d{m}") for m in MARKS]
+    a = s.groupBy("id").agg(F.min(F.struct("day", "dl_all")).alias("f"), F.max(F.struct("day", "dl_all")).alias("l"), *reached)
+    marks = F.array(*[F.struct(F.lit(m).cast("long").alias("mark"), F.col(f"d{m}").alias("day"), (F.col(f"d{m // 10}") if m > MARKS[0] else F.col("f.day")).alias("lower")) for m in MARKS])
+    rows = a.select("id", F.col("l.dl_all").alias("total"), F.col("f.dl_all").alias("v0"), F.explode(marks).alias("m")).select("id", "total", "v0", "m.*")
+    rows = rows.withColumn("before", F.col("v0") >= F.col("mark")).withColumn("top_before", F.max(F.when(F.col("before"), F.col("mark"))).over(W.partitionBy("id")))
+    rows = rows.filter("day IS NOT NULL OR lower IS NOT NULL OR mark / 10 <= total * 10").filter("NOT before OR mark = top_before")
     return rows.select("id", "mark", F.when(~F.col("before"), F.col("day")).alias("day"), "before")
 
 
@@ -208,14 +268,17 @@ def full_months(daily: DataFrame, value: str, months: int = 12) -> DataFrame:
 
 
 def hub_increment(series: DataFrame, tags: DataFrame) -> DataFrame:
-    """(day, tag, dl): positive gains between neighbouring snapshots, spread over the days between, per tag."""
+    """(day, tag, dl): gains between neighbouring snapshots (losses count as 0), spread over the days between, per tag.
+
+    Ids without a tag are "other". A tag without a gain has a row of 0; an id counts where both snapshots have its total.
+    """
+    series = series.filter("dl_all IS NOT NULL").select("id", "day", "dl_all")
     days = series.select("day").distinct()
     n = F.broadcast(days.withColumn("n", F.row_number().over(W.orderBy("day"))).withColumn("prev_day", F.lag("day").over(W.orderBy("day"))))
-    s = series.join(n, "day").withColumn("p", F.lag("dl_all").over(by_id())).withColumn("pn", F.lag("n").over(by_id()))
-    s = s.filter((F.col("pn") == F.col("n") - 1) & (F.col("dl_all") > F.col("p")))
-    s = s.join(tags, "id").groupBy("day", "prev_day", "tag").agg(F.sum(F.col("dl_all") - F.col("p")).alias("gain"))
-    each = F.col("gain") / F.datediff("day", "prev_day")
-    return s.select(F.explode(F.sequence(F.date_add("prev_day", 1), F.col("day"))).alias("day"), "tag", F.bround(each).cast("long").alias("dl")).groupBy("day", "tag").agg(F.sum("dl").alias("dl"))
+    s = series.join(n, "day").withColumn("p", F.lag("dl_all").over(by_id())).withColumn("pn", F.lag("n").over(by_id())).filter(F.col("pn") == F.col("n") - 1)
+    s = s.join(tags.select("id", "tag"), "id", "left").groupBy("day", "prev_day", F.coalesce("tag", F.lit("other")).alias("tag")).agg(F.sum(clip(F.col("dl_all") - F.col("p"))).alias("gain"))
+    each = F.bround(F.col("gain") / F.datediff("day", "prev_day")).cast("long")
+    return s.select(F.explode(F.sequence(F.date_add("prev_day", 1), F.col("day"))).alias("day"), "tag", each.alias("dl"))
 
 
 def growth(now: Column, base: Column) -> Column:

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once into the session's shared checkpoint folder; lineage ends there."""
+    """df computed once into the session's shared checkpoint folder; lineage ends there. A local session that names none gets a temporary one."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
     return df.checkpoint(eager=True)
 

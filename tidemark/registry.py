@@ -17,6 +17,7 @@ from tidemark.sources import snapshots
 _ALL: dict[str, tuple] = {}
 SKIP = "day IN (DATE '2001-01-05', DATE '2001-01-06')"
 GAPPY = "dayofyear(day) % 17 NOT IN (3, 4)"
+NUMBER = "CAST(split_part(id, 'repo', 2) AS INT)"
 
 
 def entry(name: str, sql: str | None):
@@ -40,6 +41,16 @@ class Views:
     def gappy(self) -> DataFrame:
         return self.series.filter(F.expr(GAPPY))
 
+    @property
+    def ragged(self) -> DataFrame:
+        """The gappy series; some ids come in its last days, some have no snapshot for ten days, some lose what they had."""
+        from datetime import timedelta
+
+        last = self.series.agg(F.max("day")).first()[0]
+        d = lambda n: f"DATE '{last - timedelta(days=n)}'"
+        s = self.gappy.filter(f"NOT ({NUMBER} % 5 = 1 AND day < {d(4)}) AND NOT ({NUMBER} % 5 = 2 AND day BETWEEN {d(18)} AND {d(6)})")
+        return s.withColumn("dl_all", F.expr(f"CASE WHEN {NUMBER} % 5 = 3 AND dayofyear(day) % 11 = 0 THEN NULL WHEN {NUMBER} % 5 = 4 AND day = {d(3)} THEN dl_all - 40 ELSE dl_all END"))
+
     @property
     def skip(self) -> DataFrame:
         return self.series.filter(SKIP).select("day").distinct()
@@ -72,9 +83,9 @@ def _(v):
     return snapshots.latest_upload(v.events, "ts", "event_id")
 
 
-@entry("src5_resume", "SELECT DISTINCT day FROM fx_events WHERE day NOT IN (SELECT day FROM fx_events WHERE event_id % 97 = 0)")
+@entry("src5_resume", "SELECT DISTINCT day FROM fx_events WHERE day NOT IN (SELECT day FROM fx_events WHERE dayofyear(day) % 5 > 0)")
 def _(v):
-    return snapshots.not_landed(v.events.select("day").distinct(), v.events.filter("event_id % 97 = 0"))
+    return snapshots.not_landed(v.events.select("day").distinct(), v.events.filter("dayofyear(day) % 5 > 0"))
 
 
 @entry("src6_scan_months", "SELECT id, day, dl30, dl_all, likes FROM fx_series WHERE strftime(day, '%Y-%m') IN ('1998-01', '1998-02')")
@@ -115,13 +126,18 @@ def _(v):
     return series.without_days(v.series, v.skip).select("id", "day", "dl_all")
 
 
-_STEPS = "st AS (SELECT id, day, CASE WHEN dl_all - lag(dl_all) OVER w < 0 THEN 0 ELSE dl_all - lag(dl_all) OVER w END AS step FROM fx_series WINDOW w AS (PARTITION BY id ORDER BY day))"
-_PEAK = f"{_STEPS}, pk AS (SELECT id, max(step) / sum(step) AS peak_share, CAST(count(*) AS INTEGER) AS steps FROM st WHERE day > {LAST} - 7 AND step > 0 GROUP BY id)"
+_RAGGED = f"""l AS (SELECT max(day) AS last FROM fx_series), r AS (SELECT id, day, dl30,
+   CASE WHEN {NUMBER} % 5 = 3 AND dayofyear(day) % 11 = 0 THEN NULL WHEN {NUMBER} % 5 = 4 AND day = last - 3 THEN dl_all - 40 ELSE dl_all END AS dl_all, likes
+   FROM fx_series, l WHERE {GAPPY} AND NOT ({NUMBER} % 5 = 1 AND day < last - 4) AND NOT ({NUMBER} % 5 = 2 AND day BETWEEN last - 18 AND last - 6))"""
+_PEAK = f"""{_RAGGED}, d7 AS (SELECT id, max(day) AS d7 FROM r, l WHERE day BETWEEN last - 17 AND last - 7 GROUP BY id),
+ wk AS (SELECT r.id, day, dl_all - lag(dl_all) OVER (PARTITION BY r.id ORDER BY day) AS raw FROM r CROSS JOIN l LEFT JOIN d7 ON d7.id = r.id WHERE day >= last - 17 AND (d7 IS NULL OR day >= d7)),
+ st AS (SELECT id, CASE WHEN raw < 0 THEN 0 ELSE raw END AS step FROM wk),
+ pk AS (SELECT id, CASE WHEN sum(step) > 0 THEN max(step) / sum(step) END AS peak_share, CAST(count(step) AS INTEGER) AS steps FROM st GROUP BY id)"""
 
 
-@entry("flt6_steady", f"WITH {_PEAK} SELECT id, round(peak_share, 6) AS peak_share, steps FROM pk WHERE peak_share IS NULL OR steps < 2 OR peak_share <= 0.6")
+@entry("flt6_steady", f"WITH {_PEAK} SELECT id, round(peak_share, 6) AS peak_share, steps FROM pk WHERE peak_share IS NULL OR steps < 5 OR peak_share <= 0.6")
 def _(v):
-    return series.steady(series.peak_share(v.series, F.date_sub(v.last(), 7)), 0.6, 2).withColumn("peak_share", r6("peak_share"))
+    return series.steady(series.peak_share(v.ragged, v.last()), 0.6, 5).withColumn("peak_share", r6("peak_share"))
 
 
 @entry("flt7_null_before_start", "SELECT id, day, CASE WHEN day < DATE '1997-01-01' THEN NULL ELSE dl_all END AS dl_all FROM fx_series")
@@ -155,9 +171,10 @@ def _(v):
     return v.events.join(v.events.filter("event_type = 'purchase'").select("user_id"), "user_id", "left_semi").select("event_id")
 
 
-@entry("jn2_gone", "SELECT DISTINCT user_id FROM fx_events a WHERE day < DATE '2024-01-15' AND NOT EXISTS (SELECT 1 FROM fx_events b WHERE b.user_id = a.user_id AND b.day >= DATE '2024-01-15')")
+@entry("jn2_gone", "SELECT DISTINCT user_id FROM fx_events a WHERE day < (SELECT max(day) FROM fx_events) - 1 AND NOT EXISTS (SELECT 1 FROM fx_events b WHERE b.user_id = a.user_id AND b.day >= (SELECT max(day) FROM fx_events) - 1)")
 def _(v):
-    return v.events.filter("day < DATE '2024-01-15'").join(v.events.filter("day >= DATE '2024-01-15'"), "user_id", "left_anti").select("user_id").distinct()
+    late = F.col("day") >= F.date_sub(v.last("events"), 1)
+    return v.events.filter(~late).join(v.events.filter(late), "user_id", "left_anti").select("user_id").distinct()
 
 
 def _as_of_sql(b):
@@ -328,20 +345,21 @@ def _(v):
 
 @entry("ag8_peak_share", f"WITH {_PEAK} SELECT id, round(peak_share, 6) AS peak_share, steps FROM pk")
 def _(v):
-    return series.peak_share(v.series, F.date_sub(v.last(), 7)).withColumn("peak_share", r6("peak_share"))
+    return series.peak_share(v.ragged, v.last()).withColumn("peak_share", r6("peak_share"))
 
 
-_HUB = f"WITH {_GAPPY}, d AS (SELECT day, row_number() OVER (ORDER BY day) AS n, lag(day) OVER (ORDER BY day) AS pday FROM (SELECT DISTINCT day FROM g)), s AS (SELECT g.id, g.day, pday, dl_all, n, lag(dl_all) OVER w AS p, lag(n) OVER w AS pn FROM g JOIN d ON d.day = g.day WINDOW w AS (PARTITION BY id ORDER BY g.day)), i AS (SELECT day, pday, split_part(id, '/', 1) AS tag, round_even(sum(dl_all - p) / (day - pday), 0) AS v FROM s WHERE pn = n - 1 AND dl_all > p GROUP BY day, pday, split_part(id, '/', 1)) SELECT CAST(u AS DATE) AS day, tag, CAST(sum(v) AS BIGINT) AS dl FROM (SELECT unnest(generate_series(pday + 1, day, INTERVAL 1 DAY)) AS u, tag, v FROM i) GROUP BY ALL"
+_PAIRS = "c AS (SELECT * FROM r WHERE dl_all IS NOT NULL), d AS (SELECT day, row_number() OVER (ORDER BY day) AS n, lag(day) OVER (ORDER BY day) AS pday FROM (SELECT DISTINCT day FROM c)), s AS (SELECT c.id, c.day, pday, dl_all, n, lag(dl_all) OVER w AS p, lag(dl30) OVER w AS p30, lag(n) OVER w AS pn FROM c JOIN d ON d.day = c.day WINDOW w AS (PARTITION BY id ORDER BY c.day))"
+_HUB = f"WITH {_RAGGED}, {_PAIRS}, i AS (SELECT day, pday, CASE WHEN {NUMBER} % 4 = 0 THEN 'other' ELSE split_part(id, '/', 1) END AS tag, round_even(sum(greatest(dl_all - p, 0)) / (day - pday), 0) AS v FROM s WHERE pn = n - 1 GROUP BY ALL HAVING true) SELECT CAST(unnest(generate_series(pday + 1, day, INTERVAL 1 DAY)) AS DATE) AS day, tag, CAST(v AS BIGINT) AS dl FROM i"
 
 
-@entry("ag9_hub_increment", _HUB)
+@entry("ag9_hub_increment", _HUB.replace("GROUP BY ALL HAVING true", f"GROUP BY day, pday, CASE WHEN {NUMBER} % 4 = 0 THEN 'other' ELSE split_part(id, '/', 1) END"))
 def _(v):
-    return series.hub_increment(v.gappy, v.authors.withColumnRenamed("author", "tag"))
+    return series.hub_increment(v.ragged, v.authors.withColumnRenamed("author", "tag").filter(f"{NUMBER} % 4 <> 0"))
 
 
-@entry("ag10_signals", "WITH d AS (SELECT day, row_number() OVER (ORDER BY day) AS n FROM (SELECT DISTINCT day FROM fx_series)), s AS (SELECT s.*, n, lag(dl_all) OVER w AS p, lag(n) OVER w AS pn FROM fx_series s JOIN d ON d.day = s.day WINDOW w AS (PARTITION BY id ORDER BY s.day)) SELECT day, round(CASE WHEN count(*) FILTER (dl30 >= 50) >= 10 THEN count(*) FILTER (dl30 >= 50 AND dl_all = p) / count(*) FILTER (dl30 >= 50) END, 6) AS frozen, round(avg(CASE WHEN dl_all < p THEN 1 ELSE 0 END), 6) AS back FROM s WHERE pn = n - 1 GROUP BY day")
+@entry("ag10_signals", f"WITH {_RAGGED}, {_PAIRS} SELECT day, round(CASE WHEN count(*) FILTER (p30 >= 50) >= 10 THEN count(*) FILTER (p30 >= 50 AND dl_all = p) / count(*) FILTER (p30 >= 50) END, 6) AS frozen, round(avg(CASE WHEN dl_all < p THEN 1 ELSE 0 END), 6) AS back FROM s WHERE pn = n - 1 GROUP BY day")
 def _(v):
-    return quality.signals(v.series, 50, 10).select("day", r6("frozen").alias("frozen"), r6("back").alias("back"))
+    return quality.signals(v.ragged, 50, 10).select("day", r6("frozen").alias("frozen"), r6("back").alias("back"))
 
 
 @entry("ag11_shortfall", "SELECT CAST(sum(greatest(0, a.dl_all - b.dl_all)) AS BIGINT) AS shortfall FROM (SELECT * FROM fx_series WHERE day = DATE '1999-06-02') a JOIN (SELECT * FROM fx_series WHERE day = DATE '1999-05-01') b ON a.id = b.id")
@@ -384,9 +402,9 @@ def _(v):
     return rollups.new_by_week(v.events, "event_type", 2)
 
 
-@entry("ag18_hub_chart", "WITH l AS (SELECT max(day) AS last FROM fx_hub), b AS (SELECT pipeline_tag FROM fx_hub, l WHERE day > last - 90 GROUP BY pipeline_tag ORDER BY sum(dl) DESC, pipeline_tag LIMIT 3) SELECT day, CASE WHEN pipeline_tag IN (SELECT pipeline_tag FROM b) THEN pipeline_tag ELSE 'other' END AS pipeline_tag, CAST(sum(dl) AS BIGINT) AS dl FROM fx_hub GROUP BY ALL")
+@entry("ag18_hub_chart", "WITH h AS (SELECT day, CASE WHEN pipeline_tag = '1-URGENT' THEN 'other' ELSE pipeline_tag END AS pipeline_tag, dl FROM fx_hub), l AS (SELECT max(day) AS last FROM fx_hub), b AS (SELECT pipeline_tag FROM h, l WHERE day >= last - 90 AND pipeline_tag <> 'other' GROUP BY pipeline_tag ORDER BY sum(dl) DESC, pipeline_tag LIMIT 3) SELECT day, CASE WHEN pipeline_tag IN (SELECT pipeline_tag FROM b) THEN pipeline_tag ELSE 'other' END AS pipeline_tag, CAST(sum(dl) AS BIGINT) AS dl FROM h GROUP BY ALL")
 def _(v):
-    return rollups.hub_chart(v.hub, 3)
+    return rollups.hub_chart(v.hub.withColumn("pipeline_tag", F.when(F.col("pipeline_tag") == "1-URGENT", "other").otherwise(F.col("pipeline_tag"))), 3)
 
 
 @entry("ag20_authors_having", "SELECT author, CAST(sum(dl30) AS BIGINT) AS dl30 FROM fx_parts GROUP BY author HAVING sum(dl30) >= 50000")
@@ -394,27 +412,75 @@ def _(v):
     return rollups.having(v.parts.groupBy("author").agg(F.sum("dl30").alias("dl30")), "dl30", 50000)
 
 
-_YEAR = "s AS (SELECT id, day, dl_all, lag(dl_all) OVER w AS p, lag(day) OVER w AS pd FROM g WINDOW w AS (PARTITION BY id ORDER BY day)), x AS (SELECT id, unnest(generate_series(pd + 1, day, INTERVAL 1 DAY)) AS u, (dl_all - p) / (day - pd) AS gain FROM s WHERE dl_all > p), y AS (SELECT split_part(id, '/', 1) AS author, id, CAST(u AS DATE) AS day, gain FROM x WHERE year(u) = 1998)"
+_YEAR = "s AS (SELECT id, day, dl_all, lag(dl_all) OVER w AS p, lag(day) OVER w AS pd FROM g WHERE day BETWEEN DATE '1997-12-21' AND DATE '1998-12-31' WINDOW w AS (PARTITION BY id ORDER BY day)), x AS (SELECT id, unnest(generate_series(pd + 1, day, INTERVAL 1 DAY)) AS u, greatest(0, dl_all - p) / (day - pd) AS gain FROM s WHERE p IS NOT NULL AND day > DATE '1997-12-31'), y AS (SELECT split_part(id, '/', 1) AS author, id, CAST(u AS DATE) AS day, gain FROM x WHERE u > DATE '1997-12-31')"
+
+
+def _gains(v):
+    return rollups.year_gains(v.gappy, v.authors, 1998)
 
 
 @entry("ag22_year_gains", f"WITH {_GAPPY}, {_YEAR} SELECT author, day, round(sum(gain), 4) AS gain FROM y GROUP BY ALL")
 def _(v):
-    return rollups.year_gains(v.gappy, v.authors, 1998).groupBy("author", "day").agg(F.round(F.sum("gain"), 4).alias("gain"))
+    return _gains(v).groupBy("author", "day").agg(F.round(F.sum("gain"), 4).alias("gain"))
+
+
+_REPOS = "r AS (SELECT author, id, round(sum(gain), 6) AS v FROM y GROUP BY 1, 2), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY author ORDER BY v DESC, id) AS INTEGER) AS rank FROM r WHERE v > 0)"
+
+
+@entry("mt15_year_summary", f"WITH {_GAPPY}, {_YEAR}, {_REPOS}, t AS (SELECT author, round(sum(gain), 4) AS d FROM y GROUP BY 1 HAVING round(sum(gain), 4) > 0), w AS (SELECT author, CAST(date_trunc('week', day) AS DATE) AS week, round(sum(gain), 6) AS v FROM y GROUP BY 1, 2), z AS (SELECT author, arg_min(week, (-v, week)) AS best_week FROM w WHERE week > DATE '1997-12-31' AND week < DATE '1998-12-28' GROUP BY 1) SELECT t.author, d AS downloads, round(31536000 / d, 2) AS every_seconds, round(d / 525600.0, 6) AS per_minute, CAST(rank() OVER (ORDER BY d DESC) AS INTEGER) AS rank, k.id AS top_id, round(k.v / d, 6) AS top_share, best_week FROM t LEFT JOIN k ON k.author = t.author AND k.rank = 1 LEFT JOIN z ON z.author = t.author")
+def _(v):
+    return rollups.year_summary(_gains(v), "1997-12-31", "1998-12-31")
+
+
+@entry("mt15_top_repos", f"WITH {_GAPPY}, {_YEAR}, {_REPOS} SELECT author, rank, id, v AS downloads FROM k WHERE rank <= 5")
+def _(v):
+    return rollups.top_repos(_gains(v))
+
+
+@entry("mt15_months", f"WITH {_GAPPY}, {_YEAR} SELECT author, CAST(date_trunc('month', day) AS DATE) AS month, round(sum(gain), 4) AS downloads FROM y GROUP BY 1, 2")
+def _(v):
+    return rollups.period_months(_gains(v))
 
 
-@entry("mt15_year_summary", f"WITH {_GAPPY}, {_YEAR}, t AS (SELECT author, sum(gain) AS d FROM y GROUP BY 1), r AS (SELECT author, id, round(sum(gain), 6) AS v FROM y GROUP BY 1, 2), b AS (SELECT author, arg_max(id, (v, id)) AS top_id, max(v) AS v FROM r GROUP BY 1), w AS (SELECT author, CAST(date_trunc('week', day) AS DATE) AS week, round(sum(gain), 6) AS v FROM y GROUP BY 1, 2 HAVING count(DISTINCT day) = 7), z AS (SELECT author, arg_min(week, (-v, week)) AS best_week FROM w GROUP BY 1) SELECT t.author, round(d, 4) AS downloads, top_id, round(b.v / d, 6) AS top_share, best_week FROM t JOIN b USING (author) LEFT JOIN z USING (author)")
+@entry("ag24_likes_gained", f"WITH {_RAGGED}, n AS (SELECT id, arg_max(likes, day) FILTER (day = last) AS now, arg_max(likes, day) FILTER (day BETWEEN last - 375 AND last - 365) AS b, min(day) > any_value(last) - 365 AS new FROM r, l GROUP BY id) SELECT split_part(id, '/', 1) AS author, CAST(greatest(0, sum(coalesce(now, 0)) - sum(coalesce(b, 0))) AS BIGINT) AS likes, count(*) FILTER (new) AS models_new FROM n GROUP BY 1")
 def _(v):
-    return rollups.year_summary(rollups.year_gains(v.gappy, v.authors, 1998))
+    return rollups.likes_gained(v.ragged, v.authors, F.date_sub(v.last(), 365), v.last())
 
 
-@entry("ag24_likes_gained", "WITH n AS (SELECT id, arg_max(likes, day) AS now, arg_max(likes, day) FILTER (day <= DATE '2000-01-01') AS b FROM fx_series GROUP BY id) SELECT split_part(id, '/', 1) AS author, CAST(sum(greatest(0, now - coalesce(b, 0))) AS BIGINT) AS likes FROM n GROUP BY 1")
+@entry("ag27_task_mix", "WITH q AS (SELECT author, CASE WHEN tag NOT LIKE 'ECONOMY%' THEN tag END AS tag, dl30 FROM fx_parts), m AS (SELECT author, tag, CAST(sum(dl30) AS BIGINT) AS v FROM q GROUP BY ALL), o AS (SELECT *, sum(v) OVER (PARTITION BY author) AS total FROM m), k AS (SELECT *, row_number() OVER (PARTITION BY author ORDER BY v DESC, tag) AS rank FROM o WHERE tag IS NOT NULL AND v > 0), t AS (SELECT *, sum(v) OVER (PARTITION BY author) AS top FROM k WHERE rank <= 5) SELECT author, tag, rank, v, round(CASE WHEN top >= 0.3 * total THEN v / top END, 6) AS share FROM t")
 def _(v):
-    return rollups.likes_gained(v.series, v.authors, F.lit("2000-01-01").cast("date"), None)
+    return rollups.task_mix(v.parts.withColumnRenamed("dl30", "v").withColumn("tag", F.when(~F.col("tag").like("ECONOMY%"), F.col("tag"))))
 
 
-@entry("ag27_task_mix", "WITH m AS (SELECT author, tag, CAST(sum(dl30) AS BIGINT) AS v FROM fx_parts GROUP BY ALL HAVING sum(dl30) > 0), k AS (SELECT *, sum(v) OVER (PARTITION BY author) AS total, row_number() OVER (PARTITION BY author ORDER BY v DESC, tag) AS rank FROM m), t AS (SELECT *, sum(v) OVER (PARTITION BY author) AS top FROM k WHERE rank <= 5) SELECT author, tag, rank, v, round(CASE WHEN top >= 0.3 * total THEN v / top END, 6) AS share FROM t")
+@entry("jn13_change_between", f"WITH {_RAGGED}, n AS (SELECT id, arg_max(dl_all, day) FILTER (day BETWEEN DATE '1998-01-22' AND DATE '1998-02-01' AND dl_all IS NOT NULL) AS a, arg_max(dl_all, day) FILTER (day BETWEEN DATE '1998-07-22' AND DATE '1998-08-01' AND dl_all IS NOT NULL) AS b FROM r GROUP BY id) SELECT split_part(id, '/', 1) AS author, CAST(sum(greatest(0, b - a)) AS BIGINT) AS gain FROM n WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1")
 def _(v):
-    return rollups.task_mix(v.parts.withColumnRenamed("dl30", "v"))
+    return rollups.change_between(v.ragged, v.authors, "1998-02-01", "1998-08-01")
+
+
+_SUPPLIERS = "sp AS (SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'Brand#' || CAST(s_suppkey % 60 AS VARCHAR) ELSE s_name END AS author, CAST(s_suppkey AS BIGINT) AS dl30 FROM supplier)"
+
+
+def _suppliers(v):
+    view(v.spark, v.sf_dir, "fx_parts")
+    name = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("Brand#"), (F.col("s_suppkey") % 60).cast("string"))).otherwise(F.col("s_name"))
+    return v.spark.table("supplier").select(name.alias("author"), F.col("s_suppkey").cast("long").alias("dl30"))
+
+
+@entry("ag21_author_index", f"WITH {_SUPPLIERS}, a AS (SELECT author, count(*) AS m, 0 AS s, sum(dl30) AS d FROM fx_parts GROUP BY 1 UNION ALL SELECT author, 0, count(*), sum(dl30) FROM sp GROUP BY 1) SELECT author, CAST(sum(m) AS BIGINT) AS n_models, CAST(sum(s) AS BIGINT) AS n_spaces, CAST(sum(d) AS BIGINT) AS dl30 FROM a GROUP BY 1")
+def _(v):
+    return rollups.author_index({"models": v.parts, "spaces": _suppliers(v)})
+
+
+@entry("flt11_resolve_author", f"WITH {_SUPPLIERS}, k AS (SELECT DISTINCT 0 AS o, author FROM fx_parts UNION SELECT DISTINCT 1, author FROM sp), q AS (SELECT DISTINCT upper(author) AS asked FROM k UNION SELECT DISTINCT author FROM k) SELECT asked, arg_min(author, (o, CAST(author <> asked AS INT), author)) AS author FROM q JOIN k ON lower(author) = lower(asked) GROUP BY 1")
+def _(v):
+    known = v.parts.select("author").unionByName(_suppliers(v).select("author"))
+    asked = known.select(F.upper("author").alias("asked")).unionByName(known.withColumnRenamed("author", "asked")).distinct()
+    return rollups.resolve_author(asked, [v.parts, _suppliers(v)])
+
+
+@entry("so2_widening_union", f"WITH {_SUPPLIERS} SELECT author, dl30, tag, NULL AS kind FROM fx_parts UNION ALL SELECT author, dl30, NULL, 'space' FROM sp")
+def _(v):
+    return v.parts.select("author", "dl30", "tag").unionByName(_suppliers(v).withColumn("kind", F.lit("space")), allowMissingColumns=True)
 
 
 @entry("ag33_health", "WITH k AS (SELECT 'series' AS kind, max(day) AS last FROM fx_series UNION ALL SELECT 'hub', max(day) FROM fx_hub) SELECT kind, last, CAST((SELECT max(last) FROM k) - last AS INTEGER) AS behind FROM k")
@@ -440,6 +506,9 @@ def _(v):
     return ranks.rank_within(v.parts, "tag", "dl30", "rank_task").select("id", "rank_task")
 
 
+_STEPS = "st AS (SELECT id, day, CASE WHEN dl_all - lag(dl_all) OVER w < 0 THEN 0 ELSE dl_all - lag(dl_all) OVER w END AS step FROM fx_series WINDOW w AS (PARTITION BY id ORDER BY day))"
+
+
 @entry("wn3_steps", f"WITH {_STEPS} SELECT id, day, step FROM st")
 def _(v):
     return series.steps(v.series).select("id", "day", "step")
@@ -472,14 +541,14 @@ def _(v):
     return quality.stall_runs(quality.totals(v.hub))
 
 
-@entry("wn16_weekday_factor", f"WITH {_TOT} SELECT CAST(isodow(day) AS INTEGER) AS weekday, round(median(ratio), 6) AS factor FROM q GROUP BY 1")
+@entry("wn16_weekday_factor", f"WITH {_TOT} SELECT CAST(isodow(day) AS INTEGER) AS weekday, round(median(ratio), 6) AS factor FROM (SELECT day, CASE WHEN med > 0 THEN tot / med END AS ratio FROM q) GROUP BY 1")
 def _(v):
     return quality.weekday_factor(quality.totals(v.hub)).withColumn("factor", r6("factor"))
 
 
-@entry("dq7_measurements", f"WITH {_GAPPY}, c AS (SELECT DISTINCT day FROM fx_series), s AS (SELECT DISTINCT day FROM g) SELECT c.day, (SELECT min(s.day) FROM s WHERE s.day >= c.day) AS snap FROM c")
+@entry("dq7_measurements", f"WITH {_GAPPY}, c AS (SELECT DISTINCT day FROM fx_series), s AS (SELECT DISTINCT day FROM g) SELECT c.day, coalesce((SELECT min(s.day) FROM s WHERE s.day >= c.day AND s.day < DATE '1998-11-01'), (SELECT max(day) FROM s WHERE day < DATE '1998-11-01')) AS snap FROM c")
 def _(v):
-    return quality.measurements(v.series.select("day").distinct(), v.gappy.select("day").distinct())
+    return quality.measurements(v.series.select("day").distinct(), v.gappy.filter("day < DATE '1998-11-01'").select("day").distinct())
 
 
 _RUNS = f"{_TOT}, s AS (SELECT day, day - CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS k FROM q WHERE ratio < 0.5), r AS (SELECT min(day) AS start, max(day) AS fin FROM s GROUP BY k), x AS (SELECT *, max(fin) OVER (ORDER BY start, fin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM r), y AS (SELECT *, sum(CASE WHEN start <= e + 2 THEN 0 ELSE 1 END) OVER (ORDER BY start, fin) AS k FROM x), wins AS (SELECT min(start) AS start, max(fin) AS fin FROM y GROUP BY k)"
@@ -499,14 +568,34 @@ def _(v):
     return quality.smooth(v.hub, _wins(v))
 
 
+def _rolled(v):
+    """A short history with a rollback that recovers, a lasting correction, and a partial snapshot."""
+    d = F.dayofyear("day")
+    s = v.series.filter("year(day) = 1997")
+    s = s.filter(~((d == 40) & (F.expr(NUMBER) % 3 > 0)))
+    drop = F.when(d.between(100, 104), F.lit(300)).when(d >= 200, F.lit(200)).otherwise(F.lit(0))
+    return s.withColumn("dl_all", F.greatest(F.lit(0), F.col("dl_all") - drop)).select("id", "day", "dl_all", "dl30")
+
+
+@entry("dq2_usable_snapshots", None)
+def _(v):
+    return quality.usable_snapshots(_rolled(v))
+
+
+@entry("dq1_measured", None)
+def _(v):
+    s = _rolled(v)
+    return quality.measured(s, v.authors.withColumnRenamed("author", "pipeline_tag"), quality.usable_snapshots(s))
+
+
 @entry("dq14_skip_days", f"WITH {_RUNS} SELECT DISTINCT CAST(unnest(generate_series(start, fin - 1, INTERVAL 1 DAY)) AS DATE) AS day FROM wins WHERE start < fin")
 def _(v):
     return quality.skip_days(_wins(v))
 
 
-@entry("dq15_short_days", "WITH t AS (SELECT day, min(ts) AS taken_at FROM fx_events GROUP BY day), l AS (SELECT day, (epoch(date_trunc('second', taken_at)) - epoch(date_trunc('second', lag(taken_at) OVER (ORDER BY taken_at)))) / 3600 AS hours FROM t) SELECT day, round(hours, 6) AS hours FROM l WHERE hours < 18")
+@entry("dq15_short_days", "WITH t AS (SELECT day, min(ts) AS taken_at FROM fx_events WHERE value > 30 AND event_id % 29 = 0 GROUP BY day), l AS (SELECT day, (epoch(date_trunc('second', taken_at)) - epoch(date_trunc('second', lag(taken_at) OVER (ORDER BY taken_at)))) / 3600 AS hours FROM t) SELECT day, round(hours, 6) AS hours FROM l WHERE hours < 18")
 def _(v):
-    return quality.short_days(v.events.groupBy("day").agg(F.min(F.col("ts").cast("timestamp")).alias("taken_at")))
+    return quality.short_days(v.events.filter("value > 30 AND event_id % 29 = 0").groupBy("day").agg(F.min(F.col("ts").cast("timestamp")).alias("taken_at")))
 
 
 @entry("dq16_repair_calendar", "WITH h AS (SELECT * FROM fx_hub WHERE dayofyear(day) % 17 NOT IN (3, 4)), d AS (SELECT day, coalesce(day - lag(day) OVER (ORDER BY day), 1) AS n FROM (SELECT DISTINCT day FROM h)) SELECT CAST(unnest(generate_series(h.day - CAST(n - 1 AS INTEGER), h.day, INTERVAL 1 DAY)) AS DATE) AS day, pipeline_tag, CAST(round_even(dl / n, 0) AS BIGINT) AS dl FROM h JOIN d ON d.day = h.day")
@@ -536,7 +625,7 @@ def _(v):
 def _(v):
     hub, snaps = _gappy_hub(v)
     t = quality.totals(hub)
-    short = quality.short_days(v.events.groupBy("day").agg(F.min(F.col("ts").cast("timestamp")).alias("taken_at")))
+    short = quality.short_days(v.events.filter("value > 30 AND event_id % 29 = 0").groupBy("day").agg(F.min(F.col("ts").cast("timestamp")).alias("taken_at")))
     return quality.low_days(t, quality.weekday_factor(t, snaps), short, snaps)
 
 
@@ -580,41 +669,88 @@ def _(v):
     return ranks.chunks(v.parts, "dl30", 100)
 
 
-def _mt(gaps=_GAPPY):
-    refs = ", ".join(f"a{b} AS ({_as_of_sql(b)})" for b in (7, 14, 28, 31))
+def _mt():
+    refs = ", ".join(f"a{b} AS (SELECT id, max(day) AS day_{b}, arg_max(coalesce(CAST(dl_all AS VARCHAR), ''), day) AS t_{b}, arg_max(likes, day) AS likes_{b} FROM u WHERE day BETWEEN {LAST} - {b + 10} AND {LAST} - {b} GROUP BY id)" for b in (7, 14, 28, 31))
     joins = " ".join(f"LEFT JOIN a{b} ON a{b}.id = n.id" for b in (7, 14, 28, 31))
-    return f"""{gaps}, {refs}, fs AS (SELECT id, min(day) AS first_seen FROM g GROUP BY id),
- st AS (SELECT id, day, CASE WHEN dl_all - lag(dl_all) OVER w < 0 THEN 0 ELSE dl_all - lag(dl_all) OVER w END AS step FROM g WINDOW w AS (PARTITION BY id ORDER BY day)),
- pk AS (SELECT id, max(step) / sum(step) AS peak_share, CAST(count(*) AS INTEGER) AS steps FROM st WHERE day > {LAST} - 7 AND step > 0 GROUP BY id),
- j AS (SELECT n.id, first_seen, CASE WHEN dl_all_31 IS NOT NULL AND dl_all = dl_all_31 THEN 0 ELSE dl30 END AS dl30, dl_all, likes,
-   day_7, dl_all_7, likes_7, day_14, dl_all_14, day_28, dl_all_28, {LAST} - first_seen < 7 AS new, {LAST} - day_7 AS s7, day_7 - day_14 AS s14, day_7 - day_28 AS s28, peak_share, steps
-   FROM g n {joins} LEFT JOIN fs ON fs.id = n.id LEFT JOIN pk ON pk.id = n.id WHERE n.day = {LAST}),
- k AS (SELECT *, CASE WHEN s7 > 0 THEN greatest(dl_all - dl_all_7, 0) * 7 / s7 END AS r, CASE WHEN s28 > 0 THEN greatest(dl_all_7 - dl_all_28, 0) * 7 / s28 END AS dl_base7d FROM j),
+    total = ", ".join(f"TRY_CAST(t_{b} AS BIGINT) AS dl_all_{b}" for b in (7, 14, 28, 31))
+    return f"""{_PEAK}, u AS (SELECT r.* FROM r, l WHERE day >= last - 40), {refs}, fs AS (SELECT id, min(day) AS first_seen FROM r GROUP BY id),
+ h AS (SELECT n.id, first_seen, dl30, dl_all, likes, day_7, likes_7, day_14, day_28, {total}, first_seen > {LAST} - 7 AS new, {LAST} - day_7 AS s7, day_7 - day_14 AS s14, day_7 - day_28 AS s28, peak_share, steps
+   FROM u n {joins} LEFT JOIN fs ON fs.id = n.id LEFT JOIN pk ON pk.id = n.id WHERE n.day = {LAST}),
+ k AS (SELECT * REPLACE (CASE WHEN dl_all_31 IS NOT NULL AND dl_all = dl_all_31 THEN 0 ELSE dl30 END AS dl30), CASE WHEN s7 > 0 AND dl_all IS NOT NULL THEN greatest(dl_all - dl_all_7, 0) * 7 / s7 END AS r7,
+   CASE WHEN s28 > 0 AND dl_all_28 IS NOT NULL AND dl_all_7 IS NOT NULL THEN greatest(dl_all_7 - dl_all_28, 0) * 7 / s28 END AS dl_base7d FROM h),
  mm AS (SELECT id, split_part(id, '/', 1) AS author, first_seen, dl30, dl_all, likes,
-   CAST(CASE WHEN new THEN least(dl_all, dl30) ELSE round_even(least(r, dl30), 0) END AS BIGINT) AS dl_7d,
-   CAST(CASE WHEN s14 > 0 THEN round_even(greatest(dl_all_7 - dl_all_14, 0) * 7 / s14, 0) END AS BIGINT) AS dl_prev7d, dl_base7d,
-   CAST(CASE WHEN new THEN likes WHEN s7 > 0 THEN round_even((likes - likes_7) * 7 / s7, 0) END AS BIGINT) AS likes_7d, peak_share, steps FROM k)"""
+   CAST(round_even(CASE WHEN dl_all_7 IS NOT NULL THEN least(r7, dl30) WHEN new THEN least(dl_all, dl30) END, 0) AS BIGINT) AS dl_7d,
+   CAST(CASE WHEN s14 > 0 AND dl_all_7 IS NOT NULL AND dl_all_14 IS NOT NULL THEN round_even(greatest(dl_all_7 - dl_all_14, 0) * 7 / s14, 0) END AS BIGINT) AS dl_prev7d, dl_base7d,
+   CAST(round_even(CASE WHEN likes_7 IS NOT NULL THEN (likes - likes_7) * 7 / s7 WHEN new THEN likes END, 0) AS BIGINT) AS likes_7d, peak_share, steps FROM k)"""
 
 
 @entry("mt6_entity_metrics", f"WITH {_mt()} SELECT id, author, first_seen, CAST(dl30 AS BIGINT) AS dl30, dl_all, likes, dl_7d, dl_prev7d, round(dl_base7d, 6) AS dl_base7d, likes_7d, round(CASE WHEN dl_base7d >= 100 THEN dl_7d / dl_base7d - 1 END, 6) AS growth_7d, round(peak_share, 6) AS peak_share, steps FROM mm")
 def _(v):
-    m = series.metrics(v.gappy)
+    m = series.metrics(v.ragged)
     return m.select(*[r6(c).alias(c) if t == "double" else F.col(c) for c, t in m.dtypes])
 
 
 @entry("ag7_author_totals", f"WITH {_mt()} SELECT author, CAST(sum(dl30) AS BIGINT) AS dl30, CAST(sum(dl_7d) AS BIGINT) AS dl_7d, count(*) AS models, round(CASE WHEN sum(dl_base7d) >= 1000 THEN sum(dl_7d) / sum(dl_base7d) - 1 END, 6) AS growth FROM mm GROUP BY author")
 def _(v):
-    return rollups.author_totals(series.metrics(v.gappy))
+    return rollups.author_totals(series.metrics(v.ragged))
+
+
+def _board_sql(name, by, rows, kind="id"):
+    return f"(SELECT '{name}' AS board, CAST(row_number() OVER (ORDER BY {by} DESC, {kind}) AS INTEGER) AS rank, {kind} AS id, round(CAST({by} AS DOUBLE), 6) AS value FROM {rows} WHERE {by} IS NOT NULL ORDER BY {by} DESC, {kind} LIMIT 20)"
+
+
+_CALM = "(peak_share IS NULL OR peak_share <= 0.6)"
+_BOARDS = [
+    _board_sql("gainers_7d", "dl_7d", "mm"),
+    _board_sql("dl30", "dl30", "mm"),
+    _board_sql("dl_all", "dl_all", "mm"),
+    _board_sql("growth_7d", "growth_7d", f"(SELECT id, dl_7d / dl_base7d - 1 AS growth_7d FROM mm WHERE dl_base7d >= 1000 AND dl30 >= 10000 AND {_CALM})"),
+    _board_sql("breakouts", "dl_7d", f"(SELECT id, dl_7d FROM mm WHERE first_seen >= {LAST} - 30 AND (peak_share IS NULL OR steps < 3 OR peak_share <= 0.8))"),
+    _board_sql("likes_7d", "likes_7d", "(SELECT * FROM mm WHERE dl30 >= 1000)"),
+    _board_sql("authors_dl30", "dl30", "au", "author"),
+    _board_sql("authors_7d", "dl_7d", "au", "author"),
+]
+
+
+@entry("tk2_model_boards", f"WITH {_mt()}, au AS (SELECT author, sum(dl30) AS dl30, sum(dl_7d) AS dl_7d FROM mm WHERE author IS NOT NULL GROUP BY author) " + " UNION ALL ".join(_BOARDS))
+def _(v):
+    return ranks.model_boards(series.metrics(v.ragged), v.last(), 20)
 
 
-@entry("tk2_model_boards", None)
+_ENTITY = f"""WITH {_mt()}, meta AS (SELECT id, CASE WHEN {NUMBER} % 6 > 0 THEN 'tag' || ({NUMBER} % 6) END AS pipeline_tag FROM mm WHERE {NUMBER} % 7 > 0),
+ pr AS (SELECT b.id AS anc, a.* FROM mm a JOIN mm b ON b.author = a.author AND b.id < a.id AND {NUMBER.replace('id', 'b.id')} % 10 = 0),
+ fm AS (SELECT anc, count(*) AS members, sum(dl30) AS dl30, sum(dl_all) AS dl_all, sum(dl_7d) AS dl_7d FROM pr GROUP BY anc),
+ us AS (SELECT dst, count(*) FILTER (src_kind = 'model') AS n_models, count(*) FILTER (src_kind = 'space') AS n_spaces FROM fx_uses GROUP BY dst),
+ e AS (SELECT mm.id, pipeline_tag, mm.dl30, mm.dl_7d, coalesce(fm.members, 0) AS fam_members, mm.dl30 + coalesce(fm.dl30, 0) AS fam_dl30, mm.dl_all + coalesce(fm.dl_all, 0) AS fam_dl_all, mm.dl_7d + coalesce(fm.dl_7d, 0) AS fam_dl_7d, coalesce(n_models, 0) AS n_models, coalesce(n_spaces, 0) AS n_spaces
+   FROM mm LEFT JOIN meta ON meta.id = mm.id LEFT JOIN fm ON fm.anc = mm.id LEFT JOIN us ON us.dst = {NUMBER.replace('id', 'mm.id')})
+ SELECT id, pipeline_tag, CAST(fam_members AS BIGINT) AS fam_members, CAST(fam_dl30 AS BIGINT) AS fam_dl30, CAST(fam_dl_all AS BIGINT) AS fam_dl_all, CAST(fam_dl_7d AS BIGINT) AS fam_dl_7d, n_models, n_spaces,
+ CAST(CASE WHEN dl30 IS NOT NULL THEN rank() OVER (PARTITION BY pipeline_tag ORDER BY dl30 DESC NULLS LAST) END AS INTEGER) AS rank_task, CAST(CASE WHEN dl30 IS NOT NULL THEN rank() OVER (ORDER BY dl30 DESC NULLS LAST) END AS INTEGER) AS rank_dl30, CAST(CASE WHEN dl_7d IS NOT NULL THEN rank() OVER (ORDER BY dl_7d DESC NULLS LAST) END AS INTEGER) AS rank_7d FROM e"""
+
+
+@entry("jn4_entity_table", _ENTITY)
 def _(v):
-    return ranks.model_boards(series.metrics(v.gappy), 20)
+    number = lambda c: F.expr(NUMBER.replace("id", c))
+    m = series.metrics(v.ragged)
+    ids = v.series.select("id").distinct()
+    meta = ids.filter(number("id") % 7 > 0).select("id", F.when(number("id") % 6 > 0, F.concat(F.lit("tag"), (number("id") % 6).cast("string"))).alias("pipeline_tag"))
+    bases = m.filter(number("id") % 10 == 0).select(F.col("id").alias("anc"), "author")
+    pairs = m.join(bases, "author").filter("anc < id")
+    fam = pairs.groupBy(F.col("anc").alias("id")).agg(F.count("*").alias("members"), *[F.sum(c).alias(c) for c in ("dl30", "dl_all", "dl_7d")])
+    uses = rollups.use_counts(v.uses).join(ids.withColumn("dst", number("id")), "dst").select("id", "n_models", "n_spaces")
+    out = series.entity_table(m, meta, fam, uses)
+    return out.select("id", "pipeline_tag", "fam_members", "fam_dl30", "fam_dl_all", "fam_dl_7d", "n_models", "n_spaces", "rank_task", "rank_dl30", "rank_7d")
+
 
+def _liked_sql(b):
+    return f"CAST(round_even(CASE WHEN a{b}.likes_{b} IS NOT NULL THEN greatest(likes - a{b}.likes_{b}, 0) * {b} / ({LAST} - a{b}.day_{b}) WHEN first_seen > {LAST} - {b} THEN likes END, 0) AS BIGINT) AS likes_{b}d"
 
-@entry("mt7_space_metrics", f"WITH {_GAPPY}, a AS ({_as_of_sql(7)}), b AS ({_as_of_sql(30)}) SELECT g.id, g.likes, CASE WHEN likes - likes_7 < 0 THEN 0 ELSE likes - likes_7 END AS likes_7d, CASE WHEN likes - likes_30 < 0 THEN 0 ELSE likes - likes_30 END AS likes_30d FROM g LEFT JOIN a ON a.id = g.id LEFT JOIN b ON b.id = g.id WHERE g.day = {LAST}")
+
+_SPACE_REFS = ", ".join(f"a{b} AS (SELECT id, max(day) AS day_{b}, arg_max(likes, day) AS likes_{b} FROM r WHERE day BETWEEN {LAST} - {b + 10} AND {LAST} - {b} GROUP BY id)" for b in (7, 30))
+
+
+@entry("mt7_space_metrics", f"WITH {_RAGGED}, {_SPACE_REFS}, fs AS (SELECT id, min(day) AS first_seen FROM r GROUP BY id) SELECT r.id, r.likes, {_liked_sql(7)}, {_liked_sql(30)} FROM r LEFT JOIN a7 ON a7.id = r.id LEFT JOIN a30 ON a30.id = r.id LEFT JOIN fs ON fs.id = r.id WHERE r.day = {LAST}")
 def _(v):
-    return series.space_metrics(v.gappy)
+    return series.space_metrics(v.ragged)
 
 
 _DAILY = "s AS (SELECT id, day, greatest(dl_all - lag(dl_all) OVER w, 0) AS gain, lag(day) OVER w AS pd FROM g WINDOW w AS (PARTITION BY id ORDER BY day)), dd AS (SELECT id, CAST(unnest(generate_series(pd + 1, day, INTERVAL 1 DAY)) AS DATE) AS day, gain / (day - pd) AS v FROM s WHERE pd IS NOT NULL)"
@@ -630,7 +766,7 @@ def _(v):
     return series.weekly(series.by_day(v.gappy, "dl_all"), "v").withColumn("v", F.round("v", 4))
 
 
-@entry("mt11_milestones", "WITH mk AS (SELECT CAST(power(10, unnest(range(3, 10))) AS BIGINT) AS mark), f AS (SELECT id, arg_min(dl_all, day) AS v0 FROM fx_series GROUP BY id), c AS (SELECT s.id, mark, v0, min(day) AS day FROM fx_series s JOIN f ON f.id = s.id, mk WHERE dl_all >= mark GROUP BY ALL), b AS (SELECT *, v0 >= mark AS before, max(CASE WHEN v0 >= mark THEN mark END) OVER (PARTITION BY id) AS tb FROM c) SELECT id, mark, CASE WHEN NOT before THEN day END AS day, before FROM b WHERE NOT before OR mark = tb")
+@entry("mt11_milestones", "WITH mk AS (SELECT CAST(power(10, unnest(range(3, 10))) AS BIGINT) AS mark), f AS (SELECT id, arg_min(dl_all, day) AS v0, arg_max(dl_all, day) AS total FROM fx_series GROUP BY id), g AS (SELECT f.id, v0, total, mark, (SELECT min(day) FROM fx_series s WHERE s.id = f.id AND dl_all >= mark) AS day FROM f, mk), b AS (SELECT *, v0 >= mark AS before, lag(day) OVER (PARTITION BY id ORDER BY mark) AS lower, max(CASE WHEN v0 >= mark THEN mark END) OVER (PARTITION BY id) AS tb FROM g) SELECT id, mark, CASE WHEN NOT before THEN day END AS day, before FROM b WHERE (day IS NOT NULL OR lower IS NOT NULL OR mark = 1000 OR mark / 10 <= total * 10) AND (NOT before OR mark = tb)")
 def _(v):
     return series.milestones(v.series)
 
@@ -650,22 +786,39 @@ def _(v):
     return series.in_range(v.series, 91, v.last()).select("id", "day", "dl30")
 
 
-_INDEX = "ix AS (SELECT p_brand || '/' || p_name AS id, CAST(round(max(p_retailprice)) AS BIGINT) AS pop FROM part GROUP BY 1)"
-_Q = "qs AS (SELECT * FROM (VALUES (1, 'brand#1'), (2, 'brand#12 part'), (3, 'part 7')) t(qid, q)), wq AS (SELECT qid, lower(trim(q)) AS q, regexp_split_to_array(lower(trim(q)), '\\s+') AS ws FROM qs)"
+_INDEX = "ix AS (SELECT p_brand || '/' || p_name AS id, CASE WHEN p_partkey % 9 > 0 THEN CAST(round(p_retailprice) AS BIGINT) END AS pop, CASE WHEN p_partkey % 4 = 0 THEN p_type END AS title FROM part)"
+#: Every 20th part asks: for its name, its owner and type, the first letters of its owner, or nothing.
+_ASKS = "SELECT p_partkey AS qid, CASE p_partkey // 20 % 4 WHEN 0 THEN p_name WHEN 1 THEN ' ' || upper(p_brand) || '  ' || p_type WHEN 2 THEN substr(p_brand, 1, 7) ELSE ' ' END AS q FROM part WHERE p_partkey % 20 = 0"
+_WORDS = "wq AS (SELECT qid, list_filter(regexp_split_to_array(lower(q), '\\s+'), lambda w: w <> '') AS ws FROM qs), aq AS (SELECT qid, ws, array_to_string(ws, ' ') AS q FROM wq WHERE len(ws) > 0)"
 
 
-@entry("se1_search", f"WITH {_INDEX}, {_Q}, c AS (SELECT qid, q, ws, id, pop, lower(id) AS lid FROM ix, wq WHERE len(list_filter(ws, lambda w: NOT contains(lower(id), w))) = 0), b AS (SELECT *, max(pop) OVER (PARTITION BY qid) AS best, split_part(lid, '/', 2) AS nm, split_part(lid, '/', 1) AS ow FROM c), r AS (SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY CAST(lid = q AS INT) DESC, CAST(ow = q AS INT) DESC, CAST(nm = q AND pop >= 0.05 * best AS INT) DESC, CAST(contains(nm, ws[1]) AS INT) DESC, pop DESC, id) AS INTEGER) AS rank FROM b) SELECT qid, rank, id FROM r WHERE rank <= 20")
-def _(v):
+def _asks(v):
     view(v.spark, v.sf_dir, "fx_parts")
-    ix = v.spark.table("part").groupBy(F.concat_ws("/", "p_brand", "p_name").alias("id")).agg(F.round(F.max("p_retailprice")).cast("long").alias("pop"))
-    q = v.spark.createDataFrame([(1, "brand#1"), (2, "brand#12 part"), (3, "part 7")], "qid int, q string")
-    return search.ranked(q, ix, 20)
+    return v.spark.sql(_ASKS.replace("p_partkey // 20", "p_partkey div 20"))
+
+
+def _parts_index(v):
+    view(v.spark, v.sf_dir, "fx_parts")
+    return v.spark.sql(_INDEX.removeprefix("ix AS (").removesuffix(")"))
+
+
+_RANKED = """c AS (SELECT qid, q, ws, id, pop, lower(id) AS lid, lower(title) AS lt FROM ix, aq WHERE len(list_filter(ws, lambda w: NOT (contains(lower(id), w) OR coalesce(contains(lower(title), w), false)))) = 0),
+ b AS (SELECT *, coalesce(pop >= 0.05 * max(pop) OVER (PARTITION BY qid), false) AS enough, split_part(lid, '/', 2) AS nm, split_part(lid, '/', 1) AS ow FROM c),
+ k AS (SELECT *, lid = q AS k1, list_contains(ws, ow) AS k2, (nm = q OR coalesce(lt = q, false)) AND enough AS k3,
+   NOT list_contains(ws, ow) AND (len(list_filter(ws, lambda w: NOT (contains(nm, w) OR coalesce(contains(lt, w), false)))) = 0 OR (starts_with(ow, ws[1]) AND enough)) AS k4 FROM b)"""
+_ORDER = "CAST(k1 AS INT) DESC, CAST(k2 AS INT) DESC, CAST(k3 AS INT) DESC, CAST(k4 AS INT) DESC, pop DESC NULLS LAST, id"
+
+
+@entry("se1_search", f"WITH {_INDEX}, qs AS ({_ASKS}), {_WORDS}, {_RANKED}, r AS (SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY {_ORDER}) AS INTEGER) AS rank FROM k) SELECT qid, rank, id FROM r WHERE rank <= 20")
+def _(v):
+    return search.ranked(_asks(v), _parts_index(v), 20)
 
 
-@entry("se2_search_authors", "WITH ix AS (SELECT author, CAST(sum(dl30) AS BIGINT) AS pop FROM fx_parts GROUP BY author), r AS (SELECT 1 AS qid, author, CAST(row_number() OVER (ORDER BY CAST(lower(author) = 'brand#1' AS INT) DESC, CAST(starts_with(lower(author), 'brand#1') AS INT) DESC, pop DESC, author) AS INTEGER) AS rank FROM ix WHERE contains(lower(author), 'brand#1')) SELECT qid, rank, author FROM r WHERE rank <= 8")
+@entry("se2_search_authors", f"WITH ix AS (SELECT author, CAST(sum(dl30) AS BIGINT) AS pop FROM fx_parts GROUP BY author), qs AS (SELECT p_partkey AS qid, substr(p_brand, 1, 5 + p_partkey // 20 % 4) AS q FROM part WHERE p_partkey % 20 = 0), {_WORDS}, r AS (SELECT qid, author, CAST(row_number() OVER (PARTITION BY qid ORDER BY CAST(lower(author) = q AS INT) DESC, CAST(starts_with(lower(author), q) AS INT) DESC, pop DESC, author) AS INTEGER) AS rank FROM ix, aq WHERE len(list_filter(ws, lambda w: NOT contains(lower(author), w))) = 0) SELECT qid, rank, author FROM r WHERE rank <= 8")
 def _(v):
     ix = v.parts.groupBy("author").agg(F.sum("dl30").alias("pop"))
-    return search.authors(v.spark.createDataFrame([(1, "Brand#1")], "qid int, q string"), ix, 8)
+    q = v.spark.sql("SELECT p_partkey AS qid, substr(p_brand, 1, cast(5 + p_partkey div 20 % 4 AS INT)) AS q FROM part WHERE p_partkey % 20 = 0")
+    return search.authors(q, ix, 8)
 
 
 @entry("rp1_monthly_totals", f"WITH {_GAPPY}, t AS (SELECT day, sum(dl_all) AS t FROM g GROUP BY day), m AS (SELECT DISTINCT CAST(date_trunc('month', day) AS DATE) AS m FROM t), b AS (SELECT m, max(day) AS bd, arg_max(t, day) AS bt FROM t JOIN m ON day <= m GROUP BY m), a AS (SELECT m, min(day) AS ad, arg_min(t, day) AS att FROM t JOIN m ON day >= m GROUP BY m), v AS (SELECT b.m, bt + (att - bt) * CASE WHEN ad > bd THEN (b.m - bd) / (ad - bd) ELSE 0.0 END AS v FROM b JOIN a ON a.m = b.m), l AS (SELECT m, round(lead(v) OVER (ORDER BY m) - v, 6) AS total FROM v) SELECT m AS month, total FROM l WHERE total IS NOT NULL")
@@ -724,12 +877,9 @@ def _(v):
     return v.uses.groupBy(F.date_trunc("quarter", "created").cast("date").alias("quarter"), "src_kind").agg(F.countDistinct("src").alias("creators"))
 
 
-@entry("rp14_share_of_authors", "WITH u AS (SELECT CAST(year(created) AS INTEGER) AS year, src, dst FROM fx_uses) SELECT u.year, p.tag, count(DISTINCT src) AS n, round(count(DISTINCT src) / max(t.c), 6) AS share FROM u JOIN fx_parts p ON p.id = dst JOIN (SELECT year, count(DISTINCT src) AS c FROM u GROUP BY year) t ON t.year = u.year GROUP BY 1, 2")
+@entry("rp14_share_of_authors", "WITH u AS (SELECT CAST(year(created) AS INTEGER) AS year, src % 211 AS author, dst FROM fx_uses) SELECT u.year, p.tag, count(DISTINCT u.author) AS n, round(count(DISTINCT u.author) / max(t.c), 6) AS share FROM u JOIN fx_parts p ON p.id = dst JOIN (SELECT year, count(DISTINCT author) AS c FROM u GROUP BY year) t ON t.year = u.year GROUP BY 1, 2")
 def _(v):
-    u = v.uses.select(F.year("created").alias("year"), "src", F.col("dst").alias("id"))
-    total = u.groupBy("year").agg(F.countDistinct("src").alias("c"))
-    n = u.join(v.parts, "id").groupBy("year", "tag").agg(F.countDistinct("src").alias("n"))
-    return n.join(total, "year").select("year", "tag", "n", r6(F.col("n") / F.col("c")).alias("share"))
+    return rollups.citing_authors(v.uses.withColumn("author", F.col("src") % 211), v.parts)
 
 
 @entry("rp16_volume_bands", f"SELECT count(*) FILTER (dl30 < 10) AS under_10, count(*) FILTER (dl30 < 100) AS under_100, count(*) FILTER (dl30 > 1000000) AS over_1m FROM fx_series WHERE day = {LAST}")

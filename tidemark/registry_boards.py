@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import boards, galaxy, graph, ranks, search, series, summary, uses
 from tidemark.plans.views import view
-from tidemark.registry import _GAPPY, _RUNS, GAPPY, LAST, _as_of_sql, _wins, entry
+from tidemark.registry import _ORDER, _RANKED, _WORDS, _GAPPY, _RUNS, GAPPY, LAST, _as_of_sql, _wins, entry
 
 
 def _table(v, name):
@@ -143,11 +143,15 @@ def _(v):
     return summary.rebuilt(v.hub, v.hub.filter(F.expr(GAPPY)), v.hub.filter("dl < 3"), v.hub.filter("dl > 5"))
 
 
-@entry("se3_search_all", "WITH a AS (SELECT 'model' AS kind, p_brand || '/' || p_name AS id, CAST(round(max(p_retailprice)) AS BIGINT) AS pop FROM part GROUP BY 2 UNION ALL SELECT 'space', 'brand/' || s_name, s_suppkey FROM supplier), c AS (SELECT *, lower(id) AS lid FROM a WHERE contains(lower(id), 'brand')), r AS (SELECT kind, id, 1 AS qid, CAST(row_number() OVER (PARTITION BY kind ORDER BY CAST(split_part(lid, '/', 1) = 'brand' AS INT) DESC, CAST(contains(split_part(lid, '/', 2), 'brand') AS INT) DESC, pop DESC, id) AS INTEGER) AS rank FROM c) SELECT kind, qid, rank, id FROM r WHERE rank <= 5")
+_KINDS = "ix AS (SELECT 'model' AS kind, p_brand || '/' || p_name AS id, CAST(round(p_retailprice) AS BIGINT) AS pop, NULL AS title FROM part UNION ALL SELECT 'space', 'brand/' || s_name, CAST(s_suppkey AS BIGINT), NULL FROM supplier)"
+
+
+@entry("se3_search_all", f"WITH {_KINDS}, qs AS (SELECT s_suppkey AS qid, CASE s_suppkey % 40 WHEN 0 THEN 'Brand' ELSE s_name END AS q FROM supplier WHERE s_suppkey % 20 = 0), {_WORDS}, {_RANKED.replace('SELECT qid, q, ws, id', 'SELECT kind, qid, q, ws, id').replace('PARTITION BY qid', 'PARTITION BY kind, qid')}, r AS (SELECT kind, qid, id, CAST(row_number() OVER (PARTITION BY kind, qid ORDER BY {_ORDER}) AS INTEGER) AS rank FROM k) SELECT kind, qid, rank, id FROM r WHERE rank <= 5")
 def _(v):
-    models = _table(v, "part").groupBy(F.concat_ws("/", "p_brand", "p_name").alias("id")).agg(F.round(F.max("p_retailprice")).cast("long").alias("pop"))
+    models = _table(v, "part").select(F.concat_ws("/", "p_brand", "p_name").alias("id"), F.round("p_retailprice").cast("long").alias("pop"))
     spaces = v.spark.table("supplier").select(F.concat(F.lit("brand/"), "s_name").alias("id"), F.col("s_suppkey").cast("long").alias("pop"))
-    return search.by_kind(v.spark.createDataFrame([(1, "Brand")], "qid int, q string"), {"model": models, "space": spaces}, 5)
+    asks = v.spark.table("supplier").filter("s_suppkey % 20 = 0").select(F.col("s_suppkey").alias("qid"), F.when(F.col("s_suppkey") % 40 == 0, "Brand").otherwise(F.col("s_name")).alias("q"))
+    return search.by_kind(asks, {"model": models, "space": spaces}, 5)
 
 
 _REL = "p AS (SELECT dl30, CASE WHEN id % 5 <> 0 THEN base_relation END AS rel FROM fx_parts)"
