@@ -227,16 +227,23 @@ def test_classifiers_learn(spark, none):
     assert quality.score(none, net).count() == 0 and toxicity.score(none, model).count() == 0
 
 
-def test_embeddings(spark):
+def test_embeddings(spark, monkeypatch):
     g = np.random.default_rng(1)
     base = g.normal(size=(30, 16))
     rows = [(k, (base[k % 30] + g.normal(scale=0.12, size=16)).tolist(), k % 2) for k in range(200)]
     rows += [(200, rows[0][1], 0), (201, None, 0), (202, [0.0] * 16, 0), (203, [float("nan")] + [1.0] * 15, 0), (204, rows[0][1], None), (205, [None] + [1.0] * 15, 0), (206, [], 0)]
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     ok = [r for r in rows if r[0] <= 200]
     x = np.array([r[1] for r in ok]) / np.linalg.norm([r[1] for r in ok], axis=1)[:, None]
     near = (x @ x.T >= 0.93) & (np.array([r[2] for r in ok])[:, None] == np.array([r[2] for r in ok]))
     degree = near.sum(1) - 1
-    hit = sum(got[k][0] == degree[k] for k in range(201))
-    assert hit >= 0.9 * 201 and all(got[k][0] <= degree[k] for k in range(201))
-    assert all(got[k] == (0, k, True) for k in range(201, 207))
+    for block in (1024, 8):
+        monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(frame(rows)).collect()}
+        hit = sum(got[k][0] == degree[k] for k in range(201))
+        assert hit >= 0.97 * 201 and all(got[k][0] <= degree[k] for k in range(201))
+        assert all(got[k] == (0, k, True) for k in range(201, 207))
+    # One id with two vectors: each links for itself. No rows: no rows.
+    twice = sorted(map(tuple, embedding_dedup.near_duplicates(frame([(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (3, [0.01, 1.0], 0)])).collect()))
+    assert twice == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (3, 2, 1, False)]
+    assert embedding_dedup.near_duplicates(frame([])).count() == 0

@@ -6,7 +6,8 @@ are bucket keys: vectors within the bound share at least one of TABLES keys with
 of one vector times the turned other one over the correction factor is an unbiased estimate of their inner product; only pairs
 whose upper confidence bound reaches the threshold are recomputed exactly, in double precision. A pair counts in the first table
 where it meets. Large buckets are cut into blocks, pairs of which are separate tasks; a task returns a count and one edge a
-vector, never pairs.
+vector, never pairs. Keys are dealt first, without vectors; these are moved once for each block that they are compared in. The
+number of tables follows from the largest label, and the number of tasks from the bytes that they are to read.
 
 Defined results: a vector that is null, of no length, zero, or that holds a null or a non-finite number, and one whose label is
 null, links with nothing and is its own component. Vectors of unlike lengths do not link. Rows with one vec_id count as separate
@@ -23,18 +24,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import bucket_of, components, cut, shuffle_count, table
+from tidemark.llm.shared import bounded_batches, bucket_of, components, cut, shuffle_count, table
 
 THRESHOLD = 0.93
 RECALL = 0.998
 #: Classes wanted in a bucket, and classes of one block of a large bucket.
 BUCKET, BLOCK = 128, 1024
+#: Bytes dealt to one task.
+TASK_BYTES = 16 << 20
 #: Half-width of the confidence bound of an estimate, in standard errors.
 SURE = 5.0
 
 
 def plan_tables(n: int) -> tuple[int, int]:
-    """(bits of a key, number of tables) for n classes: longer keys for more classes, and as many tables as the recall needs."""
+    """(bits of a key, number of tables) for n classes of one label: longer keys for more classes, and as many tables as the recall needs."""
     bits = max(6, math.ceil(math.log2(max(2, n) / BUCKET)))
     meet = (1 - math.acos(THRESHOLD) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - meet))
@@ -144,7 +147,7 @@ def _bucket_links(bits: int, tables: int):
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of vectors(vec_id, embedding, label)."""
     parts = shuffle_count(vectors)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = bounded_batches(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("usable", F.coalesce(F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~bad & some & F.col("vec_id").isNotNull(), F.lit(False)))
@@ -152,24 +155,29 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     rows = rows.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0)))
     rows = rows.withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.hash("embedding"))
     key = ["label", "h1", "h2"]
-    classes = rows.filter("usable").groupBy(*key).agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("embedding").alias("embedding"))
-    classes = cut(classes.withColumn("dim", F.size("embedding")))
-    bits, tables = plan_tables(classes.count())
-    spark = vectors.sparkSession
+    classes = rows.filter("usable").groupBy(*key).agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"), F.first("embedding").alias("embedding"))
+    classes = cut(classes.withColumn("dim", F.size("embedding"))).withColumn("id", F.monotonically_increasing_id())
+    bits, tables = plan_tables(classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0)
     coded = classes.select("id", "label", "dim", "weight", "embedding").mapInPandas(_encoder(bits, tables), "id long, label string, dim int, weight long, code binary, factor double, keys binary, vector binary")
     coded = cut(coded)
     t = F.explode(F.sequence(F.lit(0), F.lit(tables - 1)))
-    entries = coded.withColumn("t", t).withColumn("key", F.expr("substring(keys, t * 4 + 1, 4)"))
+    entries = coded.select("id", "label", "dim", "keys", t.alias("t")).withColumn("key", F.expr("substring(keys, t * 4 + 1, 4)")).drop("keys")
     place = ["label", "dim", "t", "key"]
     sizes = entries.groupBy(*place).agg(F.count("*").alias("members")).filter("members > 1").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).drop("members")
     entries = entries.join(sizes, place).withColumn("block", F.when(F.col("blocks") > 1, bucket_of("id", n=1 << 30) % F.col("blocks")).otherwise(0))
     entries = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    lanes = entries.withColumn("lane", bucket_of(*place, "lo", "hi", n=parts * 8)).select("lane", *place, "lo", "hi", "block", "id", "weight", "code", "factor", "keys", "vector")
-    found = cut(lanes.groupBy("lane").applyInPandas(_bucket_links(bits, tables), "id long, links long, root long"))
+    entries = cut(entries.select(*place, "lo", "hi", "block", "id"))
+    width = coded.agg(F.max(F.octet_length("vector") + F.octet_length("code") + F.octet_length("keys"))).first()[0] or 0
+    lanes = max(parts, entries.count() * (width + 64) // TASK_BYTES + 1)
+    held = coded.select("id", "weight", "code", "factor", "keys", "vector")
+    dealt = entries.join(held, "id").withColumn("lane", bucket_of(*place, "lo", "hi", n=lanes))
+    found = cut(dealt.groupBy("lane").applyInPandas(_bucket_links(bits, tables), "id long, links long, root long"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    whole = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    named = classes.select(*key, "id", "weight").join(links, "id", "left").join(whole, "id", "left")
-    named = named.select(*key, (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"), F.lit(True).alias("usable"))
+    whole = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("component_id", "label_id")
+    # The smallest vec_id of each component of classes.
+    least = classes.select("id", "first").join(whole, "id").groupBy("label_id").agg(F.min("first").alias("component_id"))
+    named = classes.select(*key, "id", "first", "weight").join(links, "id", "left").join(whole.join(least, "label_id"), "id", "left")
+    named = named.select(*key, (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "first").alias("component_id"), F.lit(True).alias("usable"))
     out = rows.select("vec_id", *key, "usable").join(named, [*key, "usable"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))

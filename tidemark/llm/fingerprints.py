@@ -5,8 +5,9 @@ merge into that of the whole; from two of them follow estimates of resemblance a
 distinct shingles.
 
 Defined results: a null text is empty; a text without words has an empty sketch, and two empty sketches are alike (1.0). A text
-with fewer than five words has one shingle. `doc_id` is the key: for rows that repeat one, every pairing with the next
-document is returned. Extra columns are ignored. In an empty table there is nothing; a single document is its own next one.
+with fewer than five words has one shingle. Every row is a document and is returned once. The order is by doc_id, a null one
+being the smallest; rows of one doc_id follow each other by a hash of their texts, and of equal rows each but one has its own
+copy as the next document. Extra columns are ignored. In an empty table there is nothing; a single document is its own next one.
 """
 
 from __future__ import annotations
@@ -60,40 +61,49 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), HASH_BITS // 4, "0")), "")
 
 
-def takers(docs: DataFrame) -> DataFrame:
-    """(doc_id, taker, half): the document whose next one this is, and how many of this one's characters it takes.
+def takers(ids: DataFrame) -> DataFrame:
+    """ids(doc_id, h, half) with `taker`: the document whose next one this is, with its place and how much it takes.
 
-    Next is by descending doc_id, so the taker is the next greater id; the smallest takes from the greatest. Only ids and
-    lengths are moved. Ranges of ids are tasks; one row a range tells where the next begins.
+    Next is by descending order, so the taker is the next greater; the smallest takes from the greatest. Only ids and lengths
+    are moved. Ranges of ids are tasks; one row a range tells where the next begins.
     """
-    ids = docs.groupBy("doc_id").agg(F.max(F.floor(F.col("n_chars") / 2)).alias("half"))
-    ranged = cut(ids.repartitionByRange(shuffle_count(ids), "doc_id").withColumn("_range", F.spark_partition_id()))
-    firsts = ranged.groupBy("_range").agg(F.min(F.struct("doc_id", "half")).alias("f"))
+    order = ["doc_id", "h"]
+    ranged = cut(ids.repartitionByRange(shuffle_count(ids), *order).withColumn("_range", F.spark_partition_id()))
+    firsts = ranged.groupBy("_range").agg(F.min(F.struct(*order, "half")).alias("f"))
     over = W.orderBy("_range")
     wrap = F.first("f").over(over.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     firsts = firsts.select("_range", F.coalesce(F.lead("f").over(over), wrap).alias("f"))
-    inside = F.lead(F.struct("doc_id", "half")).over(W.partitionBy("_range").orderBy("doc_id"))
-    got = ranged.withColumn("n", inside).join(F.broadcast(firsts), "_range").select("doc_id", F.coalesce("n", "f").alias("n"))
-    return got.select("doc_id", F.col("n.doc_id").alias("taker"), F.col("n.half").cast("int").alias("half"))
+    inside = F.lead(F.struct(*order, "half")).over(W.partitionBy("_range").orderBy(*order))
+    got = ranged.withColumn("n", inside).join(F.broadcast(firsts), "_range")
+    return got.select(*order, F.coalesce("n", "f").alias("taker"))
 
 
 def compare(docs: DataFrame) -> DataFrame:
-    """Fingerprints of docs(doc_id, text), of their edited texts, and how alike these and the next documents are."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    gifts = texts.join(takers(texts.select("doc_id", F.length("text").alias("n_chars"))), "doc_id")
-    gifts = gifts.withColumn("words", word_list(F.col("text"))).select(F.col("taker").alias("doc_id"), F.expr("left(text, half)").alias("gift"), sketch(F.col("words")).alias("next_sketch"))
-    rows = texts.join(gifts, "doc_id").withColumn("n_chars", F.length("text").cast("long"))
-    rows = rows.withColumn("edited", F.concat(F.expr("left(text, cast(n_chars - n_chars div 2 as int))"), "gift"))
-    rows = rows.select("doc_id", "n_chars", "next_sketch", F.sha2("edited", 256).alias("edited_sha256"), word_list(F.col("text")).alias("words"), word_list(F.col("edited")).alias("edited_words"))
-    rows = rows.select("doc_id", "n_chars", "edited_sha256", "next_sketch", sketch(F.col("words")).alias("own"), sketch(F.col("edited_words")).alias("changed"))
-    return rows.select(
+    """Fingerprints of docs(doc_id, text), of their edited texts, and how alike these and the next documents are.
+
+    A text is sketched once, before it is moved; its sketch goes with it to its own row and to that of its taker.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    ids = texts.select("doc_id", "h", F.floor(F.length("text") / 2).cast("int").alias("half")).groupBy("doc_id", "h").agg(F.first("half").alias("half"))
+    # Equal rows become one with a number before they are moved.
+    rows = texts.withColumn("own", sketch(word_list(F.col("text")))).groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.first("own").alias("own"), F.count("*").alias("copies"))
+    to = takers(ids).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "taker")
+    given = rows.join(to, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h")))
+    given = given.select(F.col("taker.doc_id").alias("_d"), F.col("taker.h").alias("_h"), F.expr("left(text, taker.half)").alias("gift"), F.col("own").alias("next_own"))
+    met = rows.join(given, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))).withColumn("n_chars", F.length("text").cast("long"))
+    nexts = F.array(F.struct("gift", "next_own"))
+    copy = F.struct(F.expr("left(text, cast(n_chars div 2 as int))").alias("gift"), F.col("own").alias("next_own"))
+    met = met.withColumn("next", F.explode(F.when(F.col("copies") == 1, nexts).otherwise(F.concat(nexts, F.array_repeat(copy, (F.col("copies") - 1).cast("int"))))))
+    met = met.withColumn("edited", F.concat(F.expr("left(text, cast(n_chars - n_chars div 2 as int))"), "next.gift"))
+    met = met.select("doc_id", "n_chars", "own", F.sha2("edited", 256).alias("edited_sha256"), F.col("next.next_own").alias("next_own"), sketch(word_list(F.col("edited"))).alias("changed"))
+    return met.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         as_text(F.col("own")).alias("fingerprint"),
         as_text(F.col("changed")).alias("edited_fingerprint"),
         resemblance(F.col("own"), F.col("changed")).alias("near_edited"),
-        resemblance(F.col("own"), F.col("next_sketch")).alias("near_next"),
+        resemblance(F.col("own"), F.col("next_own")).alias("near_next"),
         distinct_shingles(F.col("own")).alias("n_shingles"),
         containment(F.col("own"), F.col("changed")).alias("in_edited"),
     )
