@@ -52,6 +52,8 @@ def texts(column, most: int = SLICE_BYTES):
     data, off = column_bytes(column)
     for lo, hi in slices(off, most):
         yield lo, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+    # Workers live on between tasks; what Arrow has freed goes back.
+    pa.default_memory_pool().release_unused()
 
 
 def lower(data: np.ndarray) -> np.ndarray:
