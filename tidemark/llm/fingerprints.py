@@ -26,7 +26,7 @@ def word_list(text: Column) -> Column:
 
 
 def sketch(words: Column, size: int = SIZE) -> Column:
-    """Sketch of an array of words."""
+    """Sketch of a column of words; it must be a column of its own, as every shingle reads it."""
     n = F.size(words)
     places = F.when(n == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(n - (WIDTH - 1), F.lit(1))))
     hashes = F.transform(places, lambda k: F.shiftrightunsigned(F.xxhash64(F.slice(words, k, WIDTH)), 64 - HASH_BITS))
@@ -86,7 +86,7 @@ def compare(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     ids = texts.select("doc_id", "h", F.floor(F.length("text") / 2).cast("int").alias("half")).groupBy("doc_id", "h").agg(F.first("half").alias("half"))
     # Equal rows become one with a number before they are moved.
-    rows = texts.withColumn("own", sketch(word_list(F.col("text")))).groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.first("own").alias("own"), F.count("*").alias("copies"))
+    rows = texts.withColumn("words", word_list(F.col("text"))).withColumn("own", sketch(F.col("words"))).groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.first("own").alias("own"), F.count("*").alias("copies"))
     to = takers(ids).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "taker")
     given = rows.join(to, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h")))
     given = given.select(F.col("taker.doc_id").alias("_d"), F.col("taker.h").alias("_h"), F.expr("left(text, taker.half)").alias("gift"), F.col("own").alias("next_own"))
@@ -95,7 +95,8 @@ def compare(docs: DataFrame) -> DataFrame:
     copy = F.struct(F.expr("left(text, cast(n_chars div 2 as int))").alias("gift"), F.col("own").alias("next_own"))
     met = met.withColumn("next", F.explode(F.when(F.col("copies") == 1, nexts).otherwise(F.concat(nexts, F.array_repeat(copy, (F.col("copies") - 1).cast("int"))))))
     met = met.withColumn("edited", F.concat(F.expr("left(text, cast(n_chars - n_chars div 2 as int))"), "next.gift"))
-    met = met.select("doc_id", "n_chars", "own", F.sha2("edited", 256).alias("edited_sha256"), F.col("next.next_own").alias("next_own"), sketch(word_list(F.col("edited"))).alias("changed"))
+    met = met.select("doc_id", "n_chars", "own", F.sha2("edited", 256).alias("edited_sha256"), F.col("next.next_own").alias("next_own"), word_list(F.col("edited")).alias("words"))
+    met = met.withColumn("changed", sketch(F.col("words")))
     return met.select(
         "doc_id",
         "n_chars",
