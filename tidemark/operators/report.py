@@ -78,3 +78,15 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 def rank_by_month(df: DataFrame, key: str, value: str) -> DataFrame:
     g = df.groupBy(F.trunc("day", "month").alias("month"), key).agg(F.sum(value).alias("v"))
     return g.withColumn("rank", F.rank().over(W.partitionBy("month").orderBy(F.col("v").desc())).cast("int"))
+
+
+def cohort_share(m: DataFrame, born) -> DataFrame:
+    """(cohort, dl30, share): the share of all downloads by a cohort column, such as the year of creation; no cohort is none of them."""
+    total = m.agg(F.sum("dl30").alias("_t"))
+    g = m.groupBy(born.alias("cohort")).agg(F.sum("dl30").alias("dl30")).crossJoin(F.broadcast(total))
+    return g.filter("cohort IS NOT NULL").select("cohort", "dl30", F.round(F.col("dl30") / F.col("_t"), 6).alias("share"))
+
+
+def volume_bands(m: DataFrame, value: str = "dl30", bounds: tuple = (10, 100), over: int = 1_000_000) -> DataFrame:
+    """Numbers of repos under each bound, and over the last."""
+    return m.agg(*[F.count_if(F.col(value) < b).alias(f"under_{b}") for b in bounds], F.count_if(F.col(value) > over).alias("over_1m"))

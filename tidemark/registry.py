@@ -98,6 +98,57 @@ def _(v):
     return snapshots.snapshot(v.series, v.last())
 
 
+def _folder(v, name):
+    """A new folder beside the checkpoints, which driver and executors share."""
+    import uuid
+
+    from tidemark.plans.staging import shared_folder
+
+    return f"{shared_folder(v.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@entry("snk1_series_by_month", "SELECT id, day, dl30, dl_all, likes, strftime(day, '%Y-%m') AS month FROM fx_series")
+def _(v):
+    path = _folder(v, "series")
+    snapshots.write_series(v.series, path)
+    return v.spark.read.parquet(path).withColumn("month", F.date_format("day", "yyyy-MM"))
+
+
+@entry("snk3_replaced_day", f"SELECT id, day, CASE WHEN day = {LAST} THEN dl30 + 1 ELSE dl30 END AS dl30 FROM fx_series WHERE day < {LAST} OR {NUMBER} % 2 = 0")
+def _(v):
+    path, last = _folder(v, "series"), v.series.agg(F.max("day")).first()[0]
+    snapshots.write_series(v.series, path, files=1)
+    again = v.series.filter(F.col("day") == F.lit(last)).filter(f"{NUMBER} % 2 = 0").withColumn("dl30", F.col("dl30") + 1)
+    for _ in range(2):  # a second delivery changes nothing
+        snapshots.upsert_day(path, _folder(v, "staging"), again, last)
+    return v.spark.read.parquet(path).select("id", "day", "dl30")
+
+
+@entry("src1_read_days", "SELECT id, day, CAST(dl30 AS INTEGER) AS dl30, dl_all, CAST(NULL AS INTEGER) AS likes FROM fx_series WHERE day(day) = 1")
+def _(v):
+    path = _folder(v, "days")
+    raw = v.series.filter("day(day) = 1").select("id", F.col("dl30").alias("downloads"), F.col("dl_all").alias("downloadsAllTime"), F.concat(F.col("day").cast("string"), F.lit(".parquet")).alias("file"))
+    raw.repartition("file").write.partitionBy("file").parquet(path)
+    return snapshots.counters(snapshots.read_days(v.spark, f"{path}/file=*"))
+
+
+@entry("src2_like_days", "SELECT id, day, CAST(likes AS INTEGER) AS likes, CAST(dl30 / 7.0 AS REAL) AS trending FROM fx_series WHERE day(day) = 2")
+def _(v):
+    path = _folder(v, "days")
+    raw = v.series.filter("day(day) = 2").select("id", "likes", (F.col("dl30") / 7.0).alias("trendingScore"), F.concat(F.col("day").cast("string"), F.lit(".parquet")).alias("file"))
+    raw.repartition("file").write.partitionBy("file").parquet(path)
+    return snapshots.like_counters(snapshots.read_days(v.spark, f"{path}/file=*", snapshots.RAW_LIKES))
+
+
+@entry("src8_entity_metadata", "SELECT CAST(p_partkey AS VARCHAR) AS id, p_brand AS author, p_type AS pipeline_tag, CAST(p_size AS BIGINT) AS params, CASE WHEN p_size % 2 = 0 THEN 'merge' END AS base_relation, p_partkey // 2 AS base, CASE WHEN p_size % 3 > 0 THEN p_name END AS license, p_size % 5 = 0 AS is_gguf FROM part")
+def _(v):
+    view(v.spark, v.sf_dir, "fx_parts")
+    base = F.struct(F.when(F.col("p_size") % 2 == 0, "merge").alias("relation"), F.array(F.struct((F.floor(F.col("p_partkey") / 2)).cast("string").alias("id"))).alias("models"))
+    tags = F.array_compact(F.array(F.lit("x"), F.when(F.col("p_size") % 3 > 0, F.concat(F.lit("license:"), "p_name")), F.when(F.col("p_size") % 5 == 0, "gguf")))
+    raw = v.spark.table("part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("author"), F.col("p_type").alias("pipeline_tag"), F.lit("2024-01-02T03:04:05").alias("createdAt"), F.struct(F.col("p_size").cast("long").alias("total")).alias("safetensors"), base.alias("baseModels"), tags.alias("tags"))
+    return snapshots.entity_metadata(raw).select("id", "author", "pipeline_tag", "params", "base_relation", F.get("base_ids", 0).cast("long").alias("base"), "license", "is_gguf")
+
+
 @entry("flt1_active", "SELECT id, day FROM fx_series WHERE dl30 >= 10 OR likes >= 1 OR dl_all >= 50")
 def _(v):
     return v.series.filter(series.active(F.col("dl30"), F.col("likes"), F.col("dl_all"))).select("id", "day")
@@ -654,6 +705,30 @@ def _(v):
     return ranks.position(v.parts.groupBy("author").agg(F.sum("dl30").alias("v")), "author", "v").select("author", "place", "top_percent")
 
 
+@entry("mt16_standing", "WITH t AS (SELECT id, dl30 AS v FROM fx_parts), p AS (SELECT id, rank() OVER (ORDER BY v DESC) AS place, round(100.0 * rank() OVER (ORDER BY v DESC) / count(*) OVER (), 6) AS top_percent FROM t) SELECT id, CASE WHEN place <= 10 THEN 'top 10' WHEN place <= 100 THEN 'top 100' WHEN place <= 1000 THEN 'top 1000' ELSE 'top ' || CAST(CAST(ceil(top_percent) AS BIGINT) AS VARCHAR) || ' %' END AS tier FROM p")
+def _(v):
+    return ranks.standing(ranks.position(v.parts.withColumnRenamed("dl30", "v"), "id", "v")).select("id", "tier")
+
+
+@entry("sc22_links", "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'dataset' WHEN 1 THEN 'space' WHEN 2 THEN 'model' ELSE '' END AS kind, CASE WHEN s_suppkey % 4 < 3 THEN 'org' || s_nationkey || '/repo' || s_suppkey ELSE '' END AS rid FROM supplier")
+def _(v):
+    view(v.spark, v.sf_dir, "fx_parts")
+    t = v.spark.table("supplier")
+    rid = F.concat(F.lit("org"), F.col("s_nationkey").cast("string"), F.lit("/repo"), F.col("s_suppkey").cast("string"))
+    k = F.col("s_suppkey") % 4
+    text = F.when(k == 0, F.concat(F.lit("https://hub.example/datasets/"), rid)).when(k == 1, F.concat(F.lit("https://hub.example/spaces/"), rid)).when(k == 2, rid).otherwise("no link at all")
+    kind, found = S.link(text)
+    return t.select("s_suppkey", kind.alias("kind"), found.alias("rid"))
+
+
+@entry("sc21_card_items", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN [p_brand] WHEN p_size % 3 = 1 THEN list_sort([p_brand, p_name]) ELSE [] END AS items FROM part")
+def _(v):
+    view(v.spark, v.sf_dir, "fx_parts")
+    k = F.col("p_size") % 3
+    card = F.when(k == 0, F.to_json(F.struct(F.col("p_brand").alias("datasets")))).when(k == 1, F.to_json(F.struct(F.array("p_brand", F.concat(F.lit(" "), "p_name"), F.lit(""), "p_brand").alias("datasets")))).otherwise("{not json")
+    return v.spark.table("part").select("p_partkey", F.array_sort(S.card_items(card, "datasets")).alias("items"))
+
+
 @entry("tk1_top", f"SELECT id, dl30 FROM fx_series WHERE day = {LAST} ORDER BY dl30 DESC, id LIMIT 100")
 def _(v):
     return ranks.top(v.series.filter(F.col("day") == v.last()), "dl30", 100).select("id", "dl30")
@@ -851,6 +926,11 @@ def _(v):
     return v.parts.groupBy(report.bands(F.col("dl30"), [1000, 1500]).alias("band")).agg(F.count("*").alias("n"), F.sum("dl30").alias("dl30"))
 
 
+@entry("rp9_cohort_share", "SELECT CAST(year(created) AS INTEGER) AS cohort, CAST(sum(weight) AS BIGINT) AS dl30, round(sum(weight) / (SELECT sum(weight) FROM fx_uses), 6) AS share FROM fx_uses GROUP BY 1")
+def _(v):
+    return report.cohort_share(v.uses.withColumnRenamed("weight", "dl30"), F.year("created"))
+
+
 @entry("rp9_cohorts", "WITH f AS (SELECT user_id, CAST(min(day) AS DATE) AS f FROM fx_events GROUP BY user_id) SELECT CAST(date_trunc('week', f) AS DATE) AS cohort, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM fx_events e JOIN f ON f.user_id = e.user_id GROUP BY 1")
 def _(v):
     f = v.events.groupBy("user_id").agg(S.week(F.min("day")).alias("cohort"))
@@ -884,8 +964,7 @@ def _(v):
 
 @entry("rp16_volume_bands", f"SELECT count(*) FILTER (dl30 < 10) AS under_10, count(*) FILTER (dl30 < 100) AS under_100, count(*) FILTER (dl30 > 1000000) AS over_1m FROM fx_series WHERE day = {LAST}")
 def _(v):
-    d = F.col("dl30")
-    return v.series.filter(F.col("day") == v.last()).agg(F.count_if(d < 10).alias("under_10"), F.count_if(d < 100).alias("under_100"), F.count_if(d > 1000000).alias("over_1m"))
+    return report.volume_bands(v.series.filter(F.col("day") == v.last()))
 
 
 @entry("rp17_outliers", f"WITH {_NOW} SELECT id, likes, dl30, round(likes / dl30, 6) AS ratio FROM n WHERE dl30 > 0 ORDER BY likes / dl30 DESC, id LIMIT 20")

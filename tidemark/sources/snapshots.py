@@ -17,9 +17,9 @@ def conform(df: DataFrame, schema: StructType) -> DataFrame:
 
 
 def read_days(spark: SparkSession, path: str, schema: str = RAW) -> DataFrame:
-    """Daily snapshot files named by their day; columns that a file lacks are null."""
+    """Daily snapshot files, or folders of files, named by their day; columns that a file lacks are null."""
     df = spark.read.schema(schema).parquet(path)
-    return df.withColumn("day", F.to_date(F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4}-\d{2}-\d{2})\.parquet$", 1)))
+    return df.withColumn("day", F.to_date(F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4}-\d{2}-\d{2})[^/]*\.parquet(/|$)", 1)))
 
 
 def counters(df: DataFrame) -> DataFrame:
@@ -67,11 +67,12 @@ def entity_metadata(raw: DataFrame) -> DataFrame:
     )
 
 
-def write_series(series: DataFrame, path: str, key: str = "id", files: int = 4) -> None:
-    """By month, each month in several files by range of the key, sorted by key and day."""
+def write_series(series: DataFrame, path: str, key: str = "id", files: int = 4, level: int = 9) -> None:
+    """By month, each month in about `files` files by range of the key, sorted by key and day, compressed at a level of zstandard."""
     rows = series.withColumn("month", F.date_format("day", "yyyy-MM"))
-    dealt = rows.repartitionByRange(max(1, files), "month", key).sortWithinPartitions("month", key, "day")
-    dealt.write.mode("overwrite").partitionBy("month").option("compression", "zstd").parquet(path)
+    parts = max(1, files) * max(1, rows.select("month").distinct().count())
+    dealt = rows.repartitionByRange(parts, "month", key).sortWithinPartitions("month", key, "day")
+    dealt.write.mode("overwrite").partitionBy("month").option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
 
 
 def upsert_day(path: str, staging: str, rows: DataFrame, day) -> None:
