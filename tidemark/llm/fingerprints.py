@@ -62,20 +62,20 @@ def as_text(a: Column) -> Column:
 
 
 def takers(ids: DataFrame) -> DataFrame:
-    """ids(doc_id, h, half) with `taker`: the document whose next one this is, with its place and how much it takes.
+    """ids(d, h, doc_id, half) with `taker`: the document whose next one this is, with its key and how much it takes.
 
     Next is by descending order, so the taker is the next greater; the smallest takes from the greatest. Only ids and lengths
     are moved. Ranges of ids are tasks; one row a range tells where the next begins.
     """
     order = ["doc_id", "h"]
     ranged = cut(ids.repartitionByRange(shuffle_count(ids), *order).withColumn("_range", F.spark_partition_id()))
-    firsts = ranged.groupBy("_range").agg(F.min(F.struct(*order, "half")).alias("f"))
+    taker = F.struct(*order, "d", "half")
+    firsts = ranged.groupBy("_range").agg(F.min(taker).alias("f"))
     over = W.orderBy("_range")
     wrap = F.first("f").over(over.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     firsts = firsts.select("_range", F.coalesce(F.lead("f").over(over), wrap).alias("f"))
-    inside = F.lead(F.struct(*order, "half")).over(W.partitionBy("_range").orderBy(*order))
-    got = ranged.withColumn("n", inside).join(F.broadcast(firsts), "_range")
-    return got.select(*order, F.coalesce("n", "f").alias("taker"))
+    inside = F.lead(taker).over(W.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("n", inside).join(F.broadcast(firsts), "_range").select("d", "h", F.coalesce("n", "f").alias("taker"))
 
 
 def compare(docs: DataFrame) -> DataFrame:
@@ -83,14 +83,18 @@ def compare(docs: DataFrame) -> DataFrame:
 
     A text is sketched once, before it is moved; its sketch goes with it to its own row and to that of its taker.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    ids = texts.select("doc_id", "h", F.floor(F.length("text") / 2).cast("int").alias("half")).groupBy("doc_id", "h").agg(F.first("half").alias("half"))
-    # Equal rows become one with a number before they are moved.
-    rows = texts.withColumn("words", word_list(F.col("text"))).withColumn("own", sketch(F.col("words"))).groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.first("own").alias("own"), F.count("*").alias("copies"))
-    to = takers(ids).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "taker")
-    given = rows.join(to, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h")))
-    given = given.select(F.col("taker.doc_id").alias("_d"), F.col("taker.h").alias("_h"), F.expr("left(text, taker.half)").alias("gift"), F.col("own").alias("next_own"))
-    met = rows.join(given, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))).withColumn("n_chars", F.length("text").cast("long"))
+    # (d, h) is a row's key, without nulls, so that the grouping below and both joins deal rows alike.
+    key = [F.coalesce(F.col("doc_id"), F.lit(0).cast("long")).alias("d"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("h")]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select(*key, "doc_id", "text")
+    ids = texts.select("d", "h", "doc_id", F.floor(F.length("text") / 2).cast("int").alias("half")).groupBy("d", "h").agg(F.first("doc_id").alias("doc_id"), F.first("half").alias("half"))
+    # Equal rows become one with a number before they are moved. The filter, which every row passes, makes both uses read all
+    # columns, so that one shuffle serves them.
+    rows = texts.withColumn("words", word_list(F.col("text"))).withColumn("own", sketch(F.col("words")))
+    rows = rows.groupBy("d", "h").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("own").alias("own"), F.count("*").alias("copies"))
+    rows = rows.filter("copies > 0 OR doc_id IS NULL OR text IS NULL OR own IS NULL")
+    given = rows.join(takers(ids), ["d", "h"])
+    given = given.select(F.col("taker.d").alias("d"), F.col("taker.h").alias("h"), F.expr("left(text, taker.half)").alias("gift"), F.col("own").alias("next_own"))
+    met = rows.join(given, ["d", "h"]).withColumn("n_chars", F.length("text").cast("long"))
     nexts = F.array(F.struct("gift", "next_own"))
     copy = F.struct(F.expr("left(text, cast(n_chars div 2 as int))").alias("gift"), F.col("own").alias("next_own"))
     met = met.withColumn("next", F.explode(F.when(F.col("copies") == 1, nexts).otherwise(F.concat(nexts, F.array_repeat(copy, (F.col("copies") - 1).cast("int"))))))
