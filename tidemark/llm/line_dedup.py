@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from tidemark.llm import scan
-from tidemark.llm.shared import cut, id_filter, table
+from tidemark.llm.shared import bounded_batches, cut, id_filter, table
 
 MIN_WORDS, NEAR_WORDS = 5, 10
 _LINES = "doc_id long, line long, h long, n int, halves array<long>"
@@ -179,7 +179,7 @@ def _rewrite(fields: list[str]):
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) with shortened texts, and n_lines, n_removed, emptied."""
     extra = {"n_lines", "n_removed", "emptied", "kept"}
-    docs = docs.select(*[c for c in docs.columns if c not in extra]).withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = bounded_batches(docs).select(*[c for c in docs.columns if c not in extra]).withColumn("doc_id", F.col("doc_id").cast("long"))
     lines = cut(docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_lines, _LINES))
     first = F.min(F.struct("doc_id", "line"))
     classes = lines.groupBy("h").agg(first.alias("f"), F.first("n").alias("n"), F.first("halves").alias("halves")).select("h", "n", "halves", "f.doc_id", "f.line")
