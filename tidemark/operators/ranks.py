@@ -10,14 +10,19 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.staging import running_total
 
+#: Distinct values whose ranks are broadcast: about 5 MB.
+MOST_BROADCAST = 200_000
+
 
 def global_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     """df with the rank of a value, descending, ties sharing the smallest rank, nulls without one.
 
-    Values are counted, their counts summed in order by ranges, and ranks joined back: no window holds all rows.
+    Values are counted, their counts summed in order by ranges, and ranks joined back: no window holds all rows. Up to
+    MOST_BROADCAST distinct values are broadcast, so that the many rows of a common small value are not gathered by it.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
     ranks = running_total(counts, -F.col("_v"), F.col("_c")).select("_v", (F.col("before") + 1).cast("int").alias(name))
+    ranks = F.broadcast(ranks) if ranks.count() <= MOST_BROADCAST else ranks
     return df.join(ranks, df[value] == ranks["_v"], "left").drop("_v")
 
 

@@ -39,9 +39,16 @@ SELECT p_partkey AS id, p_brand AS author, p_type AS tag, CAST(round(p_retailpri
 }
 
 
+_OPEN: dict[str, str] = {}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    for t in TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    """A view over the tables of a folder, which are opened once for it."""
+    session = f"{spark.sparkContext.applicationId}/{id(spark)}"
+    if _OPEN.get(session) != sf_dir or not all(spark.catalog.tableExists(t) for t in TABLES[:1]):
+        for t in TABLES:
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        _OPEN[session] = sf_dir
     return spark.sql(VIEWS[name])
 
 
