@@ -30,18 +30,24 @@ def closure(edges: DataFrame, hops: int = HOPS) -> DataFrame:
     return known
 
 
+SUMS = ("dl30", "dl_all", "dl_7d")
+
+
 def family_stats(pairs: DataFrame, entities: DataFrame) -> DataFrame:
-    """Per ancestor: members, sums (0 where nothing is known) and members by relation."""
+    """Per ancestor: members, sums of what entities have of SUMS (0 where nothing is known) and members by relation."""
     m = pairs.join(entities, "id")
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(f"{c}_desc") for c in SUMS if c in entities.columns]
     counts = [F.count_if(F.col("base_relation") == r).alias(f"n_{r}") for r in RELATIONS]
-    return m.groupBy("anc").agg(F.count("*").alias("members"), F.coalesce(F.sum("dl30"), F.lit(0)).alias("dl30_desc"), *counts)
+    return m.groupBy("anc").agg(F.count("*").alias("members"), *sums, *counts)
 
 
 def family_totals(stats: DataFrame, entities: DataFrame) -> DataFrame:
-    """Families with the root itself, and the share of downloads that derivatives have."""
-    e = entities.select(F.col("id").alias("anc"), "dl30").join(stats, "anc")
-    fam = F.col("dl30") + F.coalesce("dl30_desc", F.lit(0))
-    return e.withColumn("fam_dl30", fam).withColumn("derived_share", F.round(F.when(fam > 0, 1 - F.col("dl30") / fam), 6))
+    """Families with the root itself: sums, the share of downloads that derivatives have, and the share of each relation among members."""
+    sums = [c for c in SUMS if c in entities.columns]
+    e = entities.select(F.col("id").alias("anc"), *sums).join(stats, "anc")
+    e = e.withColumns({f"fam_{c}": F.col(c) + F.coalesce(f"{c}_desc", F.lit(0)) for c in sums})
+    mix = {f"mix_{r}": F.round(F.col(f"n_{r}") / F.col("members"), 6) for r in RELATIONS}
+    return e.withColumns({"derived_share": F.round(F.when(F.col("fam_dl30") > 0, 1 - F.col("dl30") / F.col("fam_dl30")), 6)} | mix)
 
 
 def family_series(pairs: DataFrame, series: DataFrame, roots: DataFrame) -> DataFrame:
@@ -90,8 +96,14 @@ def galaxy(edges: DataFrame, entities: DataFrame, roots: DataFrame, levels: int
     return seen.join(sizes, "id", "left").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= cap).drop("_n")
 
 
-def generations(nodes: DataFrame) -> DataFrame:
-    return nodes.filter("depth > 0").groupBy("root", F.least("depth", F.lit(4)).alias("generation")).agg(F.count("*").alias("n"))
+def generations(nodes: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """(root, generation, n) of a galaxy's nodes below the root, the fourth and later together; with entities(id, base_relation) also their numbers by relation."""
+    below = nodes.filter("depth > 0")
+    counts = []
+    if entities is not None:
+        below = below.join(entities.select("id", "base_relation"), "id", "left")
+        counts = [F.count_if(F.col("base_relation") == r).alias(f"n_{r}") for r in RELATIONS]
+    return below.groupBy("root", F.least("depth", F.lit(4)).alias("generation")).agg(F.count("*").alias("n"), *counts)
 
 
 def lineage(first_base: DataFrame, hops: int = LEVELS) -> DataFrame:

@@ -319,12 +319,16 @@ def _(v):
 _CLOSURE = """WITH RECURSIVE e AS (SELECT DISTINCT id, parent FROM fx_edges WHERE id <> parent AND parent > 0),
  c AS (SELECT id, parent AS anc, 1 AS n FROM e UNION SELECT c.id, e.parent, n + 1 FROM c JOIN e ON e.id = c.anc WHERE n < 7),
  p AS (SELECT DISTINCT id, anc FROM c WHERE id <> anc)"""
-_FAM = f"{_CLOSURE}, f AS (SELECT anc, count(*) AS members, coalesce(sum(dl30), 0) AS dl30_desc, count(*) FILTER (base_relation = 'quantized') AS n_quantized, count(*) FILTER (base_relation = 'finetune') AS n_finetune, count(*) FILTER (base_relation = 'adapter') AS n_adapter, count(*) FILTER (base_relation = 'merge') AS n_merge FROM p JOIN fx_parts q ON q.id = p.id GROUP BY anc)"
+_FAM = f"{_CLOSURE}, f AS (SELECT anc, count(*) AS members, coalesce(sum(dl30), 0) AS dl30_desc, coalesce(sum(dl30 * 7 + q.id % 13), 0) AS dl_all_desc, coalesce(sum(dl30 // 4), 0) AS dl_7d_desc, count(*) FILTER (base_relation = 'quantized') AS n_quantized, count(*) FILTER (base_relation = 'finetune') AS n_finetune, count(*) FILTER (base_relation = 'adapter') AS n_adapter, count(*) FILTER (base_relation = 'merge') AS n_merge FROM p JOIN fx_parts q ON q.id = p.id GROUP BY anc)"
+
+
+def _entities(v):
+    return v.parts.withColumn("dl_all", F.col("dl30") * 7 + F.col("id") % 13).withColumn("dl_7d", F.expr("dl30 div 4"))
 
 
 def _families(v):
     pairs = graph.closure(v.edges_distinct)
-    return pairs, graph.family_stats(pairs, v.parts)
+    return pairs, graph.family_stats(pairs, _entities(v))
 
 
 @entry("gr1_edges", "SELECT DISTINCT id, parent FROM fx_edges WHERE id <> parent")
@@ -337,14 +341,14 @@ def _(v):
     return graph.closure(v.edges_distinct)
 
 
-@entry("ag5_family_stats", f"{_FAM} SELECT anc, members, CAST(dl30_desc AS BIGINT) AS dl30_desc, n_quantized, n_finetune, n_adapter, n_merge FROM f")
+@entry("ag5_family_stats", f"{_FAM} SELECT anc, members, CAST(dl30_desc AS BIGINT) AS dl30_desc, CAST(dl_all_desc AS BIGINT) AS dl_all_desc, CAST(dl_7d_desc AS BIGINT) AS dl_7d_desc, n_quantized, n_finetune, n_adapter, n_merge FROM f")
 def _(v):
     return _families(v)[1]
 
 
-@entry("ag6_family_totals", f"{_FAM} SELECT anc, members, CAST(q.dl30 + dl30_desc AS BIGINT) AS fam_dl30, round(1 - q.dl30 / (q.dl30 + dl30_desc), 6) AS derived_share FROM f JOIN fx_parts q ON q.id = anc")
+@entry("ag6_family_totals", f"{_FAM} SELECT anc, members, CAST(q.dl30 + dl30_desc AS BIGINT) AS fam_dl30, CAST(dl30 * 7 + q.id % 13 + dl_all_desc AS BIGINT) AS fam_dl_all, CAST(dl30 // 4 + dl_7d_desc AS BIGINT) AS fam_dl_7d, round(1 - q.dl30 / (q.dl30 + dl30_desc), 6) AS derived_share, round(n_merge / members, 6) AS mix_merge, round(n_quantized / members, 6) AS mix_quantized FROM f JOIN fx_parts q ON q.id = anc")
 def _(v):
-    return graph.family_totals(_families(v)[1], v.parts).select("anc", "members", "fam_dl30", "derived_share")
+    return graph.family_totals(_families(v)[1], _entities(v)).select("anc", "members", "fam_dl30", "fam_dl_all", "fam_dl_7d", "derived_share", "mix_merge", "mix_quantized")
 
 
 @entry("tk6_outermost_families", f"{_FAM}, t AS (SELECT anc, CAST(q.dl30 + dl30_desc AS BIGINT) AS fam_dl30 FROM f JOIN fx_parts q ON q.id = anc ORDER BY fam_dl30 DESC, anc LIMIT 300) SELECT * FROM t WHERE anc NOT IN (SELECT id FROM p WHERE id IN (SELECT anc FROM t) AND anc IN (SELECT anc FROM t))")
@@ -373,9 +377,15 @@ def _(v):
     return graph.galaxy(v.edges_distinct, v.parts, v.spark.range(1, 2).select(F.col("id").alias("root"))).select("root", "id", "depth")
 
 
-@entry("ag30_generations", None)
+_TREE = """WITH RECURSIVE e AS (SELECT DISTINCT id, parent FROM fx_edges WHERE id <> parent AND parent > 0),
+ t AS (SELECT r AS root, r AS id, 0 AS depth FROM range(1, 4) x(r) UNION SELECT t.root, e.id, t.depth + 1 FROM t JOIN e ON e.parent = t.id WHERE t.depth < 8),
+ n AS (SELECT root, id, min(depth) AS depth FROM t GROUP BY ALL)"""
+
+
+@entry("ag30_generations", f"{_TREE} SELECT root, CAST(least(depth, 4) AS INTEGER) AS generation, count(*) AS n, count(*) FILTER (base_relation = 'quantized') AS n_quantized, count(*) FILTER (base_relation = 'finetune') AS n_finetune, count(*) FILTER (base_relation = 'adapter') AS n_adapter, count(*) FILTER (base_relation = 'merge') AS n_merge FROM n LEFT JOIN fx_parts p ON p.id = n.id WHERE depth > 0 GROUP BY 1, 2")
 def _(v):
-    return graph.generations(graph.galaxy(v.edges_distinct, v.parts, v.spark.range(1, 4).select(F.col("id").alias("root"))))
+    nodes = graph.galaxy(v.edges_distinct, v.parts, v.spark.range(1, 4).select(F.col("id").alias("root")))
+    return graph.generations(nodes, v.parts)
 
 
 @entry("ag25_ripple", "WITH e AS (SELECT DISTINCT id, parent FROM fx_edges WHERE id <> parent AND parent > 0) SELECT a.author, count(DISTINCT c.id) AS built, CAST(sum(c.dl30) AS BIGINT) AS dl30, arg_max(c.id, (c.dl30, c.id)) AS biggest FROM e JOIN fx_parts c ON c.id = e.id JOIN fx_parts a ON a.id = e.parent WHERE a.author <> c.author GROUP BY a.author")
