@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranks import board, boards
@@ -43,3 +44,26 @@ def changed(by_kind: dict[str, DataFrame]) -> DataFrame:
         rows = df.select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"))
         out = rows if out is None else out.unionByName(rows)
     return out.distinct()
+
+
+#: By rank, likes and family members; a kind without a rule by a column has none by it.
+NOTABLE = {"models": {"rank_dl30": 10_000, "likes": 100, "fam_members": 20}, "datasets": {"rank_dl30": 3_000, "likes": 50}, "spaces": {"likes": 50}}
+
+
+def notable(entities: DataFrame, kind: str, rules: dict | None = None) -> DataFrame:
+    """Entities that a list of notable ones holds: of a rank up to a bound, or of as many likes or family members or more. Unknown values meet no rule."""
+    met = F.lit(False)
+    for column, bound in (rules or NOTABLE[kind]).items():
+        met = met | F.coalesce(F.col(column) <= bound if column.startswith("rank") else F.col(column) >= bound, F.lit(False))
+    return entities.filter(met)
+
+
+def outliers(m: DataFrame, n: int, use: str = "dl30", liked: str = "likes") -> DataFrame:
+    """(side, rank, id, likes, dl30, ratio): most liked for their use, and most used for their likes, of those with both."""
+    known = m.filter((F.col(use) > 0) & (F.col(liked) > 0)).withColumn("ratio", F.round(F.col(liked) / F.col(use), 6))
+    out = None
+    for side, order in (("liked", F.col("ratio").desc()), ("used", F.col("ratio").asc())):
+        rows = known.orderBy(order, "id").limit(n)
+        rows = rows.withColumn("rank", F.row_number().over(W.orderBy(order, "id"))).select(F.lit(side).alias("side"), "rank", "id", liked, use, "ratio")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -187,3 +187,22 @@ def citing_authors(uses: DataFrame, kinds: DataFrame) -> DataFrame:
     total = u.groupBy("year").agg(F.countDistinct("author").alias("c"))
     n = u.join(kinds.select("id", "tag"), "id").groupBy("year", "tag").agg(F.countDistinct("author").alias("n"))
     return n.join(total, "year").select("year", "tag", "n", F.round(F.col("n") / F.col("c"), 6).alias("share"))
+
+
+def sum_known(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Sums that stay null where nothing is known."""
+    return df.groupBy(group).agg(F.sum(value).alias("total"))
+
+
+def users_with_meta(uses: DataFrame, entities: DataFrame) -> DataFrame:
+    """uses(src, dst) with the target's author and tag; unknown targets keep nulls."""
+    return uses.join(entities.select(F.col("id").alias("dst"), "author", "tag"), "dst", "left").select("src", "dst", "author", "tag")
+
+
+def creators(uses: DataFrame) -> DataFrame:
+    """(quarter, src_kind, creators, share_new): distinct creators a quarter, and the share of them that had none before."""
+    q = uses.select("src_kind", "src", F.date_trunc("quarter", "created").cast("date").alias("quarter"))
+    first = q.groupBy("src_kind", "src").agg(F.min("quarter").alias("first"))
+    both = q.distinct().join(first, ["src_kind", "src"])
+    fresh = F.count_if(F.col("quarter") == F.col("first"))
+    return both.groupBy("quarter", "src_kind").agg(F.count("*").alias("creators"), F.round(fresh / F.count("*"), 6).alias("share_new"))

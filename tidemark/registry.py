@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import graph, identity, quality, ranks, report, rollups, search, series
+from tidemark.operators import boards, graph, identity, quality, ranks, report, rollups, search, series
 from tidemark.plans.views import view, with_views
 from tidemark.sources import snapshots
 
@@ -198,7 +198,15 @@ def _(v):
 
 @entry("flt9_notable", f"WITH r AS (SELECT id, likes, rank() OVER (ORDER BY dl30 DESC) AS rk FROM fx_series WHERE day = {LAST}) SELECT id FROM r WHERE rk <= 20 OR likes >= 200")
 def _(v):
-    return ranks.global_rank(v.series.filter(F.col("day") == v.last()), "dl30", "rk").filter("rk <= 20 OR likes >= 200").select("id")
+    now = ranks.global_rank(v.series.filter(F.col("day") == v.last()), "dl30", "rank_dl30")
+    return boards.notable(now, "datasets", {"rank_dl30": 20, "likes": 200}).select("id")
+
+
+@entry("flt9_notable_models", "WITH r AS (SELECT id, rank() OVER (ORDER BY dl30 DESC) AS rk, dl30 % 130 AS likes, CASE WHEN id % 5 = 0 THEN id % 31 END AS fam FROM fx_parts) SELECT id FROM r WHERE rk <= 10000 AND id % 2 = 0 OR likes >= 100 OR fam >= 20")
+def _(v):
+    parts = v.parts.withColumn("likes", F.col("dl30") % 130).withColumn("fam_members", F.when(F.col("id") % 5 == 0, F.col("id") % 31))
+    ranked = ranks.global_rank(parts, "dl30", "rank_dl30").withColumn("rank_dl30", F.when(F.col("id") % 2 == 0, F.col("rank_dl30")))
+    return boards.notable(ranked, "models").select("id")
 
 
 _IDS = "ids AS (SELECT DISTINCT id FROM fx_series)"
@@ -313,7 +321,7 @@ def _(v):
 
 @entry("ag2_null_sum", "SELECT event_type, sum(CASE WHEN event_type = 'click' THEN NULL ELSE event_id END) AS total FROM fx_events GROUP BY event_type")
 def _(v):
-    return v.events.groupBy("event_type").agg(F.sum(F.when(F.col("event_type") != "click", F.col("event_id"))).alias("total"))
+    return rollups.sum_known(v.events.withColumn("known", F.when(F.col("event_type") != "click", F.col("event_id"))), "event_type", "known")
 
 
 _CLOSURE = """WITH RECURSIVE e AS (SELECT DISTINCT id, parent FROM fx_edges WHERE id <> parent AND parent > 0),
@@ -450,7 +458,7 @@ def _(v):
 
 @entry("jn11_users_with_meta", "SELECT u.src, u.dst, p.author, p.tag FROM fx_uses u LEFT JOIN fx_parts p ON p.id = u.dst")
 def _(v):
-    return v.uses.join(v.parts.select(F.col("id").alias("dst"), "author", "tag"), "dst", "left").select("src", "dst", "author", "tag")
+    return rollups.users_with_meta(v.uses, v.parts)
 
 
 @entry("ag16_created_per_day", "SELECT day, coalesce(event_type, 'other') AS tag, count(*) AS n FROM fx_events GROUP BY ALL")
@@ -962,9 +970,9 @@ def _(v):
     return report.rank_by_month(v.hub, "pipeline_tag", "dl")
 
 
-@entry("rp13_creators", "SELECT CAST(date_trunc('quarter', created) AS DATE) AS quarter, src_kind, count(DISTINCT src) AS creators FROM fx_uses GROUP BY 1, 2")
+@entry("rp13_creators", "WITH q AS (SELECT DISTINCT CAST(date_trunc('quarter', created) AS DATE) AS quarter, src_kind, src % 997 AS src FROM fx_uses), f AS (SELECT src_kind, src, min(quarter) AS first FROM q GROUP BY 1, 2) SELECT quarter, q.src_kind, count(*) AS creators, round(count(*) FILTER (quarter = first) / count(*), 6) AS share_new FROM q JOIN f ON f.src_kind = q.src_kind AND f.src = q.src GROUP BY 1, 2")
 def _(v):
-    return v.uses.groupBy(F.date_trunc("quarter", "created").cast("date").alias("quarter"), "src_kind").agg(F.countDistinct("src").alias("creators"))
+    return rollups.creators(v.uses.withColumn("src", F.col("src") % 997))
 
 
 @entry("rp14_share_of_authors", "WITH u AS (SELECT CAST(year(created) AS INTEGER) AS year, src % 211 AS author, dst FROM fx_uses) SELECT u.year, p.tag, count(DISTINCT u.author) AS n, round(count(DISTINCT u.author) / max(t.c), 6) AS share FROM u JOIN fx_parts p ON p.id = dst JOIN (SELECT year, count(DISTINCT author) AS c FROM u GROUP BY year) t ON t.year = u.year GROUP BY 1, 2")
@@ -977,10 +985,30 @@ def _(v):
     return report.volume_bands(v.series.filter(F.col("day") == v.last()))
 
 
-@entry("rp17_outliers", f"WITH {_NOW} SELECT id, likes, dl30, round(likes / dl30, 6) AS ratio FROM n WHERE dl30 > 0 ORDER BY likes / dl30 DESC, id LIMIT 20")
+_SIDES = " UNION ALL ".join(f"(SELECT '{side}' AS side, CAST(row_number() OVER (ORDER BY ratio {way}, id) AS INTEGER) AS rank, id, likes, dl30, ratio FROM (SELECT *, round(likes / dl30, 6) AS ratio FROM n WHERE dl30 > 0 AND likes > 0) ORDER BY ratio {way}, id LIMIT 20)" for side, way in (("liked", "DESC"), ("used", "ASC")))
+
+
+@entry("rp17_outliers", f"WITH {_NOW} {_SIDES}")
 def _(v):
-    n = v.series.filter((F.col("day") == v.last()) & (F.col("dl30") > 0)).withColumn("x", F.col("likes") / F.col("dl30"))
-    return ranks.top(n, "x", 20).select("id", "likes", "dl30", r6("x").alias("ratio"))
+    return boards.outliers(v.series.filter(F.col("day") == v.last()), 20)
+
+
+@entry("src8_dataset_metadata", "SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_size % 3 > 0 THEN p_type END AS pipeline_tag, CASE WHEN p_size % 2 = 0 THEN 'n<1K' END AS size, NULL AS modality, CAST(length(repeat(p_name || ' ', 60)) AS BIGINT) > 300 AS was_longer, least(300, length(repeat(p_name || ' ', 60))) AS n FROM part")
+def _(v):
+    view(v.spark, v.sf_dir, "fx_parts")
+    tags = F.array_compact(F.array(F.when(F.col("p_size") % 3 > 0, F.concat(F.lit("task_categories:"), "p_type")), F.when(F.col("p_size") % 2 == 0, "size_categories:n<1K"), F.lit("other")))
+    text = F.repeat(F.concat("p_name", F.lit(" ")), F.lit(60))
+    raw = v.spark.table("part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("author"), F.lit("2024-01-02T03:04:05").alias("createdAt"), tags.alias("tags"), text.alias("description"))
+    m = snapshots.dataset_metadata(raw).join(raw.select("id", F.length("description").alias("l")), "id")
+    return m.select("id", "pipeline_tag", "size", "modality", (F.col("l") > 300).alias("was_longer"), F.length("description").alias("n"))
+
+
+@entry("src8_space_metadata", "SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_size % 3 = 0 THEN p_name END AS title, CASE WHEN p_size % 3 = 0 AND p_size % 2 = 0 THEN 'x' END AS emoji FROM part")
+def _(v):
+    view(v.spark, v.sf_dir, "fx_parts")
+    card = F.when(F.col("p_size") % 3 == 0, F.to_json(F.struct(F.col("p_name").alias("title"), F.when(F.col("p_size") % 2 == 0, "x").alias("emoji")))).when(F.col("p_size") % 3 == 1, "{broken")
+    raw = v.spark.table("part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("author"), F.lit("sdk").alias("sdk"), F.lit("2024-01-02T03:04:05").alias("createdAt"), F.lit(0).alias("likes"), card.alias("cardData"))
+    return snapshots.space_metadata(raw).select("id", "title", "emoji")
 
 
 def queries() -> dict:

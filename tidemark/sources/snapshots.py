@@ -67,6 +67,23 @@ def entity_metadata(raw: DataFrame) -> DataFrame:
     )
 
 
+def dataset_metadata(raw: DataFrame) -> DataFrame:
+    """As entity_metadata, of datasets: the task category stands where entities have their tag; descriptions are cut to 300 characters, as pages show them."""
+    from tidemark.functions.scalars import tag_value
+
+    tags = {"pipeline_tag": "task_categories:", "size": "size_categories:", "license": "license:", "modality": "modality:"}
+    columns = [tag_value(F.col("tags"), prefix).alias(name) for name, prefix in tags.items()]
+    return raw.select("id", "author", F.to_timestamp_ntz(F.col("createdAt")).alias("created_at"), *columns, F.left("description", F.lit(300)).alias("description"))
+
+
+def space_metadata(raw: DataFrame) -> DataFrame:
+    """As entity_metadata, of Spaces: title, emoji and short description out of the card's JSON; null where it is none."""
+    from tidemark.functions.scalars import json_field
+
+    card = [json_field(F.col("cardData"), f"$.{c}").alias(c) for c in ("title", "emoji", "short_description")]
+    return raw.select("id", "author", "sdk", F.to_timestamp_ntz(F.col("createdAt")).alias("created_at"), "likes", *card)
+
+
 def write_series(series: DataFrame, path: str, key: str = "id", files: int = 4, level: int = 9) -> None:
     """By month, each month in about `files` files by range of the key, sorted by key and day, compressed at a level of zstandard."""
     rows = series.withColumn("month", F.date_format("day", "yyyy-MM"))
