@@ -27,7 +27,7 @@ GRAMS = (3, 4, 5)
 BUCKETS, DIMS = 1 << 18, 4
 TRAIN_ROWS, TRAIN_BYTES = 8000, 24 << 20
 #: Passes over the sample, or more where it is small, so that a model takes STEPS steps at least.
-EPOCHS, STEPS, BATCH, RATE = 10, 1000, 128, 0.05
+EPOCHS, STEPS, BATCH, RATE = 8, 500, 128, 0.1
 THRESHOLD = 0.5
 #: Bytes of text whose n-grams are held at once. A longer word is read piece by piece.
 PART_BYTES = 1 << 19
