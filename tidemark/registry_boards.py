@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import boards, galaxy, graph, ranks, search, series, summary, uses
 from tidemark.plans.views import view
-from tidemark.registry import _ORDER, _RANKED, _WORDS, _GAPPY, _RUNS, GAPPY, LAST, _as_of_sql, _wins, entry
+from tidemark.registry import _board_sql as _ranked_board
+from tidemark.registry import _BOARDS, _mt, _ORDER, _RANKED, _WORDS, _GAPPY, _RUNS, GAPPY, LAST, _as_of_sql, _wins, entry
 
 
 def _table(v, name):
@@ -106,9 +107,12 @@ def _spaces(v):
     return s.withColumn("created_at", F.date_sub(v.last(), (k % 60).cast("int")))
 
 
-@entry("tk3_dataset_boards", None)
+_DATASETS = " UNION ALL ".join([*_BOARDS[:5], _ranked_board("used_by_models", "used_by_models", "(SELECT id, likes % 50 AS used_by_models FROM mm)")])
+
+
+@entry("tk3_dataset_boards", f"WITH {_mt()} {_DATASETS}")
 def _(v):
-    m = series.metrics(v.gappy).withColumn("created_at", F.col("first_seen")).withColumn("used_by_models", F.col("likes") % 50)
+    m = series.metrics(v.ragged).withColumn("created_at", F.col("first_seen")).withColumn("used_by_models", F.col("likes") % 50)
     return boards.dataset_boards(m, F.date_sub(v.last(), 30), 20)
 
 
