@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import embedding_dedup, fingerprints, line_dedup, mixing, ngram_join, packing, quality, token_counts, token_files, toxicity
+from tidemark.llm import embedding_dedup, exact_dedup, fingerprints, line_dedup, merkle, mixing, new_sql, ngram_join, packing, quality, spelling, token_counts, token_files, toxicity
 from tidemark.llm.shared import table
 
 
@@ -28,6 +28,9 @@ def queries() -> dict:
         "op8_embedding_near_dedup": embedding_dedup.query,
         "op9_best_fit_packing": packing.query,
         "op10_token_id_files": token_files.query,
+        "op11_exact_dedup": exact_dedup.query,
+        "op12_spelling_variants": spelling.query,
+        "op13_merkle_manifest": merkle.query,
         "pipeline": pipeline,
     }
 
@@ -53,5 +56,5 @@ FROM w JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a =
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    out = {"op1_ngram_jaccard_join": OP1_SQL, "op8_embedding_near_dedup": embedding_dedup.ORACLE}
+    out = {"op1_ngram_jaccard_join": OP1_SQL, "op8_embedding_near_dedup": embedding_dedup.ORACLE} | new_sql.TWINS
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
