@@ -4,8 +4,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
-from tidemark.operators import graph, identity, quality, ranks, series
+from tidemark.operators import graph, identity, quality, ranks, series, windows
+from tidemark.operators import verdicts as verdicts_
 from tidemark.sources import snapshots
+from tidemark.streaming import settling
 from tidemark.streaming.incremental import append_days
 
 D = date(2025, 1, 1)
@@ -23,40 +25,49 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
+def windows_(spark, v):
+    """Windows of one series, found by Spark and by the daily fold alike."""
+    hub = spark.createDataFrame([("s", D + timedelta(k), float(x)) for k, x in enumerate(v)], "series string, day date, dl double")
+    none = spark.createDataFrame([], "series string, day date, share double")
+    found = [(r.start, r.end) for r in windows.find(hub, none, 0.25).collect()]
+    assert found == settling.windows_of(days(v).astype(float), {}, 0.25, [])
+    return found
+
+
 def test_full_stall_and_smoothing(spark):
     v = [100] * 30
     v[15], v[16] = 5, 195
-    assert quality.find_windows(days(v), {}, 0.25) == [(D + timedelta(15), D + timedelta(16))]
+    assert windows_(spark, v) == [(D + timedelta(15), D + timedelta(16))]
     hub = spark.createDataFrame([(D + timedelta(k), "t", x) for k, x in enumerate(v)], "day date, pipeline_tag string, dl long")
     wins = spark.createDataFrame([(D + timedelta(15), D + timedelta(16))], "start date, end date")
     assert {r.dl for r in quality.smooth(hub, wins).collect()} == {100}
 
 
-def test_stall_at_the_end_waits():
+def test_stall_at_the_end_waits(spark):
     v = [100] * 30
     v[28] = v[29] = 5
-    assert quality.find_windows(days(v), {}, 0.25) == []
+    assert windows_(spark, v) == []
 
 
-def test_half_dip():
+def test_half_dip(spark):
     v = [100] * 30
     v[15], v[16] = 60, 140
-    assert quality.find_windows(days(v), {}, 0.25) == [(D + timedelta(15), D + timedelta(16))]
+    assert windows_(spark, v) == [(D + timedelta(15), D + timedelta(16))]
     v[16] = 100
-    assert quality.find_windows(days(v), {}, 0.25) == []
+    assert windows_(spark, v) == []
 
 
 def test_rollback_recovers_or_releases(spark):
     def verdicts(levels, partial=()):
         rows = [(f"a/{i}", D + timedelta(k), v) for k, v in enumerate(levels) for i in range(1 if k in partial else 4)]
-        return [(r.verdict, r.base and (r.base - D).days) for r in quality.usable_snapshots(spark.createDataFrame(rows, "id string, day date, dl_all long")).collect()]
+        return [(r.verdict, r.base and (r.base - D).days) for r in sorted(verdicts_.usable_snapshots(spark.createDataFrame(rows, "id string, day date, dl_all long")).collect())]
 
     got = verdicts([1000, 900, 905, 910, 995, 1010])
     assert got == [("first", None), ("hold", None), ("hold", None), ("hold", None), ("use", 0), ("use", 4)]
     got = verdicts([1000] + [900] * 9 + [901])
     assert got == [("first", None)] + [("release", k) for k in range(9)] + [("use", 9)]
     assert verdicts([1000, 1001, 1002], partial=(1,)) == [("first", None), ("partial", None), ("use", 0)]
-    assert quality.usable_snapshots(spark.createDataFrame([], "id string, day date, dl_all long")).count() == 0
+    assert verdicts_.usable_snapshots(spark.createDataFrame([], "id string, day date, dl_all long")).count() == 0
 
 
 def test_measured_through_released_snapshots(spark):
@@ -119,44 +130,6 @@ def test_series_round_trip_and_day_replace(spark, tmp_path):
         assert sorted((r.id, r.day, r.dl30) for r in got.collect()) == [("a", D, 7), ("a", D + timedelta(1), 3)]
 
 
-def land(folder, k, values, delivery=""):
-    pd.DataFrame({"id": [f"a/{i}" for i in range(len(values))], "downloads": 1, "downloadsAllTime": values, "likes": 0}).to_parquet(folder / f"{D + timedelta(k)}{delivery}.parquet")
-
-
-def tables(daily):
-    return [sorted(map(str, daily.read(t).collect())) for t in ("series", "hub", "authors")] + [sorted((r.day, r.verdict, r.base) for r in daily.read("days").collect())]
-
-
-def test_daily_run_day_by_day_again_and_at_once(spark, tmp_path):
-    from tidemark.streaming.incremental import Daily
-
-    ids = [f"a/{i}" for i in range(4)]
-    tags, authors = spark.createDataFrame([(i, "t") for i in ids], "id string, pipeline_tag string"), spark.createDataFrame([(i, "a") for i in ids], "id string, author string")
-    history = {0: [100, 200, 300, 400], 1: [110, 210, 310, 410], 2: [60, 160, 260, 360], 3: [62, 162, 262, 362], 5: [130, 230, 330, 430], 40: [140, 240, 340, 440]}
-    make = lambda name: Daily(spark, str(tmp_path / name), tags, authors, 1)
-    slow, fast, fresh = make("slow"), make("fast"), make("fresh")
-    for name in ("one", "all", "new"):
-        (tmp_path / name).mkdir()
-    for k, v in history.items():
-        land(tmp_path / "one", k, v)
-        land(tmp_path / "all", k, v)
-        slow.run(str(tmp_path / "one"))
-    for k in history:  # file order need not be day order
-        fast.run(str(tmp_path / "all"))
-    assert tables(slow) == tables(fast)
-    assert [v for _, v, _ in tables(slow)[3]] == ["first", "use", "hold", "hold", "use", "use"]
-    hub = {(r.day - D).days: r.dl for r in slow.read("hub").collect()}
-    assert hub == {1: 40, **{k: 20 for k in range(2, 6)}, **{k: 1 for k in range(6, 41)}}
-    # Delivered again, the fallen day is sound: what was held is measured after all.
-    land(tmp_path / "one", 2, [115, 215, 315, 415], ".2")
-    slow.run(str(tmp_path / "one"))
-    for k, v in (history | {2: [115, 215, 315, 415]}).items():
-        land(tmp_path / "new", k, v)
-    fresh.run(str(tmp_path / "new"))
-    assert tables(slow) == tables(fresh)
-    assert {r.dl_all for r in slow.read("series").filter(F.col("day") == D + timedelta(2)).collect()} == {115, 215, 315, 415}
-
-
 def test_incremental_equals_batch_and_replaces(spark, tmp_path):
     for k in range(2):
         pd.DataFrame({"id": ["a", "b"], "downloads": [k, k + 1], "downloadsAllTime": [10 + k, 20 + k], "likes": [0, 0]}).to_parquet(tmp_path / f"{D + timedelta(k)}.parquet")

@@ -6,17 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.graph import LEVELS, closure
+from tidemark.operators.graph import intervals
+from tidemark.plans.staging import cut
 
 
 def focus(nodes: DataFrame, picks: DataFrame) -> DataFrame:
-    """(root, pick, id, role): the nodes below each of picks(root, pick) and its ancestors, the root left out of these."""
-    key = lambda c: F.struct(F.col("root"), F.col(c).alias("id"))
-    pairs = closure(nodes.filter("parent IS NOT NULL").select(key("id").alias("id"), key("parent").alias("parent")), LEVELS)
-    flat = pairs.select(F.col("id.root").alias("root"), F.col("id.id").alias("id"), F.col("anc.id").alias("anc"))
-    below = flat.join(picks.withColumnRenamed("pick", "anc"), ["root", "anc"]).select("root", F.col("anc").alias("pick"), "id", F.lit("below").alias("role"))
-    above = flat.join(picks.withColumnRenamed("pick", "id"), ["root", "id"]).filter("anc <> root")
-    return below.unionByName(above.select("root", F.col("id").alias("pick"), F.col("anc").alias("id"), F.lit("above").alias("role")))
+    """(root, pick, id, role): the nodes below each of picks(root, pick) and its ancestors, the root left out of these.
+
+    Both are ranges of preorder numbers: those below a pick begin behind it, an ancestor's range holds the pick.
+    """
+    tree = cut(intervals(nodes))
+    span = F.struct("pre", (F.col("pre") + F.col("below")).alias("last"))
+    at = tree.select("root", F.col("id").alias("pick"), span.alias("p")).join(picks, ["root", "pick"])
+    both = at.join(tree.select("root", "id", "depth", span.alias("x")), "root")
+    below = both.filter((F.col("x.pre") > F.col("p.pre")) & (F.col("x.pre") <= F.col("p.last"))).select("root", "pick", "id", F.lit("below").alias("role"))
+    above = both.filter((F.col("x.pre") < F.col("p.pre")) & (F.col("x.last") >= F.col("p.pre")) & (F.col("depth") > 0))
+    return below.unionByName(above.select("root", "pick", "id", F.lit("above").alias("role")))
 
 
 def builders(nodes: DataFrame, entities: DataFrame, n: int = 6) -> DataFrame:

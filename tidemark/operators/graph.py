@@ -92,6 +92,8 @@ def galaxy(edges: DataFrame, entities: DataFrame, roots: DataFrame, levels: int
         if front.isEmpty():
             break
         seen = cut(seen.unionByName(front))
+        # A root whose nodes reach the cap needs no deeper level.
+        front = front.join(seen.groupBy("root").count().filter(F.col("count") >= cap), "root", "left_anti")
     w = W.partitionBy("root").orderBy("depth", F.col("dl30").desc(), "id")
     return seen.join(sizes, "id", "left").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= cap).drop("_n")
 
@@ -119,10 +121,35 @@ def lineage(first_base: DataFrame, hops: int = LEVELS) -> DataFrame:
     return out.select("id", "hop", "base")
 
 
-def subtree_sizes(nodes: DataFrame) -> DataFrame:
-    """Nodes of the kept tree below each node of it."""
-    pairs = closure(nodes.filter("parent IS NOT NULL").select("id", "parent").distinct(), LEVELS)
-    return pairs.groupBy(F.col("anc").alias("id")).agg(F.count("*").alias("below"))
+def intervals(nodes: DataFrame) -> DataFrame:
+    """nodes(root, id, parent, depth) of kept trees with `below`, the number of nodes below each, and `pre`, its preorder number.
+
+    The nodes below x are those with pre_x < pre <= pre_x + below_x: a range, where a closure would hold a pair for each. Sizes go
+    up and numbers go down level by level, a join each; brothers are numbered in the order of their ids.
+    """
+    nodes = cut(nodes.select("root", "id", "parent", "depth"))
+    deepest = nodes.agg(F.max("depth")).first()[0] or 0
+    sized = None
+    for depth in range(deepest, -1, -1):
+        level = nodes.filter(F.col("depth") == depth)
+        if sized is None:
+            level = level.withColumn("below", F.lit(0).cast("long"))
+        else:
+            up = under.groupBy("root", F.col("parent").alias("id")).agg(F.sum(F.col("below") + 1).alias("below"))
+            level = level.join(up, ["root", "id"], "left").withColumn("below", F.coalesce("below", F.lit(0)))
+        under = cut(level)
+        sized = under if sized is None else sized.unionByName(under)
+    sized = cut(sized)
+    brothers = W.partitionBy("root", "parent").orderBy("id")
+    first = F.coalesce(F.sum(F.col("below") + 1).over(brothers.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + 1
+    placed = sized.filter("depth > 0").withColumn("_first", first)
+    front = sized.filter("depth = 0").withColumn("pre", F.lit(0).cast("long"))
+    out = front
+    for depth in range(1, deepest + 1):
+        up = front.select("root", F.col("id").alias("parent"), F.col("pre").alias("_up"))
+        front = cut(placed.filter(F.col("depth") == depth).join(up, ["root", "parent"]).withColumn("pre", F.col("_up") + F.col("_first")).select(out.columns))
+        out = out.unionByName(front)
+    return out
 
 
 def ripple(edges: DataFrame, entities: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,12 +13,22 @@ from tidemark.plans.staging import cut
 
 
 def _alike(gone: DataFrame, came: DataFrame, least: int, within: float, by: list[str]) -> DataFrame:
-    """(by, old, new): gone and come ids of one name or one owner. Two equi joins, not an OR. A new count may lie under `least` as far as it may lie under the old one."""
-    cols = lambda d, low: d.filter(F.col("dl_all") >= low).select(*by, "id", F.lower(owner(F.col("id"))).alias("o"), F.lower(name(F.col("id"))).alias("n"), F.col("dl_all").cast("double").alias("c"))
+    """(by, old, new): gone and come ids of one name or one owner. Two equi joins, not an OR. A new count may lie under `least` as far as it may lie under the old one.
+
+    Counts within a share of each other lie in the same band of their logarithm or in neighbouring ones, so the join goes by name
+    or owner and band: an owner of very many repos is as many keys as its counts fill bands, and pairs apart are not met.
+    """
+    width = -math.log1p(-within) * (1 + 1e-9)
+
+    def cols(d: DataFrame, low: float) -> DataFrame:
+        c = F.col("dl_all").cast("double")
+        return d.filter(F.col("dl_all") >= low).select(*by, "id", F.lower(owner(F.col("id"))).alias("o"), F.lower(name(F.col("id"))).alias("n"), c.alias("c"), F.floor(F.log(F.greatest(c, F.lit(1.0))) / width).alias("band"))
+
+    bands = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band")
     gone, came = cols(gone, least), cols(came, least * (1 - within))
     out = None
     for key in ("n", "o"):
-        j = gone.select(*by, F.col("id").alias("old"), key, F.col("c").alias("c0")).join(came.select(*by, F.col("id").alias("new"), key, F.col("c").alias("c1")), [*by, key])
+        j = gone.select(*by, F.col("id").alias("old"), key, F.col("c").alias("c0"), bands).join(came.select(*by, F.col("id").alias("new"), key, F.col("c").alias("c1"), "band"), [*by, key, "band"])
         j = j.filter(F.abs(F.col("c1") - F.col("c0")) <= within * F.col("c0")).select(*by, "old", "new")
         out = j if out is None else out.unionByName(j)
     return out.distinct()

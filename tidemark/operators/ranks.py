@@ -8,28 +8,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.plans.staging import running_total
+from tidemark.plans.staging import running_by, running_total
 
 #: Distinct values whose ranks are broadcast: about 5 MB.
 MOST_BROADCAST = 200_000
 
 
-def global_rank(df: DataFrame, value: str, name: str) -> DataFrame:
-    """df with the rank of a value, descending, ties sharing the smallest rank, nulls without one.
+def _joined(df: DataFrame, ranks: DataFrame, on) -> DataFrame:
+    """Rows with the rank of their value. Up to MOST_BROADCAST values are broadcast, so that the many rows of a common small value are not gathered by it."""
+    return df.join(F.broadcast(ranks) if ranks.count() <= MOST_BROADCAST else ranks, on, "left")
 
-    Values are counted, their counts summed in order by ranges, and ranks joined back: no window holds all rows. Up to
-    MOST_BROADCAST distinct values are broadcast, so that the many rows of a common small value are not gathered by it.
+
+def global_rank(df: DataFrame, value: str, name: str, average: bool = False) -> DataFrame:
+    """df with the rank of a value, descending, nulls without one; ties share the smallest rank, or the average of theirs.
+
+    Values are counted, their counts summed in order by ranges, and ranks joined back: no window holds all rows.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    ranks = running_total(counts, -F.col("_v"), F.col("_c")).select("_v", (F.col("before") + 1).cast("int").alias(name))
-    ranks = F.broadcast(ranks) if ranks.count() <= MOST_BROADCAST else ranks
-    return df.join(ranks, df[value] == ranks["_v"], "left").drop("_v")
+    rank = F.col("before") + (F.col("_c") + 1) / 2 if average else (F.col("before") + 1).cast("int")
+    ranks = running_total(counts, -F.col("_v"), F.col("_c")).select("_v", rank.alias(name))
+    return _joined(df, ranks, df[value] == ranks["_v"]).drop("_v")
 
 
 def rank_within(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
-    """Rank inside a group; a null group is one of its own, null values have no rank."""
-    w = W.partitionBy(group).orderBy(F.col(value).desc_nulls_last())
-    return df.withColumn(name, F.when(F.col(value).isNotNull(), F.rank().over(w)).cast("int"))
+    """Rank inside a group; a null group is one of its own, null values have no rank.
+
+    Ranks follow from the counts of values, summed by ranges of (group, value) in one pass, so no task sorts a group.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(group).alias("_k"), F.col(value).alias("_v"), (-F.col(value)).alias("_o")).agg(F.count("*").alias("_c"))
+    ranks = running_by(counts, ["_k"], "_o", "_c").select("_k", "_v", (F.col("before") + 1).cast("int").alias(name))
+    return _joined(df, ranks, df[group].eqNullSafe(ranks["_k"]) & (df[value] == ranks["_v"])).drop("_k", "_v")
 
 
 def top(df: DataFrame, by: str, n: int, tie: str = "id") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranks import global_rank
+from tidemark.plans.staging import running_by
 
 
 def monthly_totals(series: DataFrame) -> DataFrame:
@@ -69,10 +70,25 @@ def launch_curve(series: DataFrame, first: DataFrame, least: int, weeks: int = 2
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rank correlation with average ranks for ties."""
-    avg = lambda d, c, r: d.withColumn(r, F.col(r) + (F.count("*").over(W.partitionBy(c)) - 1) / 2)
-    d = avg(global_rank(df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()), a, "ra"), a, "ra")
-    d = avg(global_rank(d, b, "rb"), b, "rb")
-    return d.agg(F.round(F.corr("ra", "rb"), 6).alias("rho"))
+    d = global_rank(df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()), a, "ra", average=True)
+    return global_rank(d, b, "rb", average=True).agg(F.round(F.corr("ra", "rb"), 6).alias("rho"))
+
+
+def weighted_quantiles(df: DataFrame, group: list[str], value: str, weight: str, shares: dict[str, float]) -> DataFrame:
+    """A row a group: for each share the smallest value up to which that share of the weight lies, and the weighted mean.
+
+    Exact: weights are summed by value, and the sums added up by ranges of (group, value). Values without weight and null values
+    say nothing; a group of only these has no row.
+    """
+    hist = df.filter(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(*group, F.col(value).alias("_v")).agg(F.sum(weight).alias("_w"))
+    run = running_by(hist, group, "_v", "_w")
+    total = hist.groupBy(*[F.col(c).alias(f"_k{k}") for k, c in enumerate(group)]).agg(F.sum("_w").alias("_t"))
+    same = F.lit(True)
+    for k, c in enumerate(group):
+        same &= F.col(c).eqNullSafe(F.col(f"_k{k}"))
+    at = {name: F.min(F.when(F.col("before") + F.col("_w") >= F.lit(share) * F.col("_t"), F.col("_v"))) for name, share in shares.items()}
+    mean = F.sum(F.col("_v") * F.col("_w")) / F.sum("_w")
+    return run.join(total, same).groupBy(*group).agg(*[x.alias(name) for name, x in at.items()], mean.alias("mean"))
 
 
 def rank_by_month(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -115,7 +115,7 @@ def metrics(series: DataFrame, skip: DataFrame | None = None) -> DataFrame:
     if skip is not None:
         out = F.broadcast(skip.select("day", F.lit(True).alias("_skip")).distinct())
         rows = rows.join(out, "day", "left").withColumn("_used", F.col("_used") & (F.col("_skip").isNull() | (F.col("day") == day)))
-    wanted, columns = _week(day)
+    wanted, _ = _week(day)
     # Only rows in use reach the aggregates; the others lend their day to first_seen.
     masked = rows.select("id", F.col("day").alias("_day"), *[F.when(F.col("_used"), F.col(c)).alias(c) for c in ("day", "dl30", "dl_all", "likes")])
     refs = []
@@ -123,8 +123,12 @@ def metrics(series: DataFrame, skip: DataFrame | None = None) -> DataFrame:
         inside = F.col("day").between(F.date_sub(day, back + LOOKBACK), F.date_sub(day, back))
         refs.append(F.max(F.when(inside, F.struct("day", "dl_all", "likes"))).alias(f"ref_{back}"))
     now = F.max(F.when(F.col("day") == day, F.struct("dl30", "dl_all", "likes"))).alias("now")
-    df = masked.groupBy("id").agg(F.min("_day").alias("first_seen"), now, *refs, *wanted).filter("now IS NOT NULL")
-    for name, column in columns:
+    return finished(masked.groupBy("id").agg(F.min("_day").alias("first_seen"), now, *refs, *wanted).filter("now IS NOT NULL"), day)
+
+
+def finished(df: DataFrame, day: Column) -> DataFrame:
+    """The entity table from what is known of an id: first_seen, now, the references ref_7 to ref_31, and the points of its week."""
+    for name, column in _week(day)[1]:
         df = df.withColumn(name, column)
     df = df.select("id", "first_seen", "now.*", "peak_share", "steps", *[F.col(f"ref_{b}.{c}").alias(f"{c}_{b}") for b in (7, 14, 28, 31) for c in ("day", "dl_all", "likes")])
     new = F.col("first_seen") > F.date_sub(day, 7)

@@ -637,26 +637,6 @@ def _(v):
     return quality.smooth(v.hub, _wins(v))
 
 
-def _rolled(v):
-    """A short history with a rollback that recovers, a lasting correction, and a partial snapshot."""
-    d = F.dayofyear("day")
-    s = v.series.filter("year(day) = 1997")
-    s = s.filter(~((d == 40) & (F.expr(NUMBER) % 3 > 0)))
-    drop = F.when(d.between(100, 104), F.lit(300)).when(d >= 200, F.lit(200)).otherwise(F.lit(0))
-    return s.withColumn("dl_all", F.greatest(F.lit(0), F.col("dl_all") - drop)).select("id", "day", "dl_all", "dl30")
-
-
-@entry("dq2_usable_snapshots", None)
-def _(v):
-    return quality.usable_snapshots(_rolled(v))
-
-
-@entry("dq1_measured", None)
-def _(v):
-    s = _rolled(v)
-    return quality.measured(s, v.authors.withColumnRenamed("author", "pipeline_tag"), quality.usable_snapshots(s))
-
-
 @entry("dq14_skip_days", f"WITH {_RUNS} SELECT DISTINCT CAST(unnest(generate_series(start, fin - 1, INTERVAL 1 DAY)) AS DATE) AS day FROM wins WHERE start < fin")
 def _(v):
     return quality.skip_days(_wins(v))
@@ -672,32 +652,6 @@ def _(v):
     return quality.repair_calendar(v.hub.filter(F.expr(GAPPY)))
 
 
-def _gappy_hub(v):
-    """(hub with its missing days filled in, days with a snapshot)."""
-    hub = v.hub.filter(F.expr(GAPPY))
-    return quality.repair_calendar(hub), hub.select("day").distinct()
-
-
-@entry("dq5_settled_windows", None)
-def _(v):
-    hub, snaps = _gappy_hub(v)
-    hub = hub.select(F.col("pipeline_tag").alias("series"), "day", F.col("dl").cast("double").alias("dl"))
-    tags = F.broadcast(hub.select("series").distinct())
-    # Supplier counters rarely move on a day, so the bound is that of data sets. A share counts between neighbouring days only.
-    s = v.gappy
-    near = s.select("day").distinct().withColumn("_p", F.lag("day").over(W.orderBy("day"))).filter(F.datediff("day", "_p") == 1).select("day")
-    frozen = quality.signals(s, 100, 10).join(F.broadcast(near), "day").select("day", F.col("frozen").alias("share"))
-    return quality.settle(hub, frozen.crossJoin(tags), 0.9, snaps.crossJoin(tags))
-
-
-@entry("dq13_low_days", None)
-def _(v):
-    hub, snaps = _gappy_hub(v)
-    t = quality.totals(hub)
-    short = quality.short_days(v.events.filter("value > 30 AND event_id % 29 = 0").groupBy("day").agg(F.min(F.col("ts").cast("timestamp")).alias("taken_at")))
-    return quality.low_days(t, quality.weekday_factor(t, snaps), short, snaps)
-
-
 @entry("wn8_trailing_mean", "SELECT id, day, round(avg(dl30) OVER (PARTITION BY id ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS smooth FROM fx_series")
 def _(v):
     return series.smooth(v.series, "dl30").select("id", "day", r6("smooth").alias("smooth"))
@@ -1019,4 +973,4 @@ def oracle_sql() -> dict[str, str]:
     return {k: sql for k, (_, sql) in _ALL.items() if sql}
 
 
-from tidemark import registry_boards  # noqa: E402, F401  (adds its entries)
+from tidemark import registry_boards, registry_quality, registry_state  # noqa: E402, F401  (add their entries)

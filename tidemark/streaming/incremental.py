@@ -1,19 +1,12 @@
-"""The daily run: new snapshot files become rows of the series, and what follows from them is brought up to date.
-
-Under one folder: `series` and `hub` by day, `authors` by month, and `days`, the state that is carried: a row for each snapshot
-with its verdict (see `quality.judge`), by which the next run knows its base, the open episode and the snapshots held.
-"""
+"""Snapshot files as they land, day by day, as a series of Parquet partitions. For all that follows from a day see `daily`."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import quality, rollups
 from tidemark.sources.snapshots import RAW, counters
 
-DAYS = "day date, n long, verdict string, base date, first double"
-
 
 def file_day():
     """The day in a file's name; what stands between it and the ending tells deliveries apart."""
@@ -38,75 +31,3 @@ def append_days(spark: SparkSession, landing: str, out: str, checkpoint: str, sc
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landing)
     days = counters(stream.withColumn("day", file_day()))
     days.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(land).start().awaitTermination()
-
-
-class Daily:
-    """The tables of the daily run; tags(id, pipeline_tag), authors(id, author)."""
-
-    def __init__(self, spark: SparkSession, folder: str, tags: DataFrame, authors: DataFrame, least: int = 1000):
-        self.spark, self.folder, self.tags, self.authors, self.least = spark, folder, tags, authors, least
-
-    def run(self, landing: str) -> None:
-        append_days(self.spark, landing, f"{self.folder}/series", f"{self.folder}/checkpoint", then=self.take)
-
-    def read(self, name: str, schema: str | None = None) -> DataFrame:
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        if not place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(str(place)) if schema else self.spark.read.parquet(str(place))
-
-    def _replace(self, name: str, df: DataFrame, by: str) -> None:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{self.folder}/{name}")
-
-    def _forget(self, name: str, days: list) -> None:
-        for day in days:
-            place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/day={day}")
-            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
-
-    def take(self, day) -> None:
-        """Judges a snapshot that has landed; if it is not the last one, all those after it again, as their bases may change."""
-        known = sorted(self.read("days", DAYS).collect(), key=lambda r: r.day)
-        later = [r.day for r in known if r.day >= day]
-        known = [r for r in known if r.day < day]
-        if later:
-            base = max((r.day for r in known if r.verdict in ("first", "use", "release")), default=None)
-            self._forget("days", later)
-            hub = [r.day for r in self.read("hub", "day date, pipeline_tag string, dl long").select("day").distinct().collect()]
-            self._forget("hub", [d for d in hub if base is None or d > base])
-        for d in sorted({day, *later}):
-            known = self._judge(d, known)
-        for month in sorted({f"{d:%Y-%m}" for d in {day, *later}}):
-            self._month(month)
-
-    def _judge(self, day, known: list) -> list:
-        series = self.read("series").filter("dl_all IS NOT NULL")
-        at = lambda d: series.filter(F.col("day") == F.lit(d))
-        whole = [r for r in known if r.verdict != "partial"]
-        held = [r for r in whole if r.verdict == "hold" and not any(x.day > r.day and x.verdict != "hold" for x in whole)]
-        used = [r.day for r in whole if r.verdict in ("first", "use", "release")]
-        state = {"base": max(used, default=None), "first": held[0].first if held else None, "held": [r.day for r in held]}
-        n = at(day).count()
-        if whole and quality.is_partial(n, whole[-1].n):
-            rows = [(day, n, "partial", None, None)]
-        else:
-            back = quality.fell_back(series, [(whole[-1].day, day)]).get(day) if whole else None
-            missing = lambda base, d: float(quality.shortfall(at(base), at(d)).first()[0] or 0)
-            sizes = {r.day: r.n for r in known} | {day: n}
-            rows = [(d, sizes[d], verdict, base, first) for d, verdict, base, first in quality.judge(state, day, back, missing)]
-        new = self.spark.createDataFrame(rows, DAYS)
-        self._replace("days", new, "day")
-        if any(r[3] for r in rows):
-            ends = [d for r in rows for d in (r[0], r[3]) if d]
-            self._replace("hub", quality.measured(series.filter(F.col("day").isin(ends)), self.tags, new), "day")
-        return sorted([*(r for r in known if r.day not in {x[0] for x in rows}), *new.collect()], key=lambda r: r.day)
-
-    def _month(self, month: str) -> None:
-        """One month's author series, from that month's days alone."""
-        first = F.lit(f"{month}-01").cast("date")
-        rows = self.read("series").filter(F.col("day").between(first, F.last_day(first)))
-        self._replace("authors", rollups.author_series(rows, self.authors, self.least).withColumn("month", F.lit(month)), "month")
-
-
-def usable_input(today: DataFrame, before: DataFrame, least: float = 0.5) -> DataFrame:
-    """Today's snapshot, or the one before when today's has under half of its rows."""
-    return before if today.count() < least * before.count() else today
