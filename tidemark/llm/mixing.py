@@ -3,10 +3,14 @@
 Each document wants `target / source_size` copies of itself, mostly a fraction. Two documents of a source are paired: words
 move from one's expected copies to the other's, in a random direction chosen so that expectations hold, until one of the two
 counts is whole. The other goes on to the next pair. A group of bounded size leaves at most one fraction; those residuals meet
-again, FANIN groups at a time, level by level, until a source has one, which is rounded at random. So a source takes its
-target but for part of one document.
+again, FANIN groups at a time, level by level, until a source has one, which is rounded to the nearer side.
 
-Random numbers come from hashes of the pair, and groups from hashes of ids: reruns agree whatever the partitioning.
+Long texts come first. Chance alone may leave one of them open when the short ones run out, and its rounding would then miss the
+target by many words. So once the rest of a group holds less than twice what a text lacks to the nearer whole number, its words
+move that way. What is left open is mostly a short text, and a source takes its target but for part of that.
+
+Random numbers come from hashes of the pair, and groups from hashes of ids, texts and, of equal rows, their number: reruns agree
+whatever the partitioning, and no id fills a group.
 
 Defined results: a null text has size 0 and is taken 0 words. A null source is a source of its own, the last one. Rows with
 one doc_id are rounded each. No documents, or none with words: every target is 0. Extra columns are ignored.
@@ -30,8 +34,11 @@ PLAN_ROWS, PLAN_BYTES = 10_000, 1 << 20
 
 
 def sized(docs: DataFrame, carry: tuple = ()) -> DataFrame:
+    """(doc_id, key, size, order, carry): `order` is a hash that differs from row to row. Equal rows are counted before they are numbered."""
     words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("~")).alias("key"), words.alias("size"), *carry)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("~")).alias("key"), words.alias("size"), F.xxhash64("text").alias("_t"), *carry)
+    every = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n")).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    return every.select("doc_id", "key", "size", F.xxhash64("doc_id", "size", "_t", "_k").alias("order"), *carry)
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -55,6 +62,9 @@ def _pivot(pdf: pd.DataFrame) -> pd.DataFrame:
     """Rounds the fractions of one group; at most one row stays open, mostly a short one, as the longest are paired first."""
     pdf = pdf.sort_values(["size", "order", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
     f, size, ids = pdf["fraction"].to_numpy(float).copy(), pdf["size"].to_numpy(float), pdf["order"].to_numpy(np.int64).view(np.uint64)
+    fit = np.where((f > _WHOLE) & (f < 1 - _WHOLE), size, 0.0)
+    # What this row and those behind it can give and take.
+    give, take = (np.cumsum((fit * x)[::-1])[::-1] for x in (f, 1 - f))
     held = -1
     for k in range(len(f)):
         if not _WHOLE < f[k] < 1 - _WHOLE:
@@ -66,7 +76,10 @@ def _pivot(pdf: pd.DataFrame) -> pd.DataFrame:
         down = min(size[held] * f[held], size[k] * (1 - f[k]))
         with np.errstate(over="ignore"):
             u = int(scan.mix(ids[held] * np.uint64(3) + ids[k])) / 2.0**64
-        move = up if u * (up + down) < down else -down
+        more, less = size[held] * (1 - f[held]), size[held] * f[held]
+        scarce = 2 * more > give[k] if more <= less else 2 * less > take[k]
+        grows = more <= less if scarce else u * (up + down) < down
+        move = up if grows else -down
         f[held] += move / size[held]
         f[k] -= move / size[k]
         if not _WHOLE < f[held] < 1 - _WHOLE:
@@ -83,9 +96,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     small = extent.n <= PLAN_ROWS and (extent.bytes or 0) <= PLAN_BYTES
     wanted = rows.join(F.broadcast(plan) if small else plan, "key").withColumn("want", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     wanted = wanted.withColumn("base", F.floor(F.col("want") + _WHOLE)).withColumn("fraction", F.greatest(F.col("want") - F.col("base"), F.lit(0.0)))
-    order = F.xxhash64("doc_id", "size")
     groups = F.ceil(F.col("members") / GROUP)
-    wanted = wanted.withColumn("order", order).withColumn("salt", F.pmod("order", groups))
+    wanted = wanted.withColumn("salt", F.pmod("order", groups))
     names = ["doc_id", "key", "size", "source_size", "target", "base", "order", "salt", "fraction", *carry]
     schema = "doc_id long, key string, size long, source_size long, target double, base long, order long, salt long, fraction double, " + "".join(f"{c} long, " for c in carry) + "open boolean"
     # Rows without words or without a fraction need no partner.
@@ -100,8 +112,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
         after = cut(todo.repartition("key", "salt").groupBy("key", "salt").applyInPandas(_pivot, schema))
         done.append(after.filter("NOT open"))
         todo = after.filter("open").withColumn("salt", F.floor(F.col("salt") / FANIN)).select(*names)
-    chance = (F.pmod(F.xxhash64(F.col("order"), F.lit(1)), F.lit(1 << 40)) / float(1 << 40)) < F.col("fraction")
-    out = todo.withColumn("open", F.lit(False)).withColumn("fraction", chance.cast("double"))
+    out = todo.withColumn("open", F.lit(False)).withColumn("fraction", F.round("fraction"))
     for part in done:
         out = out.unionByName(part)
     return out.select("doc_id", "key", "size", "source_size", "target", (F.col("base") + F.col("fraction")).cast("long").alias("copies"), *carry)
