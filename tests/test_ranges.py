@@ -92,3 +92,22 @@ def test_a_galaxy_ends_at_its_cap(spark):
     for root in (0, 50):
         best = sorted((r.depth, -r.dl30, r.id) for r in whole if r.root == root)[:20]
         assert sorted((r.depth, -r.dl30, r.id) for r in got if r.root == root) == best
+
+
+def test_a_closure_follows_edits(spark):
+    """After random edits, cycles and diamonds among them, counts of paths and pairs are those from scratch."""
+    edges = {(R.randrange(40), R.randrange(40)) for _ in range(55)}
+    edges = {e for e in edges if e[0] != e[1]}
+    df = lambda rows, schema: spark.createDataFrame(sorted(rows), schema)
+    kept = graph.paths(df(edges, "id long, parent long"))
+    for _ in range(2):
+        gone = set(R.sample(sorted(edges), 5))
+        come = {e for e in ((R.randrange(40), R.randrange(40)) for _ in range(6)) if e[0] != e[1]} - edges
+        now = (edges - gone) | come
+        changes = graph.path_changes(kept, df(now, "id long, parent long"), df([(*e, 1) for e in come] + [(*e, -1) for e in gone], "id long, parent long, sign int"))
+        turned = {(r.id, r.anc): r.change for r in graph.changed_pairs(kept, changes).collect()}
+        pairs = [{tuple(r) for r in graph.closure(df(e, "id long, parent long")).select("id", "anc").collect()} for e in (edges, now)]
+        assert turned == {p: 1 for p in pairs[1] - pairs[0]} | {p: -1 for p in pairs[0] - pairs[1]} and turned
+        after = sorted(map(tuple, graph.with_changes(kept, changes).collect()))
+        kept, edges = graph.paths(df(now, "id long, parent long")), now
+        assert after == sorted(map(tuple, kept.collect()))

@@ -63,10 +63,29 @@ def test_increments_and_signals(spark):
 
 def test_a_quiet_day_keeps_its_week(spark):
     points = {n: (0, 1000 - (n // 7) * 10, 0) for n in range(0, 40)}
-    gains = rollups.period_gains(history(spark, {"a/x": points}), spark.createDataFrame([("a/x", "a")], "id string, author string"), back(30), back(0))
-    r = rollups.year_summary(gains, str(back(30)), str(back(0))).first()
+    repos, spans = rollups.summed_gaps(rollups.gap_gains(history(spark, {"a/x": points}), spark.createDataFrame([("a/x", "a")], "id string, author string"), back(30), back(0)))
+    r = rollups.year_summary(repos, spans, str(back(30)), str(back(0))).first()
     assert r.rank == 1 and r.top_id == "a/x" and r.best_week is not None
-    assert gains.filter("gain = 0").count() > 20
+    assert rollups.by_days(spans).filter("gain = 0").count() > 20
+
+
+def test_a_long_gap_falls_into_weeks_and_months_by_its_days(spark):
+    """Gaps of many days that cross both ends of the window, weeks and months: the same as day by day."""
+    points = {n: (0, v, 0) for n, v in {77: 0, 70: 70, 20: 1070, 19: 900, 3: 1100, 0: 1103}.items()}
+    repos, spans = rollups.summed_gaps(rollups.gap_gains(history(spark, {"a/x": points, "a/y": points}), spark.createDataFrame([("a/x", "a"), ("a/y", "a")], "id string, author string"), back(65), back(1)))
+    daily = {}
+    stamps = sorted(points, reverse=True)
+    for a, b in zip(stamps, stamps[1:]):
+        for n in range(b, a):
+            if 65 > n and b >= 1 and a <= 75:
+                daily[back(n)] = daily.get(back(n), 0) + 2 * max(0, points[b][1] - points[a][1]) / (a - b)
+    for unit, begin in (("week", lambda d: d - timedelta(d.weekday())), ("month", lambda d: d.replace(day=1))):
+        want = {}
+        for d, v in daily.items():
+            want[begin(d)] = want.get(begin(d), 0) + v
+        assert {r.period: round(r.v, 6) for r in rollups.by_periods(spans, unit).collect()} == {k: round(v, 6) for k, v in want.items()}
+    assert {r.day: r.gain for r in rollups.by_days(spans).collect()} == {d: round(v, 4) for d, v in daily.items()}
+    assert abs(sum(r.downloads for r in repos.collect()) - sum(daily.values())) < 1e-6
 
 
 def test_likes_of_an_author_are_summed_before_the_floor(spark):
@@ -93,6 +112,23 @@ def test_search_knows_whom_a_request_means(spark):
     assert 3 not in got and len(got[4]) == 7 and got[5] == ["z/none"]
 
 
+def test_a_kept_index_answers_without_its_texts(spark, tmp_path):
+    """Written once and read for each of ten requests, short ones among them: the same rows, and no text is cut into runs again."""
+    index = spark.createDataFrame([(f"o{k % 7}/model-{k}", k * 37 % 101, "a b" if k % 5 else None) for k in range(200)], "id string, pop long, title string")
+    asks = [(1, "model-1"), (2, "o3"), (3, "o"), (4, "1"), (5, "a b"), (6, "zz"), (7, "o1 9"), (8, "MODEL-77"), (9, "mo el"), (10, "7/m")]
+    want = sorted(map(tuple, search.ranked(spark.createDataFrame(asks, "qid int, q string"), index, 5).collect()))
+    search.index_of(index).write(str(tmp_path / "index"))
+    kept, got = search.Index.read(spark, str(tmp_path / "index")), []
+    for ask in asks:
+        one = spark.createDataFrame([ask], "qid int, q string")
+        plan = kept.holding(search.asked_for(one))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate") == 1 and "Cartesian" not in plan and "Cross" not in plan
+        got += map(tuple, search.ranked(one, kept, 5).collect())
+    assert sorted(got) == want
+    for qid, q in asks:
+        assert bool([r for r in want if r[0] == qid]) == (q != "zz")
+
+
 def test_boards(spark):
     m = spark.createDataFrame([("a/x", "a", back(90), 10, 10, 5, 2.0, 0, None, None, 0), ("b/y", None, back(3), 20, 20, 9, 0.0, 1, None, 0.9, 4), ("c/z", "c", back(9), 1, 1, 1, 0.0, 1, None, 0.9, 2)], "id string, author string, first_seen date, dl30 int, dl_all long, dl_7d long, dl_base7d double, likes_7d long, growth_7d double, peak_share double, steps int")
     got = {}

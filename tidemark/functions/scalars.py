@@ -37,14 +37,6 @@ def week(day: Column) -> Column:
     return F.date_trunc("week", day).cast("date")
 
 
-def iso_weekday(day: Column) -> Column:
-    return F.weekday(day) + 1
-
-
-def days_between(later: Column, earlier: Column) -> Column:
-    return F.datediff(later, earlier)
-
-
 def tag_value(tags: Column, prefix: str) -> Column:
     """What follows the prefix in the first tag that has it."""
     return F.regexp_replace(F.get(F.filter(tags, lambda t: t.startswith(prefix)), 0), "^" + prefix, "")
@@ -65,11 +57,6 @@ def link(text: Column) -> tuple[Column, Column]:
     return F.when(rid == "", "").when(kind == "datasets", "dataset").when(kind == "spaces", "space").otherwise("model"), rid
 
 
-def seconds_each(total: Column, seconds: Column) -> Column:
-    """Cadence: seconds for each of `total`."""
-    return F.when(total > 0, seconds / total)
-
-
 def card_items(card: Column, field: str) -> Column:
     """Distinct, trimmed, non-blank string items of a JSON field that is a string or a list; [] for anything else."""
     found = F.get_json_object(card, f"$.{field}")

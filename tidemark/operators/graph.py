@@ -33,6 +33,51 @@ def closure(edges: DataFrame, hops: int = HOPS) -> DataFrame:
 SUMS = ("dl30", "dl_all", "dl_7d")
 
 
+def paths(edges: DataFrame, hops: int = HOPS) -> DataFrame:
+    """(id, anc, hops, n): how many ways of so many hops lead from id to anc; the pairs of unlike ids are the closure."""
+    level = cut(edges.groupBy("id", F.col("parent").alias("anc")).agg(F.count("*").alias("n")))
+    out = level.withColumn("hops", F.lit(1))
+    for k in range(2, hops + 1):
+        step = level.select("id", F.col("anc").alias("_mid"), "n").join(edges.select(F.col("id").alias("_mid"), F.col("parent").alias("anc")), "_mid")
+        level = cut(step.groupBy("id", "anc").agg(F.sum("n").alias("n")))
+        if level.isEmpty():
+            break
+        out = out.unionByName(level.withColumn("hops", F.lit(k)))
+    return out.select("id", "anc", "hops", "n")
+
+
+def path_changes(old: DataFrame, edges: DataFrame, delta: DataFrame, hops: int = HOPS) -> DataFrame:
+    """(id, anc, hops, n): by how much the numbers of paths `old` change when delta(id, parent, sign) has led to `edges`.
+
+    A longer path changes by its first part, or keeps that and changes by its last edge. Both joins begin with what has changed, so
+    the work goes with the change and not with the graph. Counts, unlike pairs, can be taken away again: a pair is lost when its
+    last path is.
+    """
+    edge = edges.select(F.col("id").alias("_mid"), F.col("parent").alias("anc"))
+    moved = delta.select(F.col("id").alias("_mid"), F.col("parent").alias("anc"), "sign")
+    level = cut(delta.groupBy("id", F.col("parent").alias("anc")).agg(F.sum("sign").cast("long").alias("n")).filter("n <> 0"))
+    out = level.withColumn("hops", F.lit(1))
+    for k in range(2, hops + 1):
+        by_first = level.select("id", F.col("anc").alias("_mid"), "n").join(edge, "_mid").select("id", "anc", "n")
+        by_last = old.filter(F.col("hops") == k - 1).select("id", F.col("anc").alias("_mid"), "n").join(moved, "_mid").select("id", "anc", (F.col("n") * F.col("sign")).alias("n"))
+        level = cut(by_first.unionByName(by_last).groupBy("id", "anc").agg(F.sum("n").alias("n")).filter("n <> 0"))
+        out = out.unionByName(level.withColumn("hops", F.lit(k)))
+    return out.select("id", "anc", "hops", "n")
+
+
+def changed_pairs(old: DataFrame, changes: DataFrame) -> DataFrame:
+    """(id, anc, change): pairs that the changes of paths gain (1) or lose (-1); only pairs that changed are looked up."""
+    of = old.join(changes.select("id", "anc").distinct(), ["id", "anc"], "left_semi").groupBy("id", "anc").agg(F.sum("n").alias("_old"))
+    new = changes.groupBy("id", "anc").agg(F.sum("n").alias("_more")).join(of, ["id", "anc"], "left").withColumn("_old", F.coalesce("_old", F.lit(0)))
+    change = (F.col("_old") + F.col("_more") > 0).cast("int") - (F.col("_old") > 0).cast("int")
+    return new.filter("id <> anc").select("id", "anc", change.alias("change")).filter("change <> 0")
+
+
+def with_changes(old: DataFrame, changes: DataFrame) -> DataFrame:
+    """The numbers of paths after changes."""
+    return old.unionByName(changes).groupBy("id", "anc", "hops").agg(F.sum("n").alias("n")).filter("n <> 0")
+
+
 def family_stats(pairs: DataFrame, entities: DataFrame) -> DataFrame:
     """Per ancestor: members, sums of what entities have of SUMS (0 where nothing is known) and members by relation."""
     m = pairs.join(entities, "id")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import week
+from tidemark.plans.staging import cut
 
 
 def author_series(series: DataFrame, authors: DataFrame, least: int = 1000) -> DataFrame:
@@ -88,51 +89,99 @@ def coverage(series: DataFrame) -> DataFrame:
     return series.agg(F.countDistinct("day").alias("days"), F.min("day").alias("first"), F.max("day").alias("last"), F.countDistinct("id").alias("ids"))
 
 
-def period_gains(series: DataFrame, authors: DataFrame, start, last, skip: DataFrame | None = None) -> DataFrame:
-    """(author, id, day, gain) of the days after `start` up to `last` (dates): gains since an id's previous snapshot, of ten days before the
-    start at most, spread over the days between. Losses and quiet days count as 0. `skip` (day): snapshots left out."""
+def gap_gains(series: DataFrame, authors: DataFrame, start, last, skip: DataFrame | None = None) -> DataFrame:
+    """(author, id, first, final, each): what an id gained a day on the days first to final between two of its snapshots, as far as
+    they lie after `start` and up to `last` (dates).
+
+    The first snapshot may be ten days before the start. Losses and quiet days count as 0. `skip` (day): snapshots left out. A gap
+    stays one row, however long: what falls into a week or a month is its daily part times the days that they share.
+    """
     start, last = F.lit(start).cast("date"), F.lit(last).cast("date")
     rows = series.filter(F.col("day").between(F.date_sub(start, 10), last)).select("id", "day", "dl_all")
     rows = rows if skip is None else rows.join(F.broadcast(skip.select("day").distinct()), "day", "left_anti")
     w = W.partitionBy("id").orderBy("day")
     s = rows.withColumn("p", F.lag("dl_all").over(w)).withColumn("pd", F.lag("day").over(w)).filter("p IS NOT NULL AND dl_all IS NOT NULL").filter(F.col("day") > start)
-    s = s.withColumn("each", F.greatest(F.lit(0), F.col("dl_all") - F.col("p")) / F.datediff("day", "pd"))
-    s = s.select("id", F.explode(F.sequence(F.date_add("pd", 1), F.col("day"))).alias("day"), F.col("each").alias("gain")).filter(F.col("day") > start)
-    return s.join(authors, "id").select("author", "id", "day", "gain")
+    each = F.greatest(F.lit(0), F.col("dl_all") - F.col("p")) / F.datediff("day", "pd")
+    gaps = s.select("id", F.greatest(F.date_add("pd", 1), F.date_add(start, 1)).alias("first"), F.col("day").alias("final"), each.alias("each"))
+    return gaps.join(authors, "id").select("author", "id", "first", "final", "each")
+
+
+def summed_gaps(gaps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(repos(author, id, downloads), spans(author, first, final, each)): gains of each repo, and an author's gains by gap, from one pass over the gaps."""
+    size = F.datediff("final", "first") + 1
+    sets = gaps.withColumn("_g", F.col("each") * size).groupingSets([["author", "id"], ["author", "first", "final"]], "author", "id", "first", "final")
+    both = cut(sets.agg(F.sum("_g").alias("gain"), F.sum("each").alias("each"), F.grouping("id").alias("_s")))
+    return both.filter("_s = 0").select("author", "id", F.col("gain").alias("downloads")), both.filter("_s = 1").select("author", "first", "final", "each")
+
+
+def year_gaps(series: DataFrame, authors: DataFrame, year: int) -> DataFrame:
+    return gap_gains(series, authors, f"{year - 1}-12-31", f"{year}-12-31")
 
 
-def year_gains(series: DataFrame, authors: DataFrame, year: int) -> DataFrame:
-    return period_gains(series, authors, f"{year - 1}-12-31", f"{year}-12-31")
+def by_days(spans: DataFrame) -> DataFrame:
+    """(author, day, gain)."""
+    days = spans.select("author", F.explode(F.sequence("first", "final")).alias("day"), "each")
+    return days.groupBy("author", "day").agg(F.round(F.sum("each"), 4).alias("gain"))
 
 
-def top_repos(gains: DataFrame, n: int = 5) -> DataFrame:
+def by_periods(spans: DataFrame, unit: str) -> DataFrame:
+    """(author, period, v): gains of the weeks (from Monday) or months that spans meet, by the days that they share."""
+    step, size = {"week": (F.expr("interval 7 days"), F.expr("interval 6 days")), "month": (F.expr("interval 1 month"), None)}[unit]
+    begin = lambda c: F.date_trunc(unit, F.col(c)).cast("date")
+    met = spans.select("author", "first", "final", "each", F.explode(F.sequence(begin("first"), begin("final"), step)).alias("period"))
+    end = F.last_day("period") if size is None else (F.col("period") + size).cast("date")
+    shared = F.datediff(F.least("final", end), F.greatest("first", "period")) + 1
+    return met.groupBy("author", "period").agg(F.sum(F.col("each") * shared).alias("v"))
+
+
+def top_repos(repos: DataFrame, n: int = 5) -> DataFrame:
     """(author, rank, id, downloads): an author's repos by gain, those with a gain."""
     w = W.partitionBy("author").orderBy(F.col("downloads").desc(), "id")
-    g = gains.groupBy("author", "id").agg(F.round(F.sum("gain"), 6).alias("downloads")).filter("downloads > 0")
+    g = repos.select("author", "id", F.round("downloads", 6).alias("downloads")).filter("downloads > 0")
     return g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("author", "rank", "id", "downloads")
 
 
-def period_months(gains: DataFrame) -> DataFrame:
-    return gains.groupBy("author", F.trunc("day", "month").alias("month")).agg(F.round(F.sum("gain"), 4).alias("downloads"))
+def period_months(spans: DataFrame) -> DataFrame:
+    return by_periods(spans, "month").select("author", F.col("period").alias("month"), F.round("v", 4).alias("downloads"))
 
 
-def year_summary(gains: DataFrame, start: str, last: str) -> DataFrame:
+def year_summary(repos: DataFrame, spans: DataFrame, start: str, last: str) -> DataFrame:
     """A row for each author with a gain: total, seconds per download and downloads per minute, rank among authors, top repo and its share, best full week.
 
     A week is full if its Monday is after `start` and before that of `last`.
     """
     from tidemark.operators.ranks import global_rank
 
-    total = gains.groupBy("author").agg(F.round(F.sum("gain"), 4).alias("downloads")).filter("downloads > 0")
-    best = top_repos(gains, 1).select("author", F.col("id").alias("top_id"), F.col("downloads").alias("top_v"))
-    full = gains.withColumn("week", week(F.col("day"))).filter((F.col("week") > F.lit(start).cast("date")) & (F.col("week") < week(F.lit(last).cast("date"))))
-    weeks = full.groupBy("author", "week").agg(F.sum("gain").alias("v")).groupBy("author").agg(F.min(F.struct(-F.round("v", 6), "week"))["week"].alias("best_week"))
+    total = repos.groupBy("author").agg(F.round(F.sum("downloads"), 4).alias("downloads")).filter("downloads > 0")
+    best = top_repos(repos, 1).select("author", F.col("id").alias("top_id"), F.col("downloads").alias("top_v"))
+    full = by_periods(spans, "week").filter((F.col("period") > F.lit(start).cast("date")) & (F.col("period") < week(F.lit(last).cast("date"))))
+    weeks = full.groupBy("author").agg(F.min(F.struct(-F.round("v", 6), "period"))["period"].alias("best_week"))
     out = global_rank(total, "downloads", "rank").join(best, "author", "left").join(weeks, "author", "left")
     seconds = 365 * 86400
     cadence = [F.round(seconds / F.col("downloads"), 2).alias("every_seconds"), F.round(F.col("downloads") / (seconds / 60), 6).alias("per_minute")]
     return out.select("author", "downloads", *cadence, "rank", "top_id", F.round(F.col("top_v") / F.col("downloads"), 6).alias("top_share"), "best_week")
 
 
+def year_record(gaps: DataFrame, likes: DataFrame, tags: DataFrame, ripple: DataFrame, start: str, last: str) -> DataFrame:
+    """The year of each author in one row: the summary, its standing in percent, the months, and beside them
+
+    likes(author, likes, models_new), the mix of tasks by tags(id, tag), and ripple(author, built, dl30, biggest): what others built
+    on the author's repos. `months`, `mix` and `top` are text, as lists of name:value in their order. The gaps are read once.
+    """
+    repos, spans = summed_gaps(gaps)
+    year = year_summary(repos, spans, start, last)
+    listed = lambda rows, order, name, value: rows.groupBy("author").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.concat_ws(":", name, F.round(value).cast("long")).alias("_x")))), lambda x: x["_x"]), ",").alias("_l"))
+    months = listed(by_periods(spans, "month").withColumn("name", F.date_format("period", "yyyy-MM")), "period", "name", "v").withColumnRenamed("_l", "months")
+    top = listed(top_repos(repos), "rank", "id", "downloads").withColumnRenamed("_l", "top")
+    mix = task_mix(repos.join(tags.select("id", "tag"), "id", "left").select("author", "tag", F.col("downloads").alias("v"))).filter("share IS NOT NULL")
+    mix = listed(mix.withColumn("permille", F.col("share") * 1000), "rank", "tag", "permille").withColumnRenamed("_l", "mix")
+    n = year.agg(F.count("*").alias("_n"))
+    out = year.crossJoin(F.broadcast(n)).withColumn("top_percent", F.round(100 * F.col("rank") / F.col("_n"), 2)).drop("_n")
+    for more in (months, top, mix, likes.select("author", F.col("likes").alias("likes_gained"), "models_new"), ripple.select("author", "built", F.col("dl30").alias("built_dl30"), "biggest")):
+        out = out.join(more, "author", "left")
+    return out.na.fill(0, ["built", "built_dl30"])
+
+
 def task_mix(m: DataFrame, n: int = 5) -> DataFrame:
     """An author's five largest tags and their shares among them; no share when they are under 30 % of all, the untagged included."""
     g = m.groupBy("author", "tag").agg(F.sum("v").alias("v")).withColumn("total", F.sum("v").over(W.partitionBy("author"))).filter("tag IS NOT NULL AND v > 0")

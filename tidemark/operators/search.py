@@ -1,45 +1,71 @@
-"""Ranked search over ids, titles and authors, many requests at once."""
+"""Ranked search over ids, titles and authors, many requests at once.
+
+An index is built once and kept: its texts, the runs of one to three characters that each holds, sorted by run, and how many texts
+hold a run. A request reads the postings of the rarest run of its words and those texts alone.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import part
+from tidemark.plans.staging import cut
 
 GRAM = 3
 #: Parts that a request's matches are cut to `limit` in before they meet.
 SALTS = 32
 
 
-def grams(text):
-    """Distinct runs of three characters."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (GRAM - 1), F.lit(1))), lambda k: F.substring(text, k, F.lit(GRAM))))
+def runs(text, size):
+    """Distinct runs of `size` characters."""
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda k: k + size - 1 <= F.length(text))
+    return F.array_distinct(F.transform(at, lambda k: F.substring(text, k, F.lit(size))))
 
 
-def candidates(requests: DataFrame, index: DataFrame, text: str) -> DataFrame:
-    """requests(qid, words) with rows of index whose `text` holds every word.
+@dataclass
+class Index:
+    """texts(_key, _text, ...), postings(run, _key) and counts(run, n)."""
 
-    A request looks up the rarest three-character run of its words, by an equi-join; requests of shorter words alone look at
-    all rows.
-    """
-    runs = requests.withColumn("g", F.explode(F.array_distinct(F.flatten(F.transform(F.filter("words", lambda w: F.length(w) >= GRAM), grams)))))
-    asked = runs.select("g").distinct()
-    posted = index.withColumn("g", F.explode(grams(F.col(text)))).join(asked, "g", "left_semi")
-    often = runs.select("qid", "g").join(posted.groupBy("g").agg(F.count("*").alias("c")), "g", "left")
-    rarest = often.groupBy("qid").agg(F.min(F.struct(F.coalesce("c", F.lit(0)), "g"))["g"].alias("g"))
-    found = posted.join(requests.join(rarest, "qid"), "g").drop("g")
-    short = requests.filter(F.size("words") > 0).filter(~F.exists("words", lambda w: F.length(w) >= GRAM))
-    found = found.unionByName(index.join(short, F.forall("words", lambda w: F.contains(F.col(text), w))))
-    return found.filter(F.forall("words", lambda w: F.contains(F.col(text), w)))
+    texts: DataFrame
+    postings: DataFrame
+    counts: DataFrame
+
+    @classmethod
+    def of(cls, rows: DataFrame, text: str) -> Index:
+        texts = cut(rows.withColumns({"_text": F.col(text), "_key": F.monotonically_increasing_id()}))
+        every = F.flatten(F.array(*[runs(F.col("_text"), k) for k in range(1, GRAM + 1)]))
+        postings = cut(texts.select(F.explode(every).alias("run"), "_key"))
+        return cls(texts, postings, cut(postings.groupBy("run").agg(F.count("*").alias("n"))))
+
+    def write(self, folder: str) -> None:
+        """Postings and texts in ranges of what they are read by, so that a reader skips the rest by its bounds."""
+        self.texts.repartitionByRange("_key").sortWithinPartitions("_key").write.parquet(f"{folder}/texts")
+        self.postings.repartitionByRange("run", "_key").sortWithinPartitions("run", "_key").write.parquet(f"{folder}/postings")
+        self.counts.sort("run").write.parquet(f"{folder}/counts")
+
+    @classmethod
+    def read(cls, spark: SparkSession, folder: str) -> Index:
+        return cls(*(spark.read.parquet(f"{folder}/{name}") for name in ("texts", "postings", "counts")))
+
+    def holding(self, requests: DataFrame) -> DataFrame:
+        """requests(qid, words, ...) with the texts that hold every word."""
+        asked = F.flatten(F.transform("words", lambda w: F.when(F.length(w) >= GRAM, runs(w, GRAM)).otherwise(F.array(w))))
+        of = requests.select("qid", F.explode(F.array_distinct(asked)).alias("run")).join(self.counts, "run", "left")
+        rarest = of.groupBy("qid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "run"))["run"].alias("run"))
+        keys = self.postings.join(rarest, "run").select("qid", "_key")
+        found = keys.join(self.texts, "_key").join(requests, "qid")
+        return found.filter(F.forall("words", lambda w: F.contains(F.col("_text"), w))).drop("_key", "_text")
 
 
 def first_rows(df: DataFrame, order: list, limit: int) -> DataFrame:
     """The first `limit` rows of each qid, with `rank`; a request with very many matches is cut in parts first."""
-    cut = df.withColumn("_s", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
-    cut = cut.withColumn("_k", F.row_number().over(W.partitionBy("qid", "_s").orderBy(*order))).filter(F.col("_k") <= limit)
-    return cut.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(*order))).filter(F.col("rank") <= limit).drop("_s", "_k")
+    parts = df.withColumn("_s", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+    parts = parts.withColumn("_k", F.row_number().over(W.partitionBy("qid", "_s").orderBy(*order))).filter(F.col("_k") <= limit)
+    return parts.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(*order))).filter(F.col("rank") <= limit).drop("_s", "_k")
 
 
 def asked_for(queries: DataFrame) -> DataFrame:
@@ -48,16 +74,21 @@ def asked_for(queries: DataFrame) -> DataFrame:
     return q.filter(F.size("words") > 0).withColumn("q", F.array_join("words", " "))
 
 
-def ranked(queries: DataFrame, index: DataFrame, limit: int) -> DataFrame:
-    """(qid, rank, id) for queries(qid, q) over index(id, pop) and, if there is one, its title: every word must occur in id or title.
+def index_of(rows: DataFrame) -> Index:
+    """The index of rows(id, pop) and, if there is one, their title."""
+    title = F.lower("title") if "title" in rows.columns else F.lit(None).cast("string")
+    return Index.of(rows.select("id", F.lower("id").alias("lid"), "pop", title.alias("lt")).withColumn("hay", F.concat_ws("\n", "lid", "lt")), "hay")
+
+
+def ranked(queries: DataFrame, index: DataFrame | Index, limit: int) -> DataFrame:
+    """(qid, rank, id) for queries(qid, q) over rows(id, pop[, title]) or their index: every word must occur in id or title.
 
     Order: the exact id; repos of an owner that the request names; one of the request's very name with 5 % of the best match or
     more; of other owners, those with every word in the name, or a well-used owner that begins with the first word; popularity
     (none last); id.
     """
-    title = F.lower("title") if "title" in index.columns else F.lit(None).cast("string")
-    i = index.select("id", F.lower("id").alias("lid"), "pop", title.alias("lt")).withColumn("hay", F.concat_ws("\n", "lid", "lt"))
-    j = candidates(asked_for(queries), i, "hay")
+    index = index if isinstance(index, Index) else index_of(index)
+    j = cut(index.holding(asked_for(queries)))
     j = j.join(j.groupBy("qid").agg(F.max("pop").alias("best")), "qid").withColumn("n", part(F.col("lid"), 2)).withColumn("o", part(F.col("lid"), 1))
     enough = F.coalesce(F.col("pop") >= 0.05 * F.col("best"), F.lit(False))
     same = (F.col("n") == F.col("q")) | F.coalesce(F.col("lt") == F.col("q"), F.lit(False))
@@ -69,12 +100,12 @@ def ranked(queries: DataFrame, index: DataFrame, limit: int) -> DataFrame:
 
 def authors(queries: DataFrame, index: DataFrame, limit: int) -> DataFrame:
     """index(author, pop): every word occurs; exact first, then by prefix, then popularity."""
-    j = candidates(asked_for(queries), index.withColumn("la", F.lower("author")), "la")
+    j = Index.of(index.withColumn("la", F.lower("author")), "la").holding(asked_for(queries))
     order = [(F.col("la") == F.col("q")).cast("int").desc(), F.startswith(F.col("la"), F.col("q")).cast("int").desc(), F.col("pop").desc(), F.col("author")]
     return first_rows(j, order, limit).select("qid", "rank", "author")
 
 
-def by_kind(queries: DataFrame, indexes: dict[str, DataFrame], limit: int = 5) -> DataFrame:
+def by_kind(queries: DataFrame, indexes: dict[str, DataFrame | Index], limit: int = 5) -> DataFrame:
     """(kind, qid, rank, id): the best of each kind."""
     out = None
     for kind, index in indexes.items():

@@ -485,12 +485,12 @@ _YEAR = "s AS (SELECT id, day, dl_all, lag(dl_all) OVER w AS p, lag(day) OVER w
 
 
 def _gains(v):
-    return rollups.year_gains(v.gappy, v.authors, 1998)
+    return rollups.summed_gaps(rollups.year_gaps(v.gappy, v.authors, 1998))
 
 
 @entry("ag22_year_gains", f"WITH {_GAPPY}, {_YEAR} SELECT author, day, round(sum(gain), 4) AS gain FROM y GROUP BY ALL")
 def _(v):
-    return _gains(v).groupBy("author", "day").agg(F.round(F.sum("gain"), 4).alias("gain"))
+    return rollups.by_days(_gains(v)[1])
 
 
 _REPOS = "r AS (SELECT author, id, round(sum(gain), 6) AS v FROM y GROUP BY 1, 2), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY author ORDER BY v DESC, id) AS INTEGER) AS rank FROM r WHERE v > 0)"
@@ -498,17 +498,17 @@ _REPOS = "r AS (SELECT author, id, round(sum(gain), 6) AS v FROM y GROUP BY 1, 2
 
 @entry("mt15_year_summary", f"WITH {_GAPPY}, {_YEAR}, {_REPOS}, t AS (SELECT author, round(sum(gain), 4) AS d FROM y GROUP BY 1 HAVING round(sum(gain), 4) > 0), w AS (SELECT author, CAST(date_trunc('week', day) AS DATE) AS week, round(sum(gain), 6) AS v FROM y GROUP BY 1, 2), z AS (SELECT author, arg_min(week, (-v, week)) AS best_week FROM w WHERE week > DATE '1997-12-31' AND week < DATE '1998-12-28' GROUP BY 1) SELECT t.author, d AS downloads, round(31536000 / d, 2) AS every_seconds, round(d / 525600.0, 6) AS per_minute, CAST(rank() OVER (ORDER BY d DESC) AS INTEGER) AS rank, k.id AS top_id, round(k.v / d, 6) AS top_share, best_week FROM t LEFT JOIN k ON k.author = t.author AND k.rank = 1 LEFT JOIN z ON z.author = t.author")
 def _(v):
-    return rollups.year_summary(_gains(v), "1997-12-31", "1998-12-31")
+    return rollups.year_summary(*_gains(v), "1997-12-31", "1998-12-31")
 
 
 @entry("mt15_top_repos", f"WITH {_GAPPY}, {_YEAR}, {_REPOS} SELECT author, rank, id, v AS downloads FROM k WHERE rank <= 5")
 def _(v):
-    return rollups.top_repos(_gains(v))
+    return rollups.top_repos(_gains(v)[0])
 
 
 @entry("mt15_months", f"WITH {_GAPPY}, {_YEAR} SELECT author, CAST(date_trunc('month', day) AS DATE) AS month, round(sum(gain), 4) AS downloads FROM y GROUP BY 1, 2")
 def _(v):
-    return rollups.period_months(_gains(v))
+    return rollups.period_months(_gains(v)[1])
 
 
 @entry("ag24_likes_gained", f"WITH {_RAGGED}, n AS (SELECT id, arg_max(likes, day) FILTER (day = last) AS now, arg_max(likes, day) FILTER (day BETWEEN last - 375 AND last - 365) AS b, min(day) > any_value(last) - 365 AS new FROM r, l GROUP BY id) SELECT split_part(id, '/', 1) AS author, CAST(greatest(0, sum(coalesce(now, 0)) - sum(coalesce(b, 0))) AS BIGINT) AS likes, count(*) FILTER (new) AS models_new FROM n GROUP BY 1")
@@ -947,22 +947,22 @@ def _(v):
     return boards.outliers(v.series.filter(F.col("day") == v.last()), 20)
 
 
-@entry("src8_dataset_metadata", "SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_size % 3 > 0 THEN p_type END AS pipeline_tag, CASE WHEN p_size % 2 = 0 THEN 'n<1K' END AS size, NULL AS modality, CAST(length(repeat(p_name || ' ', 60)) AS BIGINT) > 300 AS was_longer, least(300, length(repeat(p_name || ' ', 60))) AS n FROM part")
+@entry("src8_dataset_metadata", "SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_size % 3 > 0 THEN p_type END AS pipeline_tag, CASE WHEN p_size % 2 = 0 THEN 'n<1K' END AS size, NULL AS modality, CAST(length(repeat(p_name || ' ', 60)) AS BIGINT) > 300 AS was_longer, least(300, length(repeat(p_name || ' ', 60))) AS n, CAST(TIMESTAMP '2024-05-06 07:08:09' + to_days(CAST(p_size AS INTEGER)) AS TIMESTAMP) AS last_modified, round(p_retailprice / 7, 6) AS trending, CAST(NULL AS VARCHAR) AS gated FROM part")
 def _(v):
     view(v.spark, v.sf_dir, "fx_parts")
     tags = F.array_compact(F.array(F.when(F.col("p_size") % 3 > 0, F.concat(F.lit("task_categories:"), "p_type")), F.when(F.col("p_size") % 2 == 0, "size_categories:n<1K"), F.lit("other")))
     text = F.repeat(F.concat("p_name", F.lit(" ")), F.lit(60))
-    raw = v.spark.table("part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("author"), F.lit("2024-01-02T03:04:05").alias("createdAt"), tags.alias("tags"), text.alias("description"))
+    raw = v.spark.table("part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("author"), F.lit("2024-01-02T03:04:05").alias("createdAt"), tags.alias("tags"), text.alias("description"), F.date_format(F.expr("timestamp_ntz'2024-05-06 07:08:09' + make_dt_interval(p_size)"), "yyyy-MM-dd'T'HH:mm:ss").alias("lastModified"), (F.col("p_retailprice") / 7).alias("trendingScore"))
     m = snapshots.dataset_metadata(raw).join(raw.select("id", F.length("description").alias("l")), "id")
-    return m.select("id", "pipeline_tag", "size", "modality", (F.col("l") > 300).alias("was_longer"), F.length("description").alias("n"))
+    return m.select("id", "pipeline_tag", "size", "modality", (F.col("l") > 300).alias("was_longer"), F.length("description").alias("n"), "last_modified", r6("trending").alias("trending"), "gated")
 
 
-@entry("src8_space_metadata", "SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_size % 3 = 0 THEN p_name END AS title, CASE WHEN p_size % 3 = 0 AND p_size % 2 = 0 THEN 'x' END AS emoji FROM part")
+@entry("src8_space_metadata", "SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_size % 3 = 0 THEN p_name END AS title, CASE WHEN p_size % 3 = 0 AND p_size % 2 = 0 THEN 'x' END AS emoji, CAST(p_size AS BIGINT) AS likes, TIMESTAMP '2024-01-02 03:04:05' AS created_at, CAST(NULL AS TIMESTAMP) AS last_modified, CAST(p_size * 0.5 AS DOUBLE) AS trending FROM part")
 def _(v):
     view(v.spark, v.sf_dir, "fx_parts")
     card = F.when(F.col("p_size") % 3 == 0, F.to_json(F.struct(F.col("p_name").alias("title"), F.when(F.col("p_size") % 2 == 0, "x").alias("emoji")))).when(F.col("p_size") % 3 == 1, "{broken")
-    raw = v.spark.table("part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("author"), F.lit("sdk").alias("sdk"), F.lit("2024-01-02T03:04:05").alias("createdAt"), F.lit(0).alias("likes"), card.alias("cardData"))
-    return snapshots.space_metadata(raw).select("id", "title", "emoji")
+    raw = v.spark.table("part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("author"), F.lit("sdk").alias("sdk"), F.lit("2024-01-02T03:04:05").alias("createdAt"), F.col("p_size").alias("likes"), (F.col("p_size") * 0.5).alias("trendingScore"), card.alias("cardData"))
+    return snapshots.space_metadata(raw).select("id", "title", "emoji", "likes", "created_at", "last_modified", "trending")
 
 
 def queries() -> dict:

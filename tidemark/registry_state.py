@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import galaxy, graph, ranks, report, rings, series
+from tidemark.operators import galaxy, graph, ranks, report, rings, rollups, series
 from tidemark.plans.staging import cut
-from tidemark.registry import _ALL, _FAM, LAST, NUMBER, _families, _folder, _spark_sql, entry, r6
+from tidemark.registry import _ALL, _FAM, _GAPPY, _REPOS, _YEAR, LAST, NUMBER, _families, _folder, _spark_sql, entry, r6
 from tidemark.sources import snapshots
 from tidemark.streaming.store import Store
 
@@ -117,3 +117,41 @@ def _(v):
 def _(v):
     points = F.transform("spark", lambda x: F.round(x * 1000).cast("long").cast("string"))
     return series.sparks(v.gappy, v.last(), "dl_all").select("id", F.array_join(points, ",").alias("spark"))
+
+
+@_same_sql(("st5_closure_by_changes", "gr2_closure"))
+def _(v):
+    """Edges of which some are still to come and some go: what the changes make of the paths kept."""
+    now = cut(v.edges_distinct)
+    gone = now.filter("id % 11 = 0").select("id", (F.col("id") + 1).alias("parent")).join(now, ["id", "parent"], "left_anti")
+    before = cut(now.filter("id % 7 > 0").unionByName(gone))
+    kept = cut(graph.paths(before))
+    delta = now.filter("id % 7 = 0").withColumn("sign", F.lit(1)).unionByName(gone.withColumn("sign", F.lit(-1)))
+    changes = cut(graph.path_changes(kept, now, delta))
+    pairs = kept.filter("id <> anc").select("id", "anc").distinct()
+    turned = graph.changed_pairs(kept, changes)
+    return pairs.join(turned.filter("change < 0"), ["id", "anc"], "left_anti").unionByName(turned.filter("change > 0").select("id", "anc"))
+
+
+_RECORD = f"""t AS (SELECT author, round(sum(gain), 4) AS d FROM y GROUP BY 1 HAVING round(sum(gain), 4) > 0),
+ wk AS (SELECT author, CAST(date_trunc('week', day) AS DATE) AS week, round(sum(gain), 6) AS v FROM y GROUP BY 1, 2), z AS (SELECT author, arg_min(week, (-v, week)) AS best_week FROM wk WHERE week > DATE '1997-12-31' AND week < DATE '1998-12-28' GROUP BY 1),
+ mo AS (SELECT author, string_agg(m || ':' || v, ',' ORDER BY m) AS months FROM (SELECT author, strftime(day, '%Y-%m') AS m, CAST(CAST(round(sum(gain), 0) AS BIGINT) AS VARCHAR) AS v FROM y GROUP BY 1, 2) GROUP BY 1),
+ tp AS (SELECT author, string_agg(id || ':' || CAST(CAST(round(v, 0) AS BIGINT) AS VARCHAR), ',' ORDER BY rank) AS top FROM k WHERE rank <= 5 GROUP BY 1),
+ q AS (SELECT author, CASE WHEN {NUMBER} % 6 > 0 THEN 'tag' || ({NUMBER} % 6) END AS tag, sum(gain) AS v FROM y GROUP BY ALL),
+ mx AS (SELECT *, sum(v) OVER (PARTITION BY author) AS total FROM q), kk AS (SELECT *, row_number() OVER (PARTITION BY author ORDER BY v DESC, tag) AS rank FROM mx WHERE tag IS NOT NULL AND v > 0), tt AS (SELECT *, sum(v) OVER (PARTITION BY author) AS best FROM kk WHERE rank <= 5),
+ mi AS (SELECT author, string_agg(tag || ':' || CAST(CAST(round(1000 * round(v / best, 6), 0) AS BIGINT) AS VARCHAR), ',' ORDER BY rank) AS mix FROM tt WHERE best >= 0.3 * total GROUP BY 1),
+ n AS (SELECT id, arg_max(likes, day) FILTER (day = DATE '1998-12-31' AND likes IS NOT NULL) AS now, arg_max(likes, day) FILTER (day BETWEEN DATE '1997-12-21' AND DATE '1997-12-31') AS b, min(day) > DATE '1997-12-31' AS new FROM g GROUP BY id),
+ li AS (SELECT split_part(id, '/', 1) AS author, CAST(greatest(0, sum(coalesce(now, 0)) - sum(coalesce(b, 0))) AS BIGINT) AS likes_gained, count(*) FILTER (new) AS models_new FROM n GROUP BY 1),
+ en AS (SELECT id, split_part(id, '/', 1) AS author, {NUMBER} AS num, dl30 FROM g WHERE day = (SELECT max(day) FROM g WHERE day <= DATE '1998-12-31')),
+ ri AS (SELECT a.author, count(DISTINCT c.id) AS built, CAST(sum(c.dl30) AS BIGINT) AS built_dl30, arg_max(c.id, (c.dl30, c.id)) AS biggest FROM en c JOIN en a ON a.num = c.num // 2 AND a.num <> c.num WHERE a.author <> c.author GROUP BY a.author)"""
+
+
+@entry("mt15_year_record", f"WITH {_GAPPY}, {_YEAR}, {_REPOS}, {_RECORD} SELECT t.author, d AS downloads, round(31536000 / d, 2) AS every_seconds, round(d / 525600.0, 6) AS per_minute, CAST(rank() OVER (ORDER BY d DESC) AS INTEGER) AS rank, k.id AS top_id, round(k.v / d, 6) AS top_share, best_week, round(100.0 * rank() OVER (ORDER BY d DESC) / count(*) OVER (), 2) AS top_percent, months, top, mix, likes_gained, models_new, coalesce(built, 0) AS built, coalesce(built_dl30, 0) AS built_dl30, biggest FROM t LEFT JOIN k ON k.author = t.author AND k.rank = 1 LEFT JOIN z ON z.author = t.author LEFT JOIN mo ON mo.author = t.author LEFT JOIN tp ON tp.author = t.author LEFT JOIN mi ON mi.author = t.author LEFT JOIN li ON li.author = t.author LEFT JOIN ri ON ri.author = t.author")
+def _(v):
+    s, start, last = v.gappy, "1997-12-31", "1998-12-31"
+    tag = F.expr(f"CASE WHEN {NUMBER} % 6 > 0 THEN concat('tag', CAST({NUMBER} % 6 AS STRING)) END")
+    end = s.filter(F.col("day") <= last).agg(F.max("day").alias("_last"))
+    now = cut(s.join(F.broadcast(end), F.col("day") == F.col("_last")).join(v.authors, "id").select("id", "author", F.expr(NUMBER).alias("num"), "dl30"))
+    edges = now.select("id", F.expr("num div 2").alias("up"), "num").join(now.select(F.col("id").alias("parent"), F.col("num").alias("up")), "up").filter("num <> up").select("id", "parent")
+    likes = rollups.likes_gained(s, v.authors, F.lit(start), F.lit(last))
+    return rollups.year_record(rollups.year_gaps(s, v.authors, 1998), likes, v.authors.select("id", tag.alias("tag")), graph.ripple(edges, now), start, last)

@@ -67,13 +67,21 @@ def entity_metadata(raw: DataFrame) -> DataFrame:
     )
 
 
+def _given(raw: DataFrame, name: str, kind: str) -> Column:
+    """A column of the raw file as a type; null where the file lacks it. Times keep their zone-less wall clock."""
+    if name not in raw.columns:
+        return F.lit(None).cast(kind)
+    return F.to_timestamp_ntz(F.col(name)) if kind == "timestamp_ntz" else F.col(name).cast(kind)
+
+
 def dataset_metadata(raw: DataFrame) -> DataFrame:
     """As entity_metadata, of datasets: the task category stands where entities have their tag; descriptions are cut to 300 characters, as pages show them."""
     from tidemark.functions.scalars import tag_value
 
     tags = {"pipeline_tag": "task_categories:", "size": "size_categories:", "license": "license:", "modality": "modality:"}
     columns = [tag_value(F.col("tags"), prefix).alias(name) for name, prefix in tags.items()]
-    return raw.select("id", "author", F.to_timestamp_ntz(F.col("createdAt")).alias("created_at"), *columns, F.left("description", F.lit(300)).alias("description"))
+    given = {"createdAt": ("created_at", "timestamp_ntz"), "lastModified": ("last_modified", "timestamp_ntz"), "trendingScore": ("trending", "double"), "gated": ("gated", "string")}
+    return raw.select("id", "author", *[_given(raw, k, kind).alias(name) for k, (name, kind) in given.items()], *columns, F.left("description", F.lit(300)).alias("description"))
 
 
 def space_metadata(raw: DataFrame) -> DataFrame:
@@ -81,7 +89,8 @@ def space_metadata(raw: DataFrame) -> DataFrame:
     from tidemark.functions.scalars import json_field
 
     card = [json_field(F.col("cardData"), f"$.{c}").alias(c) for c in ("title", "emoji", "short_description")]
-    return raw.select("id", "author", "sdk", F.to_timestamp_ntz(F.col("createdAt")).alias("created_at"), "likes", *card)
+    given = {"createdAt": ("created_at", "timestamp_ntz"), "lastModified": ("last_modified", "timestamp_ntz"), "likes": ("likes", "long"), "trendingScore": ("trending", "double")}
+    return raw.select("id", "author", "sdk", *[_given(raw, k, kind).alias(name) for k, (name, kind) in given.items()], *card)
 
 
 def write_series(series: DataFrame, path: str, key: str = "id", files: int = 4, level: int = 9) -> None:
