@@ -115,7 +115,7 @@ def test_search_knows_whom_a_request_means(spark):
 def test_a_kept_index_answers_without_its_texts(spark, tmp_path):
     """Written once and read for each of ten requests, short ones among them: the same rows, and no text is cut into runs again."""
     index = spark.createDataFrame([(f"o{k % 7}/model-{k}", k * 37 % 101, "a b" if k % 5 else None) for k in range(200)], "id string, pop long, title string")
-    asks = [(1, "model-1"), (2, "o3"), (3, "o"), (4, "1"), (5, "a b"), (6, "zz"), (7, "o1 9"), (8, "MODEL-77"), (9, "mo el"), (10, "7/m")]
+    asks = [(1, "model-1"), (2, "o3"), (3, "o"), (4, "1"), (5, "a b"), (6, "zz"), (7, "o1 9"), (8, "MODEL-77"), (9, "mo el"), (10, "6/m")]
     want = sorted(map(tuple, search.ranked(spark.createDataFrame(asks, "qid int, q string"), index, 5).collect()))
     search.index_of(index).write(str(tmp_path / "index"))
     kept, got = search.Index.read(spark, str(tmp_path / "index")), []

@@ -60,8 +60,9 @@ class Daily:
         self.tags, self.authors, self.edges = tags, authors, edges
         self.least_author, self.least_frozen, self.big, self.least, self.family = least_author, least_frozen, big, least, family
 
-    def run(self, landing: str, kind: str = "models") -> None:
-        stream = self.spark.readStream.schema(RAW).option("maxFilesPerTrigger", 1).parquet(landing)
+    def run(self, landing: str, kind: str = "models", files: int = 1) -> None:
+        """Takes in what has landed, `files` days a commit, and publishes it. What comes of it does not depend on `files`."""
+        stream = self.spark.readStream.schema(RAW).option("maxFilesPerTrigger", files).parquet(landing)
         days = counters(stream.withColumn("day", file_day()))
         land = days.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{self.folder}/landing-{kind}")
         land.foreachBatch(lambda batch, k: self.land(batch, k, kind)).start().awaitTermination()
