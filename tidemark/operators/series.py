@@ -102,15 +102,14 @@ def first_seen(series: DataFrame) -> DataFrame:
     return series.groupBy("id").agg(F.min("day").alias("first_seen"))
 
 
-def metrics(series: DataFrame, skip: DataFrame | None = None) -> DataFrame:
+def metrics(series: DataFrame, skip: DataFrame | None = None, last=None) -> DataFrame:
     """Entity table of the last day: weekly rates, baseline, growth, likes, and the stale-counter rule. One shuffle, by id.
 
     A change is a rate of 7 days over the days that it really spans. An id without a reference snapshot has an unknown (null)
     rate, but an id first seen within the week has all it has. `skip` (day): snapshots left out, but for the last and for
-    `first_seen`.
+    `first_seen`. `last`: the last day, where it is known; else the series is asked for it first.
     """
-    last = series.select(F.max("day")).first()[0]
-    day = F.lit(last)
+    day = F.lit(last or series.select(F.max("day")).first()[0])
     rows = series.select("id", "day", "dl30", "dl_all", "likes").withColumn("_used", (F.col("day") >= F.date_sub(day, WINDOW_DAYS)))
     if skip is not None:
         out = F.broadcast(skip.select("day", F.lit(True).alias("_skip")).distinct())
@@ -161,10 +160,9 @@ def entity_table(m: DataFrame, meta: DataFrame, families: DataFrame, uses: DataF
     return global_rank(global_rank(df, "dl30", "rank_dl30"), "dl_7d", "rank_7d")
 
 
-def space_metrics(series: DataFrame) -> DataFrame:
+def space_metrics(series: DataFrame, last=None) -> DataFrame:
     """Likes gained in 7 and 30 days: rates over the days really spanned, all likes where first seen within them, else unknown."""
-    last = series.select(F.max("day")).first()[0]
-    day = F.lit(last)
+    day = F.lit(last or series.select(F.max("day")).first()[0])
     kept = F.when(F.col("day") >= F.date_sub(day, WINDOW_DAYS), F.col("day"))
     refs = [F.max(F.when(kept.between(F.date_sub(day, b + LOOKBACK), F.date_sub(day, b)), F.struct("day", "likes"))).alias(f"ref_{b}") for b in (7, 30)]
     now = F.max(F.when(F.col("day") == day, F.struct("likes"))).alias("now")

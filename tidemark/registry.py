@@ -37,6 +37,12 @@ class Views:
     def __getattr__(self, name) -> DataFrame:
         return view(self.spark, self.sf_dir, f"fx_{name}")
 
+    @property
+    def last_day(self):
+        """The last day of the series, from the one column that its calendar is made of."""
+        view(self.spark, self.sf_dir, "fx_edges")
+        return self.spark.sql("SELECT max(CAST(l_shipdate AS DATE)) FROM lineitem").first()[0]
+
     @property
     def gappy(self) -> DataFrame:
         return self.series.filter(F.expr(GAPPY))
@@ -46,7 +52,7 @@ class Views:
         """The gappy series; some ids come in its last days, some have no snapshot for ten days, some lose what they had."""
         from datetime import timedelta
 
-        last = self.series.agg(F.max("day")).first()[0]
+        last = self.last_day
         d = lambda n: f"DATE '{last - timedelta(days=n)}'"
         s = self.gappy.filter(f"NOT ({NUMBER} % 5 = 1 AND day < {d(4)}) AND NOT ({NUMBER} % 5 = 2 AND day BETWEEN {d(18)} AND {d(6)})")
         return s.withColumn("dl_all", F.expr(f"CASE WHEN {NUMBER} % 5 = 3 AND dayofyear(day) % 11 = 0 THEN NULL WHEN {NUMBER} % 5 = 4 AND day = {d(3)} THEN dl_all - 40 ELSE dl_all END"))
@@ -60,11 +66,11 @@ class Views:
         return self.series.select("id").distinct().withColumn("author", S.owner(F.col("id")))
 
     def last(self, name="series"):
-        return F.lit(getattr(self, name).agg(F.max("day")).first()[0])
+        return F.lit(self.last_day if name == "series" else getattr(self, name).agg(F.max("day")).first()[0])
 
     @property
     def metrics(self) -> DataFrame:
-        return series.metrics(self.series)
+        return series.metrics(self.series, last=self.last_day)
 
     @property
     def edges_distinct(self) -> DataFrame:
@@ -733,13 +739,13 @@ def _mt():
 
 @entry("mt6_entity_metrics", f"WITH {_mt()} SELECT id, author, first_seen, CAST(dl30 AS BIGINT) AS dl30, dl_all, likes, dl_7d, dl_prev7d, round(dl_base7d, 6) AS dl_base7d, likes_7d, round(CASE WHEN dl_base7d >= 100 THEN dl_7d / dl_base7d - 1 END, 6) AS growth_7d, round(peak_share, 6) AS peak_share, steps FROM mm")
 def _(v):
-    m = series.metrics(v.ragged)
+    m = series.metrics(v.ragged, last=v.last_day)
     return m.select(*[r6(c).alias(c) if t == "double" else F.col(c) for c, t in m.dtypes])
 
 
 @entry("ag7_author_totals", f"WITH {_mt()} SELECT author, CAST(sum(dl30) AS BIGINT) AS dl30, CAST(sum(dl_7d) AS BIGINT) AS dl_7d, count(*) AS models, round(CASE WHEN sum(dl_base7d) >= 1000 THEN sum(dl_7d) / sum(dl_base7d) - 1 END, 6) AS growth FROM mm GROUP BY author")
 def _(v):
-    return rollups.author_totals(series.metrics(v.ragged))
+    return rollups.author_totals(series.metrics(v.ragged, last=v.last_day))
 
 
 def _board_sql(name, by, rows, kind="id"):
@@ -761,7 +767,7 @@ _BOARDS = [
 
 @entry("tk2_model_boards", f"WITH {_mt()}, au AS (SELECT author, sum(dl30) AS dl30, sum(dl_7d) AS dl_7d FROM mm WHERE author IS NOT NULL GROUP BY author) " + " UNION ALL ".join(_BOARDS))
 def _(v):
-    return ranks.model_boards(series.metrics(v.ragged), v.last(), 20)
+    return ranks.model_boards(series.metrics(v.ragged, last=v.last_day), v.last(), 20)
 
 
 _ENTITY = f"""WITH {_mt()}, meta AS (SELECT id, CASE WHEN {NUMBER} % 6 > 0 THEN 'tag' || ({NUMBER} % 6) END AS pipeline_tag FROM mm WHERE {NUMBER} % 7 > 0),
@@ -777,7 +783,7 @@ _ENTITY = f"""WITH {_mt()}, meta AS (SELECT id, CASE WHEN {NUMBER} % 6 > 0 THEN
 @entry("jn4_entity_table", _ENTITY)
 def _(v):
     number = lambda c: F.expr(NUMBER.replace("id", c))
-    m = series.metrics(v.ragged)
+    m = series.metrics(v.ragged, last=v.last_day)
     ids = v.series.select("id").distinct()
     meta = ids.filter(number("id") % 7 > 0).select("id", F.when(number("id") % 6 > 0, F.concat(F.lit("tag"), (number("id") % 6).cast("string"))).alias("pipeline_tag"))
     bases = m.filter(number("id") % 10 == 0).select(F.col("id").alias("anc"), "author")
@@ -797,7 +803,7 @@ _SPACE_REFS = ", ".join(f"a{b} AS (SELECT id, max(day) AS day_{b}, arg_max(likes
 
 @entry("mt7_space_metrics", f"WITH {_RAGGED}, {_SPACE_REFS}, fs AS (SELECT id, min(day) AS first_seen FROM r GROUP BY id) SELECT r.id, r.likes, {_liked_sql(7)}, {_liked_sql(30)} FROM r LEFT JOIN a7 ON a7.id = r.id LEFT JOIN a30 ON a30.id = r.id LEFT JOIN fs ON fs.id = r.id WHERE r.day = {LAST}")
 def _(v):
-    return series.space_metrics(v.ragged)
+    return series.space_metrics(v.ragged, v.last_day)
 
 
 _DAILY = "s AS (SELECT id, day, greatest(dl_all - lag(dl_all) OVER w, 0) AS gain, lag(day) OVER w AS pd FROM g WINDOW w AS (PARTITION BY id ORDER BY day)), dd AS (SELECT id, CAST(unnest(generate_series(pd + 1, day, INTERVAL 1 DAY)) AS DATE) AS day, gain / (day - pd) AS v FROM s WHERE pd IS NOT NULL)"

@@ -103,7 +103,7 @@ _SPACE_PARTS = [("likes_7d", "likes_7d", "true"), ("likes_30d", "likes_30d", "tr
 
 def _spaces(v):
     k = F.expr("CAST(split_part(id, 'repo', 2) AS BIGINT)")
-    s = series.space_metrics(v.gappy).withColumn("trending", F.col("likes") % 97).withColumn("sdk", F.when(k % 2 == 0, "gradio").otherwise("static"))
+    s = series.space_metrics(v.gappy, v.last_day).withColumn("trending", F.col("likes") % 97).withColumn("sdk", F.when(k % 2 == 0, "gradio").otherwise("static"))
     return s.withColumn("created_at", F.date_sub(v.last(), (k % 60).cast("int")))
 
 
@@ -112,7 +112,7 @@ _DATASETS = " UNION ALL ".join([*_BOARDS[:5], _ranked_board("used_by_models", "u
 
 @entry("tk3_dataset_boards", f"WITH {_mt()} {_DATASETS}")
 def _(v):
-    m = series.metrics(v.ragged).withColumn("created_at", F.col("first_seen")).withColumn("used_by_models", F.col("likes") % 50)
+    m = series.metrics(v.ragged, last=v.last_day).withColumn("created_at", F.col("first_seen")).withColumn("used_by_models", F.col("likes") % 50)
     return boards.dataset_boards(m, F.date_sub(v.last(), 30), 20)
 
 
