@@ -54,38 +54,36 @@ def windows_of(tot: pd.Series, frozen: dict, least_frozen: float, snaps: list) -
         if begin <= last:
             until = last + reach[last]
             found.append((begin - early[begin], until))
-    found = [(a, b) for a, b in found if b < n - 1]
     # Measurements: the days up to a snapshot; those behind the last one go with it.
-    taken = np.array(sorted(snaps), "datetime64[D]")
-    d64 = np.array(days, "datetime64[D]")
+    taken, d64 = np.array(sorted(snaps), "datetime64[D]"), np.array(days, "datetime64[D]")
     block = np.minimum(np.searchsorted(taken, d64), max(len(taken) - 1, 0)) if len(taken) else np.arange(n)
     lo = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
     hi = np.r_[lo[1:], n] - 1
-    w = hi - lo + 1
+    w = (hi - lo + 1).astype(float)
     mean = np.add.reduceat(r, lo) / w
     half = (mean >= STALL) & (mean < DIP) & (np.maximum(lo, 1) <= np.minimum(hi, n - 3))
-    for j in np.flatnonzero(half):
-        for o in (j - 1, j + 1):
-            if 0 <= o < len(lo) and (o < j or lo[o] < n - 1) and mean[o] > HIGH:
-                if PAIR_LOW <= 2 * (mean[j] * w[j] + mean[o] * w[o]) / (w[j] + w[o]) <= PAIR_HIGH:
-                    found.append((lo[min(j, o)], hi[max(j, o)]))
-                    break
-    whole = []
-    for a, b in found:
-        a, b = d64[a], d64[b]
-        if len(taken):
-            after, before = np.searchsorted(taken, b), np.searchsorted(taken, a)
-            b = max(b, taken[after]) if after < len(taken) else b
-            a = min(a, taken[before - 1] + 1) if before else a
-        if b < d64[-1]:
-            whole.append((a.item(), b.item()))
-    out: list[list] = []
-    for a, b in sorted(whole):
-        if out and (a - out[-1][1]).days <= MERGE_DAYS:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [tuple(x) for x in out]
+
+    def made_up(side: int) -> np.ndarray:
+        with np.errstate(invalid="ignore"):
+            both = 2 * (mean * w + _at(mean, side) * _at(w, side)) / (w + _at(w, side))
+            return half & (_at(mean, side) > HIGH) & (both >= PAIR_LOW) & (both <= PAIR_HIGH)
+
+    before = np.flatnonzero(made_up(-1))
+    behind = np.flatnonzero(made_up(1) & ~made_up(-1) & (hi + 1 < n - 1))
+    ends = np.array([x for x in found if x[1] < n - 1] + list(zip(lo[before - 1], hi[before])) + list(zip(lo[behind], hi[behind + 1])), int).reshape(-1, 2)
+    first, last = d64[ends[:, 0]], d64[ends[:, 1]]
+    if len(taken):
+        # The snapshot that closes a window's last day, and the day behind the one before its first.
+        closes, opened = np.searchsorted(taken, last), np.searchsorted(taken, first) - 1
+        last = np.where(closes < len(taken), np.maximum(last, taken[np.minimum(closes, len(taken) - 1)]), last)
+        first = np.where(opened >= 0, np.minimum(first, taken[np.maximum(opened, 0)] + 1), first)
+    order = np.lexsort((last, first))
+    order = order[last[order] < d64[-1]]
+    if not len(order):
+        return []
+    first, upto = first[order], np.maximum.accumulate(last[order])
+    apart = np.flatnonzero(np.r_[True, first[1:] > upto[:-1] + MERGE_DAYS])
+    return list(zip(first[apart].tolist(), upto[np.r_[apart[1:], len(order)] - 1].tolist()))
 
 
 def start() -> dict:
