@@ -53,9 +53,9 @@ def pair_facts(rows: DataFrame, pairs: DataFrame, tags: DataFrame, big: int = BI
 
 
 class Daily:
-    """tags(id, pipeline_tag), authors(id, author), edges(id, parent) or None: the metadata of the day. big, least: what counts as a big counter, and how many it takes."""
+    """tags(id, pipeline_tag), authors(id, author), edges(id, parent) or None: the metadata of the day. family: members that a family with a series has at least. big, least: what counts as a big counter, and how many it takes."""
 
-    def __init__(self, spark: SparkSession, folder: str, tags: DataFrame, authors: DataFrame, edges: DataFrame | None = None, least_author: int = 1000, least_frozen: float = 0.25, big: int = BIG, least: int = LEAST_BIG, family: int = 2):
+    def __init__(self, spark: SparkSession, folder: str, tags: DataFrame, authors: DataFrame, edges: DataFrame | None = None, least_author: int = 1000, least_frozen: float = 0.25, big: int = BIG, least: int = LEAST_BIG, family: int = 3):
         self.spark, self.folder, self.store = spark, folder, Store(spark, f"{folder}/store")
         self.tags, self.authors, self.edges = tags, authors, edges
         self.least_author, self.least_frozen, self.big, self.least, self.family = least_author, least_frozen, big, least, family
@@ -195,6 +195,7 @@ class Daily:
         if self.edges is not None and months:
             pairs = graph.closure(self.edges)
             roots = pairs.groupBy("anc").agg(F.count("*").alias("members")).filter(F.col("members") >= self.family).select("anc")
+            pairs = pairs.join(roots, "anc", "left_semi")
         for month in months:
             rows = now.read("series", [k for k in now.keys("series") if k.startswith(f"{kind}~{month}")]).drop("series", "_key")
             change.put(f"authors-{kind}", rollups.author_series(rows, self.authors, self.least_author).withColumn("month", F.lit(month)), "month")
