@@ -129,6 +129,20 @@ def test_a_kept_index_answers_without_its_texts(spark, tmp_path):
         assert bool([r for r in want if r[0] == qid]) == (q != "zz")
 
 
+def test_a_request_that_many_share_is_matched_once(spark, monkeypatch):
+    index = spark.createDataFrame([(f"o{k % 7}/model-{k}", k * 37 % 101, None) for k in range(100)], "id string, pop long, title string")
+    met, holding = [], search.Index.holding
+    monkeypatch.setattr(search.Index, "holding", lambda self, requests, *more: met.append(holding(self, requests, *more)) or met[-1])
+    asks = spark.createDataFrame([(k, ("Model", " model ", "model-7 o0")[k % 3]) for k in range(60)], "qid int, q string")
+    got = {}
+    for r in search.ranked(asks, index, 5).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append((r["rank"], r.id))
+    assert met[0].count() == 100 + 3  # not 40 times 100 and 20 times 3
+    assert len(got) == 60 and got[0] == got[1] == got[57] and [r for r, _ in got[0]] == [1, 2, 3, 4, 5]
+    assert got[2] == got[59] and sorted(i for _, i in got[2]) == ["o0/model-7", "o0/model-70", "o0/model-77"]
+    assert search.index_of(index, search.asked_for(asks)).counts.count() < search.index_of(index).counts.count()
+
+
 def test_boards(spark):
     m = spark.createDataFrame([("a/x", "a", back(90), 10, 10, 5, 2.0, 0, None, None, 0), ("b/y", None, back(3), 20, 20, 9, 0.0, 1, None, 0.9, 4), ("c/z", "c", back(9), 1, 1, 1, 0.0, 1, None, 0.9, 2)], "id string, author string, first_seen date, dl30 int, dl_all long, dl_7d long, dl_base7d double, likes_7d long, growth_7d double, peak_share double, steps int")
     got = {}

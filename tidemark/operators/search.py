@@ -16,6 +16,8 @@ from tidemark.functions.scalars import part
 from tidemark.plans.staging import cut
 
 GRAM = 3
+#: Distinct requests or runs that are broadcast: a few tens of MB.
+MOST_BROADCAST = 200_000
 #: Parts that a request's matches are cut to `limit` in before they meet.
 SALTS = 32
 
@@ -26,6 +28,15 @@ def runs(text, size):
     return F.array_distinct(F.transform(at, lambda k: F.substring(text, k, F.lit(size))))
 
 
+def asked_runs(words):
+    """The runs of a request that each text with all its words holds."""
+    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.when(F.length(w) >= GRAM, runs(w, GRAM)).otherwise(F.array(w)))))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
 @dataclass
 class Index:
     """texts(_key, _text, ...), postings(run, _key) and counts(run, n)."""
@@ -35,10 +46,15 @@ class Index:
     counts: DataFrame
 
     @classmethod
-    def of(cls, rows: DataFrame, text: str) -> Index:
+    def of(cls, rows: DataFrame, text: str, requests: DataFrame | None = None) -> Index:
+        """The index of rows. With requests(words) it serves these alone: only their runs are counted, and postings are made as they are read, not kept."""
         texts = cut(rows.withColumns({"_text": F.col(text), "_key": F.monotonically_increasing_id()}))
         every = F.flatten(F.array(*[runs(F.col("_text"), k) for k in range(1, GRAM + 1)]))
-        postings = cut(texts.select(F.explode(every).alias("run"), "_key"))
+        postings = texts.select(F.explode(every).alias("run"), "_key")
+        if requests is None:
+            postings = cut(postings)
+        else:
+            postings = postings.join(_small(cut(requests.select(F.explode(asked_runs("words")).alias("run")).distinct())), "run", "left_semi")
         return cls(texts, postings, cut(postings.groupBy("run").agg(F.count("*").alias("n"))))
 
     def write(self, folder: str) -> None:
@@ -51,12 +67,11 @@ class Index:
     def read(cls, spark: SparkSession, folder: str) -> Index:
         return cls(*(spark.read.parquet(f"{folder}/{name}") for name in ("texts", "postings", "counts")))
 
-    def holding(self, requests: DataFrame) -> DataFrame:
-        """requests(qid, words, ...) with the texts that hold every word."""
-        asked = F.flatten(F.transform("words", lambda w: F.when(F.length(w) >= GRAM, runs(w, GRAM)).otherwise(F.array(w))))
-        of = requests.select("qid", F.explode(F.array_distinct(asked)).alias("run")).join(self.counts, "run", "left")
+    def holding(self, requests: DataFrame, few: bool = False) -> DataFrame:
+        """requests(qid, words, ...) with the texts that hold every word. `few` requests go to the postings, not these to them."""
+        of = requests.select("qid", F.explode(asked_runs("words")).alias("run")).join(self.counts, "run", "left")
         rarest = of.groupBy("qid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "run"))["run"].alias("run"))
-        keys = self.postings.join(rarest, "run").select("qid", "_key")
+        keys = self.postings.join(F.broadcast(rarest) if few else rarest, "run").select("qid", "_key")
         found = keys.join(self.texts, "_key").join(requests, "qid")
         return found.filter(F.forall("words", lambda w: F.contains(F.col("_text"), w))).drop("_key", "_text")
 
@@ -74,10 +89,24 @@ def asked_for(queries: DataFrame) -> DataFrame:
     return q.filter(F.size("words") > 0).withColumn("q", F.array_join("words", " "))
 
 
-def index_of(rows: DataFrame) -> Index:
+def _once(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(asked(qid, q), requests(qid, q, words)): who asks what, and each text of a request once, under itself as its qid.
+
+    Requests that many share, as short ones do, are matched and ranked once: else the matches grow with the product of both.
+    """
+    asked = cut(asked_for(queries))
+    return asked.select("qid", "q"), cut(asked.groupBy("q").agg(F.first("words").alias("words")).withColumn("qid", F.col("q")))
+
+
+def _handed_out(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of each text of a request, for all who ask it."""
+    return asked.join(rows.withColumnRenamed("qid", "q"), "q").drop("q")
+
+
+def index_of(rows: DataFrame, requests: DataFrame | None = None) -> Index:
     """The index of rows(id, pop) and, if there is one, their title."""
     title = F.lower("title") if "title" in rows.columns else F.lit(None).cast("string")
-    return Index.of(rows.select("id", F.lower("id").alias("lid"), "pop", title.alias("lt")).withColumn("hay", F.concat_ws("\n", "lid", "lt")), "hay")
+    return Index.of(rows.select("id", F.lower("id").alias("lid"), "pop", title.alias("lt")).withColumn("hay", F.concat_ws("\n", "lid", "lt")), "hay", requests)
 
 
 def ranked(queries: DataFrame, index: DataFrame | Index, limit: int) -> DataFrame:
@@ -87,22 +116,25 @@ def ranked(queries: DataFrame, index: DataFrame | Index, limit: int) -> DataFram
     more; of other owners, those with every word in the name, or a well-used owner that begins with the first word; popularity
     (none last); id.
     """
-    index = index if isinstance(index, Index) else index_of(index)
-    j = cut(index.holding(asked_for(queries)))
+    asked, requests = _once(queries)
+    index = index if isinstance(index, Index) else index_of(index, requests)
+    j = cut(index.holding(requests, requests.count() <= MOST_BROADCAST))
     j = j.join(j.groupBy("qid").agg(F.max("pop").alias("best")), "qid").withColumn("n", part(F.col("lid"), 2)).withColumn("o", part(F.col("lid"), 1))
     enough = F.coalesce(F.col("pop") >= 0.05 * F.col("best"), F.lit(False))
     same = (F.col("n") == F.col("q")) | F.coalesce(F.col("lt") == F.col("q"), F.lit(False))
     own = F.array_contains("words", F.col("o"))
     in_name = F.forall("words", lambda w: F.contains(F.col("n"), w) | F.coalesce(F.contains(F.col("lt"), w), F.lit(False)))
     keys = [F.col("lid") == F.col("q"), own, same & enough, ~own & (in_name | (F.startswith("o", F.get("words", 0)) & enough))]
-    return first_rows(j, [*(k.cast("int").desc() for k in keys), F.col("pop").desc_nulls_last(), F.col("id")], limit).select("qid", "rank", "id")
+    rows = first_rows(j, [*(k.cast("int").desc() for k in keys), F.col("pop").desc_nulls_last(), F.col("id")], limit)
+    return _handed_out(asked, rows.select("qid", "rank", "id")).select("qid", "rank", "id")
 
 
 def authors(queries: DataFrame, index: DataFrame, limit: int) -> DataFrame:
     """index(author, pop): every word occurs; exact first, then by prefix, then popularity."""
-    j = Index.of(index.withColumn("la", F.lower("author")), "la").holding(asked_for(queries))
+    asked, requests = _once(queries)
+    j = Index.of(index.withColumn("la", F.lower("author")), "la", requests).holding(requests, requests.count() <= MOST_BROADCAST)
     order = [(F.col("la") == F.col("q")).cast("int").desc(), F.startswith(F.col("la"), F.col("q")).cast("int").desc(), F.col("pop").desc(), F.col("author")]
-    return first_rows(j, order, limit).select("qid", "rank", "author")
+    return _handed_out(asked, first_rows(j, order, limit).select("qid", "rank", "author")).select("qid", "rank", "author")
 
 
 def by_kind(queries: DataFrame, indexes: dict[str, DataFrame | Index], limit: int = 5) -> DataFrame:
