@@ -1,4 +1,4 @@
-"""The driver's tables seen as counter histories; the text is SQL for Spark and DuckDB alike."""
+"""The driver's tables seen as counter histories; the text is SQL for Spark and DuckDB alike, but for the series, which Spark builds by SERIES."""
 
 from __future__ import annotations
 
@@ -39,6 +39,21 @@ SELECT p_partkey AS id, p_brand AS author, p_type AS tag, CAST(round(p_retailpri
 }
 
 
+#: fx_series as Spark runs it: the same rows without a grid that is joined and sorted. What a supplier sells on a day of the calendar
+#: moves its sums on that day and, for dl30, back 30 days on. The sums run over these moves alone, and each holds until the next one:
+#: a move becomes as many rows as there are days until then. Rows lie by id, so that what follows by id shuffles nothing again.
+SERIES = """
+WITH cal AS (SELECT day, row_number() OVER (ORDER BY day) AS n FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem)),
+ ids AS (SELECT s_suppkey, concat('org', CAST(s_nationkey AS VARCHAR(10)), '/repo', CAST(s_suppkey AS VARCHAR(10))) AS id FROM supplier),
+ l AS (SELECT /*+ BROADCAST(cal) */ l_suppkey, n, l_quantity AS q, CASE WHEN l_returnflag='R' THEN 1 ELSE 0 END AS r FROM lineitem JOIN cal ON CAST(l_shipdate AS DATE) = day),
+ a AS (SELECT * FROM (SELECT id, n, q, r FROM l JOIN ids ON l_suppkey = s_suppkey UNION ALL SELECT id, 1, NULL, 0 FROM ids) DISTRIBUTE BY id),
+ f AS (SELECT id, n, coalesce(CAST(sum(q) AS BIGINT), 0L) AS q, CAST(sum(r) AS BIGINT) AS r FROM a GROUP BY id, n),
+ m AS (SELECT id, stack(2, n, q, q, r, n + 30, -q, 0L, 0L) AS (n, q30, q, r) FROM f),
+ t AS (SELECT id, n, sum(q30) OVER w AS dl30, sum(q) OVER w AS dl_all, sum(r) OVER w AS likes, lead(n) OVER w AS until FROM m WHERE n <= (SELECT count(*) FROM cal) WINDOW w AS (PARTITION BY id ORDER BY n)),
+ d AS (SELECT id, explode(sequence(n, coalesce(until, CAST((SELECT count(*) FROM cal) AS INT) + 1) - 1)) AS n, dl30, dl_all, likes FROM t WHERE until IS NULL OR until > n)
+SELECT /*+ BROADCAST(cal) */ id, day, dl30, dl_all, likes FROM d JOIN cal ON d.n = cal.n
+"""
+
 _OPEN: dict[str, str] = {}
 
 
@@ -49,7 +64,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         for t in TABLES:
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
         _OPEN[session] = sf_dir
-    return spark.sql(VIEWS[name])
+    return spark.sql(SERIES if name == "fx_series" else VIEWS[name])
 
 
 def with_views(sql: str) -> str:
