@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.ranks import board, boards
 from tidemark.operators.series import steady
+from tidemark.plans.staging import cut
 
 
 def dataset_boards(m: DataFrame, since: Column, n: int = 100) -> DataFrame:
     """m: metrics with created_at and used_by_models. Growth and breakouts leave single spikes out; breakouts are newer than `since`."""
+    m = cut(m)
     risen = steady(m.filter((F.col("dl_base7d") >= 1000) & (F.col("dl30") >= 10000)))
     fresh = steady(m.filter(F.col("created_at") >= since), share=0.8, min_steps=3)
     parts = [(m, "gainers_7d", "dl_7d"), (m, "dl30", "dl30"), (m, "dl_all", "dl_all"), (risen, "growth_7d", "growth_7d"), (fresh, "breakouts", "dl_7d"), (m, "used_by_models", "used_by_models")]
@@ -20,6 +22,7 @@ def dataset_boards(m: DataFrame, since: Column, n: int = 100) -> DataFrame:
 
 def space_boards(s: DataFrame, since: Column, n: int = 100) -> DataFrame:
     """s: likes, likes_7d, likes_30d, trending, created_at."""
+    s = cut(s)
     fresh = s.filter(F.col("created_at") >= since)
     parts = [(s, "likes_7d", "likes_7d"), (s, "likes_30d", "likes_30d"), (s, "trending", "trending"), (fresh, "breakouts", "likes_7d"), (s, "most_liked", "likes")]
     return boards([board(df, name, by, n) for df, name, by in parts])
@@ -33,7 +36,7 @@ def pace(s: DataFrame) -> DataFrame:
 
 def live_space_boards(s: DataFrame, since: Column, sdk: str | None = None, n: int = 100) -> DataFrame:
     """The Space boards and "rising" (20 likes this week or more), for one SDK or all."""
-    s = pace(s if sdk is None else s.filter(F.col("sdk") == sdk))
+    s = cut(pace(s if sdk is None else s.filter(F.col("sdk") == sdk)))
     return space_boards(s, since, n).unionByName(board(s.filter("likes_7d >= 20"), "rising", "growth_7d", n))
 
 

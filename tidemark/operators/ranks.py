@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.plans.staging import running_by, running_total
+from tidemark.plans.staging import cut, running_by, running_total
 
 #: Distinct values whose ranks are broadcast: about 5 MB.
 MOST_BROADCAST = 200_000
@@ -64,6 +64,7 @@ def model_boards(m: DataFrame, last: Column, n: int = 100) -> DataFrame:
     """Boards of an entity table: growth asks for a base of 1,000 and 10,000 in 30 days, and leaves single spikes out; breakouts were first seen within 30 days. Authors without a name have none."""
     from tidemark.operators.series import steady
 
+    m = cut(m)
     authors = m.filter("author IS NOT NULL").groupBy(F.col("author").alias("id")).agg(F.sum("dl30").alias("dl30"), F.sum("dl_7d").alias("dl_7d"))
     risen = steady(m.filter((F.col("dl_base7d") >= 1000) & (F.col("dl30") >= 10000)))
     fresh = steady(m.filter(F.col("first_seen") >= F.date_sub(last, 30)), 0.8, 3)
