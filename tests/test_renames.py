@@ -27,3 +27,15 @@ def test_every_pair_of_days_gives_what_the_pair_alone_gives(spark):
     got = [tuple(r) for r in identity.find_renames_by_day(series).collect()]
     assert sorted(got) == sorted(want) == [(d[1], "o/a", "p/a"), (d[1], "u/v", "w/v"), (d[2], "o/b", "q/b"), (d[3], "p/a", "o/a")]
     assert (d[2], "x/y", "z/y") in {tuple(r) for r in identity.rename_candidates_by_day(series).collect()}
+
+
+def test_neighbouring_days_are_met_in_one_pass(spark, monkeypatch):
+    """Rows that come twice, quiet days and unknown counts; and the series is read for its days and once more, not once a join."""
+    d = [dt.date(2001, 1, k) for k in (1, 2, 3)]
+    rows = [("o/a", d[0], 2000), ("o/a", d[0], 2000), ("p/a", d[1], 2001), ("p/a", d[2], 2001), ("o/b", d[0], None), ("p/b", d[1], 1000), ("o/c", d[2], 3000), (None, d[1], 2000), ("o/z", None, 2000)]
+    series = spark.createDataFrame(rows, "id string, day date, dl_all long")
+    kept, cut = [], identity.cut
+    monkeypatch.setattr(identity, "cut", lambda df: kept.append(df) or cut(df))
+    got = identity.rename_candidates_by_day(series)
+    assert [tuple(r) for r in got.collect()] == [(d[1], "o/a", "p/a")]
+    assert len(kept) == 2 and "Join" not in kept[1]._jdf.queryExecution().optimizedPlan().toString().replace("Join Inner, (day", "")

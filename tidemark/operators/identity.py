@@ -41,10 +41,16 @@ def rename_candidates(prev: DataFrame, cur: DataFrame, least: int = 1000, within
 
 def rename_candidates_by_day(series: DataFrame, least: int = 1000, within: float = 0.01) -> DataFrame:
     """(day, old, new): the candidates between each snapshot day and the one before it; series(id, day, dl_all)."""
-    days = series.select("day").distinct().withColumn("prev", F.lag("day").over(W.orderBy("day"))).filter("prev IS NOT NULL")
-    cur = series.select("id", "day", "dl_all").join(F.broadcast(days.select("day")), "day")
-    prev = series.select("id", F.col("day").alias("prev"), "dl_all").join(F.broadcast(days), "prev").drop("prev")
-    return _alike(prev.join(cur, ["id", "day"], "left_anti"), cur.join(prev, ["id", "day"], "left_anti"), least, within, ["day"])
+    days = cut(series.select("day").distinct().filter("day IS NOT NULL").withColumn("snap", F.row_number().over(W.orderBy("day"))))
+    bounds = days.agg(F.max("snap").alias("_last"))
+    at = W.partitionBy("id").orderBy("snap")
+    here = lambda k: F.count("*").over(at.rangeBetween(k, k)) > 0
+    rows = series.select("id", "day", "dl_all").join(F.broadcast(days), "day").select("id", "snap", "dl_all").withColumns({"_before": here(-1), "_after": here(1)})
+    # One pass finds where ids end and begin; of all rows only these few are kept.
+    ends = cut(rows.filter("NOT _before OR NOT _after").filter(F.col("dl_all") >= least * (1 - within)))
+    gone = ends.filter("NOT _after").crossJoin(F.broadcast(bounds)).filter("snap < _last").select("id", (F.col("snap") + 1).alias("snap"), "dl_all")
+    came = ends.filter("NOT _before AND snap > 1").select("id", "snap", "dl_all")
+    return _alike(gone, came, least, within, ["snap"]).join(F.broadcast(days), "snap").select("day", "old", "new")
 
 
 def unambiguous(pairs: DataFrame, by: tuple = ()) -> DataFrame:
