@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranks import global_rank
-from tidemark.plans.staging import running_by
+from tidemark.plans.staging import cut, running_by
 
 
 def monthly_totals(series: DataFrame) -> DataFrame:
@@ -70,7 +70,8 @@ def launch_curve(series: DataFrame, first: DataFrame, least: int, weeks: int = 2
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rank correlation with average ranks for ties."""
-    d = global_rank(df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()), a, "ra", average=True)
+    known = cut(df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b))
+    d = global_rank(known, a, "ra", average=True)
     return global_rank(d, b, "rb", average=True).agg(F.round(F.corr("ra", "rb"), 6).alias("rho"))
 
 
