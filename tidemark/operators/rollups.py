@@ -11,12 +11,15 @@ from tidemark.plans.staging import cut
 
 
 def author_series(series: DataFrame, authors: DataFrame, least: int = 1000) -> DataFrame:
-    """Series of the authors whose entities come to `least` on the last day; authors(id, author)."""
+    """Series of the authors whose entities come to `least` on the last day; authors(id, author).
+
+    The series is summed once by author and day; which authors stay follows from the sums of the last day.
+    """
+    g = series.join(authors, "id").groupBy("author", "day")
+    sums = cut(g.agg(F.sum("dl30").alias("dl30"), F.sum("dl_all").alias("dl_all"), F.sum("likes").alias("likes"), F.count("*").alias("models"), F.sum(F.coalesce("dl_all", "dl30")).alias("_t")))
     last = series.agg(F.max("day").alias("day"))
-    now = series.join(F.broadcast(last), "day").join(authors, "id")
-    big = now.groupBy("author").agg(F.sum(F.coalesce("dl_all", "dl30")).alias("t")).filter(F.col("t") >= least).select("author")
-    g = series.join(authors, "id").join(big, "author", "left_semi").groupBy("author", "day")
-    return g.agg(F.sum("dl30").alias("dl30"), F.sum("dl_all").alias("dl_all"), F.sum("likes").alias("likes"), F.count("*").alias("models"))
+    big = sums.join(F.broadcast(last), "day").filter(F.col("_t") >= least).select("author")
+    return sums.join(big, "author", "left_semi").drop("_t")
 
 
 def author_totals(m: DataFrame) -> DataFrame:
