@@ -43,6 +43,12 @@ class Views:
         view(self.spark, self.sf_dir, "fx_edges")
         return self.spark.sql("SELECT max(CAST(l_shipdate AS DATE)) FROM lineitem").first()[0]
 
+    @property
+    def months(self) -> int:
+        """How many months the series has, from the same column."""
+        view(self.spark, self.sf_dir, "fx_edges")
+        return self.spark.sql("SELECT count(DISTINCT date_format(CAST(l_shipdate AS DATE), 'yyyy-MM')) FROM lineitem").first()[0]
+
     @property
     def gappy(self) -> DataFrame:
         return self.series.filter(F.expr(GAPPY))
@@ -116,14 +122,14 @@ def _folder(v, name):
 @entry("snk1_series_by_month", "SELECT id, day, dl30, dl_all, likes, strftime(day, '%Y-%m') AS month FROM fx_series")
 def _(v):
     path = _folder(v, "series")
-    snapshots.write_series(v.series, path)
+    snapshots.write_series(v.series, path, months=v.months)
     return v.spark.read.parquet(path).withColumn("month", F.date_format("day", "yyyy-MM"))
 
 
 @entry("snk3_replaced_day", f"SELECT id, day, CASE WHEN day = {LAST} THEN dl30 + 1 ELSE dl30 END AS dl30 FROM fx_series WHERE day < {LAST} OR {NUMBER} % 2 = 0")
 def _(v):
-    path, last = _folder(v, "series"), v.series.agg(F.max("day")).first()[0]
-    snapshots.write_series(v.series, path, files=1)
+    path, last = _folder(v, "series"), v.last_day
+    snapshots.write_series(v.series, path, files=1, months=v.months)
     again = v.series.filter(F.col("day") == F.lit(last)).filter(f"{NUMBER} % 2 = 0").withColumn("dl30", F.col("dl30") + 1)
     for _ in range(2):  # a second delivery changes nothing
         snapshots.upsert_day(path, _folder(v, "staging"), again, last)

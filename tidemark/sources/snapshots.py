@@ -93,10 +93,13 @@ def space_metadata(raw: DataFrame) -> DataFrame:
     return raw.select("id", "author", "sdk", *[_given(raw, k, kind).alias(name) for k, (name, kind) in given.items()], *card)
 
 
-def write_series(series: DataFrame, path: str, key: str = "id", files: int = 4, level: int = 9) -> None:
-    """By month, each month in about `files` files by range of the key, sorted by key and day, compressed at a level of zstandard."""
+def write_series(series: DataFrame, path: str, key: str = "id", files: int = 4, level: int = 9, months: int | None = None) -> None:
+    """By month, each month in about `files` files by range of the key, sorted by key and day, compressed at a level of zstandard.
+
+    `months`: how many there are, where it is known; else the rows are asked.
+    """
     rows = series.withColumn("month", F.date_format("day", "yyyy-MM"))
-    parts = max(1, files) * max(1, rows.select("month").distinct().count())
+    parts = max(1, files) * max(1, months or rows.select("month").distinct().count())
     dealt = rows.repartitionByRange(parts, "month", key).sortWithinPartitions("month", key, "day")
     dealt.write.mode("overwrite").partitionBy("month").option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
 
