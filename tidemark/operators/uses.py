@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import owner
+from tidemark.plans.staging import dealt
 
 #: Fixed value: the form of a paper's number.
 PAPER = r"^\d{4}\.\d{4,5}$"
@@ -39,21 +40,22 @@ def paper_models(refs: DataFrame, models: DataFrame, n: int = 5) -> DataFrame:
     return totals.join(best, "paper", "left")
 
 
-def used_by(uses: DataFrame, datasets: DataFrame, models: DataFrame, spaces: DataFrame) -> DataFrame:
-    """Per owner of datasets: models of others that list any of them (each once), their downloads, the biggest; Spaces of others."""
+def used_by(uses: DataFrame, datasets: DataFrame, models: DataFrame, spaces: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Per owner of datasets: models of others that list any of them (each once), their downloads, the biggest; Spaces of others.
+
+    Models and Spaces go through the joins together; `tasks` is how many tasks the uses are dealt over.
+    """
     d = datasets.select(F.col("id").alias("dst"), F.col("author").alias("of"))
-    u = uses.filter("dst_kind = 'dataset'").select("src_kind", "src", "dst").join(d, "dst")
-    by_model = u.filter("src_kind = 'model'").join(models.select(F.col("id").alias("src"), "author", "dl30"), "src").filter("author <> of")
-    once = by_model.groupBy("of", "src").agg(F.min("dst").alias("dataset"), F.first("dl30", ignorenulls=True).alias("dl30"))
-    best = F.min(F.struct((-F.coalesce("dl30", F.lit(-1))).alias("k"), "src", "dataset"))
-    m = once.groupBy("of").agg(F.count("*").alias("models"), F.coalesce(F.sum("dl30"), F.lit(0)).alias("dl30"), best.alias("b"))
-    m = m.select("of", "models", "dl30", F.col("b.src").alias("top_id"), F.col("b.dataset").alias("top_dataset"))
-    by_space = u.filter("src_kind = 'space'").join(spaces.select(F.col("id").alias("src"), "author"), "src", "left")
-    by_space = by_space.filter(F.coalesce("author", owner(F.col("src").cast("string"))) != F.col("of"))
-    s = by_space.groupBy("of").agg(F.countDistinct("src").alias("spaces"))
-    both = m.join(s, "of", "full_outer")
-    zero = {"models": 0, "dl30": 0, "spaces": 0}
-    return both.fillna(zero).withColumnRenamed("of", "author").select("author", "models", "dl30", "spaces", "top_id", "top_dataset")
+    u = dealt(uses.filter("dst_kind = 'dataset' AND src_kind IN ('model', 'space')").select("src_kind", "src", "dst"), tasks, "dst").join(d, "dst")
+    of_kind = lambda df, kind, dl30: df.select(F.lit(kind).alias("src_kind"), F.col("id").alias("src"), "author", dl30.alias("dl30"))
+    known = of_kind(models, "model", F.col("dl30")).unionByName(of_kind(spaces, "space", F.lit(None).cast("long")))
+    is_model = F.col("src_kind") == "model"
+    u = dealt(u, tasks, "src", "src_kind").join(dealt(known, tasks, "src", "src_kind"), ["src", "src_kind"], "left")
+    u = u.filter(F.when(is_model, F.col("author")).otherwise(F.coalesce("author", owner(F.col("src").cast("string")))) != F.col("of"))
+    once = u.groupBy("of", "src_kind", "src").agg(F.min("dst").alias("dataset"), F.first("dl30", ignorenulls=True).alias("dl30"))
+    best = F.min(F.when(is_model, F.struct((-F.coalesce("dl30", F.lit(-1))).alias("k"), "src", "dataset")))
+    m = once.groupBy("of").agg(F.count_if(is_model).alias("models"), F.coalesce(F.sum("dl30"), F.lit(0)).alias("dl30"), F.count_if(~is_model).alias("spaces"), best.alias("b"))
+    return m.select(F.col("of").alias("author"), "models", "dl30", "spaces", F.col("b.src").alias("top_id"), F.col("b.dataset").alias("top_dataset"))
 
 
 def author_repos(datasets: DataFrame, spaces: DataFrame) -> DataFrame:

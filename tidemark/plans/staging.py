@@ -19,6 +19,16 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def tasks_for(spark: SparkSession, rows: int, each: int) -> int:
+    """As many tasks as leave each at most about `each` rows, and no fewer than there are cores."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // each))
+
+
+def dealt(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """df dealt by keys over so many tasks; as it is where no number is given."""
+    return df.repartition(tasks, *keys) if tasks else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once into the session's shared checkpoint folder; lineage ends there."""
     shared_folder(df.sparkSession)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.operators import boards, graph, identity, quality, ranks, report, rollups, search, series
-from tidemark.plans.views import view, with_views
+from tidemark.plans.views import tasks, view, with_views
 from tidemark.sources import snapshots
 
 _ALL: dict[str, tuple] = {}
@@ -37,6 +37,10 @@ class Views:
     def __getattr__(self, name) -> DataFrame:
         return view(self.spark, self.sf_dir, f"fx_{name}")
 
+    def tasks(self, name: str) -> int:
+        """How many tasks the uses or the series are dealt over."""
+        return tasks(self.spark, self.sf_dir)[name]
+
     @property
     def last_day(self):
         """The last day of the series, from the one column that its calendar is made of."""

@@ -57,7 +57,7 @@ _MODELS = "mo AS (SELECT o_orderkey AS id, 'Brand#' || (o_custkey % 5 + 1) || (o
 def _(v):
     owners = F.concat(F.lit("Brand#"), (F.col("o_custkey") % 5 + 1).cast("string"), (F.col("o_orderkey") % 5 + 1).cast("string"))
     models = _table(v, "orders").select(F.col("o_orderkey").alias("id"), owners.alias("author"), F.round("o_totalprice").cast("long").alias("dl30"))
-    return uses.used_by(v.uses, v.parts.select("id", "author"), models, models)
+    return uses.used_by(v.uses, v.parts.select("id", "author"), models, models, v.tasks("uses"))
 
 
 @entry("ag28_author_repos", "WITH d AS (SELECT author, count(*) AS datasets, CAST(sum(dl30) AS BIGINT) AS datasets_dl30 FROM fx_parts WHERE author < 'Brand#4' GROUP BY author), s AS (SELECT author, count(*) AS spaces, CAST(sum(id % 7) AS BIGINT) AS spaces_likes FROM fx_parts WHERE author > 'Brand#2' GROUP BY author) SELECT coalesce(d.author, s.author) AS author, coalesce(datasets, 0) AS datasets, coalesce(datasets_dl30, 0) AS datasets_dl30, coalesce(spaces, 0) AS spaces, coalesce(spaces_likes, 0) AS spaces_likes FROM d FULL JOIN s ON s.author = d.author")
