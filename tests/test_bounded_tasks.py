@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from tidemark.operators import uses
+from tidemark.operators import rollups, uses
 from tidemark.plans import views
 
 DIR = "/root/testdata/sf0.001"
@@ -61,3 +61,12 @@ def test_used_by_reads_the_uses_once(spark):
     # p: the Space's owner is known to be p itself; q/n is not known.
     assert [tuple(r) for r in uses.used_by(u, d, m, s, 3).collect()] == [("o", 1, 0, 1, "x/m", "o/1")]
     assert more.value == len(rows)
+
+
+def test_new_users_are_dealt_over_the_given_tasks(spark):
+    u = spark.createDataFrame([(1, "2001-01-05"), (1, "2001-01-09"), (1, "2001-03-01"), (2, None), (None, "2001-03-01")], "dst long, created string").selectExpr("dst", "CAST(created AS date) AS created")
+    got = rollups.new_users(u, 7)
+    plan = _plan(got)
+    m = lambda k: dt.date(2001, k, 1)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, m(1), 2, 2), (1, m(3), 1, 3), (2, None, 1, 1), (None, m(3), 1, 1)], key=str)
+    assert plan.count(", 7), REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in plan

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import week
-from tidemark.plans.staging import cut
+from tidemark.plans.staging import cut, dealt
 
 
 def author_series(series: DataFrame, authors: DataFrame, least: int = 1000) -> DataFrame:
@@ -40,9 +40,10 @@ def uses_each(uses: DataFrame) -> DataFrame:
     return uses.groupBy("src").agg(F.count("*").alias("n_uses"))
 
 
-def new_users(uses: DataFrame) -> DataFrame:
-    """New users of a target per month and their running total."""
-    g = uses.groupBy("dst", F.trunc("created", "month").alias("month")).agg(F.count("*").alias("n"))
+def new_users(uses: DataFrame, tasks: int | None = None) -> DataFrame:
+    """New users of a target per month and their running total; `tasks` is how many tasks the uses are dealt over."""
+    months = dealt(uses.select("dst", F.trunc("created", "month").alias("month")), tasks, "dst", "month")
+    g = dealt(months.groupBy("dst", "month").agg(F.count("*").alias("n")), tasks, "dst")
     return g.withColumn("total", F.sum("n").over(W.partitionBy("dst").orderBy("month")))
 
 

@@ -464,7 +464,7 @@ def _(v):
 
 @entry("ag15_new_users", "SELECT dst, CAST(date_trunc('month', created) AS DATE) AS month, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY dst ORDER BY date_trunc('month', created)) AS BIGINT) AS total FROM fx_uses GROUP BY dst, date_trunc('month', created)")
 def _(v):
-    return rollups.new_users(v.uses)
+    return rollups.new_users(v.uses, v.tasks("uses"))
 
 
 @entry("gr9_top_users", "SELECT dst, src, rank FROM (SELECT dst, src, row_number() OVER (PARTITION BY dst ORDER BY weight DESC, src) AS rank FROM fx_uses) WHERE rank <= 5")
