@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from tidemark.operators import report, rollups
+from tidemark.operators import quality, report, rollups
 from tidemark.sources import snapshots
 
 D = [dt.date(2001, 1, 30) + dt.timedelta(days=k) for k in range(4)]
@@ -44,3 +44,13 @@ def test_a_writer_that_knows_its_months_does_not_count_them(spark, tmp_path):
     snapshots.write_series(_reads(spark, series, seen, "n"), str(tmp_path / "s"), files=1, months=2)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "s")).select("id", "day", "dl30").collect())) == [("a/x", d, k) for k, d in enumerate(D)]
     assert seen["n"].value == 2 * 4  # once for its ranges, once to be written
+
+
+def test_signals_come_from_one_reading(spark):
+    # b has no total on the second day, c no row, d comes late; the third day is the first one's next neighbour for none.
+    rows = [("a", D[0], 90, 5), ("a", D[1], 90, 5), ("a", D[2], 90, 4), ("b", D[0], 90, 7), ("b", D[1], 90, None), ("b", D[2], 90, 7), ("c", D[0], 90, 1), ("c", D[2], 90, 0), ("d", D[3], 90, 3)]
+    series = spark.createDataFrame(rows, "id string, day date, dl30 long, dl_all long")
+    seen = {}
+    got = quality.signals(_reads(spark, series, seen, "n"), 50, 1)
+    assert sorted(map(tuple, got.collect())) == [(D[1], 1.0, 0.0), (D[2], 0.0, 1.0)]
+    assert seen["n"].value == len(rows)

@@ -64,8 +64,10 @@ class Views:
 
         last = self.last_day
         d = lambda n: f"DATE '{last - timedelta(days=n)}'"
-        s = self.gappy.filter(f"NOT ({NUMBER} % 5 = 1 AND day < {d(4)}) AND NOT ({NUMBER} % 5 = 2 AND day BETWEEN {d(18)} AND {d(6)})")
-        return s.withColumn("dl_all", F.expr(f"CASE WHEN {NUMBER} % 5 = 3 AND dayofyear(day) % 11 = 0 THEN NULL WHEN {NUMBER} % 5 = 4 AND day = {d(3)} THEN dl_all - 40 ELSE dl_all END"))
+        # The remainder of a number by 5 is that of its last digit; days are compared first.
+        fifth = "CAST(right(id, 1) AS INT) % 5"
+        s = self.gappy.filter(f"NOT (day < {d(4)} AND {fifth} = 1) AND NOT (day BETWEEN {d(18)} AND {d(6)} AND {fifth} = 2)")
+        return s.withColumn("dl_all", F.expr(f"CASE WHEN dayofyear(day) % 11 = 0 AND {fifth} = 3 THEN NULL WHEN day = {d(3)} AND {fifth} = 4 THEN dl_all - 40 ELSE dl_all END"))
 
     @property
     def skip(self) -> DataFrame:
