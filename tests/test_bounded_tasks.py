@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from tidemark.operators import rollups, uses
+from tidemark.operators import rollups, series, uses
 from tidemark.plans import views
 
 DIR = "/root/testdata/sf0.001"
@@ -70,3 +70,12 @@ def test_new_users_are_dealt_over_the_given_tasks(spark):
     m = lambda k: dt.date(2001, k, 1)
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, m(1), 2, 2), (1, m(3), 1, 3), (2, None, 1, 1), (None, m(3), 1, 1)], key=str)
     assert plan.count(", 7), REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_more_days_of_series_make_more_tasks(spark, small_tasks):
+    plan = _plan(views.view(spark, DIR, "fx_series"))
+    n = views.tasks(spark, DIR)["series"]
+    days = spark.sql("SELECT datediff(max(l_shipdate), min(l_shipdate)) + 1 FROM lineitem").first()[0]
+    assert n == -(-spark.table("supplier").count() * days // 2000) > 4
+    assert f", {n}), REPARTITION_BY_NUM" in plan and "REPARTITION_BY_COL" not in plan
+    assert _plan(series.weekly(series.by_day(views.view(spark, DIR, "fx_series"), "dl_all"), "v")).count("hashpartitioning(id") == plan.count("hashpartitioning(id")
