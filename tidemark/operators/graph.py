@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.plans.staging import cut
+from tidemark.plans.staging import cut, dealt
 
 HOPS, LEVELS, CAP = 7, 8, 50_000
 RELATIONS = ("quantized", "finetune", "adapter", "merge")
@@ -95,11 +95,35 @@ def family_totals(stats: DataFrame, entities: DataFrame) -> DataFrame:
     return e.withColumns({"derived_share": F.round(F.when(F.col("fam_dl30") > 0, 1 - F.col("dl30") / F.col("fam_dl30")), 6)} | mix)
 
 
-def family_series(pairs: DataFrame, series: DataFrame, roots: DataFrame) -> DataFrame:
-    """Series of each family with its root: sums keep null when nothing is known."""
+#: Members of a family that are summed together before the rest, and the number of a day that is not known, long before all dates.
+MEMBERS, NO_DAY = 1000, -1_000_000_000
+
+
+def family_series(pairs: DataFrame, series: DataFrame, roots: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Series of each family with its root: sums keep null when nothing is known. `tasks` is how many tasks families are dealt over.
+
+    Each row moves the sums of its id up on its day and down on the next one; moves that cancel are gone before an id goes to its
+    families, once a year with its moves as arrays. Sums of moves hold until a family's next one, on the days that have members.
+    A family of very many members is summed in parts first.
+    """
     both = pairs.select("id", "anc").unionByName(roots.select(F.col("anc").alias("id"), "anc")).distinct()
-    g = series.join(both, "id").groupBy("anc", "day")
-    return g.agg(F.sum("dl30").alias("dl30"), F.sum("dl_all").alias("dl_all"), F.count("*").alias("members"))
+    large = both.groupBy("anc").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
+    both = both.join(large, "anc").select("id", "anc", F.pmod(F.xxhash64("id"), "parts").alias("part"))
+    sums = ["members", "known30", "dl30", "known_all", "dl_all"]
+    of = [F.lit(1), F.col("dl30").isNotNull(), F.coalesce("dl30", F.lit(0)), F.col("dl_all").isNotNull(), F.coalesce("dl_all", F.lit(0))]
+    rows = series.select("id", F.coalesce(F.unix_date("day"), F.lit(NO_DAY)).alias("day"), *[c.cast("long").alias(n) for c, n in zip(of, sums)])
+    turns = F.array(F.struct("day", *sums), F.struct((F.col("day") + 1).alias("day"), *[(-F.col(c)).alias(c) for c in sums]))
+    moves = rows.select("id", F.inline(turns)).groupBy("id", "day").agg(*[F.sum(c).alias(c) for c in sums]).filter(" OR ".join(f"{c} <> 0" for c in sums))
+    lists = moves.groupBy("id", F.floor(F.col("day") / 366).alias("year")).agg(F.collect_list(F.struct("day", *sums)).alias("m"))
+    lists = lists.select("id", "year", *[F.col(f"m.{c}").alias(c) for c in ("day", *sums)])
+    sent = dealt(lists.join(both, "id").drop("id"), tasks, "anc", "part", "year")
+    each = sent.select("anc", "part", "year", F.inline(F.arrays_zip("day", *sums))).groupBy("anc", "part", "year", "day").agg(*[F.sum(c).alias(c) for c in sums])
+    each = dealt(each, tasks, "anc").groupBy("anc", "day").agg(*[F.sum(c).alias(c) for c in sums])
+    w = W.partitionBy("anc").orderBy("day")
+    held = each.select("anc", "day", F.lead("day").over(w).alias("until"), *[F.sum(c).over(w).alias(c) for c in sums]).filter("members > 0")
+    days = held.select("anc", F.explode(F.sequence("day", F.col("until") - 1)).alias("day"), *sums)
+    date = F.when(F.col("day") != NO_DAY, F.date_from_unix_date("day")).alias("day")
+    return days.select("anc", date, F.when(F.col("known30") > 0, F.col("dl30")).alias("dl30"), F.when(F.col("known_all") > 0, F.col("dl_all")).alias("dl_all"), "members")
 
 
 def outermost(families: DataFrame, pairs: DataFrame, n: int = 300) -> DataFrame:

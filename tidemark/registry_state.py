@@ -167,4 +167,4 @@ def _(v):
     edges = ids.select("id", F.expr("num div 2").alias("up"), "num").join(ids.select(F.col("id").alias("parent"), F.col("num").alias("up")), "up").filter("num <> up").select("id", "parent")
     pairs = cut(graph.closure(edges))
     roots = cut(pairs.groupBy("anc").count().filter("count >= 3").select("anc"))
-    return graph.family_series(pairs.join(roots, "anc", "left_semi"), v.series, roots)
+    return graph.family_series(pairs.join(roots, "anc", "left_semi"), v.series, roots, v.tasks("series"))
