@@ -47,7 +47,7 @@ BLOCK, FANOUT = 1024, 8
 TASK_BYTES, SEEN = 8 << 20, 1 << 20
 #: Pairs between two components that a walk passes on before only each leaf's best partner goes, and groups that a leaf knows.
 MANY, KNOWN = 256, 4
-_LONGEST = 1 << 20  # bits of the longest bitmap
+_SHORTEST, _LONGEST = 1 << 10, 1 << 20  # bits of the shortest and the longest bitmap
 
 _FIRST_PASS = "doc_id long, n long, node long, first long, bits binary, part int, counts binary"
 
@@ -99,8 +99,8 @@ def frequent_buckets(passed: DataFrame) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Bits of a set, at eight to sixteen bits a shingle; the width is a power of two, so a wide bitmap folds onto a narrower one."""
-    width = min(_LONGEST, max(64, 1 << int(np.ceil(np.log2(8 * max(1, len(s)))))))
+    """Bits of a set, at two to four bits a shingle, small sets at more; the width is a power of two, so a wide bitmap folds onto a narrower one."""
+    width = min(_LONGEST, max(_SHORTEST, 1 << int(np.ceil(np.log2(2 * max(1, len(s)))))))
     bits = np.zeros(width, bool)
     bits[((s >> np.uint64(20)) % np.uint64(width)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
