@@ -31,6 +31,8 @@ EPOCHS, STEPS, BATCH, RATE = 10, 1000, 128, 0.05
 THRESHOLD = 0.5
 #: Bytes of text whose n-grams are held at once. A longer word is read piece by piece.
 PART_BYTES = 1 << 19
+#: N-grams of distinct words that training holds, four bytes each; with more, those of a batch are made for each step.
+HELD_GRAMS = 1 << 24
 
 
 _SIGNS = np.zeros(256, bool)
@@ -96,15 +98,18 @@ class Model:
         side = self.p["classes"][:, 1] - self.p["classes"][:, 0]
         return self.p["grams"] @ side, float(self.p["bias"][1] - self.p["bias"][0])
 
-    def step(self, ids, who, word, doc, y, rate, weight):
-        """ids/who: n-grams of the batch's distinct words; word/doc: the words of each text in order; weight: of each class."""
-        p, n_words = self.p, int(who[-1]) + 1 if len(who) else 0
-        per_word = np.bincount(who, minlength=n_words).astype(float)
-        opens = np.searchsorted(who, np.arange(n_words))
-        vec = np.zeros((n_words, DIMS))
-        for w in np.split(np.arange(n_words), np.flatnonzero(np.diff(opens // PART_BYTES)) + 1) if n_words else ():
-            a, b = opens[w[0]], opens[w[-1] + 1] if w[-1] + 1 < n_words else len(ids)
-            vec[w] = np.add.reduceat(p["grams"][ids[a:b]], opens[w] - a, axis=0) / per_word[w, None]
+    def step(self, grams, own, word, doc, y, rate, weight):
+        """own: numbers of the batch's distinct words; word/doc: the words of each text in order, by place in own; weight: of each class."""
+        p, n_words, per_word = self.p, len(own), grams.count[own].astype(float)
+        vec, met, cuts = np.zeros((n_words, DIMS)), np.zeros(BUCKETS, bool), grams.cuts(own)
+        one = grams.part(own) if len(cuts) == 2 else None
+        for lo, hi in zip(cuts, cuts[1:]):
+            ids, who, times = one or grams.part(own[lo:hi])
+            met[ids], opens = True, np.searchsorted(who, np.arange(hi - lo))
+            for w in np.split(np.arange(hi - lo), np.flatnonzero(np.diff(opens // PART_BYTES)) + 1):
+                a, b = opens[w[0]], opens[w[-1] + 1] if w[-1] + 1 < hi - lo else len(ids)
+                rows = p["grams"][ids[a:b]]
+                vec[lo + w] = np.add.reduceat(rows if times is None else rows * times[a:b, None], opens[w] - a, axis=0) / per_word[lo + w, None]
         size = np.maximum(np.bincount(doc, minlength=len(y)), 1)
         mean = np.stack([np.bincount(doc, vec[word, d], len(y)) for d in range(DIMS)], 1) / size[:, None]
         z = mean @ p["classes"] + p["bias"]
@@ -114,8 +119,15 @@ class Model:
         d = soft * weight[y][:, None] / len(y)
         back = (d @ p["classes"].T) / size[:, None]
         to_word = np.stack([np.bincount(word, back[doc, k], n_words) for k in range(DIMS)], 1) / per_word[:, None]
-        met = np.flatnonzero(np.bincount(ids, minlength=BUCKETS))
-        g = {"classes": mean.T @ d, "bias": d.sum(0), "grams": np.stack([np.bincount(ids, to_word[who, k], BUCKETS)[met] for k in range(DIMS)], 1)}
+        place, met = np.cumsum(met, dtype=np.int32) - 1, np.flatnonzero(met)
+        sums = np.zeros((DIMS, len(met)))
+        for lo, hi in zip(cuts, cuts[1:]):
+            ids, who, times = one or grams.part(own[lo:hi])
+            at = place[ids]
+            for k in range(DIMS):
+                back = to_word[lo:hi, k][who]
+                sums[k] += np.bincount(at, back if times is None else back * times, len(met))
+        g = {"classes": mean.T @ d, "bias": d.sum(0), "grams": sums.T}
         self.t += 1
         for k, x in g.items():
             # Only the embeddings met in the batch move.
@@ -125,30 +137,123 @@ class Model:
             p[k][at] -= rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-7)
 
 
+def word_parts(texts: list[str]):
+    """(lower-case bytes, starts, ends, text index) of the words of the texts in order, about PART_BYTES at a time; a longer word comes alone."""
+    sizes = np.cumsum([len(t.encode()) for t in texts])
+    groups = [0, *(np.flatnonzero(np.diff(sizes // PART_BYTES)) + 1), len(texts)]
+    for first, last in zip(groups, groups[1:]):
+        data, off = scan.column_bytes(pa.array(texts[first:last], pa.large_string()))
+        lo = 0
+        while lo < len(data):
+            hi = min(lo + PART_BYTES, len(data))
+            if hi < len(data):
+                # A part ends behind a sign or with a text; without either it is one word, which goes on to the next of them.
+                ends = np.concatenate([np.flatnonzero(_SIGNS[data[lo:hi]])[-1:] + lo + 1, off[(off > lo) & (off <= hi)][-1:]])
+                while not len(ends):
+                    signs = np.flatnonzero(_SIGNS[data[hi : hi + PART_BYTES]])[:1] + hi
+                    ends = np.minimum(signs, off[off > hi][0]) if len(signs) else off[(off > hi) & (off <= hi + PART_BYTES)][:1]
+                    hi += PART_BYTES
+                hi = int(ends.max())
+            at = np.searchsorted(off, lo, "right") - 1
+            if hi - lo > PART_BYTES:
+                yield scan.lower(data[lo:hi]), np.array([0]), np.array([hi - lo]), np.array([first + at])
+            else:
+                part, starts, ends, doc = words(data[lo:hi], np.concatenate([[lo], off[(off > lo) & (off < hi)], [hi]]) - lo)
+                yield part, starts, ends, doc + first + at
+            lo = hi
+
+
+def whole_hash(word: np.ndarray) -> np.uint64:
+    """The hash that `scan.span_hashes` gives to all of the bytes, from PART_BYTES of them at a time."""
+    total = 0
+    for lo in range(0, len(word), PART_BYTES):
+        piece = word[lo : lo + PART_BYTES]
+        total += int((scan._TABLE[piece] * scan.powers(len(piece))[0]).sum(dtype=np.uint64)) * pow(scan._BASE, lo, 1 << 64)
+    return scan.mix(np.array([(total + len(word)) % (1 << 64)], np.uint64))[0]
+
+
 def vocabulary(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(n-grams of the distinct words, where each word's begin, words of the texts in order, their texts).
+    """(bytes of the distinct words, start and end of each, words of the texts in order, their texts); words are numbered by hash.
 
-    Texts are read in parts of about PART_BYTES, so that what a byte needs while words are cut is held for one part only.
+    What is held follows the bytes of the texts: a word is kept once, and what a byte needs while words are cut is held for one
+    part only.
     """
-    sizes = np.cumsum([len(t.encode()) for t in texts])
-    cuts = [0, *(np.flatnonzero(np.diff(sizes // PART_BYTES)) + 1), len(texts)]
-    hashes, grams, counts, local, docs, seen = [], [], [], [], [], 0
-    for lo, hi in zip(cuts, cuts[1:]):
-        data, starts, ends, doc = words(*scan.column_bytes(pa.array(texts[lo:hi], pa.large_string())))
-        h, first, inverse = np.unique(scan.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        ids, who = subwords(data, starts[first], ends[first])
-        hashes.append(h)
-        grams.append(ids)
-        counts.append(np.bincount(who, minlength=len(h)))
-        local.append((inverse + seen).astype(np.int32))
-        docs.append((doc + lo).astype(np.int32))
-        seen += len(h)
-    counts = np.concatenate(counts)
-    begins = np.cumsum(counts) - counts
-    _, first, known = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    opens = np.concatenate([[0], np.cumsum(counts[first])])
-    at = np.repeat(begins[first] - opens[:-1], counts[first]) + np.arange(opens[-1])
-    return np.concatenate(grams)[at], opens, known[np.concatenate(local)].astype(np.int32), np.concatenate(docs)
+    known, number, seen = np.zeros(0, np.uint64), np.zeros(0, np.int32), 0
+    kept, sizes, local, docs = bytearray(), [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for data, starts, ends, doc in word_parts(texts):
+        h = scan.span_hashes(data, starts, ends) if len(data) <= PART_BYTES else np.array([whole_hash(data)])
+        h, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        at = np.searchsorted(known, h)
+        new = np.append(known, np.uint64(0))[at] != h
+        new |= at == len(known)
+        fresh = np.flatnonzero(new)
+        fresh = fresh[np.argsort(first[fresh])]
+        numbers = np.zeros(len(h), np.int32)
+        numbers[~new], numbers[fresh] = number[at[~new]], seen + np.arange(len(fresh))
+        known, number, seen = np.insert(known, at[new], h[new]), np.insert(number, at[new], numbers[new]), seen + len(fresh)
+        raw, starts, ends = memoryview(data), starts[first[fresh]], ends[first[fresh]]
+        kept += b"".join(raw[a:b] for a, b in zip(starts, ends))
+        sizes.append(ends - starts)
+        local.append(numbers[inverse])
+        docs.append(doc.astype(np.int32))
+    sizes = np.concatenate(sizes)
+    ends = np.cumsum(sizes)
+    rank = np.zeros(seen, np.int32)
+    rank[number] = np.arange(seen)
+    return np.frombuffer(bytes(kept), np.uint8), np.stack([ends - sizes, ends], 1)[number], rank[np.concatenate(local)], np.concatenate(docs)
+
+
+class Grams:
+    """N-grams of numbered words, for a bounded number of bytes at a time. Those of all words are held where there are at most HELD_GRAMS.
+
+    A word of more than PART_BYTES is held as the embeddings that it meets and how often it meets each.
+    """
+
+    def __init__(self, data: np.ndarray, spans: np.ndarray):
+        self.data, (self.starts, self.ends) = data, spans.T
+        self.size = self.ends - self.starts
+        self.count = 1 + sum(np.maximum(self.size + 3 - g, 0) for g in GRAMS)
+        self.long = {int(k): self._counted(data[self.starts[k] : self.ends[k]]) for k in np.flatnonzero(self.size > PART_BYTES)}
+        self.opens, self.held = np.concatenate([[0], np.cumsum(np.where(self.size > PART_BYTES, 0, self.count))]), None
+        if self.opens[-1] <= HELD_GRAMS:
+            every, held = np.arange(len(self.size)), np.zeros(self.opens[-1], np.int32)
+            cuts = self.cuts(every, PART_BYTES // 8 + 1)
+            for lo, hi in zip(cuts, cuts[1:]):
+                if self.opens[lo] < self.opens[hi]:
+                    held[self.opens[lo] : self.opens[hi]] = self.part(every[lo:hi])[0]
+            self.held = held
+
+    @staticmethod
+    def _counted(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        word = np.concatenate([np.frombuffer(b"<", np.uint8), word, np.frombuffer(b">", np.uint8)])
+        times = np.bincount([int(whole_hash(word) % np.uint64(BUCKETS))], minlength=BUCKETS)
+        for lo in range(0, len(word), PART_BYTES):
+            piece = word[lo : lo + PART_BYTES + max(GRAMS) - 1]
+            for g in GRAMS:
+                at = np.arange(min(PART_BYTES, len(piece) - g + 1))
+                times += np.bincount((scan.span_hashes(piece, at, at + g) % np.uint64(BUCKETS)).astype(np.int32), minlength=BUCKETS)
+        ids = np.flatnonzero(times).astype(np.int32)
+        return ids, times[ids].astype(np.int32)
+
+    def cuts(self, own: np.ndarray, most: int = 0) -> list[int]:
+        """Where parts of own begin, and its end: about `most` (PART_BYTES) bytes each, a longer word alone."""
+        if not len(own):
+            return [0]
+        size, most = self.size[own], most or PART_BYTES
+        alone = size > PART_BYTES
+        group = np.cumsum(np.where(alone, 0, size)) // most
+        return [0, *(np.flatnonzero((np.diff(group) != 0) | alone[1:] | alone[:-1]) + 1).tolist(), len(own)]
+
+    def part(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """(embedding numbers, place of their word in own, how often; None: once each) of one part of words."""
+        if len(own) == 1 and int(own[0]) in self.long:
+            ids, times = self.long[int(own[0])]
+            return ids, np.zeros(len(ids), np.int64), times
+        if self.held is None:
+            return *subwords(self.data, self.starts[own], self.ends[own]), None
+        count = self.count[own]
+        at = np.repeat(self.opens[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        return self.held[at], np.repeat(np.arange(len(own)), count), None
 
 
 def train(texts: list[str], y: np.ndarray, seed: int = 5) -> Model:
@@ -159,8 +264,10 @@ def train(texts: list[str], y: np.ndarray, seed: int = 5) -> Model:
     if len(set(y.tolist())) < 2:
         model.p["classes"] *= 0
         return model
-    ids, opens, word, doc = vocabulary(texts)
+    data, spans, word, doc = vocabulary(texts)
     bounds = np.searchsorted(doc, np.arange(len(y) + 1))
+    del texts, doc
+    grams = Grams(data, spans)
     count = np.bincount(y, minlength=2)
     weight = np.sqrt(count.max() / np.maximum(count, 1))
     steps = -(-len(y) // BATCH)
@@ -173,9 +280,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = 5) -> Model:
             each = bounds[which + 1] - bounds[which]
             w = np.concatenate([word[bounds[i] : bounds[i + 1]] for i in which])
             own, local = np.unique(w, return_inverse=True)
-            count = opens[own + 1] - opens[own]
-            at = np.repeat(opens[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            model.step(ids[at], np.repeat(np.arange(len(own)), count), local, np.repeat(np.arange(len(which)), each), y[which], RATE * (1 - model.t / total) + 0.002, weight)
+            model.step(grams, own, local, np.repeat(np.arange(len(which)), each), y[which], RATE * (1 - model.t / total) + 0.002, weight)
     return model
 
 
@@ -211,7 +316,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     rows = sample(docs, labels, "toxic", most, TRAIN_BYTES)
-    return train(rows["text"].tolist(), rows["_y"].to_numpy())
+    y = rows["_y"].to_numpy().copy()
+    # The texts go with the frame: training lets them go once their words are known.
+    return train(rows.pop("text").tolist(), y)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
