@@ -30,6 +30,18 @@ def closure(edges: DataFrame, hops: int = HOPS) -> DataFrame:
     return known
 
 
+def whole_closure(edges: DataFrame) -> DataFrame:
+    """Distinct (id, anc) over any number of edges; no id is its own ancestor. Each round doubles the paths: the longest of those known go on by all of them."""
+    known, longest = cut(edges.filter("id <> parent").select("id", F.col("parent").alias("anc")).distinct().withColumn("hops", F.lit(1))), 1
+    while True:
+        up = known.select(F.col("id").alias("anc"), F.col("anc").alias("next"), F.col("hops").alias("more"))
+        on = known.filter(F.col("hops") == longest).join(up, "anc").filter("id <> next").groupBy("id", F.col("next").alias("anc")).agg((F.min("more") + longest).alias("hops"))
+        new = cut(on.join(known, ["id", "anc"], "left_anti"))
+        if new.isEmpty():
+            return known.select("id", "anc")
+        known, longest = cut(known.unionByName(new)), 2 * longest
+
+
 SUMS = ("dl30", "dl_all", "dl_7d")
 
 
@@ -95,20 +107,24 @@ def family_totals(stats: DataFrame, entities: DataFrame) -> DataFrame:
     return e.withColumns({"derived_share": F.round(F.when(F.col("fam_dl30") > 0, 1 - F.col("dl30") / F.col("fam_dl30")), 6)} | mix)
 
 
-#: Members of a family that are summed together before the rest, and the number of a day that is not known, long before all dates.
+#: Ids of a family, about, that are summed together before the rest, and the number of a day that is not known, long before all dates.
 MEMBERS, NO_DAY = 1000, -1_000_000_000
 
 
 def family_series(pairs: DataFrame, series: DataFrame, roots: DataFrame, tasks: int | None = None) -> DataFrame:
     """Series of each family with its root: sums keep null when nothing is known. `tasks` is how many tasks families are dealt over.
 
-    Each row moves the sums of its id up on its day and down on the next one; moves that cancel are gone before an id goes to its
-    families, once a year with its moves as arrays. Sums of moves hold until a family's next one, on the days that have members.
-    A family of very many members is summed in parts first.
+    Each row moves the sums of its id up on its day and down on the next one; moves that cancel are gone before an id goes, once a
+    year with its moves as arrays, to a part of one family, where ids that share families meet. They are summed there for all their
+    families, then those sums by family. Sums of moves hold until a family's next one, on the days that have members. The family an
+    id goes to is its smallest of more than MEMBERS, in a part together with its largest of at most so many, or else that one.
     """
     both = pairs.select("id", "anc").unionByName(roots.select(F.col("anc").alias("id"), "anc")).distinct()
-    large = both.groupBy("anc").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
-    both = both.join(large, "anc").select("id", "anc", F.pmod(F.xxhash64("id"), "parts").alias("part"))
+    sized = both.join(both.groupBy("anc").agg(F.count("*").alias("size")), "anc").withColumn("s", F.struct("size", "anc"))
+    small, large = F.max(F.when(F.col("size") <= MEMBERS, F.col("s"))), F.min(F.when(F.col("size") > MEMBERS, F.col("s")))
+    homes = sized.groupBy("id").agg(small.alias("small"), large.alias("large"), F.collect_list("anc").alias("above"))
+    parts = F.ceil(F.coalesce("large.size", F.lit(1)) / MEMBERS)
+    homes = homes.select("id", F.coalesce("large.anc", "small.anc").alias("anc"), F.pmod(F.xxhash64(F.coalesce("small.anc", "id")), parts).alias("part"), "above")
     sums = ["members", "known30", "dl30", "known_all", "dl_all"]
     of = [F.lit(1), F.col("dl30").isNotNull(), F.coalesce("dl30", F.lit(0)), F.col("dl_all").isNotNull(), F.coalesce("dl_all", F.lit(0))]
     rows = series.select("id", F.coalesce(F.unix_date("day"), F.lit(NO_DAY)).alias("day"), *[c.cast("long").alias(n) for c, n in zip(of, sums)])
@@ -116,8 +132,9 @@ def family_series(pairs: DataFrame, series: DataFrame, roots: DataFrame, tasks:
     moves = rows.select("id", F.inline(turns)).groupBy("id", "day").agg(*[F.sum(c).alias(c) for c in sums]).filter(" OR ".join(f"{c} <> 0" for c in sums))
     lists = moves.groupBy("id", F.floor(F.col("day") / 366).alias("year")).agg(F.collect_list(F.struct("day", *sums)).alias("m"))
     lists = lists.select("id", "year", *[F.col(f"m.{c}").alias(c) for c in ("day", *sums)])
-    sent = dealt(lists.join(both, "id").drop("id"), tasks, "anc", "part", "year")
-    each = sent.select("anc", "part", "year", F.inline(F.arrays_zip("day", *sums))).groupBy("anc", "part", "year", "day").agg(*[F.sum(c).alias(c) for c in sums])
+    sent = dealt(lists.join(homes, "id").drop("id"), tasks, "anc", "part", "year")
+    sent = sent.select(F.col("anc").alias("home"), "part", "year", F.explode("above").alias("anc"), "day", *sums)
+    each = sent.select("home", "part", "year", "anc", F.inline(F.arrays_zip("day", *sums))).groupBy("home", "part", "year", "anc", "day").agg(*[F.sum(c).alias(c) for c in sums])
     each = dealt(each, tasks, "anc").groupBy("anc", "day").agg(*[F.sum(c).alias(c) for c in sums])
     w = W.partitionBy("anc").orderBy("day")
     held = each.select("anc", "day", F.lead("day").over(w).alias("until"), *[F.sum(c).over(w).alias(c) for c in sums]).filter("members > 0")

@@ -157,14 +157,13 @@ def _(v):
     return rollups.year_record(rollups.year_gaps(s, v.authors, 1998), likes, v.authors.select("id", tag.alias("tag")), graph.ripple(edges, now), start, last)
 
 
-_KIN = f"ids AS (SELECT DISTINCT id, {NUMBER} AS num FROM fx_series), e AS (SELECT c.id, a.id AS parent FROM ids c JOIN ids a ON a.num = c.num // 2 AND a.num <> c.num), c AS (SELECT id, parent AS anc, 1 AS n FROM e UNION SELECT c.id, e.parent, n + 1 FROM c JOIN e ON e.id = c.anc WHERE n < 7), p AS (SELECT DISTINCT id, anc FROM c), f AS (SELECT anc FROM p GROUP BY anc HAVING count(*) >= 3), b AS (SELECT p.id, p.anc FROM p SEMI JOIN f ON f.anc = p.anc UNION ALL SELECT anc, anc FROM f)"
+_KIN = f"ids AS (SELECT DISTINCT id, {NUMBER} AS num FROM fx_series), e AS (SELECT c.id, a.id AS parent FROM ids c JOIN ids a ON a.num = c.num // 2 AND a.num <> c.num), c AS (SELECT id, parent AS anc FROM e UNION SELECT c.id, e.parent FROM c JOIN e ON e.id = c.anc), b AS (SELECT id, anc FROM c UNION SELECT anc, anc FROM c)"
 
 
 @entry("jn8_family_members_series", f"WITH RECURSIVE {_KIN} SELECT anc, day, CAST(sum(dl30) AS BIGINT) AS dl30, CAST(sum(dl_all) AS BIGINT) AS dl_all, count(*) AS members FROM fx_series s JOIN b ON b.id = s.id GROUP BY anc, day")
 def _(v):
-    """Families of three descendants or more: a member counts in every family above it."""
+    """The family of every id that has descendants: a member counts in every family above it, however far."""
     ids = cut(v.series.select("id").distinct().withColumn("num", F.expr(NUMBER)))
     edges = ids.select("id", F.expr("num div 2").alias("up"), "num").join(ids.select(F.col("id").alias("parent"), F.col("num").alias("up")), "up").filter("num <> up").select("id", "parent")
-    pairs = cut(graph.closure(edges))
-    roots = cut(pairs.groupBy("anc").count().filter("count >= 3").select("anc"))
-    return graph.family_series(pairs.join(roots, "anc", "left_semi"), v.series, roots, v.tasks("series"))
+    pairs = graph.whole_closure(edges)
+    return graph.family_series(pairs, v.series, pairs.select("anc").distinct(), v.tasks("series"))
